@@ -41,3 +41,18 @@ def op9_bpe_prefix_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents(spark, sf_dir), str(public_tokenizers.path(WORD_VOCABULARY))).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@register
+def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.repetition import repetition_quality
+
+    return repetition_quality(documents(spark, sf_dir))
+
+
+@register
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.langid import held_out, identify, train_on
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, train_on(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
