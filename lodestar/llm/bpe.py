@@ -12,7 +12,6 @@ cut out of the raw text first.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -221,7 +220,3 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, n_tokens long, ids string, decoded string")
     return rows.withColumnRenamed("id", id_col)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -56,3 +56,19 @@ def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return identify(docs, train_on(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.webp import read_media, store_texts
+
+    return read_media(store_texts(documents(spark, sf_dir)), carry=("doc_id", "n_bytes")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
