@@ -72,3 +72,17 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+@register
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.suffix_dedup import dedup_substrings
+
+    kept = F.octet_length("kept").cast("long")
+    return dedup_substrings(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - kept).alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
