@@ -86,3 +86,10 @@ def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("removed") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@register
+def op1_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.minhash import QUERY_RULES, near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), QUERY_RULES)
