@@ -38,9 +38,9 @@ class NearRules:
         return 2 * self.permutations // self.rows
 
 
-#: At a similarity of 0.80: 4 rows, 30 bands, a pair is missed once in 10 ** 6.8; at 0.85: 5 rows, 24 bands, 10 ** 6.1.
-PIPELINE_RULES = NearRules(words=5, percent=80, rows=4)
-QUERY_RULES = NearRules(words=3, percent=85, rows=5)
+#: Chance to miss a link that is just similar enough: 7 in a million at 80 %, 1 in a million at 85 %.
+PIPELINE_RULES = NearRules(words=5, percent=80, permutations=75)
+QUERY_RULES = NearRules(words=3, percent=85, permutations=60)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -106,3 +106,18 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(repeated_lines(docs), "doc_id", "left").select(
         "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines")
     )
+
+
+@register
+def op6_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document: its bin and place there."""
+    from lodestar.llm.packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
+@register
+def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pseudo_likelihood import score_corpus
+
+    return score_corpus(documents(spark, sf_dir))

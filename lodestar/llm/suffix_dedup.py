@@ -22,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bucket_count
@@ -355,3 +356,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"carry_{i}", c)
     return out.withColumnRenamed("id", id_col)
+
+
+def as_text(kept: str) -> Column:
+    """Kept bytes as a string; bytes of characters that were cut in two are left out."""
+
+    @F.pandas_udf("string")
+    def decoded(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+    return decoded(F.col(kept))
