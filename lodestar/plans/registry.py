@@ -20,3 +20,6 @@ def query(sql: str | None = None):
         return function
 
     return register
+
+
+from lodestar.plans import fusion, stats, timeline  # noqa: E402, F401  (each registers its queries)
