@@ -52,11 +52,10 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def bucket_count(docs: DataFrame, text_col: str, bytes_per_bucket: int) -> int:
-    """Buckets for which no bucket holds much more than ``bytes_per_bucket``: grows with the data, at least the
-    session's shuffle partitions."""
+def bucket_count(docs: DataFrame, text_col: str, bytes_per_bucket: int, least: int) -> int:
+    """Buckets for which no bucket holds much more than ``bytes_per_bucket``: grows with the data, at least ``least``."""
     total = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), -(-total // bytes_per_bucket))
+    return max(least, -(-total // bytes_per_bucket))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,10 @@ MATCH = 50  #: bytes of a window
 DEPTH = 16  #: bytes of a sampled suffix
 SPAN = MATCH - DEPTH + 1  #: suffixes in a window
 BLOCK_BYTES = 12 << 20
+#: Blocks of small inputs, for the sake of parallel tasks.
+LEAST_BLOCKS = 16
+#: Texts that are hashed together.
+CHUNK_BYTES = 48 << 10
 #: Anchors that more documents hold are compared window by window, dealt out by window.
 HOT_DOCUMENTS = 2000
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0x9E6C63D0876A9A47)
@@ -62,58 +66,105 @@ def rolling(data: np.ndarray, size: int, multiplier: int) -> np.ndarray:
         n *= 2
 
 
-def sliding_minimum(x: np.ndarray, size: int) -> np.ndarray:
+def sliding(pick: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """Smallest or largest of each ``size`` neighbours."""
     n = 1
     while 2 * n <= size:
-        x = np.minimum(x[:-n], x[n:])
+        x = pick(x[:-n], x[n:])
         n *= 2
     rest = size - n
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+    return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the anchor's hash and place, the run's first window and its windows."""
-    hashes = rolling(data, DEPTH, MULTIPLIERS[0])
-    least = sliding_minimum(hashes, SPAN)
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    value = least[first]
-    place = first + (hashes[first[:, None] + np.arange(SPAN)] == value[:, None]).argmax(axis=1)
-    return value, place, first, np.diff(np.r_[first, len(least)])
+def suffix_hashes(suffixes: np.ndarray) -> np.ndarray:
+    """The hashes that ``rolling`` gives to these strings of 16 bytes."""
+    data = np.frombuffer(suffixes.tobytes(), np.uint8).reshape(-1, DEPTH)
+    total = np.zeros(len(data), np.uint64)
+    for k in range(DEPTH):
+        total = total * np.uint64(MULTIPLIERS[0]) + data[:, k] + np.uint64(1)
+    return mixed(total)
 
 
 class Block:
-    """The documents of one block, in order of id and text, and their anchors."""
+    """The documents of one block, in order of id and text, as one array of bytes."""
 
     def __init__(self, table: pa.Table):
         ids = table.column("id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
         texts = [(x or "").encode() for x in table.column("text").to_pylist()]
         self.order = np.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
-        self.ids, self.texts = ids[self.order], [texts[i] for i in self.order]
-        found = [[], [], [], [], []]
-        for row, text in enumerate(self.texts):
-            if len(text) < MATCH:
+        self.ids = ids[self.order]
+        self.body = np.frombuffer(b"".join([texts[i] for i in self.order]), np.uint8)
+        self.edges = np.r_[0, np.cumsum([len(texts[i]) for i in self.order], dtype=np.int64)]
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some texts at a time: where they begin, suffix hashes, each window's smallest hash, whether it is a window.
+
+        Windows that cross from one text to the next are none; their hashes are computed all the same.
+        """
+        first = 0
+        while first < len(self.ids):
+            last = max(first + 1, int(np.searchsorted(self.edges, self.edges[first] + CHUNK_BYTES, side="right")) - 1)
+            begin, end = int(self.edges[first]), int(self.edges[last])
+            if end - begin >= MATCH:
+                hashes = rolling(self.body[begin:end], DEPTH, MULTIPLIERS[0])
+                least = sliding(np.minimum, hashes, SPAN)
+                steps = np.zeros(len(least) + 1, np.int8)
+                for edge in (self.edges[first + 1 : last] - begin).tolist():
+                    steps[min(len(least), max(0, edge - MATCH + 1))] += 1
+                    steps[min(len(least), edge)] -= 1
+                yield begin, hashes, least, np.cumsum(steps[:-1]) == 0
+            first = last
+
+    def suffix_arrays(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct suffixes at anchors by bucket and then in order: bucket, suffix, documents that hold it."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin, hashes, least, real in self.chunks():
+            # A place is an anchor if some window's smallest hash is its own.
+            most = np.full(len(hashes) + SPAN - 1, 0, np.uint64)
+            most[SPAN - 1 : SPAN - 1 + len(least)] = np.where(real, least, 0)
+            place = np.flatnonzero(sliding(np.maximum, most, SPAN)[: len(hashes)] == hashes)
+            found.append((hashes[place], begin + place))
+        value, place = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(value, kind="stable")
+        value, place = value[order], place[order]
+        # a suffix counts once for each id
+        owner = self.ids[np.searchsorted(self.edges, place, side="right") - 1]
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+        fresh = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])][: len(value)]
+        documents = np.add.reduceat(fresh, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
+        value, place = value[first], place[first]
+        bucket = (value % np.uint64(buckets)).astype(np.int64)
+        words = np.ascontiguousarray(self.body[place[:, None] + np.arange(DEPTH)]).view(">u8").astype(np.uint64)
+        order = np.lexsort((words[:, 1], words[:, 0], bucket)) if len(words) else place
+        return bucket[order], words[order].astype(">u8").view(f"S{DEPTH}").ravel(), documents[order]
+
+    def runs(self, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of windows with one of these (sorted) anchors: its hash, row, first window (in the body), windows, and a
+        fingerprint of the run's string (0 for long runs)."""
+        found: list[tuple[np.ndarray, ...]] = []
+        for begin, _, least, real in self.chunks():
+            first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (real[1:] != real[:-1])])
+            windows = np.diff(np.r_[first, len(least)])
+            at = np.minimum(np.searchsorted(repeated, least[first]), len(repeated) - 1)
+            good = real[first] & (repeated[at] == least[first])
+            if not good.any():
                 continue
-            data = np.frombuffer(text, np.uint8)
-            value, place, first, windows = anchors(data)
-            suffix = np.ascontiguousarray(data[place[:, None] + np.arange(DEPTH)]).view(f"S{DEPTH}").ravel()
-            for column, x in zip(found, (np.full(len(value), row), value, suffix, first, windows)):
-                column.append(x)
-        empty = (np.int64, np.uint64, f"S{DEPTH}", np.int64, np.int64)
-        self.row, self.value, self.suffix, self.first, self.windows = (
-            np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(found, empty)
+            first, windows = first[good], windows[good]
+            prints = rolling(self.body[begin : begin + len(least) + MATCH - 1], MATCH, MULTIPLIERS[0])
+            # the first and the last window cover the string of a run of up to 51 windows
+            whole = mixed(mixed(prints[first]) * np.uint64(3) + prints[first + windows - 1] + windows.astype(np.uint64))
+            found.append((least[first], begin + first, windows, np.where(windows <= MATCH, whole, np.uint64(0))))
+        value, first, windows, whole = (
+            (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.uint64))
         )
+        row = np.searchsorted(self.edges, first, side="right") - 1
+        # Equal edges (empty texts) and runs never meet: a run lies in a text of 50 bytes or more. A run that goes on from
+        # one text to the next is cut by the windows between, which are none.
+        return value, row, first, windows, whole
 
-    def suffix_arrays(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct suffixes by bucket and then in order: bucket, suffix, documents that hold it; and each run's place."""
-        suffix, at, inverse = np.unique(self.suffix, return_index=True, return_inverse=True)
-        # a suffix counts once for each id
-        seen = np.unique(np.stack([inverse, self.ids[self.row]]), axis=1)[0] if len(suffix) else inverse
-        documents = np.bincount(seen, minlength=len(suffix)).astype(np.uint32)
-        bucket = (self.value[at] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return bucket[order], suffix[order], documents[order], place[inverse]
+    def strings(self, first: np.ndarray, sizes: np.ndarray) -> bytes:
+        start = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        return self.body[start + np.arange(len(start))].tobytes()
 
 
 class LevelFamily:
@@ -149,7 +200,13 @@ class LevelFamily:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+    """Numbers as bytes: all first bytes, then all second bytes, and so on, which compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
 
 def cut(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -161,8 +218,8 @@ def cut(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def send_suffixes(table: pa.Table, buckets: int) -> pa.Table:
     block = table.column("block")[0].as_py()
-    bucket, suffix, documents, _ = Block(table).suffix_arrays(buckets)
-    rows = [(k, block, packed(suffix[part]), packed(documents[part])) for k, part in cut(bucket)]
+    bucket, suffix, documents = Block(table).suffix_arrays(buckets)
+    rows = [(k, block, suffix[part].tobytes(), packed(documents[part])) for k, part in cut(bucket)]
     return as_table(rows, ("bucket", "block", "suffixes", "documents"), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
 
 
@@ -172,16 +229,20 @@ def as_table(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType
 
 
 def find_repeated(table: pa.Table) -> pa.Table:
-    """For each block of a bucket: a code for each of its suffixes."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "bucket", "suffixes", "documents"))))
+    """For each block of a bucket: the hashes of its suffixes that more than one document holds, and codes for them."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "suffixes", "documents"))))
     family = LevelFamily()
-    for _, _, suffixes, documents in rows:
-        family.append(np.frombuffer(suffixes, f"S{DEPTH}"), np.frombuffer(documents, np.uint32))
+    for _, suffixes, documents in rows:
+        family.append(np.frombuffer(suffixes, f"S{DEPTH}"), unpacked(documents, "u4"))
     out = []
-    for block, bucket, suffixes, _ in rows:
-        totals = family.totals(np.frombuffer(suffixes, f"S{DEPTH}"))
-        out.append((block, bucket, packed(((totals > 1) * REPEATED + (totals > HOT_DOCUMENTS)).astype(np.uint8))))
-    return as_table(out, ("block", "bucket", "codes"), (pa.int64(), pa.int64(), pa.binary()))
+    for block, suffixes, _ in rows:
+        suffixes = np.frombuffer(suffixes, f"S{DEPTH}")
+        totals = family.totals(suffixes)
+        many = totals > 1
+        if many.any():
+            codes = np.where(totals[many] > HOT_DOCUMENTS, HOT, REPEATED).astype(np.uint8)
+            out.append((block, packed(suffix_hashes(suffixes[many])), packed(codes)))
+    return as_table(out, ("block", "hashes", "codes"), (pa.int64(), pa.binary(), pa.binary()))
 
 
 WINDOWS = "bucket long, block long, kind int, documents binary, rows binary, firsts binary, sizes binary, strings binary"
@@ -192,132 +253,139 @@ def fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rolling(data, MATCH, MULTIPLIERS[0]), rolling(data, MATCH, MULTIPLIERS[1])
 
 
-def send_windows(table: pa.Table, replies: pa.Table, buckets: int, finer: int) -> pa.Table:
+def send_windows(table: pa.Table, replies: pa.Table, finer: int) -> pa.Table:
     """Windows with repeated anchors; spans that the block can decide by itself go along (kind DECIDED)."""
     names = [part.split()[0] for part in WINDOWS.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
-    if not table.num_rows:
+    if not table.num_rows or not replies.num_rows:
         return as_table([], names, kinds)
     block, held = table.column("block")[0].as_py(), Block(table)
-    bucket, _, _, place = held.suffix_arrays(buckets)
-    codes = np.zeros(len(bucket), np.uint8)
-    for k, code in zip(replies.column("bucket").to_pylist(), replies.column("codes").to_pylist()):
-        a, b = np.searchsorted(bucket, (k, k + 1))
-        codes[a:b] = np.frombuffer(code, np.uint8)
-    code = codes[place]
+    repeated, codes = (np.concatenate([unpacked(x, k) for x in replies.column(c).to_pylist()]) for c, k in (("hashes", "u8"), ("codes", "u1")))
+    order = np.argsort(repeated)
+    repeated, codes = repeated[order], codes[order]
+    value, row, first, windows, whole = held.runs(repeated)
+    hot = codes[np.searchsorted(repeated, value)] == HOT
+    sizes = windows + MATCH - 1
     rows: list[tuple] = []
-    decided: list[tuple[int, int, int]] = []  # row, first byte, end
-
-    seen: dict[bytes, int] = {}
-    dealt: list[tuple[int, int, int, int, bytes]] = []
-    runs = np.flatnonzero(code == REPEATED)
-    to = (held.value[runs] % np.uint64(finer)).astype(np.int64)
-    for row, first, windows, k in zip(held.row[runs].tolist(), held.first[runs].tolist(), held.windows[runs].tolist(), to.tolist()):
-        string = held.texts[row][first : first + windows + MATCH - 1]
-        owner = seen.setdefault(string, row)
-        if held.ids[owner] < held.ids[row]:
-            decided.append((row, first, first + len(string)))
-        else:
-            dealt.append((k, row, first, len(string), string))
-    dealt.sort(key=lambda x: x[:3])
-    row, first, size = (np.array([x[i] for x in dealt], np.int64) for i in (1, 2, 3))
-    for k, part in cut(np.array([x[0] for x in dealt], np.int64)):
-        strings = b"".join(x[4] for x in dealt[part])
-        rows.append((k, block, RUNS, packed(held.ids[row[part]]), packed(row[part]), packed(first[part]), packed(size[part]), strings))
-
-    high, low, row, first = [], [], [], []
-    for run in np.flatnonzero(code == REPEATED + 1).tolist():
-        start, windows = int(held.first[run]), int(held.windows[run])
-        a, b = fingerprints(np.frombuffer(held.texts[held.row[run]][start : start + windows + MATCH - 1], np.uint8))
-        high.append(a)
-        low.append(b)
-        row.append(np.full(windows, held.row[run]))
-        first.append(start + np.arange(windows))
-    if high:
-        high, low, row, first = map(np.concatenate, (high, low, row, first))
+    decided: list[np.ndarray] = []  # row, first byte, end
+
+    # Of equal strings the one in the smallest document goes; larger documents lose theirs at once.
+    cold = np.flatnonzero(~hot)
+    order = cold[np.argsort(whole[cold], kind="stable")]
+    new = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (whole[order][1:] == 0)][: len(order)]
+    begin = np.flatnonzero(new)
+    owner = np.repeat(held.ids[row[order[begin]]], np.diff(np.r_[begin, len(order)]))
+    later = held.ids[row[order]] > owner
+    gone = order[later]
+    decided.append(np.stack([row[gone], first[gone], first[gone] + sizes[gone]]))
+    sent = np.sort(order[~later])
+    to = (value[sent] % np.uint64(finer)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for k, part in cut(to[order]):
+        x = sent[order[part]]
+        strings = held.strings(first[x], sizes[x])
+        rows.append((k, block, RUNS, packed(held.ids[row[x]]), packed(row[x]), packed(first[x]), packed(sizes[x]), strings))
+
+    hot = np.flatnonzero(hot)
+    if len(hot):
+        start = np.cumsum(windows[hot]) - windows[hot]
+        step = np.arange(windows[hot].sum()) - np.repeat(start, windows[hot])
+        body = np.frombuffer(held.strings(first[hot], sizes[hot]), np.uint8)
+        inside = np.repeat(np.cumsum(sizes[hot]) - sizes[hot], windows[hot]) + step
+        high, low = (x[inside] for x in fingerprints(body))
+        row, first = np.repeat(row[hot], windows[hot]), np.repeat(first[hot], windows[hot]) + step
         order = np.lexsort((first, row, low, high))
         high, low, row, first = high[order], low[order], row[order], first[order]
-        starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-        owner = np.repeat(held.ids[row[starts]], np.diff(np.r_[starts, len(high)]))
+        begin = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        owner = np.repeat(held.ids[row[begin]], np.diff(np.r_[begin, len(high)]))
         later = held.ids[row] > owner
-        decided += zip(row[later].tolist(), first[later].tolist(), (first[later] + MATCH).tolist())
+        decided.append(np.stack([row[later], first[later], first[later] + MATCH]))
         high, low, row, first = high[~later], low[~later], row[~later], first[~later]
         to = (low % np.uint64(finer)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         for k, part in cut(to[order]):
             x = order[part]
             rows.append((k, block, SINGLE, packed(held.ids[row[x]]), packed(row[x]), packed(first[x]), packed(high[x]), packed(low[x])))
-    if decided:
-        row, first, end = np.array(decided, np.int64).T
+    row, first, end = np.concatenate(decided, axis=1)
+    if len(row):
         rows.append((block % finer, block, DECIDED, b"", packed(row), packed(first), packed(end), b""))
     return as_table(rows, names, kinds)
 
 
 def find_spans(table: pa.Table) -> pa.Table:
-    """Spans of windows that a smaller document holds, by block."""
+    """Spans of windows that a smaller document holds, by block. Places count from the beginning of the block."""
     out: list[tuple] = []
-    block, document, row, first, high, low = [], [], [], [], [], []
-    columns = zip(*(table.column(c).to_pylist() for c in ("kind", "block", "documents", "rows", "firsts", "sizes", "strings")))
-    for kind, at, documents, rows, firsts, sizes, strings in columns:
+    block, document, first, high, low = [], [], [], [], []
+    names = ("block", "kind", "documents", "rows", "firsts", "sizes", "strings")
+    for at, kind, documents, rows, firsts, sizes, strings in sorted(zip(*(table.column(c).to_pylist() for c in names))):
         if kind == DECIDED:
-            out.append((at, rows, firsts, sizes))
+            out.append((at, firsts, sizes))
             continue
-        documents, rows, firsts = (np.frombuffer(x, np.int64) for x in (documents, rows, firsts))
+        documents, firsts = unpacked(documents, "i8"), unpacked(firsts, "i8")
         if kind == SINGLE:
-            a, b = np.frombuffer(sizes, np.uint64), np.frombuffer(strings, np.uint64)
+            a, b = unpacked(sizes, "u8"), unpacked(strings, "u8")
         else:
-            sizes = np.frombuffer(sizes, np.int64)
+            sizes = unpacked(sizes, "i8")
             windows = sizes - MATCH + 1
             begins = np.cumsum(sizes) - sizes
             step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
             start = np.repeat(begins, windows) + step
             a, b = (x[start] for x in fingerprints(np.frombuffer(strings, np.uint8)))
-            documents, rows, firsts = np.repeat(documents, windows), np.repeat(rows, windows), np.repeat(firsts, windows) + step
-        for column, x in zip((block, document, row, first, high, low), (np.full(len(a), at), documents, rows, firsts, a, b)):
+            documents, firsts = np.repeat(documents, windows), np.repeat(firsts, windows) + step
+        for column, x in zip((block, document, first, high, low), (np.full(len(a), at), documents, firsts, a, b)):
             column.append(x)
     if block:
-        block, document, row, first, high, low = map(np.concatenate, (block, document, row, first, high, low))
-        order = np.lexsort((low, high))
-        starts = np.flatnonzero(np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+        block, document, first, high, low = map(np.concatenate, (block, document, first, high, low))
+        order = np.argsort(high)
+        same = high[order][1:] == high[order][:-1]
+        if (same & (low[order][1:] != low[order][:-1])).any():  # two strings share one half of their fingerprints
+            order = np.lexsort((low, high))
+            same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+        starts = np.flatnonzero(np.r_[True, ~same])
         owner = np.empty_like(document)
         owner[order] = np.repeat(np.minimum.reduceat(document[order], starts), np.diff(np.r_[starts, len(order)]))
         later = np.flatnonzero(document > owner)
-        block, row, first = block[later], row[later], first[later]
-        order = np.lexsort((first, row, block))
-        block, row, first = block[order], row[order], first[order]
-        fresh = np.r_[True, (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | (first[1:] > first[:-1] + MATCH)] if len(row) else np.zeros(0, bool)
+        block, document, first = block[later], document[later], first[later]
+        # neighbouring windows of one document, as they came, make one span
+        fresh = np.r_[True, (block[1:] != block[:-1]) | (document[1:] != document[:-1]) | (first[1:] != first[:-1] + 1)][: len(block)]
         begin = np.flatnonzero(fresh)
-        end = np.maximum.reduceat(first, begin) + MATCH if len(begin) else first
-        block, row, first = block[begin], row[begin], first[begin]
-        out += [(k, packed(row[part]), packed(first[part]), packed(end[part])) for k, part in cut(block)]
-    return as_table(out, ("block", "rows", "firsts", "ends"), (pa.int64(), *[pa.binary()] * 3))
+        ends = first[np.r_[begin[1:], len(first)] - 1] + MATCH if len(begin) else first
+        block, first = block[begin], first[begin]
+        out += [(k, packed(first[part]), packed(ends[part])) for k, part in cut(block)]
+    return as_table(out, ("block", "firsts", "ends"), (pa.int64(), pa.binary(), pa.binary()))
 
 
 def remove_spans(table: pa.Table, spans: pa.Table) -> pa.Table:
     """The block's rows, with kept bytes and removed spans."""
-    ids = table.column("id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-    texts = [(x or "").encode() for x in table.column("text").to_pylist()]
-    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-    row, first, end = (
-        np.concatenate([np.frombuffer(x, np.int64) for x in spans.column(c).to_pylist()] or [np.zeros(0, np.int64)])
-        for c in ("rows", "firsts", "ends")
-    )
-    by = np.lexsort((first, row))
-    row, first, end = row[by], first[by], end[by]
-    kept: list[bytes] = list(texts)
-    removed: list[list[int]] = [[] for _ in texts]  # begins and ends in turn
-    for k, part in cut(row):
-        merged: list[int] = []
-        for a, b in zip(first[part].tolist(), end[part].tolist()):
-            if merged and a <= merged[-1]:
-                merged[-1] = max(merged[-1], b)
-            else:
-                merged += (a, b)
-        text, edges = texts[order[k]], [0, *merged, None]
-        kept[order[k]] = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-        removed[order[k]] = merged
+    held = Block(table)
+    first, end = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "i8") for x in spans.column(c).to_pylist())]) for c in ("firsts", "ends"))
+    steps = np.zeros(len(held.body) + 1, np.int32)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, end, -1)
+    gone = np.cumsum(steps[:-1]) > 0
+    # A span begins where bytes begin to go, or a text does.
+    opens = gone & np.r_[True, ~gone[:-1]][: len(gone)]
+    inner = held.edges[:-1][held.edges[:-1] < len(gone)]
+    opens[inner] |= gone[inner]
+    closes = gone & np.r_[~gone[1:], True][: len(gone)]
+    last = held.edges[1:][held.edges[1:] > 0] - 1
+    closes[last] |= gone[last]
+    begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    owner = np.searchsorted(held.edges, begins, side="right") - 1
+    base = held.edges[owner]
+    pairs = np.stack([begins - base, ends - base], axis=1)
+    cuts = np.searchsorted(owner, np.arange(len(held.ids) + 1))
+    kept: list[bytes] = [b""] * len(held.ids)
+    removed: list[np.ndarray] = [pairs[:0].ravel()] * len(held.ids)
+    for k, i in enumerate(held.order.tolist()):
+        a, b = held.edges[k], held.edges[k + 1]
+        some = cuts[k + 1] > cuts[k]
+        kept[i] = held.body[a:b][~gone[a:b]].tobytes() if some else held.body[a:b].tobytes()
+        removed[i] = pairs[cuts[k] : cuts[k + 1]].ravel()
+    sizes = np.empty(len(held.ids), np.int64)
+    sizes[held.order] = np.diff(held.edges)
     table = table.drop_columns(["block", "text"])
-    table = table.append_column("n_bytes", pa.array([len(x) for x in texts], pa.int64()))
+    table = table.append_column("n_bytes", pa.array(sizes))
     table = table.append_column("kept", pa.array(kept, pa.binary()))
     return table.append_column("removed", pa.array(removed, pa.list_(pa.int64())))
 
@@ -329,7 +397,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``removed`` (maximal removed spans: begin and end in turn). Null texts count as empty. Rows with equal ids don't
     remove from each other; null ids count as smaller than all others. An empty table gives no rows.
     """
-    blocks = bucket_count(docs, text_col, BLOCK_BYTES)
+    blocks = bucket_count(docs, text_col, BLOCK_BYTES, LEAST_BLOCKS)
     finer = 4 * blocks
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
@@ -344,12 +412,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return send_suffixes(table, blocks)
 
     def deal_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return send_windows(table, replies, blocks, finer)
+        return send_windows(table, replies, finer)
 
     suffixes = by_block.applyInArrow(deal_suffixes, "bucket long, block long, suffixes binary, documents binary")
-    replies = suffixes.groupBy("bucket").applyInArrow(find_repeated, "block long, bucket long, codes binary")
+    replies = suffixes.groupBy("bucket").applyInArrow(find_repeated, "block long, hashes binary, codes binary")
     windows = by_block.cogroup(replies.groupBy("block")).applyInArrow(deal_windows, WINDOWS)
-    spans = windows.groupBy("bucket").applyInArrow(find_spans, "block long, rows binary, firsts binary, ends binary")
+    spans = windows.groupBy("bucket").applyInArrow(find_spans, "block long, firsts binary, ends binary")
     shape = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     shape = f"id {id_type}{shape}, n_bytes long, kept binary, removed array<bigint>"
     out = by_block.cogroup(spans.groupBy("block")).applyInArrow(remove_spans, shape)
