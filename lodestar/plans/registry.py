@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lodestar.plans import fusion, similarity, stats, timeline  # noqa: E402, F401  (each registers its queries)
+from lodestar.plans import fusion, resolve, similarity, stats, timeline  # noqa: E402, F401  (each registers its queries)
