@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: neighbours below an id, and the id itself, move to the smallest of them.
         below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(below.select("a", F.col("m").alias("b")))
+        moved = F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))
+        small = large.join(below, "a").select(F.inline(moved).alias("a", "b"))
         after = staged(small.where("a <> b").distinct())
         # Done when each id has one edge, and no target has an edge of its own.
         deeper = after.select(F.col("b").alias("a")).distinct().join(after, "a", "left_semi").limit(1).count()
@@ -38,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         edge = after
         if not deeper:
             break
-    roots = edge.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return edge.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    named = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))
+    return edge.select(F.inline(named).alias("id", "component")).distinct()
 
 
 def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
@@ -72,22 +73,17 @@ def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
             if not state.limit(1).count():
                 break
             unsettled = named.join(state, "key")
-            small = unsettled.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "component")
-            large = unsettled.where(F.col("n") > SMALL_BUCKET)
-            # Hubs of a large bucket: about ``hubs`` of its members by hash, and always its smallest.
-            least = large.groupBy("key").agg(F.min("id").alias("least"))
-            large = large.join(least, "key").withColumn(
-                "is_hub", (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("n")) < hubs)
-            )
-            chosen = large.where("is_hub").select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            others = small.select("key", F.col("id").alias("a"), F.col("component").alias("ca")).union(chosen)
-            against = small.union(large.select("key", "id", "component"))
+            # Hubs: all members of a small bucket; of a large one its smallest and about ``hubs`` others by hash.
+            least = unsettled.groupBy("key").agg(F.min("id").alias("least"))
+            drawn = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("n")) < hubs)
+            unsettled = staged(unsettled.join(least, "key").withColumn("is_hub", drawn | (F.col("n") <= SMALL_BUCKET)))
+            chosen = unsettled.where("is_hub").select("key", F.col("id").alias("other"), F.col("component").alias("of_other"))
             pairs = (
-                others.join(against, "key")
-                .where("ca <> component and a <> id")
-                .select(F.greatest("a", "id").alias("b"), F.least("a", "id").alias("a"))
+                chosen.join(unsettled, "key")
+                .where("of_other <> component and other <> id")
+                .select(F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a"))
             )
-            left = large.where("not is_hub").select("key", "id")
+            left = unsettled.where("not is_hub").select("key", "id")
         links = staged(verify(pairs.distinct()).select("a", "b"))
         found = links if found is None else found.union(links)
         labels = staged(components(found))
