@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,6 +205,15 @@ def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
 
 
+def squeezed(x: bytes) -> bytes:
+    """Text compresses better this way than by the shuffle's own codec."""
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def unsqueezed(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def unpacked(data: bytes, kind: str) -> np.ndarray:
     wide = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
@@ -219,7 +229,7 @@ def cut(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
 def send_suffixes(table: pa.Table, buckets: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     bucket, suffix, documents = Block(table).suffix_arrays(buckets)
-    rows = [(k, block, suffix[part].tobytes(), packed(documents[part])) for k, part in cut(bucket)]
+    rows = [(k, block, squeezed(suffix[part].tobytes()), packed(documents[part])) for k, part in cut(bucket)]
     return as_table(rows, ("bucket", "block", "suffixes", "documents"), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
 
 
@@ -231,12 +241,12 @@ def as_table(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType
 def find_repeated(table: pa.Table) -> pa.Table:
     """For each block of a bucket: the hashes of its suffixes that more than one document holds, and codes for them."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "suffixes", "documents"))))
+    rows = [(block, np.frombuffer(unsqueezed(suffixes), f"S{DEPTH}"), documents) for block, suffixes, documents in rows]
     family = LevelFamily()
     for _, suffixes, documents in rows:
-        family.append(np.frombuffer(suffixes, f"S{DEPTH}"), unpacked(documents, "u4"))
+        family.append(suffixes, unpacked(documents, "u4"))
     out = []
     for block, suffixes, _ in rows:
-        suffixes = np.frombuffer(suffixes, f"S{DEPTH}")
         totals = family.totals(suffixes)
         many = totals > 1
         if many.any():
@@ -283,7 +293,7 @@ def send_windows(table: pa.Table, replies: pa.Table, finer: int) -> pa.Table:
     order = np.argsort(to, kind="stable")
     for k, part in cut(to[order]):
         x = sent[order[part]]
-        strings = held.strings(first[x], sizes[x])
+        strings = squeezed(held.strings(first[x], sizes[x]))
         rows.append((k, block, RUNS, packed(held.ids[row[x]]), packed(row[x]), packed(first[x]), packed(sizes[x]), strings))
 
     hot = np.flatnonzero(hot)
@@ -330,7 +340,7 @@ def find_spans(table: pa.Table) -> pa.Table:
             begins = np.cumsum(sizes) - sizes
             step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
             start = np.repeat(begins, windows) + step
-            a, b = (x[start] for x in fingerprints(np.frombuffer(strings, np.uint8)))
+            a, b = (x[start] for x in fingerprints(np.frombuffer(unsqueezed(strings), np.uint8)))
             documents, firsts = np.repeat(documents, windows), np.repeat(firsts, windows) + step
         for column, x in zip((block, document, first, high, low), (np.full(len(a), at), documents, firsts, a, b)):
             column.append(x)
