@@ -1,4 +1,4 @@
-"""Queue and merge queries: two halves of the orders are snapshots, their status is the state."""
+"""Queue and merge queries: two overlapping spans of the orders are snapshots, their status is the state."""
 
 from __future__ import annotations
 
@@ -9,14 +9,16 @@ from lodestar.operators import queue, search
 from lodestar.plans.registry import query
 from lodestar.session import table
 
-OLD_SQL = "old AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)"
-NEW_SQL = "new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice + o_orderkey % 4 END AS price FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)"
+OLD_SQL = "old AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01')"
+NEW_SQL = "new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice + o_orderkey % 4 END AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')"
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    old = orders.where((k % 2 == 0) | (k % 3 == 0)).select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"))
-    new = orders.where((k % 3 == 0) | (k % 5 == 0)).select(
+    """Orders up to 1998, and orders from 1997 on with some states and prices changed."""
+    orders, k, at = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderdate")
+    old = orders.where(at < F.lit("1999-01-01").cast("timestamp_ntz"))
+    old = old.select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"))
+    new = orders.where(at >= F.lit("1997-01-01").cast("timestamp_ntz")).select(
         k.alias("k"), F.when(k % 7 == 0, "P").otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 11 != 0, F.col("o_totalprice") + k % 4).alias("price")
     )
     return old, new
@@ -60,11 +62,11 @@ def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderkey % 7 AS attempts, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate + INTERVAL 30 DAY END AS next_at, o_orderdate AS updated FROM orders)
-SELECT k, attempts, CASE WHEN status = 'P' AND updated < TIMESTAMP '1996-06-01' - INTERVAL 2 HOUR THEN 'O' ELSE status END AS state FROM q
-WHERE status <> 'F' AND attempts < 4 AND (next_at IS NULL OR next_at <= TIMESTAMP '1996-06-01')""")
+SELECT k, attempts, CASE WHEN status = 'P' AND updated < TIMESTAMP '1999-06-01' - INTERVAL 2 HOUR THEN 'O' ELSE status END AS state FROM q
+WHERE status <> 'F' AND attempts < 4 AND (next_at IS NULL OR next_at <= TIMESTAMP '1999-06-01')""")
 def retry_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders whose next try is due; stale ones in flight are released (FLT-08, FLT-09, FLT-12, STR-06)."""
-    k, now = F.col("o_orderkey"), F.expr("TIMESTAMP_NTZ '1996-06-01 00:00:00'")
+    k, now = F.col("o_orderkey"), F.expr("TIMESTAMP_NTZ '1999-06-01 00:00:00'")
     rows = table(spark, sf_dir, "orders").select(
         k.alias("k"), F.col("o_orderstatus").alias("status"), (k % 7).alias("attempts"),
         F.when(k % 4 > 0, F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("next_at"), F.col("o_orderdate").alias("updated"),

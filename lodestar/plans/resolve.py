@@ -32,12 +32,12 @@ def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT md5(text) AS body, min(doc_id) AS owner FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 1)
-SELECT doc_id, source FROM documents JOIN k ON md5(text) = body WHERE doc_id % 3 = 0""")
+SELECT doc_id, source FROM documents JOIN k ON md5(text) = body""")
 def unique_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text no other has (JON-10, JON-27)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("body"))
     single = resolve.unique_keys(docs, "body", "doc_id").select("body")
-    return docs.where("doc_id % 3 = 0").join(single, "body").select("doc_id", "source")
+    return docs.join(single, "body").select("doc_id", "source")
 
 
 @query("""
@@ -85,22 +85,24 @@ def substring_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARGIN_SQL = f"""
 WITH b AS (SELECT item_id, {FOLD_SQL.format('text')} AS body FROM benchmark), t AS (SELECT item_id, body, unnest({WORDS_SQL.format('body')}) AS w FROM b),
-d AS (SELECT doc_id, {FOLD_SQL.format('text')} AS body FROM documents WHERE n_chars < 3000),
-e AS (SELECT doc_id, body, unnest({WORDS_SQL.format('body')}) AS w FROM d), r AS (SELECT w FROM t WHERE w <> '' GROUP BY w HAVING count(DISTINCT item_id) = 1),
-c AS (SELECT DISTINCT e.doc_id, t.item_id, e.body AS x, t.body AS y FROM e JOIN t USING (w) JOIN r USING (w)),
+d AS (SELECT doc_id, {FOLD_SQL.format('text')} AS body FROM documents),
+e AS (SELECT doc_id, unnest({WORDS_SQL.format('body')}) AS w FROM d), r AS (SELECT w FROM t WHERE w <> '' GROUP BY w HAVING count(DISTINCT item_id) = 1),
+p AS (SELECT DISTINCT e.doc_id, t.item_id FROM e JOIN t USING (w) JOIN r USING (w)),
+c AS (SELECT doc_id, item_id, d.body AS x, b.body AS y FROM p JOIN d USING (doc_id) JOIN b USING (item_id)),
 s AS (SELECT doc_id, item_id, {overlap_sql('x', 'y')} AS score FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS n, coalesce(lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, item_id), 0) AS second FROM s),"""
 
 
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items that share a word which one item alone has, with their word overlap."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize("text").alias("y"))
-    words = items.select("item_id", "y", F.explode(F.array_distinct(F.split("y", " "))).alias("w")).where("w <> ''")
-    rare = resolve.unique_keys(words, "w", "item_id").select("w")
-    docs = table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", text.normalize("text").alias("x"))
-    spread = docs.select("doc_id", "x", F.explode(F.array_distinct(F.split("x", " "))).alias("w"))
-    pairs = resolve.fuzzy_candidates(spread, words.join(rare, "w", "left_semi"), "w", "x", "y")
-    return pairs.select("doc_id", "item_id", "score").distinct()
+    words_of = lambda c: F.array_distinct(F.split(text.normalize(c), " "))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words_of("text").alias("y"))
+    words = items.select("item_id", F.explode("y").alias("w")).where("w <> ''")
+    rare = resolve.unique_keys(words, "w", "item_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("x"))
+    pairs = docs.select("doc_id", F.explode("x").alias("w")).join(rare, "w").select("doc_id", "item_id").distinct()
+    shared = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", shared.alias("score"))
 
 
 @query(MARGIN_SQL + """
@@ -115,42 +117,42 @@ def fuzzy_match_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MARGIN_SQL + """
 z AS (SELECT DISTINCT doc_id FROM k WHERE score >= 0.72)
-SELECT CASE WHEN d.doc_id IN (SELECT doc_id FROM z) THEN 'in_benchmark' WHEN d.n_chars >= 3000 THEN 'too_long' WHEN coalesce(l.quality, 1) = 0 THEN 'poor' ELSE 'chosen' END AS reason,
+SELECT CASE WHEN d.doc_id IN (SELECT doc_id FROM z) THEN 'in_benchmark' WHEN coalesce(l.quality, 1) = 0 THEN 'poor' ELSE 'chosen' END AS reason,
        count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def fuzzy_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item resembles, and why the others are left out (JON-13, DOM-15)."""
     near = benchmark_candidates(spark, sf_dir).where("score >= 0.72").select("doc_id", F.lit(True).alias("near")).distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(near, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    reason = F.when(F.col("near"), "in_benchmark").when(F.col("n_chars") >= 3000, "too_long").when(F.coalesce("quality", F.lit(1)) == 0, "poor").otherwise("chosen")
+    reason = F.when(F.col("near"), "in_benchmark").when(F.coalesce("quality", F.lit(1)) == 0, "poor").otherwise("chosen")
     return labelled.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""
 WITH k AS (SELECT l_orderkey, l_linenumber, sha256(concat_ws(chr(0), l_orderkey::VARCHAR, l_linenumber::VARCHAR)) AS event_hash, {FOLD_SQL.format('l_returnflag')} AS flag FROM lineitem),
 o AS (SELECT DISTINCT o_orderkey, lower(o_orderstatus) AS flag FROM orders WHERE o_orderstatus IN ('F', 'O'))
-SELECT event_hash, count(*) AS n FROM k WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND flag IN ('r', 'a') AND l_linenumber = 1 GROUP BY event_hash""")
+SELECT event_hash, count(*) AS n FROM k WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND flag IN ('r', 'a') GROUP BY event_hash""")
 def semi_computed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed ids of returned first lines whose order is known (JON-08, JON-09, FUN-31)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("flag", text.normalize("l_returnflag")).where("flag IN ('r', 'a')")
+    """Hashed ids of returned lines whose order is known (JON-08, JON-09, FUN-31)."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("flag", text.normalize("l_returnflag")).where("flag IN ('r', 'a')")
     orders = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_orderkey").alias("l_orderkey"))
     kept = lines.join(orders, "l_orderkey", "left_semi")
     return kept.groupBy(text.stable_id("l_orderkey", "l_linenumber").alias("event_hash")).agg(F.count("*").alias("n"))
 
 
 @query("""
-WITH a AS (SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey - 1 AS p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_partkey % 2 = 1 AND p_partkey > 1),
+WITH a AS (SELECT p_partkey, p_name, p_brand, p_retailprice FROM part), b AS (SELECT p_partkey - 1 AS p_partkey, p_name, p_brand, p_retailprice FROM part),
 r AS (SELECT a.p_partkey, 1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) AS t,
              1 - levenshtein(lower(a.p_brand), lower(b.p_brand)) / greatest(length(a.p_brand), length(b.p_brand)) AS br,
              lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand AS eq, abs(a.p_retailprice - b.p_retailprice) AS delta FROM a JOIN b USING (p_partkey))
 SELECT p_partkey, CASE WHEN eq THEN 'accept' WHEN t < 0.55 AND br < 0.9 THEN 'reject' ELSE 'keep' END AS verdict,
        round(0.5 * t + 0.3 * br + 0.2 * CASE WHEN delta <= 2 THEN 1.0 WHEN delta <= 8 THEN 0.8 WHEN delta <= 20 THEN 0.45 ELSE 0 END, 6) AS confidence FROM r""")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even parts against the odd ones after them: accept, reject or keep, with a confidence (DOM-17, DOM-19, DOM-20,
+    """Each part against the one after it: accept, reject or keep, with a confidence (DOM-17, DOM-19, DOM-20,
     FUN-10). Edit ratios stand in for the matching ratio, which SQL lacks."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
-    odd = parts.where("p_partkey % 2 = 1 AND p_partkey > 1").select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"{c}_b") for c in ("name", "brand", "price")))
-    both = parts.where("p_partkey % 2 = 0").join(odd, "p_partkey")
+    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"{c}_b") for c in ("name", "brand", "price")))
+    both = parts.join(following, "p_partkey")
     title, brand = text.edit_ratio("name", "name_b"), text.edit_ratio("brand", "brand_b")
     equal = (F.col("name") == F.col("name_b")) & (F.col("brand") == F.col("brand_b"))
     verdict = F.when(equal, "accept").when((title < 0.55) & (brand < 0.9), "reject").otherwise("keep")
@@ -185,14 +187,14 @@ def left_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS returned, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS priority
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey
-WHERE o_totalprice > 300000 ORDER BY priority, o_orderkey LIMIT 500""")
+ORDER BY priority, o_orderkey""")
 def left_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dear orders with their returned lines, by status (JON-03, JON-04, JON-07, SRT-01)."""
+    """Orders with their returned lines, by status (JON-03, JON-04, JON-07, SRT-01)."""
     returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     priority = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     joined = orders.join(returned, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).alias("returned"), priority.alias("priority"))
-    return joined.orderBy("priority", "o_orderkey").limit(500)
+    return joined.orderBy("priority", "o_orderkey")
 
 
 @query("""

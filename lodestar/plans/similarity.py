@@ -168,11 +168,11 @@ def song_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH k AS (SELECT doc_id, {FOLD_SQL.format('text')} AS body FROM documents WHERE lang = 'en')
+WITH k AS (SELECT doc_id, {FOLD_SQL.format('text')} AS body FROM documents)
 SELECT sha256(body) AS recording, count(*) AS copies, min(doc_id) AS first_id FROM k GROUP BY body HAVING count(*) > 1""")
 def recording_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents that are equal in normal form (FUN-05, FUN-31)."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Documents that are equal in normal form (FUN-05, FUN-31)."""
+    docs = table(spark, sf_dir, "documents")
     keyed = docs.groupBy(F.sha2(text.normalize("text"), 256).alias("recording"))
     return keyed.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 

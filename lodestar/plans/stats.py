@@ -65,14 +65,14 @@ def group_counts_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' +')) AS term FROM documents),
-d AS (SELECT term, count(*) AS df FROM w WHERE term <> '' GROUP BY term HAVING count(*) >= 20)
+d AS (SELECT term, count(*) AS df FROM w WHERE term <> '' GROUP BY term)
 SELECT term, df, round(1 + ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 6) AS idf FROM d""")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency of the terms that 20 documents or more hold (AGG-14)."""
+    """Document frequency and rarity of every term (AGG-14)."""
     docs = table(spark, sf_dir, "documents")
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " +"))
     # distinct within a document already: counting suffices
-    terms = docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    terms = docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     return terms.crossJoin(F.broadcast(total)).select(  # one row
         "term", "df", F.round(1 + F.log((F.col("total") + 1) / (F.col("df") + 1)), 6).alias("idf")

@@ -61,12 +61,12 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, max(CAST(event_type = 'purchase' AS INT)) AS ok, count(*) AS tries FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+WITH s AS (SELECT user_id, max(CAST(event_type = 'purchase' AS INT)) AS ok, count(*) AS tries FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN ok = 1 THEN 'done' ELSE 'retry' END AS status, tries::INT AS attempts,
        CASE WHEN ok = 0 THEN least(86400, 60 * power(2, tries - 1))::BIGINT END AS wait FROM s""")
 def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retry states after one increment of outcomes (STR-06, STR-01)."""
-    outcomes = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("user_id", (F.col("event_type") == "purchase").alias("ok"))
+    outcomes = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").alias("ok"))
     none = spark.createDataFrame([], "user_id long, status string, attempts int, next_retry_at timestamp")
     now = F.timestamp_seconds(F.lit(1_700_000_000))
     states = incremental.retry_state(none, outcomes, "user_id", now)

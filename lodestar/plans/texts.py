@@ -14,15 +14,15 @@ from lodestar.session import table
 
 @query(rf"""
 SELECT doc_id, md5({FOLD_SQL.format('text')}) AS folded, md5(replace({FOLD_SQL.format('text')}, ' ', '')) AS compact, length(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))::INT AS spaced,
-       trim(regexp_replace({FOLD_SQL.format("left(text, 60)")}, '( ({text.VERSION_WORDS}|19\d\d|20\d\d))+$', '')) AS title FROM documents""")
+       trim(regexp_replace({FOLD_SQL.format("split_part(text, chr(10), 1)")}, '( ({text.VERSION_WORDS}|19\d\d|20\d\d))+$', '')) AS title FROM documents""")
 def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms of whole texts, and of their first words as a title (FUN-01 to FUN-03)."""
+    """Normal forms of whole texts, and of their first lines as titles (FUN-01 to FUN-03)."""
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(text.normalize("text")).alias("folded"),
         F.md5(text.normalize("text", "compact")).alias("compact"),
         F.length(text.normalize("text", "spaces")).alias("spaced"),
-        text.canonical_title(F.substring("text", 1, 60)).alias("title"),
+        text.canonical_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
     )
 
 
@@ -72,12 +72,12 @@ def ascii_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, key AS attribute, value_num, CASE WHEN value_num IS NULL THEN 'text' ELSE 'num' END AS slot FROM (
-  SELECT event_id, unnest(json_keys(props)) AS key, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS value_num FROM events WHERE event_id % 2 = 0)""")
+  SELECT event_id, unnest(json_keys(props)) AS key, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS value_num FROM events)""")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload keys as attribute rows with their type's slot (PRJ-04, PRJ-05)."""
     from lodestar.sources.payloads import attribute_rows
 
-    rows = attribute_rows(table(spark, sf_dir, "events").where("event_id % 2 = 0"), "event_id", "props")
+    rows = attribute_rows(table(spark, sf_dir, "events"), "event_id", "props")
     return rows.select("event_id", "attribute", "value_num", F.when(F.col("value_num").isNull(), "text").otherwise("num").alias("slot"))
 
 

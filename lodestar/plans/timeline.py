@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import stats, timeline
+from lodestar.operators import queue, stats, timeline
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -155,11 +155,8 @@ def greedy_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, ceil(n / 100)::BIGINT AS part FROM (
-  SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders ORDER BY n LIMIT 1000)""")
+SELECT o_orderkey, ceil(n / 100)::BIGINT AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""")
 def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The thousand dearest orders in parts of 100 (SRT-11, SNK-15). The limit comes first, so the numbering window
-    sees a thousand rows."""
-    top = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
-    place = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return top.select("o_orderkey", timeline.chunks(place, 100).alias("part"))
+    """Orders in parts of 100 by key (SRT-11, SNK-15)."""
+    numbered_ = queue.dense_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "place")
+    return numbered_.select("o_orderkey", timeline.chunks(F.col("place") + 1, 100).alias("part"))

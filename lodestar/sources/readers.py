@@ -141,8 +141,8 @@ def attribute_pairs(spark: SparkSession, path: str, pattern: str, names: tuple[s
     Ties go to the smaller text; of a text and its own beginning the longer one."""
     text = spark.read.text(path, wholetext=True)
     a, b = names
-    both = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), 1).alias("x"), F.regexp_extract_all("value", F.lit(pattern), 2).alias("y"))
-    pairs = text.select(F.explode(both).alias("p")).select(F.col("p")[0].alias(a), F.col("p")[1].alias(b))
+    found = [F.regexp_extract_all("value", F.lit(pattern), k) for k in (1, 2)]
+    pairs = text.select(F.inline(F.zip_with(*found, lambda x, y: F.struct(x.alias(a), y.alias(b)))))
     counts = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
     # A terminator that sorts after every character puts a text behind the longer ones that begin with it.
     order = F.struct(-F.col("n"), F.concat(F.col(b), F.lit("\U0010ffff")))
