@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import staged, unstage
 
-#: Buckets of at most this many members are compared in full after the first round; larger ones hub by hub.
+#: Buckets of at most this many members are compared in full after the first turn.
 SMALL_BUCKET = 12
+#: In each of so many turns, large buckets draw about so many hubs.
+TURNS, HUBS = 2, 6
 #: Given pairs (``a``, ``b``, ids), returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -43,52 +45,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edge.select(F.inline(named).alias("id", "component")).distinct()
 
 
+def chance(id_col: str, turn: int) -> Column:
+    """A number in 0..1 that an id draws in each turn: the same in all buckets that hold it."""
+    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(turn)), 11) / float(1 << 53)
+
+
 def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
-    ``members`` holds ``key`` and ``id``, distinct; two ids may be linked only if they share a key. Round by round the
-    smallest member of each bucket, its hub, is compared with the others and then leaves the bucket; buckets whose
-    members are all connected are done. From the second round on, small buckets compare all members that are not yet
-    connected; large ones take twice as many hubs as in the round before. So every pair of a bucket is compared or
-    already connected, and a bucket of near copies costs a comparison a member instead of one a pair.
+    ``members`` holds ``key`` and ``id``, distinct; two ids may be linked only if they share a key. First the smallest
+    member of each bucket, its hub, is compared with the others and leaves the bucket. Then, for a few turns, some
+    members of the bucket's smallest component are compared with those outside it, and leave; small buckets compare
+    all that is not yet connected. Last, what is still outside is compared with all that it isn't connected to. So
+    every pair of a bucket is compared or already connected, and a bucket of near copies costs a few comparisons a
+    member instead of one a pair. Buckets with the same members draw the same hubs, and pairs are compared once.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    active = staged(members.join(sizes.select("key"), "key").select("key", "id"))
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    hubs = 1
+    active = members.join(sizes.select("key"), "key").select("key", "id")
+    hub = active.groupBy("key").agg(F.min("id").alias("hub"))
+    hubbed = staged(active.join(hub, "key").where("id <> hub"))
+    active = hubbed.select("key", "id")
+    found = staged(verify(hubbed.select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()).select("a", "b"))
+    turn = 0
     while True:
-        if labels is None:
-            named = active.withColumn("component", F.col("id"))
-        else:
-            named = active.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        if hubs == 1:
-            hub = named.groupBy("key").agg(F.min("id").alias("hub"))
-            pairs = named.join(hub, "key").where("id <> hub").select(F.col("id").alias("b"), F.col("hub").alias("a"))
-            left = named.join(hub, "key").where("id <> hub").select("key", "id")
-        else:
-            named = staged(named)
-            state = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
-            state = state.where("c < d").select("key", "n")
-            if not state.limit(1).count():
-                break
-            unsettled = named.join(state, "key")
-            # Hubs: all members of a small bucket; of a large one its smallest and about ``hubs`` others by hash.
-            least = unsettled.groupBy("key").agg(F.min("id").alias("least"))
-            drawn = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("n")) < hubs)
-            unsettled = staged(unsettled.join(least, "key").withColumn("is_hub", drawn | (F.col("n") <= SMALL_BUCKET)))
-            chosen = unsettled.where("is_hub").select("key", F.col("id").alias("other"), F.col("component").alias("of_other"))
-            pairs = (
-                chosen.join(unsettled, "key")
-                .where("of_other <> component and other <> id")
-                .select(F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a"))
-            )
-            left = unsettled.where("not is_hub").select("key", "id")
-        links = staged(verify(pairs.distinct()).select("a", "b"))
-        found = links if found is None else found.union(links)
         labels = staged(components(found))
-        active = staged(left)
-        hubs *= 4
-        if not active.limit(1).count():
-            break
-    return labels
+        turn += 1
+        named = active.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        named = staged(named)
+        state = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+        unsettled = staged(named.join(state.where("least < most").drop("most"), "key"))
+        if not unsettled.limit(1).count():
+            return labels
+        small, outside = F.col("n") <= SMALL_BUCKET, F.col("component") != F.col("least")
+        if turn <= TURNS:
+            drawn = ~outside & (chance("id", turn) < HUBS / F.col("n"))
+            hubs, others = unsettled.where(small | drawn), unsettled.where(small | outside)
+            active = unsettled.where(~small & ~drawn).select("key", "id")
+        else:
+            hubs, others = unsettled, unsettled.where(outside)
+            active = unsettled.limit(0).select("key", "id")
+        hubs = hubs.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"))
+        pairs = hubs.join(others.select("key", "id", "component"), "key").where("of_other <> component")
+        pairs = pairs.select(F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a")).distinct()
+        links = staged(verify(pairs).select("a", "b"))
+        found = found.union(links)

@@ -14,6 +14,7 @@ def planted():
     passage = text(60)
     near = clean[3].split()
     near[40] = "changed"
+    near[19::20] = [w + "\n" for w in near[19::20]]  # in lines of its own
     rows = list(enumerate(clean))
     rows += [(20, clean[0]), (21, " ".join(near)), (22, text(30) + "\n" + clean[1]), (23, text(20) + " " + passage), (24, text(25) + " " + passage + " end"), (25, None), (26, "12 34"), (27, "")]
     return rows, clean, passage
