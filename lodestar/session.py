@@ -18,6 +18,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "lodestar",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
     )
     for key, value in extra.items():
