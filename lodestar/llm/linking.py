@@ -15,6 +15,9 @@ SMALL_BUCKET = 12
 TURNS, HUBS = 2, 6
 #: Given pairs (``a``, ``b``, ids), returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
+#: Given ids (``id``), returns facts about each among these ids, and a condition on the facts of two ids (those of the
+#: second end in ``_of_other``) that holds for every pair that may be linked.
+Limits = Callable[[DataFrame], tuple[DataFrame, Column]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def chance(id_col: str, turn: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(turn)), 11) / float(1 << 53)
 
 
-def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Verify, limits: Limits | None = None) -> DataFrame:
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
     ``members`` holds ``key`` and ``id``, distinct; two ids may be linked only if they share a key. First the smallest
@@ -59,6 +62,7 @@ def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
     all that is not yet connected. Last, what is still outside is compared with all that it isn't connected to. So
     every pair of a bucket is compared or already connected, and a bucket of near copies costs a few comparisons a
     member instead of one a pair. Buckets with the same members draw the same hubs, and pairs are compared once.
+    ``limits`` may show, before the last comparison, that a pair can't be linked.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     active = members.join(sizes.select("key"), "key").select("key", "id")
@@ -81,11 +85,15 @@ def link_buckets(members: DataFrame, verify: Verify) -> DataFrame:
             drawn = ~outside & (chance("id", turn) < HUBS / F.col("n"))
             hubs, others = unsettled.where(small | drawn), unsettled.where(small | outside)
             active = unsettled.where(~small & ~drawn).select("key", "id")
+            possible = F.lit(True)
         else:
+            facts, possible = limits(unsettled.select("id").distinct()) if limits else (None, F.lit(True))
+            unsettled = staged(unsettled.join(facts, "id")) if facts else unsettled
             hubs, others = unsettled, unsettled.where(outside)
             active = unsettled.limit(0).select("key", "id")
-        hubs = hubs.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"))
-        pairs = hubs.join(others.select("key", "id", "component"), "key").where("of_other <> component")
+        extra = [c for c in hubs.columns if c not in ("key", "id", "component", "n", "least")]
+        hubs = hubs.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"), *(F.col(c).alias(f"{c}_of_other") for c in extra))
+        pairs = hubs.join(others.select("key", "id", "component", *extra), "key").where((F.col("of_other") != F.col("component")) & possible)
         pairs = pairs.select(F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a")).distinct()
         links = staged(verify(pairs).select("a", "b"))
         found = found.union(links)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, staged, texts_of
@@ -163,6 +163,38 @@ def confirm(texts: DataFrame, rules: NearRules):
     return verify
 
 
+def shared_shingles(texts: DataFrame, rules: NearRules):
+    """Bounds on the similarity of documents among some: only shingles that two of them hold can be shared.
+
+    With sizes n and m, and at most s shared shingles, a pair's similarity is at most s / (n + m - s). Shingles of one
+    document alone are counted by that document's id: partitions send each shingle once, with its count.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(rules.words)
+        for batch in batches:
+            for piece in pieces([batch]):
+                sets = [shingler.set_of(x) for x in texts_of(piece)]
+                values, first, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), piece.column(0).take(pa.array(owner, pa.int64()))],
+                    ["shingle", "holders", "id"],
+                )
+
+    def limits(ids: DataFrame) -> tuple[DataFrame, Column]:
+        some = texts.join(ids, "id")
+        held = some.select("id", "text").mapInArrow(run, f"shingle long, holders long, id {kind}")
+        counts = held.groupBy("shingle").agg(F.sum("holders").alias("holders"), F.min("id").alias("id"))
+        lone = counts.where("holders = 1").groupBy("id").agg(F.count("*").alias("lone"))
+        facts = some.select("id", "size").join(lone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        most = F.least("shared", "shared_of_other")
+        return facts, 100 * most >= rules.percent * (F.col("size") + F.col("size_of_other") - most)
+
+    return limits
+
+
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included) and ``kept``.
 
@@ -172,17 +204,16 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     """
     found = staged(signatures(docs, rules, id_col, text_col))
     # Equal sets: one class, named by its smallest id; copies meet as partial minima.
-    classes = (
-        found.where("n > 0 and id is not null").groupBy("set_high", "set_low").agg(F.min("id").alias("class"), F.first("bands").alias("bands"))
-    )
-    classes = staged(classes)
+    real = found.where("n > 0 and id is not null").groupBy("set_high", "set_low")
+    classes = staged(real.agg(F.min("id").alias("class"), F.min("n").alias("size"), F.first("bands").alias("bands")))
     members = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     candidates = staged(members.join(shared, "key").select("key", "id").distinct())
     ids = candidates.select("id").distinct()
+    sizes = classes.select(F.col("class").alias("id"), "size")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    texts = staged(texts.dropDuplicates(["id"]))
-    labels = link_buckets(candidates, confirm(texts, rules)).withColumnRenamed("id", "class")
+    texts = staged(texts.dropDuplicates(["id"]).join(sizes, "id"))
+    labels = link_buckets(candidates, confirm(texts, rules), shared_shingles(texts, rules)).withColumnRenamed("id", "class")
     named = classes.select("set_high", "set_low", "class").join(labels, "class", "left")
     named = named.select("set_high", "set_low", F.coalesce("component", "class").alias("component"))
     return found.join(named, ["set_high", "set_low"], "left").select(
