@@ -11,12 +11,13 @@ from lodestar.llm.common import staged, unstage
 
 #: Buckets of at most this many members are compared in full after the first turn.
 SMALL_BUCKET = 12
-#: In each of so many turns, large buckets draw about so many hubs.
-TURNS, HUBS = 2, 6
+#: Turns in which large buckets take a hub.
+TURNS = 2
 #: Given pairs (``a``, ``b``, ids), returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
 #: Given ids (``id``), returns facts about each among these ids, and a condition on the facts of two ids (those of the
-#: second end in ``_of_other``) that holds for every pair that may be linked.
+#: second end in ``_of_other``) that holds for every pair that may be linked. Ids that are left out can't be linked to any
+#: of these; ``central``, if there, says which ids are likely to be linked to many.
 Limits = Callable[[DataFrame], tuple[DataFrame, Column]]
 
 
@@ -48,21 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edge.select(F.inline(named).alias("id", "component")).distinct()
 
 
-def chance(id_col: str, turn: int) -> Column:
-    """A number in 0..1 that an id draws in each turn: the same in all buckets that hold it."""
-    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(turn)), 11) / float(1 << 53)
-
-
 def link_buckets(members: DataFrame, verify: Verify, limits: Limits | None = None) -> DataFrame:
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
     ``members`` holds ``key`` and ``id``, distinct; two ids may be linked only if they share a key. First the smallest
-    member of each bucket, its hub, is compared with the others and leaves the bucket. Then, for a few turns, some
-    members of the bucket's smallest component are compared with those outside it, and leave; small buckets compare
-    all that is not yet connected. Last, what is still outside is compared with all that it isn't connected to. So
-    every pair of a bucket is compared or already connected, and a bucket of near copies costs a few comparisons a
-    member instead of one a pair. Buckets with the same members draw the same hubs, and pairs are compared once.
-    ``limits`` may show, before the last comparison, that a pair can't be linked.
+    member of each bucket, its hub, is compared with the others and leaves the bucket. Then small buckets compare all
+    that is not yet connected, and large ones take, turn by turn, their most central member for a hub. Last, what is
+    not connected to a large bucket's smallest component is compared with all that it isn't connected to. So every pair
+    of a bucket is compared, already connected, or shown by ``limits`` not to be linked; and a bucket of near copies
+    costs a few comparisons a member instead of one a pair. Buckets with the same members have the same hubs, and pairs
+    are compared once.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     active = members.join(sizes.select("key"), "key").select("key", "id")
@@ -70,7 +66,7 @@ def link_buckets(members: DataFrame, verify: Verify, limits: Limits | None = Non
     hubbed = staged(active.join(hub, "key").where("id <> hub"))
     active = hubbed.select("key", "id")
     found = staged(verify(hubbed.select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()).select("a", "b"))
-    turn = 0
+    turn, facts, possible = 0, None, F.lit(True)
     while True:
         labels = staged(components(found))
         turn += 1
@@ -80,20 +76,25 @@ def link_buckets(members: DataFrame, verify: Verify, limits: Limits | None = Non
         unsettled = staged(named.join(state.where("least < most").drop("most"), "key"))
         if not unsettled.limit(1).count():
             return labels
-        small, outside = F.col("n") <= SMALL_BUCKET, F.col("component") != F.col("least")
+        small, large = unsettled.where(F.col("n") <= SMALL_BUCKET), unsettled.where(F.col("n") > SMALL_BUCKET)
+        if limits and facts is None:
+            facts, possible = limits(large.select("id").distinct())
+            facts = staged(facts)
+        if facts is not None:
+            large = large.join(facts, "id")  # what isn't there can't be linked in a large bucket
+        extra = [c for c in large.columns if c not in unsettled.columns]
         if turn <= TURNS:
-            drawn = ~outside & (chance("id", turn) < HUBS / F.col("n"))
-            hubs, others = unsettled.where(small | drawn), unsettled.where(small | outside)
-            active = unsettled.where(~small & ~drawn).select("key", "id")
-            possible = F.lit(True)
+            central = F.struct("central", "id") if "central" in extra else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            hub = large.groupBy("key").agg(F.max_by("id", central).alias("hub"))
+            large = staged(large.join(hub, "key"))
+            hubs, others = large.where("id = hub"), large
+            active = large.where("id <> hub").select("key", "id")
         else:
-            facts, possible = limits(unsettled.select("id").distinct()) if limits else (None, F.lit(True))
-            unsettled = staged(unsettled.join(facts, "id")) if facts else unsettled
-            hubs, others = unsettled, unsettled.where(outside)
-            active = unsettled.limit(0).select("key", "id")
-        extra = [c for c in hubs.columns if c not in ("key", "id", "component", "n", "least")]
-        hubs = hubs.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"), *(F.col(c).alias(f"{c}_of_other") for c in extra))
-        pairs = hubs.join(others.select("key", "id", "component", *extra), "key").where((F.col("of_other") != F.col("component")) & possible)
-        pairs = pairs.select(F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a")).distinct()
-        links = staged(verify(pairs).select("a", "b"))
-        found = found.union(links)
+            hubs, others = large, large.where("component <> least")
+            active = large.limit(0).select("key", "id")
+        first = lambda df, also=(): df.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"), *(F.col(c).alias(f"{c}_of_other") for c in also))
+        told_apart = F.col("of_other") != F.col("component")
+        pair = [F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a")]
+        few = first(small).join(small.select("key", "id", "component"), "key").where(told_apart & (F.col("other") < F.col("id"))).select(*pair)
+        many = first(hubs, extra).join(others.select("key", "id", "component", *extra), "key").where(told_apart & possible).select(*pair)
+        found = found.union(staged(verify(staged(few).union(staged(many)).distinct()).select("a", "b")))

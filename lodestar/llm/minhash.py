@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import pieces, staged, texts_of
 from lodestar.llm.linking import link_buckets
 
+#: Passes over the documents of the last comparison, each with a tighter bound.
+PASSES = 3
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -183,13 +185,20 @@ def shared_shingles(texts: DataFrame, rules: NearRules):
                     ["shingle", "holders", "id"],
                 )
 
-    def limits(ids: DataFrame) -> tuple[DataFrame, Column]:
-        some = texts.join(ids, "id")
+    def facts_of(some: DataFrame) -> DataFrame:
         held = some.select("id", "text").mapInArrow(run, f"shingle long, holders long, id {kind}")
         counts = held.groupBy("shingle").agg(F.sum("holders").alias("holders"), F.min("id").alias("id"))
         lone = counts.where("holders = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        facts = some.select("id", "size").join(lone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        return some.join(lone, "id", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
+
+    def limits(ids: DataFrame) -> tuple[DataFrame, Column]:
+        # A document that shares too little with all others goes, and then what only it shared with another counts no
+        # more: each pass leaves fewer.
+        some = texts.join(ids, "id")
+        for _ in range(PASSES - 1):
+            some = staged(facts_of(some).where(100 * F.col("shared") >= rules.percent * F.col("size")).drop("shared"))
         most = F.least("shared", "shared_of_other")
+        facts = facts_of(some).drop("text").withColumn("central", F.col("shared") / F.col("size"))
         return facts, 100 * most >= rules.percent * (F.col("size") + F.col("size_of_other") - most)
 
     return limits
