@@ -121,3 +121,29 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.pseudo_likelihood import score_corpus
 
     return score_corpus(documents(spark, sf_dir))
+
+
+# Bytes as hexadecimal digits, two a byte: windows of 50 bytes are 100 digits.
+ORACLE_SQL["op4_suffix_levels"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+m AS (SELECT k, min(doc_id) AS o FROM w GROUP BY k),
+r AS (SELECT w.doc_id, p, lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS q FROM w JOIN m USING (k) WHERE o < w.doc_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM r),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY ALL),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM s),
+x AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)"""
+
+# CRC-32 by its table: the remainders of all bytes, then one step a byte.
+ORACLE_SQL["op7_byte_shards"] = """
+WITH RECURSIVE b AS (SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM b WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+   list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, tab),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, least(15, ((2 * upto - size) * 16) // (2 * total))::INT AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM p"""
