@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import pieces, staged, texts_of
 from lodestar.llm.linking import link_buckets
 
-#: Punctuation parts words, digits are all alike.
-NORMAL = {ord(c): " " for c in string.punctuation} | {ord(c): "0" for c in string.digits}
+#: Bytes of normalised text: punctuation and blanks part words, digits are all alike, line feeds stay.
+NORMAL = bytes(ord("0") if chr(b) in string.digits else 32 if chr(b) in string.punctuation else b for b in range(256))
+#: The bits of a byte, each in a byte of its own.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 KEPT_WORDS = 500_000
 
 
@@ -32,23 +34,31 @@ class LineRules:
     percent: int = 80  #: least edit similarity: 100 * (1 - edits / words of the longer line)
 
 
-def normalized_lines(text: str | None) -> list[list[str]]:
+def normalized_lines(text: str | None) -> list[list[bytes]]:
     """The words of each line, in lower case."""
-    return [line.split() for line in (text or "").lower().translate(NORMAL).split("\n")]
+    return [line.split() for line in (text or "").lower().encode().translate(NORMAL).split(b"\n")]
 
 
 def simhashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 bits for each line (none empty): whether more than half of its words' hashes have the bit."""
-    starts = np.cumsum(sizes) - sizes
-    ones = np.add.reduceat(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
+    """64 bits for each line (none empty): whether more than half of its words' hashes have the bit.
+
+    A word's bits are bytes of eight numbers, so that sums of up to 255 words count all bits at once.
+    """
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    within = np.arange(parts.sum()) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * within
+    ones = np.add.reduceat(SPREAD[words.view(np.uint8).reshape(-1, 8)], starts, axis=0).view(np.uint8)
+    if len(ones) > len(sizes):
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
-def word_edits(a: list[str], b: list[str]) -> int:
+def word_edits(a: list, b: list) -> int:
     """Least insertions, deletions and replacements of words, all of a row of the table at once in one integer's bits."""
     if not a or not b:
         return len(a) + len(b)
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -68,9 +78,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``line`` (from 0), ``line_id`` (64-bit hash of the normalised line), ``simhash``: lines with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, int] = {}
+        kept: dict[bytes, int] = {}
 
-        def hashed(word: str) -> int:
+        def hashed(word: bytes) -> int:
             if len(kept) >= KEPT_WORDS:
                 kept.clear()
             value = kept[word] = xxhash.xxh3_64_intdigest(word)
@@ -83,7 +93,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if line:
                         at.append(i)
                         number.append(k)
-                        name.append(xxhash.xxh3_64_intdigest(" ".join(line)))
+                        name.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
                         sizes.append(len(line))
                         words += [kept.get(w) or hashed(w) for w in line]
             if at:
@@ -104,9 +114,9 @@ def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            lines = {" ".join(words) for text in texts_of(batch) for words in normalized_lines(text) if words}
+            lines = {b" ".join(words) for text in texts_of(batch) for words in normalized_lines(text) if words}
             names = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(list(lines), pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.decode() for x in lines], pa.string())], ["id", "text"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, text string")
 

@@ -27,7 +27,7 @@ def test_word_edits():
 
 
 def brute(texts):
-    found = [(i, k, " ".join(w)) for i, t in enumerate(texts) for k, w in enumerate(normalized_lines(t)) if w]
+    found = [(i, k, b" ".join(w).decode()) for i, t in enumerate(texts) for k, w in enumerate(normalized_lines(t)) if w]
     lines = list(dict.fromkeys(x for _, _, x in found))
     words = [x.split(" ") for x in lines]
     hashed = np.array([xxhash.xxh3_64_intdigest(w) for ws in words for w in ws], np.uint64)
@@ -77,6 +77,18 @@ def test_equals_all_pairs(make_docs):
         assert kept[i] == (left, len(gone))
 
 
+def test_simhash_counts_bits():
+    draw = np.random.default_rng(0)
+    sizes = np.array([1, 2, 254, 255, 256, 700, 3])
+    words = draw.integers(0, 1 << 63, sizes.sum(), np.uint64)
+    got = simhashes(words, sizes).view(np.uint64)
+    at = 0
+    for n, mark in zip(sizes, got):
+        bits = np.unpackbits(words[at : at + n].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        assert np.unpackbits(np.array([mark]).view(np.uint8)).tolist() == (2 * bits > n).astype(int).tolist()
+        at += n
+
+
 def test_empty_table_and_long_line(make_docs):
     assert repeated_lines(make_docs([])).count() == 0
     long = " ".join(f"w{k}" for k in range(20_000))
