@@ -170,7 +170,12 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     ids = candidates.select("id").distinct()
     texts = staged(line_texts(docs, text_col).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     marks = staged(lines.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi").select("line_id", "simhash"))
-    labels = link_buckets(candidates, confirm(texts, marks, rules)).withColumnRenamed("id", "line_id")
+
+    def limits(some: DataFrame) -> tuple[DataFrame, Column]:
+        facts = marks.withColumnRenamed("line_id", "id").join(some, "id", "left_semi")
+        return facts, F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_of_other"))) <= rules.bits
+
+    labels = link_buckets(candidates, confirm(texts, marks, rules), limits).withColumnRenamed("id", "line_id")
 
     grouped = lines.join(labels, "line_id", "left").select("line_id", "first", F.coalesce("component", "line_id").alias("component"))
     stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
