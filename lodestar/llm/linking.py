@@ -40,10 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(below, "a").select(F.inline(moved).alias("a", "b"))
         after = staged(small.where("a <> b").distinct())
         # Done when each id has one edge, and no target has an edge of its own.
-        deeper = after.select(F.col("b").alias("a")).distinct().join(after, "a", "left_semi").limit(1).count()
+        parted = after.groupBy("a").count().where("count > 1").limit(1).count()
+        open_still = parted or after.select(F.col("b").alias("a")).distinct().join(after, "a", "left_semi").limit(1).count()
         unstage(edge)
         edge = after
-        if not deeper:
+        if not open_still:
             break
     named = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))
     return edge.select(F.inline(named).alias("id", "component")).distinct()

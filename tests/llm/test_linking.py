@@ -29,6 +29,21 @@ def test_components_of_chains_stars_and_pairs(spark):
     assert {r.id: r.component for r in got} == union_find(edges) and len(got) == len({x for e in edges for x in e})
 
 
+@pytest.mark.parametrize(
+    "chain",
+    [
+        [1, 2, 3, 4, 0],  # after one round id 2 has two targets, neither with an edge of its own
+        [1, 4, 3, 2, 0],
+        [1, 4, 5, 3, 2, 0],
+        [1, 2, 3, 6, 0, 5, 4],
+        [0, 3, 6, 4, 7, 5, 1, 2],
+    ],
+)
+def test_components_of_one_chain(spark, chain):
+    got = linking.components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")).collect()
+    assert sorted((r.id, r.component) for r in got) == [(x, 0) for x in range(len(chain))]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_bucket_links_lose_nothing(spark, monkeypatch, seed):
     monkeypatch.setattr(linking, "SMALL_BUCKET", 3)
