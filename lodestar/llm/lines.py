@@ -1,8 +1,9 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence for each connected group.
+"""Fuzzy line deduplication: shared rare word pairs, edit similarity, one occurrence for each connected group.
 
-Two lines are linked if their normalised forms are equal, or if their SimHashes differ in at most ``bits`` bits and
-their words' edit similarity is high enough. A SimHash is cut into ``bits + 2`` blocks; two that differ in at most
-``bits`` bits agree in two blocks at least, so every pair of blocks makes a join key.
+Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Each edit
+touches few of a line's runs of neighbouring words (grams), so similar lines share many, and then also one of the rarest
+few of each (prefix filtering): those are the keys, and no pair of similar lines is missed. Before texts are compared,
+parities of words in 256 bits show most other pairs to be too far apart.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +21,23 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, staged, texts_of
 from lodestar.llm.linking import link_buckets
+from lodestar.llm.minhash import FACTORS, mixed
 
 #: Bytes of normalised text: punctuation and blanks part words, digits are all alike, line feeds stay.
 NORMAL = bytes(ord("0") if chr(b) in string.digits else 32 if chr(b) in string.punctuation else b for b in range(256))
 #: The bits of a byte, each in a byte of its own.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 KEPT_WORDS = 500_000
+#: Words in a gram, where enough of them must be shared; single words elsewhere.
+GRAM = 2
+#: Documents whose grams are counted, and common grams that are told to all tasks: they only order the grams.
+SAMPLE_DOCS = 10_000
+MOST_COMMON = 100_000
 
 
 @dataclass(frozen=True)
 class LineRules:
-    bits: int = 3  #: in which linked SimHashes may differ
+    bits: int = 64  #: in which linked SimHashes may differ; at 64 the edit similarity alone decides
     percent: int = 80  #: least edit similarity: 100 * (1 - edits / words of the longer line)
 
 
@@ -74,65 +81,206 @@ def word_edits(a: list, b: list) -> int:
     return edits
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``line`` (from 0), ``line_id`` (64-bit hash of the normalised line), ``simhash``: lines with words."""
+@cache
+def key_counts(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest words, and of its rarest grams, a line of ``n`` words takes for keys.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, int] = {}
+    If the longer of two lines has m words, k edits leave it m + 1 - g - k * g of its grams of g words. Of two sets that
+    share s things, the first ones but s - 1 in any common order share one.
+    """
+    least: dict[int, int] = {}
+    for m in range(n, n * 100 // percent + 1):
+        k = m * (100 - percent) // 100
+        if k:
+            g = GRAM if m + 1 - GRAM - k * GRAM >= 1 else 1
+            least[g] = min(least.get(g, m), m + 1 - g - k * g)
+    return tuple(min(n + 1 - g, n + 1 - g - least[g] + 1) if g in least else 0 for g in (1, GRAM))
+
+
+def grams_of(words: np.ndarray, sizes: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """The line and the hash of each run of ``g`` words."""
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the line's end
+    at = np.flatnonzero(left >= g)
+    out = np.full(len(at), g, np.uint64)
+    for k in range(g):
+        out = mixed(out * FACTORS[2] + words[at + k])
+    return line[at], out
+
+
+def places(*sorted_by: np.ndarray) -> np.ndarray:
+    """The place of each row in its run of rows equal in all columns."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_by])
+    first = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
+
+
+def line_keys(words: np.ndarray, sizes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The line and the value of each key. ``common``: grams in order, and how often each was counted.
+
+    A gram's occurrences in a line are numbered, so that sets of them count as the lines' bags do.
+    """
+    takes = np.array([key_counts(int(n), percent) for n in sizes]).reshape(-1, 2)
+    lines, keys = [], []
+    for g, take in zip((1, GRAM), takes.T):
+        some = np.flatnonzero(take)
+        if not len(some):
+            continue
+        line, gram = grams_of(words[np.repeat(take > 0, sizes)], sizes[some], g)
+        order = np.lexsort((gram, line))
+        line, gram = line[order], gram[order]
+        key = mixed(gram + places(line, gram).astype(np.uint64) * FACTORS[0])
+        often = np.zeros(len(gram), np.int64)
+        if len(common[0]):
+            at = np.minimum(np.searchsorted(common[0], gram), len(common[0]) - 1)
+            often = np.where(common[0][at] == gram, common[1][at], 0)
+        order = np.lexsort((key, often, line))
+        line, key = line[order], key[order]
+        kept = places(line) < take[some][line]
+        lines.append(some[line[kept]])
+        keys.append(key[kept])
+    return np.concatenate([*lines, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.uint64)])
+
+
+def parities(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """256 bits (four numbers) for each line: whether an odd number of its words have that first byte of the hash.
+
+    At most as many bits of two lines differ as words that only one of them has.
+    """
+    bit, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * 256 + (words >> np.uint64(56)).astype(np.int64), return_counts=True)
+    odd = bit[count % 2 == 1]
+    whole = np.bincount(odd >> 3, 1 << (odd & 7), 32 * len(sizes))
+    return whole.astype(np.uint8).view(np.int64).reshape(-1, 4)
+
+
+class Hasher:
+    """Hashes of words, of which many are kept."""
+
+    def __init__(self):
+        self.kept: dict[bytes, int] = {}
+
+    def _hash(self, word: bytes) -> int:
+        if len(self.kept) >= KEPT_WORDS:
+            self.kept.clear()
+        value = self.kept[word] = xxhash.xxh3_64_intdigest(word)
+        return value
 
-        def hashed(word: bytes) -> int:
-            if len(kept) >= KEPT_WORDS:
-                kept.clear()
-            value = kept[word] = xxhash.xxh3_64_intdigest(word)
-            return value
+    def of(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes, and the number of words of each line."""
+        kept = self.kept
+        return np.array([kept.get(w) or self._hash(w) for x in lines for w in x], np.uint64), np.array([len(x) for x in lines], np.int64)
 
+
+def lines_in(batch: pa.RecordBatch, least: int = 1) -> tuple[list[list[bytes]], np.ndarray]:
+    """The distinct lines of at least so many words, and their ids."""
+    found = {b" ".join(x): x for text in texts_of(batch) for x in normalized_lines(text) if len(x) >= least}
+    return list(found.values()), np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64)
+
+
+def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``line`` (from 0), ``line_id`` (64-bit hash of the normalised line): lines with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            at, number, name, sizes, words = [], [], [], [], []
+            at, number, name = [], [], []
             for i, text in enumerate(texts_of(batch)):
                 for k, line in enumerate(normalized_lines(text)):
                     if line:
                         at.append(i)
                         number.append(k)
                         name.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
-                        sizes.append(len(line))
-                        words += [kept.get(w) or hashed(w) for w in line]
             if at:
-                marks = simhashes(np.array(words, np.uint64), np.array(sizes, np.int64))
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number, pa.int32()), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(marks)],
-                    ["id", "line", "line_id", "simhash"],
+                    [ids, pa.array(number, pa.int32()), pa.array(np.array(name, np.uint64).view(np.int64))],
+                    ["id", "line", "line_id"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, line int, line_id long, simhash long")
+    return rows.mapInArrow(run, f"id {kind}, line int, line_id long")
+
+
+def shortest(rules: LineRules) -> int:
+    """Words of the shortest line that may be linked to another one."""
+    return next(n for n in range(1, 102) if any(key_counts(n, rules.percent)) or n == 101)
 
 
-def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``id`` (line_id) and ``text`` (normalised line), distinct within each piece of a partition."""
+def common_grams(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most common grams of some documents, and their counts. What is left out only makes buckets larger."""
+    least = shortest(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in pieces(batches):
-            lines = {b" ".join(words) for text in texts_of(batch) for words in normalized_lines(text) if words}
-            names = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.decode() for x in lines], pa.string())], ["id", "text"])
+            words, sizes = hasher.of(lines_in(batch, least)[0])
+            grams = np.concatenate([grams_of(words, sizes, g)[1] for g in (1, GRAM)])
+            values, counts = np.unique(grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, text string")
+    parts = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.where(F.xxhash64(F.col(id_col).cast("string")) % parts == 0).select(F.col(text_col).alias("text"))
+    counts = some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()
+    grams = np.array([r["gram"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.array([r["n"] for r in got], np.int64)[order]
 
 
-def block_keys(simhash: str, bits: int) -> Column:
-    """One key for each pair of the SimHash's blocks: the pair's number and both blocks, hashed together."""
-    edges = [64 * k // (bits + 2) for k in range(bits + 3)]
-    block = [
-        F.shiftrightunsigned(F.col(simhash), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:])
-    ]
-    keys = [F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(bits + 2), 2))]
-    return F.array(*keys)
+def bucket_members(docs: DataFrame, rules: LineRules, common: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
+    """``id`` (line_id) and ``key``, distinct within each piece of a partition."""
+    least = shortest(rules)
+    told = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON pairs of numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in pieces(batches):
+            lines, names = lines_in(batch, least)
+            at, keys = line_keys(*hasher.of(lines), rules.percent, told.value)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(keys.view(np.int64))], ["id", "key"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, key long")
+
+
+def line_texts(docs: DataFrame, text_col: str, rules: LineRules = LineRules()) -> DataFrame:
+    """``id`` (line_id), ``text`` (normalised line), and ``FACTS`` of lines that may be linked, distinct within each piece."""
+    least = shortest(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in pieces(batches):
+            lines, names = lines_in(batch, least)
+            if lines:
+                words, sizes = hasher.of(lines)
+                marks = simhashes(words, sizes) if rules.bits < 64 else np.zeros(len(lines), np.int64)
+                facts = [pa.array(sizes), *map(pa.array, np.ascontiguousarray(parities(words, sizes).T)), pa.array(marks)]
+                texts = pa.array([b" ".join(x).decode() for x in lines], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(names), texts, *facts], ["id", "text", *FACTS])
+
+    shape = ", ".join(f"{c} long" for c in FACTS)
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"id long, text string, {shape}")
+
+
+#: Facts about a line from which pairs are shown not to be similar: number of words, parities, SimHash (if it counts).
+FACTS = ("words", "odd0", "odd1", "odd2", "odd3", "simhash")
+
+
+def maybe_similar(rules: LineRules, one: str, other: str) -> Column:
+    """Holds for every pair that may be linked; the names of the two lines' facts end in ``one`` and ``other``.
+
+    k edits change a line's length by d and leave at most 2 * k - d words that only one of the two lines has.
+    """
+    of = lambda c: (F.col(c + one), F.col(c + other))
+    differ = lambda c: F.bit_count(of(c)[0].bitwiseXOR(of(c)[1]))
+    longer = F.abs(of("words")[0] - of("words")[1])
+    edits = F.greatest(*of("words")) * (100 - rules.percent)  # 100 times
+    odd = sum((differ(c) for c in FACTS[1:5]), F.lit(0))
+    return (100 * longer <= edits) & (100 * (odd + longer) <= 2 * edits) & (differ("simhash") <= rules.bits)
 
 
 def confirm(texts: DataFrame, marks: DataFrame, rules: LineRules):
-    """Keeps pairs with near SimHashes (first) and edit similarity."""
+    """Keeps the pairs whose edit similarity is high enough; facts about the lines come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +292,10 @@ def confirm(texts: DataFrame, marks: DataFrame, rules: LineRules):
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(marks.select(F.col("line_id").alias("a"), F.col("simhash").alias("p")), "a")
-        near = near.join(marks.select(F.col("line_id").alias("b"), F.col("simhash").alias("q")), "b")
-        near = near.where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= rules.bits).select("a", "b")
+        near = pairs
+        for side in "ab":
+            near = near.join(marks.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in FACTS)), side)
+        near = near.where(maybe_similar(rules, "_a", "_b")).select("a", "b")
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return near.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -162,18 +311,17 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     without repeated lines, gives no rows. Lines are told apart by 64-bit hashes.
     """
     rows = staged(line_rows(docs, id_col, text_col))
-    lines = rows.groupBy("line_id").agg(F.min(F.struct("id", "line")).alias("first"), F.min("simhash").alias("simhash"))
-    lines = staged(lines)
-    members = lines.select(F.col("line_id").alias("id"), F.explode(block_keys("simhash", rules.bits)).alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    candidates = staged(members.join(shared, "key").select("key", "id"))
+    lines = staged(rows.groupBy("line_id").agg(F.min(F.struct("id", "line")).alias("first")))
+    members = bucket_members(docs, rules, common_grams(docs, rules, id_col, text_col), text_col)
+    shared = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
+    candidates = staged(members.join(shared, "key").select("key", "id").distinct())
     ids = candidates.select("id").distinct()
-    texts = staged(line_texts(docs, text_col).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    marks = staged(lines.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi").select("line_id", "simhash"))
+    texts = line_texts(docs, text_col, rules).join(ids, "id", "left_semi").groupBy("id")
+    texts = staged(texts.agg(*(F.min(c).alias(c) for c in ("text", *FACTS))))
+    marks = texts.select("id", *FACTS)
 
     def limits(some: DataFrame) -> tuple[DataFrame, Column]:
-        facts = marks.withColumnRenamed("line_id", "id").join(some, "id", "left_semi")
-        return facts, F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_of_other"))) <= rules.bits
+        return marks.join(some, "id", "left_semi"), maybe_similar(rules, "", "_of_other")
 
     labels = link_buckets(candidates, confirm(texts, marks, rules), limits).withColumnRenamed("id", "line_id")
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from lodestar.llm.lines import LineRules, normalized_lines, repeated_lines, simhashes, without_lines, word_edits
+from lodestar.llm.lines import LineRules, grams_of, line_keys, normalized_lines, parities, repeated_lines, simhashes, without_lines, word_edits
 
 RULES = LineRules()
 
@@ -93,3 +93,39 @@ def test_empty_table_and_long_line(make_docs):
     assert repeated_lines(make_docs([])).count() == 0
     long = " ".join(f"w{k}" for k in range(20_000))
     assert {r.doc_id: r.removed for r in repeated_lines(make_docs([long, long + " end", "x"])).collect()} == {1: [0]}
+
+
+def test_no_similar_pair_is_without_a_key():
+    """Recall of the keys, and of what is told from facts, against edit similarity alone."""
+    draw = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    hashed = {w: xxhash.xxh3_64_intdigest(w.encode()) for w in vocabulary}
+    some = np.array([hashed[draw.choice(vocabulary)] for _ in range(900)], np.uint64)
+    common = np.unique(grams_of(some, np.array([900]), 2)[1])
+    common = common, np.arange(len(common)) % 7
+    linked = 0
+    for n in (4, 5, 6, 9, 10, 14, 15, 20, 50, 100):
+        for _ in range(150):
+            a = [draw.choice(vocabulary[: draw.choice((3, 60))]) for _ in range(n)]
+            b = list(a)
+            for _ in range(n // 5 + 1):
+                at, how = draw.randrange(len(b)), draw.random()
+                b[at : at + 1] = [b[at], draw.choice(vocabulary)] if how < 0.2 else [] if how > 0.8 else [draw.choice(vocabulary)]
+            if a == b or 100 * edits(a, b) > 20 * max(len(a), len(b)):
+                continue
+            linked += 1
+            words, sizes = np.array([hashed[w] for w in a + b], np.uint64), np.array([len(a), len(b)])
+            line, key = line_keys(words, sizes, 80, common)
+            assert set(key[line == 0]) & set(key[line == 1]), (a, b)
+            odd = sum(int(x).bit_count() for x in (parities(words, sizes)[0] ^ parities(words, sizes)[1]).view(np.uint64))
+            most = max(len(a), len(b)) // 5
+            assert odd <= 2 * most - abs(len(a) - len(b))
+    assert linked > 300
+
+
+def test_one_word_in_ten_replaced(make_docs):
+    draw = random.Random(4)
+    lines = [["".join(draw.choices("abcdefgh", k=6)) for _ in range(n)] for n in (5, 10, 20, 30) for _ in range(10)]
+    changed = [["other", *x[1:]] for x in lines]
+    docs = make_docs(["\n".join(map(" ".join, x)) for x in (lines, changed)])
+    assert [(r.doc_id, r.removed) for r in repeated_lines(docs).collect()] == [(1, list(range(40)))]
