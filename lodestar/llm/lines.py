@@ -23,8 +23,8 @@ from lodestar.llm.common import pieces, staged, texts_of
 from lodestar.llm.linking import link_buckets
 from lodestar.llm.minhash import FACTORS, mixed
 
-#: Bytes of normalised text: punctuation and blanks part words, digits are all alike, line feeds stay.
-NORMAL = bytes(ord("0") if chr(b) in string.digits else 32 if chr(b) in string.punctuation else b for b in range(256))
+#: Bytes of normalised text: punctuation and blanks part words, line feeds stay.
+NORMAL = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 #: The bits of a byte, each in a byte of its own.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 KEPT_WORDS = 500_000

@@ -129,3 +129,8 @@ def test_one_word_in_ten_replaced(make_docs):
     changed = [["other", *x[1:]] for x in lines]
     docs = make_docs(["\n".join(map(" ".join, x)) for x in (lines, changed)])
     assert [(r.doc_id, r.removed) for r in repeated_lines(docs).collect()] == [(1, list(range(40)))]
+
+
+def test_lines_that_differ_in_digits_stay(make_docs):
+    docs = make_docs(["Q1 2019: 431 units\nQ3 2021: 977 units", "Q1 2020: 12 units\nq1 2019, 431 units"])
+    assert [(r.doc_id, r.removed) for r in repeated_lines(docs).collect()] == [(1, [1])]
