@@ -20,11 +20,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.4
 #: A word character in the sense of the operators: anything but the six blanks.
 WORD = r"[^\x20\x09-\x0D]"
+#: As ``langid.LETTER``.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trains on the labelled documents; those without a letter or with an uncertain language go."""
-    named = langid.identify(docs, langid.train_on(docs), carry=("text", *(c for c in docs.columns if c != "text")))
+    """Trains on the labelled documents; those without a letter or with an uncertain language go.
+
+    Where no document is labelled no language is uncertain, and all with a letter stay.
+    """
+    net = langid.train_on(docs)
+    if not net.languages:
+        return docs.where(F.col("text").rlike(LETTER))
+    named = langid.identify(docs, net, carry=("text", *(c for c in docs.columns if c != "text")))
     return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

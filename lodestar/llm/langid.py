@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, texts_of
@@ -36,8 +36,8 @@ class NetShape:
 #: Bound of the training sample: texts of each language, and windows of each text.
 SAMPLE_TEXTS = 500
 SAMPLE_WINDOWS = 4
-#: Languages that are learned at most (the most frequent ones; ties by name).
-MOST_LANGUAGES = 200
+#: Languages up to which each has that many texts and ``steps`` suffice; more share the texts and get more steps.
+FEW_LANGUAGES = 200
 
 
 def windows_of(text: bytes, size: int) -> np.ndarray:
@@ -112,10 +112,11 @@ class ByteNet:
         by_language = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for t in range(1, self.shape.steps + 1):
+        steps = max(self.shape.steps, -(-self.shape.steps * len(self.languages) // FEW_LANGUAGES))
+        for t in range(1, steps + 1):
             pick = draw.integers(0, len(by_language), self.shape.batch)
             rows = np.array([draw.choice(by_language[k]) for k in pick])
-            rate = self.shape.rate * (1 - t / (self.shape.steps + 1))
+            rate = self.shape.rate * (1 - t / (steps + 1))
             for k, g in self._gradients(windows[rows], labels[rows]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -145,18 +146,17 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     """
     spark = labelled.sparkSession
     narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    counts = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(r["lang"] for r in narrow.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((0, shape.window), np.uint8), np.zeros(0, int)
-    chosen = []
-    for lang in languages:
-        top = narrow.where(F.col("lang") == lang).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE_TEXTS)
-        chosen += top.collect()  # SAMPLE_TEXTS narrow rows at most
+    texts = min(SAMPLE_TEXTS, max(1, SAMPLE_TEXTS * FEW_LANGUAGES // len(languages)))
+    # Tasks send the first few of each language only (window group limit).
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
+    chosen = narrow.withColumn("place", F.row_number().over(first)).where(F.col("place") <= texts).collect()
     kind = labelled.schema[id_col].dataType.simpleString()
     wanted = spark.createDataFrame([(r["id"], r["lang"]) for r in chosen], f"id {kind}, lang string").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted), ["id", "lang"])  # SAMPLE_TEXTS x languages rows
+    texts = texts.join(F.broadcast(wanted), ["id", "lang"])  # SAMPLE_TEXTS x FEW_LANGUAGES rows, or one a language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

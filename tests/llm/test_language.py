@@ -65,3 +65,9 @@ def test_odd_texts_and_tables(make_docs, odd_texts):
     assert identify(empty, train_on(empty)).count() == 0
     unlabelled = make_docs(["text", "more"], langs=[None, None])
     assert {r.lang_pred for r in identify(unlabelled, train_on(unlabelled)).collect()} == {"und"}
+
+
+def test_every_language_is_learned(make_docs):
+    rows = [(k, f"text of {k}") for k in range(1600)]
+    docs = make_docs(rows, langs=[f"l{k % 220:03}" for k in range(1600)])
+    assert len(train_on(docs, shape=NetShape(steps=1)).languages) == 220

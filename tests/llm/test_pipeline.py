@@ -44,5 +44,10 @@ def test_run_equals_the_stages(spark, make_docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
 
 
+def test_texts_without_any_label_stay(spark, make_docs):
+    docs = make_docs(["some text", "12 34", None, "漢字"], langs=[None] * 4)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {0, 3}
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
