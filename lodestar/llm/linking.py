@@ -1,24 +1,101 @@
-"""Connected components, and links inside buckets of candidates without emitting all pairs of a bucket."""
+"""Connected components, and links inside buckets of candidates without emitting all pairs of a bucket.
+
+Things are sets (shingles of a document, words of a line with their occurrence numbers), and a relation says how many
+elements two sets of given sizes must share before they may be linked. Each bucket has a hub that all its members are
+compared with. What is not near the hub is then found by what it does not share with the hub:
+
+* If x and y share only elements of the hub h, x is not near h, and y is at least as large as h, then x and y share less
+  than they must: x would be near h. So they share an element that h lacks. If they must share s, and x shares r with h,
+  they share at least s - r that h lacks; so all but the last s - r - 1 of those of x, rarest first, are looked up.
+* If y is smaller than h, and x and y still share only elements of h, then h has elements that both lack, and all but a
+  few of those that y lacks.
+
+So pairs come from an inverted index of the differences to the hub, which near copies that differ at random hardly share.
+No pair of a bucket that may be linked is left out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import staged, unstage
 
-#: Buckets of at most this many members are compared in full after the first turn.
+#: In buckets of at most this many members the smallest is the hub, so that no member is smaller; in larger ones the
+#: member that shares most buckets with others.
 SMALL_BUCKET = 12
-#: Turns in which large buckets take a hub.
-TURNS = 2
-#: Given pairs (``a``, ``b``, ids), returns those that are linked.
-Verify = Callable[[DataFrame], DataFrame]
-#: Given ids (``id``), returns facts about each among these ids, and a condition on the facts of two ids (those of the
-#: second end in ``_of_other``) that holds for every pair that may be linked. Ids that are left out can't be linked to any
-#: of these; ``central``, if there, says which ids are likely to be linked to many.
-Limits = Callable[[DataFrame], tuple[DataFrame, Column]]
+
+
+class Relation(Protocol):
+    def need(self, n, m):
+        """Least number of shared elements of sets with ``n`` and ``m`` elements; grows with both."""
+
+    def gap(self, hub, n):
+        """Most that ``need(x, hub) - need(x, n)`` can be for any x, where ``n < hub``; at most ``hub - n``."""
+
+    def need_of(self, n: Column, m: Column) -> Column:
+        """The same of columns."""
+
+    def possible(self, n: Column, m: Column) -> Column:
+        """Whether sets of these sizes may be linked at all."""
+
+
+#: Given pairs (``a``, ``b``) and whether their differences are asked for, returns for each ``a``, ``b``, ``linked`` and,
+#: if asked for, the columns of ``DIFFERENCES``.
+Compare = Callable[[DataFrame, bool], DataFrame]
+DIFFERENCES = "near boolean, hub_size int, size int, shared int, extras int, extra array<bigint>, lacks array<bigint>, told array<bigint>"
+
+
+def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a ragged array in another order: values, and the row that each belongs to."""
+    sizes = (offsets[1:] - offsets[:-1])[rows]
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    return values[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[:-1][rows], sizes)], owner
+
+
+def differences(
+    values: np.ndarray, offsets: np.ndarray, hub: np.ndarray, own: np.ndarray, relation: Relation, accept: Callable[[np.ndarray], np.ndarray], whole: bool
+) -> tuple[np.ndarray, list[pa.Array]]:
+    """Compares sets (rows of a ragged array of distinct 64-bit elements) pair by pair.
+
+    ``accept`` says which of some near pairs are linked. Returns the links, and the arrays of ``DIFFERENCES`` if ``whole``.
+    """
+    sizes = offsets[1:] - offsets[:-1]
+    n, m = sizes[hub], sizes[own]
+    (a, row_a), (b, row_b) = ragged(values, offsets, hub), ragged(values, offsets, own)
+    # The pair's number goes into the element, so that one sort finds what all pairs share.
+    salt = lambda x, row: (x ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    both, first = np.concatenate([salt(a, row_a), salt(b, row_b)]), len(a)
+    order = np.argsort(both, kind="stable")
+    twice = np.zeros(len(both), bool)
+    same = both[order][1:] == both[order][:-1]
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    in_b, in_a = twice[:first], twice[first:]
+    shared = np.bincount(row_b[in_a], minlength=len(own))
+    near = (shared >= relation.need(n, m)) & (shared > 0)
+    linked = np.zeros(len(own), bool)
+    at = np.flatnonzero(near)
+    linked[at] = accept(at)
+    if not whole:
+        return linked, []
+    fewer = m < n
+    lists = []
+    # elements of its own; what the hub has and it lacks, if it isn't linked; enough of that, if it is smaller
+    told = np.where(fewer, relation.gap(n, m), 0)
+    lacked, row_l = a[~in_b], row_a[~in_b]
+    order = np.lexsort((lacked, row_l))
+    lacked, row_l = lacked[order], row_l[order]
+    place = np.arange(len(row_l)) - np.searchsorted(row_l, row_l)
+    for x, row in ((b[~in_a], row_b[~in_a]), (lacked[~linked[row_l]], row_l[~linked[row_l]]), (lacked[place < told[row_l]], row_l[place < told[row_l]])):
+        edges = np.r_[0, np.cumsum(np.bincount(row, minlength=len(own)))]
+        lists.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.view(np.int64))))
+    numbers = [pa.array(c.astype(np.int32)) for c in (n, m, shared, m - shared)]
+    return linked, [pa.array(near), *numbers, *lists]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,55 +124,68 @@ def components(edges: DataFrame) -> DataFrame:
         if not open_still:
             break
     named = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))
-    return edge.select(F.inline(named).alias("id", "component")).distinct()
+    found = staged(edge.select(F.inline(named).alias("id", "component")).distinct())
+    unstage(edge)
+    return found
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """``a`` (the hub of a bucket) and ``b`` (another member), each pair once."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
+    sized = members.join(sizes.where("members > 1"), "key")
+    central = sized.groupBy("id").agg(F.sum("members").alias("central"))
+    ranked = sized.join(central, "id")
+    large = F.when(F.col("members") > SMALL_BUCKET, F.col("central"))
+    hub = ranked.groupBy("key").agg(F.max_by("id", F.struct(large, -F.col("n"), "id")).alias("hub"))
+    return sized.join(hub, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Verify, limits: Limits | None = None) -> DataFrame:
+def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
+    """Pairs of members of one hub, not yet connected, that may be linked by their differences to the hub."""
+    named = compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
+    named = named.withColumn("component", F.coalesce("component", "b"))
+    state = named.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(~F.col("linked")).alias("parted"), F.min("size").alias("smallest"))
+    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest"), "a"))
+    facts = ["component", "size", "shared", "extras"]
+
+    def joined(some: DataFrame, others: DataFrame, on: list[str], also: Column = F.lit(True)) -> DataFrame:
+        others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in facts))
+        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c")) & also
+        return some.select(*on, "b", *facts).join(others, on).where(may).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
+
+    # Elements that the hub lacks: those of one member alone go; of the others each unlinked member keeps its rarest.
+    fewest = relation.need_of(F.col("size"), F.least("smallest", "hub_size")) - F.col("shared")
+    take = F.col("extras") + 1 - F.when(F.col("near"), 1).otherwise(F.greatest(F.lit(1), fewest))
+    own = rest.select("a", "b", *facts, "linked", take.cast("int").alias("take"), F.explode("extra").alias("e"))
+    known = own.groupBy("a", "e").agg(F.count("*").alias("holders"), F.max(~F.col("linked")).alias("parted"))
+    kept = own.join(known.where("holders > 1 and parted").select("a", "e", "holders"), ["a", "e"])
+    apart = kept.where("not linked").groupBy("a", "b", *facts, "take").agg(F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("some"))
+    most = F.greatest(F.lit(0), F.col("take") - (F.col("extras") - F.size("some")))
+    apart = staged(apart.select("a", "b", *facts, F.explode(F.slice("some", F.lit(1), most)).alias("some")).select("a", "b", *facts, F.col("some.e").alias("e")))
+    others = kept.where("linked").select("a", "b", *facts, "e").union(apart.select("a", "b", *facts, "e"))
+    enough = relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c") <= F.least("extras", "extras_c")
+    by_extra = joined(apart, others, ["a", "e"], enough)
+    # Elements that both lack, where one is smaller than the hub.
+    told = rest.where(F.size("told") > 0).select("a", "b", *facts, F.explode("told").alias("e"))
+    lacks = rest.where("not linked").select("a", "b", *facts, F.explode("lacks").alias("e")).join(told.select("a").distinct(), "a", "left_semi")
+    by_lack = joined(lacks, told, ["a", "e"])
+    # Near the hub but not linked: nothing is known of these but their sizes.
+    by_hub = joined(rest.where("near and not linked"), rest, ["a"], F.col("b") != F.col("c"))
+    return by_extra.union(by_lack).union(by_hub).distinct()
+
+
+def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> DataFrame:
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
-    ``members`` holds ``key`` and ``id``, distinct; two ids may be linked only if they share a key. First the smallest
-    member of each bucket, its hub, is compared with the others and leaves the bucket. Then small buckets compare all
-    that is not yet connected, and large ones take, turn by turn, their most central member for a hub. Last, what is
-    not connected to a large bucket's smallest component is compared with all that it isn't connected to. So every pair
-    of a bucket is compared, already connected, or shown by ``limits`` not to be linked; and a bucket of near copies
-    costs a few comparisons a member instead of one a pair. Buckets with the same members have the same hubs, and pairs
-    are compared once.
+    ``members`` holds ``key``, ``id`` and ``n`` (elements of the id's set), distinct; two ids may be linked only if they
+    share a key. Two turns: each bucket's members are compared with its hub, then pairs from the differences to a hub.
+    Keys, hubs and elements that very many hold are only ever keys of joins and of partial aggregates.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    active = members.join(sizes.select("key"), "key").select("key", "id")
-    hub = active.groupBy("key").agg(F.min("id").alias("hub"))
-    hubbed = staged(active.join(hub, "key").where("id <> hub"))
-    active = hubbed.select("key", "id")
-    found = staged(verify(hubbed.select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()).select("a", "b"))
-    turn, facts, possible = 0, None, F.lit(True)
-    while True:
-        labels = staged(components(found))
-        turn += 1
-        named = active.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        named = staged(named)
-        state = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-        unsettled = staged(named.join(state.where("least < most").drop("most"), "key"))
-        if not unsettled.limit(1).count():
-            return labels
-        small, large = unsettled.where(F.col("n") <= SMALL_BUCKET), unsettled.where(F.col("n") > SMALL_BUCKET)
-        if limits and facts is None:
-            facts, possible = limits(large.select("id").distinct())
-            facts = staged(facts)
-        if facts is not None:
-            large = large.join(facts, "id")  # what isn't there can't be linked in a large bucket
-        extra = [c for c in large.columns if c not in unsettled.columns]
-        if turn <= TURNS:
-            central = F.struct("central", "id") if "central" in extra else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-            hub = large.groupBy("key").agg(F.max_by("id", central).alias("hub"))
-            large = staged(large.join(hub, "key"))
-            hubs, others = large.where("id = hub"), large
-            active = large.where("id <> hub").select("key", "id")
-        else:
-            hubs, others = large, large.where("component <> least")
-            active = large.limit(0).select("key", "id")
-        first = lambda df, also=(): df.select("key", F.col("id").alias("other"), F.col("component").alias("of_other"), *(F.col(c).alias(f"{c}_of_other") for c in also))
-        told_apart = F.col("of_other") != F.col("component")
-        pair = [F.greatest("other", "id").alias("b"), F.least("other", "id").alias("a")]
-        few = first(small).join(small.select("key", "id", "component"), "key").where(told_apart & (F.col("other") < F.col("id"))).select(*pair)
-        many = first(hubs, extra).join(others.select("key", "id", "component", *extra), "key").where(told_apart & possible).select(*pair)
-        found = found.union(staged(verify(staged(few).union(staged(many)).distinct()).select("a", "b")))
+    compared = staged(compare(hub_pairs(members), True))
+    links = compared.where("linked").select("a", "b")
+    labels = components(links)
+    more = staged(compare(rest_pairs(compared, labels, relation), False).where("linked").select("a", "b"))
+    found = components(links.union(more)) if more.limit(1).count() else labels
+    for table in (compared, more, *((labels,) if found is not labels else ())):
+        unstage(table)
+    return found

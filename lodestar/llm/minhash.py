@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, staged, texts_of
-from lodestar.llm.linking import link_buckets
+from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 
-#: Passes over the documents of the last comparison, each with a tighter bound.
-PASSES = 3
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
+NAMES = [part.split()[0] for part in DIFFERENCES.split(", ")]
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -39,6 +38,18 @@ class NearRules:
     def bands(self) -> int:
         return 2 * self.permutations // self.rows
 
+    def need(self, n, m):
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def gap(self, hub, n):
+        return -(-self.percent * (hub - n) // (100 + self.percent))
+
+    def need_of(self, n: Column, m: Column) -> Column:
+        return F.ceil(self.percent * (n + m) / (100 + self.percent)).cast("int")
+
+    def possible(self, n: Column, m: Column) -> Column:
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
 
 #: Chance to miss a link that is just similar enough: 7 in a million at 80 %, 1 in a million at 85 %.
 PIPELINE_RULES = NearRules(words=5, percent=80, permutations=75)
@@ -77,157 +88,104 @@ class Shingler:
         return np.unique(out)
 
 
-def permutation_factors(rules: NearRules) -> tuple[np.ndarray, np.ndarray]:
+def permutation_factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20)
-    factors = draw.integers(0, 1 << 63, rules.permutations, np.uint64) * np.uint64(2) + np.uint64(1)
-    return factors, draw.integers(0, 1 << 63, rules.permutations, np.uint64)
+    factors = draw.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, draw.integers(0, 1 << 63, permutations, np.uint64)
 
 
-def band_keys(sets: list[np.ndarray], rules: NearRules) -> np.ndarray:
-    """One row of band keys for each set (none of them empty)."""
-    values = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    factors, shifts = permutation_factors(rules)
-    signature = np.empty((2, rules.permutations, len(sets)), np.uint64)
-    for k in range(rules.permutations):
+def band_keys(values: np.ndarray, starts: np.ndarray, permutations: int, rows: int) -> np.ndarray:
+    """One row of band keys for each set: ``values`` holds the sets' elements, set after set, none of them empty."""
+    factors, shifts = permutation_factors(permutations)
+    signature = np.empty((2, permutations, len(starts)), np.uint64)
+    for k in range(permutations):
         hashed = (values ^ shifts[k]) * factors[k]
         hashed ^= hashed >> np.uint64(31)
         signature[0, k] = np.minimum.reduceat(hashed, starts)
         signature[1, k] = np.maximum.reduceat(hashed, starts)
     # Neighbouring rows of a band come from different permutations: first all minima, then all maxima.
-    signature = signature.reshape(rules.bands, rules.rows, len(sets))
-    keys = np.repeat(np.arange(rules.bands, dtype=np.uint64)[:, None], len(sets), axis=1)
-    for r in range(rules.rows):
+    signature = signature.reshape(-1, rows, len(starts))
+    keys = np.repeat(np.arange(len(signature), dtype=np.uint64)[:, None], len(starts), axis=1)
+    for r in range(rows):
         keys = mixed(keys * FACTORS[2] + signature[:, r])
     return keys.T
 
 
 def signatures(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n`` (shingles), ``set_high``, ``set_low`` (128-bit hash of the set; null if empty), ``bands``."""
+    """``id``, ``print`` (64-bit hash of the text), ``n`` (shingles), ``set`` (128-bit hash of the set; null if empty), ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rules.words)
         for batch in pieces(batches):
             sets = [shingler.set_of(x) for x in texts_of(batch)]
             full = [i for i, s in enumerate(sets) if len(s)]
-            high, low, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            names, bands = [None] * len(sets), [None] * len(sets)
             if full:
-                keys = band_keys([sets[i] for i in full], rules).view(np.int64)
-                for i, row in zip(full, keys):
-                    digest = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    high[i], low[i] = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
-                    bands[i] = row
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(high, pa.int64()),
-                    pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                ],
-                ["id", "n", "set_high", "set_low", "bands"],
-            )
+                some = [sets[i] for i in full]
+                keys = band_keys(np.concatenate(some), np.cumsum([0, *map(len, some[:-1])]), rules.permutations, rules.rows)
+                for i, row in zip(full, keys.view(np.int64)):
+                    names[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "print", "n", "set", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, set_high long, set_low long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, print long, n long, set binary, bands array<long>")
 
 
-def confirm(texts: DataFrame, rules: NearRules):
-    """Keeps the pairs whose full shingle sets are similar enough."""
-    kind = texts.schema["id"].dataType.simpleString()
+def comparer(texts: DataFrame, rules: NearRules) -> Compare:
+    """Compares the full shingle sets of pairs of ``texts`` (``id``, ``text``)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rules.words)
-        recent: dict = {}
-
-        def of(key, text):
-            if key not in recent:
-                if len(recent) > 256:
-                    recent.clear()
-                recent[key] = shingler.set_of(text)
-            return recent[key]
-
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = []
-            for i in range(len(a)):
-                s, t = of(a[i], x[i]), of(b[i], y[i])
-                if 100 * min(len(s), len(t)) < rules.percent * max(len(s), len(t)):
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= rules.percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
+            for pair in pieces(pieces([batch], "x"), "y"):
+                keys = [pair.column(k).to_pylist() for k in range(2)]
+                # Pairs come in order of their hubs: each set of a piece is made once.
+                found = dict(zip((*keys[0], *keys[1]), (*pair.column(2).to_pylist(), *pair.column(3).to_pylist())))
+                at = {key: i for i, key in enumerate(found)}
+                sets = [shingler.set_of(x) for x in found.values()]
+                offsets = np.cumsum([0, *map(len, sets)])
+                hub, own = (np.array([at[x] for x in k], np.int64) for k in keys)
+                values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                linked, more = differences(values, offsets, hub, own, rules, lambda near: np.ones(len(near), bool), whole)
+                yield pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+
+    def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
-
-    return verify
+        shape = f"a binary, b binary, linked boolean{', ' + DIFFERENCES if whole else ''}"
+        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(lambda batches: run(batches, whole), shape)
 
-
-def shared_shingles(texts: DataFrame, rules: NearRules):
-    """Bounds on the similarity of documents among some: only shingles that two of them hold can be shared.
-
-    With sizes n and m, and at most s shared shingles, a pair's similarity is at most s / (n + m - s). Shingles of one
-    document alone are counted by that document's id: partitions send each shingle once, with its count.
-    """
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rules.words)
-        for batch in batches:
-            for piece in pieces([batch]):
-                sets = [shingler.set_of(x) for x in texts_of(piece)]
-                values, first, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), piece.column(0).take(pa.array(owner, pa.int64()))],
-                    ["shingle", "holders", "id"],
-                )
-
-    def facts_of(some: DataFrame) -> DataFrame:
-        held = some.select("id", "text").mapInArrow(run, f"shingle long, holders long, id {kind}")
-        counts = held.groupBy("shingle").agg(F.sum("holders").alias("holders"), F.min("id").alias("id"))
-        lone = counts.where("holders = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        return some.join(lone, "id", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).drop("lone")
-
-    def limits(ids: DataFrame) -> tuple[DataFrame, Column]:
-        # A document that shares too little with all others goes, and then what only it shared with another counts no
-        # more: each pass leaves fewer.
-        some = texts.join(ids, "id")
-        for _ in range(PASSES - 1):
-            some = staged(facts_of(some).where(100 * F.col("shared") >= rules.percent * F.col("size")).drop("shared"))
-        most = F.least("shared", "shared_of_other")
-        facts = facts_of(some).drop("text").withColumn("central", F.col("shared") / F.col("size"))
-        return facts, 100 * most >= rules.percent * (F.col("size") + F.col("size_of_other") - most)
-
-    return limits
+    return compare
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included) and ``kept``.
 
     Documents without words, and null texts, have empty sets and link with nothing. Documents with equal sets are linked.
-    Rows with equal ids count as one document each and share a component only if their texts do; null ids form
-    components of their own. An empty table gives no rows; other columns are not carried.
+    Rows with equal ids are documents of their own, each with its text: links join texts, so the same id may come with
+    several components. Rows with a null id take no part: a null component, kept. An empty table gives no rows; other
+    columns are not carried.
     """
     found = staged(signatures(docs, rules, id_col, text_col))
-    # Equal sets: one class, named by its smallest id; copies meet as partial minima.
-    real = found.where("n > 0 and id is not null").groupBy("set_high", "set_low")
-    classes = staged(real.agg(F.min("id").alias("class"), F.min("n").alias("size"), F.first("bands").alias("bands")))
-    members = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    candidates = staged(members.join(shared, "key").select("key", "id").distinct())
-    ids = candidates.select("id").distinct()
-    sizes = classes.select(F.col("class").alias("id"), "size")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    texts = staged(texts.dropDuplicates(["id"]).join(sizes, "id"))
-    labels = link_buckets(candidates, confirm(texts, rules), shared_shingles(texts, rules)).withColumnRenamed("id", "class")
-    named = classes.select("set_high", "set_low", "class").join(labels, "class", "left")
-    named = named.select("set_high", "set_low", F.coalesce("component", "class").alias("component"))
-    return found.join(named, ["set_high", "set_low"], "left").select(
+    # Equal sets are one class, named by the set's hash; copies meet as partial aggregates.
+    classes = staged(found.where("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "print")).alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+    members = classes.select(F.col("set").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    candidates = staged(members.join(shared, "key").select("key", "id", "n").distinct())
+    # One text for each class that has candidates: that of the smallest of its ids, told from others of the id by its hash.
+    wanted = classes.join(candidates.select(F.col("id").alias("set")).distinct(), "set", "left_semi").select("set", "least.*")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    texts = staged(texts.join(wanted, ["id", "print"]).select(F.col("set").alias("id"), "text").dropDuplicates(["id"]))
+    labels = link_buckets(candidates, comparer(texts, rules), rules).withColumnRenamed("id", "set")
+    named = classes.select("set", "least.id").withColumnRenamed("id", "least").join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("set", "component_id")
+    has_id = F.col("id").isNotNull()
+    return found.join(named, "set", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        F.when(has_id, F.coalesce("component_id", "id")).alias("component_id"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
     )

@@ -1,11 +1,13 @@
 """Components, and links in buckets, against union-find."""
 
 import random
-from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import linking
+from lodestar.llm.minhash import NAMES, NearRules
 
 
 def union_find(edges):
@@ -44,35 +46,45 @@ def test_components_of_one_chain(spark, chain):
     assert sorted((r.id, r.component) for r in got) == [(x, 0) for x in range(len(chain))]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_bucket_links_lose_nothing(spark, monkeypatch, seed):
-    monkeypatch.setattr(linking, "SMALL_BUCKET", 3)
-    draw = random.Random(seed)
-    n, links = 120, set()
-    while len(links) < 110:
-        links.add(tuple(sorted(draw.sample(range(n), 2))))
-    members = {(draw.randint(0, 25), x) for e in links for x in e} | {(k, x) for e in links for k in [draw.randint(0, 25)] for x in e}
-    buckets = defaultdict(set)
-    for k, x in members:
-        buckets[k].add(x)
-    real = [(a, b) for a, b in links if any(a in m and b in m for m in buckets.values())]
-    frame = spark.createDataFrame(sorted(links), "a long, b long")
-    got = linking.link_buckets(spark.createDataFrame(sorted(members), "key long, id long"), lambda pairs: pairs.join(frame, ["a", "b"]))
-    assert {r.id: r.component for r in got.collect()} == union_find(real)
-
-
-def test_a_bucket_of_copies_costs_one_comparison_each(spark):
-    members = spark.range(300).selectExpr("1L AS key", "id")
-    compared = []
-
-    def verify(pairs):
-        compared.append(pairs.count())
-        return pairs
-
-    got = linking.link_buckets(members, verify).collect()
-    assert {r.component for r in got} == {0} and len(got) == 300 and sum(compared) == 299
+def brute_links(sets, percent, linked):
+    pairs = ((a, b) for a in sets for b in sets if a < b)
+    good = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    return [p for p in pairs if good(*p) and linked(*p)]
+
+
+@pytest.mark.parametrize("seed,small", ((0, 12), (1, 2), (2, 2), (3, 0)))
+def test_bucket_links_lose_nothing(spark, monkeypatch, seed, small):
+    """Variants of some sets of unequal sizes in one bucket each; not all near pairs are linked."""
+    monkeypatch.setattr(linking, "SMALL_BUCKET", small)
+    draw, rules, sets, members = random.Random(seed), NearRules(percent=75), {}, []
+    for key in range(5):
+        base = [draw.getrandbits(60) for _ in range(30)]
+        spare = [draw.getrandbits(60) for _ in range(8)]
+        for _ in range(20):
+            own = set(draw.sample(base, draw.randint(18, 30))) | set(draw.sample(spare, draw.randint(0, 5)))
+            sets[len(sets)] = own
+            members.append((key, len(sets) - 1, len(own)))
+    apart = lambda a, b: (a * 31 + b * 17) % 5 > 0
+    frame = spark.createDataFrame(members, "key long, id long, n int")
+
+    def compare(pairs, whole):
+        def run(batches):
+            for batch in batches:
+                a, b = (np.array(c.to_pylist(), np.int64) for c in batch.columns)
+                values = np.array([x for s in sets.values() for x in s], np.uint64)
+                accept = lambda at: np.array([apart(int(min(a[i], b[i])), int(max(a[i], b[i]))) for i in at], bool)
+                linked, more = linking.differences(values, np.cumsum([0, *map(len, sets.values())]), a, b, rules, accept, whole)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+
+        return pairs.select("a", "b").mapInArrow(run, "a long, b long, linked boolean" + (", " + linking.DIFFERENCES if whole else ""))
+
+    real = brute_links(sets, 75, apart)
+    real = [(a, b) for a, b in real if a // 20 == b // 20]
+    got = linking.link_buckets(frame, compare, rules)
+    assert {r.id: r.component for r in got.collect()} == union_find(real) and len(real) > 30
 
 
 def test_no_members(spark):
-    empty = spark.createDataFrame([], "key long, id long")
-    assert linking.link_buckets(empty, lambda pairs: pairs).count() == 0
+    empty = spark.createDataFrame([], "key long, id long, n int")
+    shape = "a long, b long, linked boolean, " + linking.DIFFERENCES
+    assert linking.link_buckets(empty, lambda pairs, whole: spark.createDataFrame([], shape), NearRules()).count() == 0
