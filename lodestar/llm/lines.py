@@ -1,9 +1,11 @@
-"""Fuzzy line deduplication: shared rare word pairs, edit similarity, one occurrence for each connected group.
+"""Fuzzy line deduplication: min-max hashing of words, edit similarity, one occurrence for each connected group.
 
-Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Each edit
-touches few of a line's runs of neighbouring words (grams), so similar lines share many, and then also one of the rarest
-few of each (prefix filtering): those are the keys, and no pair of similar lines is missed. Before texts are compared,
-parities of words in 256 bits show most other pairs to be too far apart.
+Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Lines that
+are similar share two thirds of their words or more, and so most likely a band of smallest and largest word hashes; lines
+that share a band are candidates, and the edit similarity of their words decides.
+
+SimHashes, by whose blocks such lines are usually found, lie as far apart for lines of 80 % edit similarity as 13 of 64
+bits: blocks that find those also find most other pairs. README gives figures.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,46 +21,92 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, staged, texts_of
-from lodestar.llm.linking import link_buckets
-from lodestar.llm.minhash import FACTORS, mixed
+from lodestar.llm.common import bucket_count, pieces, staged, texts_of
+from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
+from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
+from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
 
 #: Bytes of normalised text: punctuation and blanks part words, line feeds stay.
 NORMAL = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
-#: The bits of a byte, each in a byte of its own.
-SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-KEPT_WORDS = 500_000
-#: Words in a gram, where enough of them must be shared; single words elsewhere.
-GRAM = 2
-#: Documents whose grams are counted, and common grams that are told to all tasks: they only order the grams.
-SAMPLE_DOCS = 10_000
-MOST_COMMON = 100_000
+#: Bytes of lines that are hashed together.
+CHUNK_BYTES = 256 << 10
+#: Text whose keys meet in one bucket.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 12
+#: A key that so many lines of one piece hold is exchanged by Spark's own rows, where hot keys are split.
+HOT_IN_PIECE = 16
+WORD_BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class LineRules:
-    bits: int = 64  #: in which linked SimHashes may differ; at 64 the edit similarity alone decides
-    percent: int = 80  #: least edit similarity: 100 * (1 - edits / words of the longer line)
-
-
-def normalized_lines(text: str | None) -> list[list[bytes]]:
-    """The words of each line, in lower case."""
-    return [line.split() for line in (text or "").lower().encode().translate(NORMAL).split(b"\n")]
-
-
-def simhashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 bits for each line (none empty): whether more than half of its words' hashes have the bit.
-
-    A word's bits are bytes of eight numbers, so that sums of up to 255 words count all bits at once.
-    """
-    parts = -(-sizes // 255)
-    first = np.cumsum(parts) - parts
-    within = np.arange(parts.sum()) - np.repeat(first, parts)
-    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * within
-    ones = np.add.reduceat(SPREAD[words.view(np.uint8).reshape(-1, 8)], starts, axis=0).view(np.uint8)
-    if len(ones) > len(sizes):
-        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1).view(np.int64).ravel()
+    """Lines are linked if 100 * edits <= (100 - ``percent``) * words of the longer line."""
+
+    percent: int = 80
+    permutations: int = 32
+    rows: int = 4  #: values in a band: a pair that is just similar enough is missed three times in a hundred
+
+    def edits(self, n):
+        return n * (100 - self.percent) // 100
+
+    def need(self, n, m):
+        longer = np.maximum(n, m)
+        return longer - self.edits(longer)
+
+    def gap(self, hub, n):
+        return self.need(hub, hub) - self.need(n, n)
+
+    def need_of(self, n: Column, m: Column) -> Column:
+        longer = F.greatest(n, m)
+        return longer - F.floor(longer * (100 - self.percent) / 100).cast("int")
+
+    def possible(self, n: Column, m: Column) -> Column:
+        return F.least(n, m) >= self.need_of(n, m)
+
+    @property
+    def shortest(self) -> int:
+        """Words of the shortest line that may be linked to another one."""
+        return next((n for n in range(1, 101) if self.edits(n + 1)), 101)
+
+
+def normal_lines(text: str | None) -> list[bytes]:
+    """Each line's words, in lower case, with one blank between."""
+    return [b" ".join(line.split()) for line in (text or "").lower().encode().translate(NORMAL).split(b"\n")]
+
+
+@lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``WORD_BASE`` and of its inverse (mod 2 ** 64)."""
+    up, down = np.full(n, WORD_BASE, np.uint64), np.full(n, pow(WORD_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def bags(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each normalised line's words as distinct 64-bit elements (equal words are numbered), and how many there are."""
+    values, sizes, first = [], [], 0
+    while first < len(lines):
+        last, held = first, 0
+        while last < len(lines) and (last == first or held + len(lines[last]) < CHUNK_BYTES) and last - first < 1 << 16:
+            held += len(lines[last]) + 1
+            last += 1
+        data = np.frombuffer(b" ".join(lines[first:last]) + b" ", np.uint8)
+        up, down = powers(max(CHUNK_BYTES, 1 << len(data).bit_length()))
+        ends = np.flatnonzero(data == 32)
+        starts = np.r_[0, ends[:-1] + 1]
+        sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
+        upto = np.r_[np.uint64(0), sums]
+        word = mixed((upto[ends] - upto[starts]) * down[starts])
+        edges = np.cumsum([len(x) + 1 for x in lines[first:last]])
+        count = np.diff(np.r_[0, np.searchsorted(ends, edges)])
+        # One sort by line and word: 16 bits of line, 48 of word.
+        both = np.sort(np.repeat(np.arange(last - first, dtype=np.uint64) << np.uint64(48), count) | word >> np.uint64(16))
+        new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        place = np.arange(len(both)) - np.repeat(new, np.diff(np.r_[new, len(both)]))
+        values.append(mixed((both & np.uint64((1 << 48) - 1)) + place.astype(np.uint64) * FACTORS[0]))
+        sizes.append(count)
+        first = last
+    return np.concatenate([*values, np.zeros(0, np.uint64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
 
 
 def word_edits(a: list, b: list) -> int:
@@ -81,275 +129,196 @@ def word_edits(a: list, b: list) -> int:
     return edits
 
 
-@cache
-def key_counts(n: int, percent: int) -> tuple[int, int]:
-    """How many of its rarest words, and of its rarest grams, a line of ``n`` words takes for keys.
-
-    If the longer of two lines has m words, k edits leave it m + 1 - g - k * g of its grams of g words. Of two sets that
-    share s things, the first ones but s - 1 in any common order share one.
-    """
-    least: dict[int, int] = {}
-    for m in range(n, n * 100 // percent + 1):
-        k = m * (100 - percent) // 100
-        if k:
-            g = GRAM if m + 1 - GRAM - k * GRAM >= 1 else 1
-            least[g] = min(least.get(g, m), m + 1 - g - k * g)
-    return tuple(min(n + 1 - g, n + 1 - g - least[g] + 1) if g in least else 0 for g in (1, GRAM))
-
-
-def grams_of(words: np.ndarray, sizes: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
-    """The line and the hash of each run of ``g`` words."""
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the line's end
-    at = np.flatnonzero(left >= g)
-    out = np.full(len(at), g, np.uint64)
-    for k in range(g):
-        out = mixed(out * FACTORS[2] + words[at + k])
-    return line[at], out
-
-
-def places(*sorted_by: np.ndarray) -> np.ndarray:
-    """The place of each row in its run of rows equal in all columns."""
-    new = np.ones(len(sorted_by[0]), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_by])
-    first = np.flatnonzero(new)
-    return np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
-
-
-def line_keys(words: np.ndarray, sizes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The line and the value of each key. ``common``: grams in order, and how often each was counted.
-
-    A gram's occurrences in a line are numbered, so that sets of them count as the lines' bags do.
-    """
-    takes = np.array([key_counts(int(n), percent) for n in sizes]).reshape(-1, 2)
-    lines, keys = [], []
-    for g, take in zip((1, GRAM), takes.T):
-        some = np.flatnonzero(take)
-        if not len(some):
-            continue
-        line, gram = grams_of(words[np.repeat(take > 0, sizes)], sizes[some], g)
-        order = np.lexsort((gram, line))
-        line, gram = line[order], gram[order]
-        key = mixed(gram + places(line, gram).astype(np.uint64) * FACTORS[0])
-        often = np.zeros(len(gram), np.int64)
-        if len(common[0]):
-            at = np.minimum(np.searchsorted(common[0], gram), len(common[0]) - 1)
-            often = np.where(common[0][at] == gram, common[1][at], 0)
-        order = np.lexsort((key, often, line))
-        line, key = line[order], key[order]
-        kept = places(line) < take[some][line]
-        lines.append(some[line[kept]])
-        keys.append(key[kept])
-    return np.concatenate([*lines, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.uint64)])
-
-
-def parities(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """256 bits (four numbers) for each line: whether an odd number of its words have that first byte of the hash.
-
-    At most as many bits of two lines differ as words that only one of them has.
-    """
-    bit, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * 256 + (words >> np.uint64(56)).astype(np.int64), return_counts=True)
-    odd = bit[count % 2 == 1]
-    whole = np.bincount(odd >> 3, 1 << (odd & 7), 32 * len(sizes))
-    return whole.astype(np.uint8).view(np.int64).reshape(-1, 4)
-
-
-class Hasher:
-    """Hashes of words, of which many are kept."""
-
-    def __init__(self):
-        self.kept: dict[bytes, int] = {}
+def names_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the lines' 128-bit hashes."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
-    def _hash(self, word: bytes) -> int:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        value = self.kept[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' hashes, and the number of words of each line."""
-        kept = self.kept
-        return np.array([kept.get(w) or self._hash(w) for x in lines for w in x], np.uint64), np.array([len(x) for x in lines], np.int64)
-
-
-def lines_in(batch: pa.RecordBatch, least: int = 1) -> tuple[list[list[bytes]], np.ndarray]:
-    """The distinct lines of at least so many words, and their ids."""
-    found = {b" ".join(x): x for text in texts_of(batch) for x in normalized_lines(text) if len(x) >= least}
-    return list(found.values()), np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64)
+def distinct_lines(batch: pa.RecordBatch, least: int) -> list[bytes]:
+    """The distinct normalised lines of at least so many words."""
+    return list({x: None for text in texts_of(batch) for x in normal_lines(text) if x.count(b" ") + 1 >= least and x})
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``line`` (from 0), ``line_id`` (64-bit hash of the normalised line): lines with words."""
+    """``id``, ``print`` (64-bit hash of the text), ``line`` (from 0), ``low``, ``high`` (the line's hash): lines with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            at, number, name = [], [], []
+            at, number, found = [], [], []
             for i, text in enumerate(texts_of(batch)):
-                for k, line in enumerate(normalized_lines(text)):
+                for k, line in enumerate(normal_lines(text)):
                     if line:
                         at.append(i)
                         number.append(k)
-                        name.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
+                        found.append(line)
             if at:
-                ids = batch.column(0).take(pa.array(at, pa.int64()))
+                ids, prints = (batch.column(k).take(pa.array(at, pa.int64())) for k in range(2))
+                low, high = names_of(found)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number, pa.int32()), pa.array(np.array(name, np.uint64).view(np.int64))],
-                    ["id", "line", "line_id"],
+                    [ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], ["id", "print", "line", "low", "high"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, line int, line_id long")
-
-
-def shortest(rules: LineRules) -> int:
-    """Words of the shortest line that may be linked to another one."""
-    return next(n for n in range(1, 102) if any(key_counts(n, rules.percent)) or n == 101)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, print long, line int, low long, high long")
 
 
-def common_grams(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most common grams of some documents, and their counts. What is left out only makes buckets larger."""
-    least = shortest(rules)
+PACKED = {"bucket": pa.int64(), "keys": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in pieces(batches):
-            words, sizes = hasher.of(lines_in(batch, least)[0])
-            grams = np.concatenate([grams_of(words, sizes, g)[1] for g in (1, GRAM)])
-            values, counts = np.unique(grams, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-    parts = max(1, docs.count() // SAMPLE_DOCS)
-    some = docs.where(F.xxhash64(F.col(id_col).cast("string")) % parts == 0).select(F.col(text_col).alias("text"))
-    counts = some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
-    got = counts.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()
-    grams = np.array([r["gram"] for r in got], np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], np.array([r["n"] for r in got], np.int64)[order]
 
+def send_keys(lines: list[bytes], rules: LineRules, buckets: int) -> Iterator[tuple]:
+    """Rows of ``PACKED``: the keys of some lines by bucket, with the lines' ids (half of their hash) and words.
 
-def bucket_members(docs: DataFrame, rules: LineRules, common: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
-    """``id`` (line_id) and ``key``, distinct within each piece of a partition."""
-    least = shortest(rules)
-    told = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON pairs of numbers
+    A key that many of these lines hold is sent to a bucket below zero, where nobody waits for others of it, and leaves
+    a mark (0 words) in its own.
+    """
+    values, sizes = bags(lines)
+    keys = band_keys(values, np.cumsum(np.r_[0, sizes[:-1]]), rules.permutations, rules.rows)
+    order = np.argsort(keys.ravel())
+    key, owner = keys.ravel()[order], order // keys.shape[1]
+    ids = names_of(lines)[0]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    many = np.repeat(np.diff(np.r_[first, len(key)]) >= HOT_IN_PIECE, np.diff(np.r_[first, len(key)]))
+    row = lambda bucket, k, i, n: (bucket, squeezed(packed(k)), packed(i), squeezed(packed(n.astype(np.uint32))))
+    if many.any():
+        yield row(-1 - int(ids[0]) % buckets, key[many], ids[owner[many]], sizes[owner[many]])
+    marks = np.zeros(len(key), bool)
+    marks[first] = many[first]
+    stay = ~many | marks
+    key, owner, words = key[stay], owner[stay], np.where(marks, 0, sizes[owner])[stay]
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    for k, part in cut(bucket):
+        yield row(k, key[part], ids[owner[part]], words[part])
+
+
+def find_shared(table: pa.Table, percent: int) -> pa.Table:
+    """Lines of one bucket that share a key with a line of similar length: ``key``, ``id``, ``n`` (words).
+
+    Lines of one key, by length, are parted where the next is too long for all before. Equal groups get equal keys.
+    """
+    kinds = (("keys", "u8"), ("ids", "i8"), ("sizes", "u4"))
+    columns = [np.concatenate([unpacked(unsqueezed(x) if c != "ids" else x, k) for x in table.column(c).to_pylist()]) for c, k in kinds]
+    key, ids, n = columns[0], columns[1], columns[2].astype(np.int64)
+    if table.column("bucket")[0].as_py() >= 0:
+        order = np.argsort(key)
+        key, ids, n = key[order], ids[order], n[order]
+        same = key[1:] == key[:-1]
+        shared = np.r_[same, False] | np.r_[False, same] | (n == 0)
+        key, ids, n = key[shared], ids[shared], n[shared]
+        order = np.lexsort((ids, n, key))
+        key, ids, n = key[order], ids[order], n[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])][: len(key)]
+        key, ids, n = key[fresh], ids[fresh], n[fresh]
+        runs = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        hot = np.maximum.accumulate(np.where(runs, np.arange(len(key)), 0))
+        hot = n[hot] == 0  # the mark comes first
+        new = runs | np.r_[True, ~hot[1:] & (percent * n[1:] > 100 * n[:-1])][: len(key)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(key)])
+        group = np.add.reduceat(mixed(ids.view(np.uint64)), first) if len(first) else key
+        keep = (np.repeat(size > 1, size) | hot) & (n > 0)
+        key = np.where(hot, key, np.repeat(group, size))[keep]
+        ids, n = ids[keep], n[keep]
+    return pa.table({"key": pa.array(key.view(np.int64)), "id": pa.array(ids), "n": pa.array(n.astype(np.int32))})
+
+
+def bucket_members(docs: DataFrame, rules: LineRules, text_col: str) -> DataFrame:
+    """``key``, ``id``, ``n`` of lines that share a key with others."""
+    buckets = bucket_count(docs, text_col, BUCKET_BYTES, LEAST_BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in pieces(batches):
-            lines, names = lines_in(batch, least)
-            at, keys = line_keys(*hasher.of(lines), rules.percent, told.value)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(keys.view(np.int64))], ["id", "key"])
+            lines = distinct_lines(batch, rules.shortest)
+            if lines:
+                rows = zip(*send_keys(lines, rules, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, PACKED.values())], list(PACKED))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, key long")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, ids binary, sizes binary")
+    met = sent.repartition(2 * buckets, "bucket").groupBy("bucket")
+    return met.applyInArrow(lambda table: find_shared(table, rules.percent), "key long, id long, n int").distinct()
 
 
-def line_texts(docs: DataFrame, text_col: str, rules: LineRules = LineRules()) -> DataFrame:
-    """``id`` (line_id), ``text`` (normalised line), and ``FACTS`` of lines that may be linked, distinct within each piece."""
-    least = shortest(rules)
+def line_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
+    """``id`` (half of the line's hash), ``high`` (the other half), ``text``: normalised lines, distinct within each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in pieces(batches):
-            lines, names = lines_in(batch, least)
+            lines = distinct_lines(batch, least)
             if lines:
-                words, sizes = hasher.of(lines)
-                marks = simhashes(words, sizes) if rules.bits < 64 else np.zeros(len(lines), np.int64)
-                facts = [pa.array(sizes), *map(pa.array, np.ascontiguousarray(parities(words, sizes).T)), pa.array(marks)]
-                texts = pa.array([b" ".join(x).decode() for x in lines], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(names), texts, *facts], ["id", "text", *FACTS])
-
-    shape = ", ".join(f"{c} long" for c in FACTS)
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"id long, text string, {shape}")
+                low, high = names_of(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array([x.decode() for x in lines], pa.string())], ["id", "high", "text"])
 
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, high long, text string")
 
-#: Facts about a line from which pairs are shown not to be similar: number of words, parities, SimHash (if it counts).
-FACTS = ("words", "odd0", "odd1", "odd2", "odd3", "simhash")
 
+def comparer(texts: DataFrame, rules: LineRules) -> Compare:
+    """Compares pairs of lines of ``texts``: their words as bags, and if those are near, by edit similarity."""
 
-def maybe_similar(rules: LineRules, one: str, other: str) -> Column:
-    """Holds for every pair that may be linked; the names of the two lines' facts end in ``one`` and ``other``.
-
-    k edits change a line's length by d and leave at most 2 * k - d words that only one of the two lines has.
-    """
-    of = lambda c: (F.col(c + one), F.col(c + other))
-    differ = lambda c: F.bit_count(of(c)[0].bitwiseXOR(of(c)[1]))
-    longer = F.abs(of("words")[0] - of("words")[1])
-    edits = F.greatest(*of("words")) * (100 - rules.percent)  # 100 times
-    odd = sum((differ(c) for c in FACTS[1:5]), F.lit(0))
-    return (100 * longer <= edits) & (100 * (odd + longer) <= 2 * edits) & (differ("simhash") <= rules.bits)
+    def run(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in pieces(pieces([batch], "x"), "y"):
+                x, y = pair.column(2).to_pylist(), pair.column(3).to_pylist()
+                at = {line: i for i, line in enumerate(dict.fromkeys([*x, *y]))}
+                values, sizes = bags([line.encode() for line in at])
 
+                def accept(near: np.ndarray) -> np.ndarray:
+                    words = ((x[i].split(" "), y[i].split(" ")) for i in near.tolist())
+                    return np.array([word_edits(a, b) <= rules.edits(max(len(a), len(b))) for a, b in words], bool)
 
-def confirm(texts: DataFrame, marks: DataFrame, rules: LineRules):
-    """Keeps the pairs whose edit similarity is high enough; facts about the lines come first."""
+                hub, own = (np.array([at[line] for line in side], np.int64) for side in (x, y))
+                linked, more = differences(values, np.r_[0, np.cumsum(sizes)], hub, own, rules, accept, whole)
+                yield pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = x.split(" "), y.split(" ")
-                most = max(len(a), len(b)) * (100 - rules.percent)  # of 100 * edits
-                good.append(100 * abs(len(a) - len(b)) <= most and 100 * word_edits(a, b) <= most)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs
-        for side in "ab":
-            near = near.join(marks.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in FACTS)), side)
-        near = near.where(maybe_similar(rules, "_a", "_b")).select("a", "b")
+    def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        return near.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        shape = f"a long, b long, linked boolean{', ' + DIFFERENCES if whole else ''}"
+        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(lambda batches: run(batches, whole), shape)
 
-    return verify
+    return compare
 
 
 def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``removed``: the numbers of the lines that go, for each document that loses any.
+    """``id_col``, ``print`` (64-bit hash of the text) and ``removed``: the numbers of the lines that go, for each document
+    that loses any.
 
-    Of each connected group of lines the first occurrence (smallest id, then line) stays. Lines without words stay and
-    link with nothing. Rows with equal ids are taken as one document's; null ids come first. An empty table, or one
-    without repeated lines, gives no rows. Lines are told apart by 64-bit hashes.
+    Of each connected group of lines the first occurrence (smallest id, then text hash, then line) stays. Lines without
+    words stay and link with nothing. Rows with equal ids and texts are one document; null ids come first. An empty
+    table, or one without repeated lines, gives no rows; other columns are not carried. Lines are told apart by 128-bit
+    hashes; one that shares half of its hash with another line is only compared for equality.
     """
     rows = staged(line_rows(docs, id_col, text_col))
-    lines = staged(rows.groupBy("line_id").agg(F.min(F.struct("id", "line")).alias("first")))
-    members = bucket_members(docs, rules, common_grams(docs, rules, id_col, text_col), text_col)
-    shared = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
-    candidates = staged(members.join(shared, "key").select("key", "id").distinct())
+    place = F.struct("id", "print", "line")
+    lines = staged(rows.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    candidates = staged(bucket_members(docs, rules, text_col))
     ids = candidates.select("id").distinct()
-    texts = line_texts(docs, text_col, rules).join(ids, "id", "left_semi").groupBy("id")
-    texts = staged(texts.agg(*(F.min(c).alias(c) for c in ("text", *FACTS))))
-    marks = texts.select("id", *FACTS)
+    texts = line_texts(docs, text_col, rules.shortest).join(ids, "id", "left_semi").groupBy("id")
+    texts = texts.agg(F.min("high").alias("high"), F.max("high").alias("other"), F.min("text").alias("text")).where("high = other")
+    texts = staged(texts.drop("other"))
+    labels = link_buckets(candidates, comparer(texts, rules), rules)
+    labels = labels.join(texts.select("id", "high"), "id").withColumnRenamed("id", "low")
+
+    grouped = lines.join(labels, ["low", "high"], "left").where("times > 1 or component is not null")
+    grouped = grouped.select("low", "high", "first", F.struct(F.coalesce("component", "low").alias("low"), F.when(F.col("component").isNull(), F.col("high")).alias("high")).alias("component"))
+    stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
+    stays = grouped.join(stays, "component").select("low", "high", "stays")
+    gone = rows.join(stays, ["low", "high"]).where(~place.eqNullSafe(F.col("stays")))
+    return gone.groupBy("id", "print").agg(F.sort_array(F.collect_set("line")).alias("removed")).withColumnRenamed("id", id_col)
 
-    def limits(some: DataFrame) -> tuple[DataFrame, Column]:
-        return marks.join(some, "id", "left_semi"), maybe_similar(rules, "", "_of_other")
 
-    labels = link_buckets(candidates, confirm(texts, marks, rules), limits).withColumnRenamed("id", "line_id")
-
-    grouped = lines.join(labels, "line_id", "left").select("line_id", "first", F.coalesce("component", "line_id").alias("component"))
-    stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
-    stays = grouped.join(stays, "component").select("line_id", "stays")
-    gone = rows.join(stays, "line_id").where(~F.struct("id", "line").eqNullSafe(F.col("stays")))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed")).withColumnRenamed("id", id_col)
+def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` and ``__removed``, the numbers of their repeated lines (null: none)."""
+    found = removed.select(F.col(id_col).alias("__id"), F.col("print").alias("__print"), F.col("removed").alias("__removed"))
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print"))
+    return docs.join(found, own, "left").drop("__id", "__print")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines, in the same columns, plus ``lines_removed`` (how many)."""
-    joined = docs.join(removed.select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed")), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    names = [f.name for f in docs.schema.fields]
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                if gone:
-                    some = set(gone)
-                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in some)
-                out.append(text)
-                counts.append(len(gone or ()))
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*names, "lines_removed"])
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*names, "__removed").mapInArrow(run, f"{shape}, lines_removed int")
+    joined = with_removed(docs, removed, id_col, text_col)
+    lines = F.split(text_col, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), F.col("__removed"))
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(left, lambda k: F.get(lines, k))))
+    counted = F.coalesce(F.array_size("__removed"), F.lit(0)).alias("lines_removed")
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), counted)

@@ -98,13 +98,15 @@ def op1_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, and the numbers of those."""
-    from lodestar.llm.lines import repeated_lines
+    from lodestar.llm.lines import repeated_lines, with_removed
 
-    docs = documents(spark, sf_dir)
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    counted = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    return counted.join(repeated_lines(docs), "doc_id", "left").select(
-        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    return with_removed(docs, repeated_lines(docs)).select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.size(removed).cast("long").alias("n_removed"),
+        removed.alias("removed_lines"),
     )
 
 
