@@ -24,16 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import bucket_count
 
 MATCH = 50  #: bytes of a window
 DEPTH = 16  #: bytes of a sampled suffix
 SPAN = MATCH - DEPTH + 1  #: suffixes in a window
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: Blocks whose suffixes meet in one bucket: rows sent are blocks times buckets, but never more than anchors.
+BLOCKS_OF_BUCKET = 4
 #: Blocks of small inputs, for the sake of parallel tasks.
 LEAST_BLOCKS = 16
 #: Texts that are hashed together.
@@ -90,12 +94,15 @@ class Block:
     """The documents of one block, in order of id and text, as one array of bytes."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-        texts = [(x or "").encode() for x in table.column("text").to_pylist()]
-        self.order = np.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
-        self.ids = ids[self.order]
-        self.body = np.frombuffer(b"".join([texts[i] for i in self.order]), np.uint8)
-        self.edges = np.r_[0, np.cumsum([len(texts[i]) for i in self.order], dtype=np.int64)]
+        rows = pa.table({"id": table.column("id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min), "text": table.column("text").fill_null("")})
+        order = pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("text", "ascending")])
+        self.order = order.to_numpy().astype(np.int64)
+        self.ids = rows.column("id").take(order).to_numpy()
+        texts = rows.column("text").cast(pa.large_string()).take(order).combine_chunks()
+        _, edges, body = texts.buffers()
+        edges = np.frombuffer(edges, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.body = np.frombuffer(body, np.uint8)[edges[0] : edges[-1]] if body is not None and len(body) else np.zeros(0, np.uint8)
+        self.edges = edges - edges[0]
 
     def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Some texts at a time: where they begin, suffix hashes, each window's smallest hash, whether it is a window.
@@ -369,29 +376,24 @@ def remove_spans(table: pa.Table, spans: pa.Table) -> pa.Table:
     """The block's rows, with kept bytes and removed spans."""
     held = Block(table)
     first, end = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "i8") for x in spans.column(c).to_pylist())]) for c in ("firsts", "ends"))
-    steps = np.zeros(len(held.body) + 1, np.int32)
-    np.add.at(steps, first, 1)
-    np.add.at(steps, end, -1)
-    gone = np.cumsum(steps[:-1]) > 0
-    # A span begins where bytes begin to go, or a text does.
-    opens = gone & np.r_[True, ~gone[:-1]][: len(gone)]
-    inner = held.edges[:-1][held.edges[:-1] < len(gone)]
-    opens[inner] |= gone[inner]
-    closes = gone & np.r_[~gone[1:], True][: len(gone)]
-    last = held.edges[1:][held.edges[1:] > 0] - 1
-    closes[last] |= gone[last]
-    begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    owner = np.searchsorted(held.edges, begins, side="right") - 1
-    base = held.edges[owner]
-    pairs = np.stack([begins - base, ends - base], axis=1)
+    # Spans of one text that touch or overlap become one; none crosses from one text to the next.
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    owner = np.searchsorted(held.edges, first, side="right") - 1
+    fresh = np.r_[True, (first[1:] > reach[:-1]) | (owner[1:] != owner[:-1])][: len(first)]
+    begin = np.flatnonzero(fresh)
+    first, owner = first[begin], owner[begin]
+    end = reach[np.r_[begin[1:], len(reach)] - 1] if len(begin) else reach
+    pairs = np.stack([first, end], axis=1) - held.edges[owner][:, None]
     cuts = np.searchsorted(owner, np.arange(len(held.ids) + 1))
     kept: list[bytes] = [b""] * len(held.ids)
     removed: list[np.ndarray] = [pairs[:0].ravel()] * len(held.ids)
+    body, edges = memoryview(held.body), held.edges.tolist()
     for k, i in enumerate(held.order.tolist()):
-        a, b = held.edges[k], held.edges[k + 1]
-        some = cuts[k + 1] > cuts[k]
-        kept[i] = held.body[a:b][~gone[a:b]].tobytes() if some else held.body[a:b].tobytes()
-        removed[i] = pairs[cuts[k] : cuts[k + 1]].ravel()
+        gone = pairs[cuts[k] : cuts[k + 1]].ravel()
+        stay = np.r_[0, gone, edges[k + 1] - edges[k]].reshape(-1, 2) + edges[k]
+        kept[i] = b"".join(body[a:b] for a, b in stay.tolist())
+        removed[i] = gone
     sizes = np.empty(len(held.ids), np.int64)
     sizes[held.order] = np.diff(held.edges)
     table = table.drop_columns(["block", "text"])
@@ -405,13 +407,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns the id, the ``carry`` columns, ``n_bytes`` (of the whole text), ``kept`` (the remaining bytes) and
     ``removed`` (maximal removed spans: begin and end in turn). Null texts count as empty. Rows with equal ids don't
-    remove from each other; null ids count as smaller than all others. An empty table gives no rows.
+    remove from each other; null ids count as smaller than all others. An empty table gives no rows. Ids are integers:
+    their order decides.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is no integer column")
     blocks = bucket_count(docs, text_col, BLOCK_BYTES, LEAST_BLOCKS)
     finer = 4 * blocks
+    buckets = -(-blocks // BLOCKS_OF_BUCKET)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
@@ -419,7 +425,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_block = texts.groupBy("block")
 
     def deal_suffixes(table: pa.Table) -> pa.Table:
-        return send_suffixes(table, blocks)
+        return send_suffixes(table, buckets)
 
     def deal_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         return send_windows(table, replies, finer)

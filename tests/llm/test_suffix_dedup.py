@@ -46,9 +46,10 @@ def test_equals_a_table_of_windows(make_docs, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", hot)
     rows = list(enumerate(corpus(seed)))
     rows += [(7, rows[8][1]), (7, rows[9][1]), (3, rows[3][1])]  # ids that come twice
+    rows += [(None, rows[20][1]), (None, rows[20][1]), (None, "w" * 200_000)]
     got = dedup_substrings(make_docs(rows, extra=True)).select("doc_id", "n_bytes", "kept", "removed").collect()
-    want = brute([(i, (t or "").encode()) for i, t in rows])
-    assert sorted((r.doc_id, r.n_bytes, bytes(r.kept), list(r.removed)) for r in got) == sorted(want)
+    want = brute([(-1 if i is None else i, (t or "").encode()) for i, t in rows])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept), list(r.removed)) for r in got) == sorted(want)
 
 
 def test_family_of_levels():
@@ -81,3 +82,8 @@ def test_text_drops_cut_characters_and_empty_table(spark, make_docs):
     assert dedup_substrings(make_docs([])).count() == 0
     carried = dedup_substrings(make_docs(["x" * 60, "x" * 60]), carry=("lang", "n_chars")).where(F.size("removed") > 0).collect()
     assert [(r.doc_id, r.lang, r.n_chars, bytes(r.kept)) for r in carried] == [(1, "en", 60, b"")]
+
+
+def test_ids_are_integers(make_docs):
+    with pytest.raises(TypeError, match="integer"):
+        dedup_substrings(make_docs(["x"]).withColumn("doc_id", F.col("doc_id").cast("string")))
