@@ -2,7 +2,8 @@
 
 Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Lines that
 are similar share two thirds of their words or more, and so most likely a band of smallest and largest word hashes; lines
-that share a band are candidates, and the edit similarity of their words decides.
+that share a band are candidates, and the edit similarity of their words decides. Words of very many lines don't count
+in the bands: lines that share only those would be candidates.
 
 SimHashes, by whose blocks such lines are usually found, lie as far apart for lines of 80 % edit similarity as 13 of 64
 bits: blocks that find those also find most other pairs. README gives figures.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucket_count, pieces, staged, texts_of
+from lodestar.llm.common import bucket_count, pieces, staged, texts_of, unstage
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
 from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
@@ -44,7 +45,9 @@ class LineRules:
 
     percent: int = 80
     permutations: int = 32
-    rows: int = 4  #: values in a band: a pair that is just similar enough is missed three times in a hundred
+    rows: int = 4  #: values in a band
+    common: float = 0.01  #: words that this share of the lines hold are left out of the keys,
+    least: int = 3  #: but of lines that have fewer other words
 
     def edits(self, n):
         return n * (100 - self.percent) // 100
@@ -60,6 +63,9 @@ class LineRules:
         longer = F.greatest(n, m)
         return longer - F.floor(longer * (100 - self.percent) / 100).cast("int")
 
+    def least_of(self, n: Column) -> Column:
+        return self.need_of(n, n)
+
     def possible(self, n: Column, m: Column) -> Column:
         return F.least(n, m) >= self.need_of(n, m)
 
@@ -167,14 +173,52 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 PACKED = {"bucket": pa.int64(), "keys": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
 
 
-def send_keys(lines: list[bytes], rules: LineRules, buckets: int) -> Iterator[tuple]:
+def common_words(docs: DataFrame, rules: LineRules, text_col: str) -> np.ndarray:
+    """The elements of bags that are too common to be told by, in order.
+
+    All lines are counted. A task leaves out what a tenth of the share of its lines hold, so counts are at most so much
+    too low. There are at most as many such words as a line has on average, divided by the share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, lines = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in pieces(batches):
+            some = distinct_lines(batch, rules.shortest)
+            lines += len(some)
+            found, n = np.unique(bags(some)[0], return_counts=True)
+            many = n * 10 > rules.common * len(some)  # a word of the share has a tenth of it in most pieces
+            words, inverse = np.unique(np.concatenate([words, found[many]]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, n[many]]), len(words)).astype(np.int64)
+        made = pa.array([None, *words.view(np.int64).tolist()], pa.int64()), pa.array([lines, *counts.tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays(list(made), ["word", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = staged(counts)
+    lines = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("word").isNotNull() & (F.col("n") > rules.common * lines)).select("word").collect()
+    unstage(counts)
+    return np.sort(np.array([r["word"] for r in got], np.int64).view(np.uint64))
+
+
+def telling(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bags without common elements, but for those that would have too few left."""
+    if not len(common):
+        return values, sizes
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
+    stay = rare | (np.bincount(line[rare], minlength=len(sizes)) < least)[line]
+    return values[stay], np.bincount(line[stay], minlength=len(sizes))
+
+
+def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows of ``PACKED``: the keys of some lines by bucket, with the lines' ids (half of their hash) and words.
 
     A key that many of these lines hold is sent to a bucket below zero, where nobody waits for others of it, and leaves
     a mark (0 words) in its own.
     """
     values, sizes = bags(lines)
-    keys = band_keys(values, np.cumsum(np.r_[0, sizes[:-1]]), rules.permutations, rules.rows)
+    told, counts = telling(values, sizes, common, rules.least)
+    keys = band_keys(told, np.cumsum(np.r_[0, counts[:-1]]), rules.permutations, rules.rows)
     order = np.argsort(keys.ravel())
     key, owner = keys.ravel()[order], order // keys.shape[1]
     ids = names_of(lines)[0]
@@ -226,12 +270,13 @@ def find_shared(table: pa.Table, percent: int) -> pa.Table:
 def bucket_members(docs: DataFrame, rules: LineRules, text_col: str) -> DataFrame:
     """``key``, ``id``, ``n`` of lines that share a key with others."""
     buckets = bucket_count(docs, text_col, BUCKET_BYTES, LEAST_BUCKETS)
+    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, rules, text_col))  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             lines = distinct_lines(batch, rules.shortest)
             if lines:
-                rows = zip(*send_keys(lines, rules, buckets))
+                rows = zip(*send_keys(lines, rules, common.value, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, PACKED.values())], list(PACKED))
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, ids binary, sizes binary")
@@ -268,7 +313,8 @@ def comparer(texts: DataFrame, rules: LineRules) -> Compare:
 
                 hub, own = (np.array([at[line] for line in side], np.int64) for side in (x, y))
                 linked, more = differences(values, np.r_[0, np.cumsum(sizes)], hub, own, rules, accept, whole)
-                yield pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+                yield made if whole else made.filter(made.column(2))
 
     def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))

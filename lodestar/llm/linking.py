@@ -1,12 +1,12 @@
 """Connected components, and links inside buckets of candidates without emitting all pairs of a bucket.
 
 Things are sets (shingles of a document, words of a line with their occurrence numbers), and a relation says how many
-elements two sets of given sizes must share before they may be linked. Each bucket has a hub that all its members are
-compared with. What is not near the hub is then found by what it does not share with the hub:
+elements two sets of given sizes must share before they may be linked. Small buckets are compared in full; a large one has
+a hub that all its members are compared with. What is not near the hub is then found by what it does not share with the hub:
 
 * If x and y share only elements of the hub h, x is not near h, and y is at least as large as h, then x and y share less
-  than they must: x would be near h. So they share an element that h lacks. If they must share s, and x shares r with h,
-  they share at least s - r that h lacks; so all but the last s - r - 1 of those of x, rarest first, are looked up.
+  than they must: x would be near h. So they share an element that h lacks. If they must share s, and one of them shares
+  r with h, they share at least s - r that h lacks; so all but the last s - r - 1 of each, rarest first, are looked up.
 * If y is smaller than h, and x and y still share only elements of h, then h has elements that both lack, and all but a
   few of those that y lacks.
 
@@ -17,6 +17,7 @@ No pair of a bucket that may be linked is left out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import staged, unstage
 
-#: In buckets of at most this many members the smallest is the hub, so that no member is smaller; in larger ones the
-#: member that shares most buckets with others.
-SMALL_BUCKET = 12
+#: Buckets of at most this many members are compared in full: at most half as many pairs as members times this number.
+SMALL_BUCKET = 6
 
 
 class Relation(Protocol):
@@ -41,12 +41,15 @@ class Relation(Protocol):
     def need_of(self, n: Column, m: Column) -> Column:
         """The same of columns."""
 
+    def least_of(self, n: Column) -> Column:
+        """Size of the smallest set that may be linked to one of ``n`` elements."""
+
     def possible(self, n: Column, m: Column) -> Column:
         """Whether sets of these sizes may be linked at all."""
 
 
-#: Given pairs (``a``, ``b``) and whether their differences are asked for, returns for each ``a``, ``b``, ``linked`` and,
-#: if asked for, the columns of ``DIFFERENCES``.
+#: Given pairs (``a``, ``b``) and whether their differences are asked for, returns ``a``, ``b``, ``linked`` and, if so, the
+#: columns of ``DIFFERENCES`` of each; if not, linked pairs will do.
 Compare = Callable[[DataFrame, bool], DataFrame]
 DIFFERENCES = "near boolean, hub_size int, size int, shared int, extras int, extra array<bigint>, lacks array<bigint>, told array<bigint>"
 
@@ -129,15 +132,20 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """``a`` (the hub of a bucket) and ``b`` (another member), each pair once."""
+def pairs_of(members: DataFrame, relation: Relation) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``a``, ``b``) of small buckets, and pairs of a large bucket's hub with its other members; each pair once.
+
+    The hub is the member that shares most buckets with others.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("members"))
     sized = members.join(sizes.where("members > 1"), "key")
-    central = sized.groupBy("id").agg(F.sum("members").alias("central"))
-    ranked = sized.join(central, "id")
-    large = F.when(F.col("members") > SMALL_BUCKET, F.col("central"))
-    hub = ranked.groupBy("key").agg(F.max_by("id", F.struct(large, -F.col("n"), "id")).alias("hub"))
-    return sized.join(hub, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    small, large = sized.where(F.col("members") <= SMALL_BUCKET), sized.where(F.col("members") > SMALL_BUCKET)
+    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("m"))
+    small = small.select("key", F.col("id").alias("a"), "n").join(other, "key").where(F.col("a") < F.col("b"))
+    small = small.where(relation.possible(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    central = large.groupBy("id").agg(F.sum("members").alias("central"))
+    hub = large.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("n"), "id")).alias("hub"))
+    return small, large.join(hub, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
@@ -148,29 +156,33 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     rest = staged(named.join(state.where("parted and least < most").select("a", "smallest"), "a"))
     facts = ["component", "size", "shared", "extras"]
 
-    def joined(some: DataFrame, others: DataFrame, on: list[str], also: Column = F.lit(True)) -> DataFrame:
-        others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in facts))
-        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c")) & also
-        return some.select(*on, "b", *facts).join(others, on).where(may).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
+    def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column) -> DataFrame:
+        others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in others.columns if x not in (*on, "b")))
+        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c"))
+        both = some.join(others, on).where(reduce(lambda x, y: x & y, also, may))
+        return both.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
 
     # Elements that the hub lacks: those of one member alone go; of the others each unlinked member keeps its rarest.
-    fewest = relation.need_of(F.col("size"), F.least("smallest", "hub_size")) - F.col("shared")
-    take = F.col("extras") + 1 - F.when(F.col("near"), 1).otherwise(F.greatest(F.lit(1), fewest))
-    own = rest.select("a", "b", *facts, "linked", take.cast("int").alias("take"), F.explode("extra").alias("e"))
+    fewest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
+    fewest = F.greatest(F.lit(1), relation.need_of(F.col("size"), fewest) - F.col("shared"))
+    own = rest.select("a", "b", *facts, "linked", (F.col("extras") + 1 - fewest).alias("take"), F.explode("extra").alias("e"))
     known = own.groupBy("a", "e").agg(F.count("*").alias("holders"), F.max(~F.col("linked")).alias("parted"))
     kept = own.join(known.where("holders > 1 and parted").select("a", "e", "holders"), ["a", "e"])
     apart = kept.where("not linked").groupBy("a", "b", *facts, "take").agg(F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("some"))
-    most = F.greatest(F.lit(0), F.col("take") - (F.col("extras") - F.size("some")))
-    apart = staged(apart.select("a", "b", *facts, F.explode(F.slice("some", F.lit(1), most)).alias("some")).select("a", "b", *facts, F.col("some.e").alias("e")))
-    others = kept.where("linked").select("a", "b", *facts, "e").union(apart.select("a", "b", *facts, "e"))
-    enough = relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c") <= F.least("extras", "extras_c")
-    by_extra = joined(apart, others, ["a", "e"], enough)
+    lone = F.col("extras") - F.size("some")
+    first = F.slice("some", F.lit(1), F.greatest(F.lit(0), F.col("take") - lone).cast("int"))
+    apart = apart.select("a", "b", *facts, lone.alias("lone"), F.posexplode(first).alias("place", "some"))
+    apart = staged(apart.select("a", "b", *facts, (F.col("place") + 1 + F.col("lone")).alias("rank"), F.col("some.e").alias("e")))
+    others = kept.where("linked").select("a", "b", *facts, F.lit(0).alias("rank"), "e").union(apart.select("a", "b", *facts, "rank", "e"))
+    # How many elements that the hub lacks these two must share: more than one lets the last ones of each go.
+    must = F.greatest(F.lit(1), relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c"))
+    by_extra = joined(apart, others, ["a", "e"], *(F.col(f"rank{x}") <= F.col(f"extras{x}") + 1 - must for x in ("", "_c")))
     # Elements that both lack, where one is smaller than the hub.
     told = rest.where(F.size("told") > 0).select("a", "b", *facts, F.explode("told").alias("e"))
     lacks = rest.where("not linked").select("a", "b", *facts, F.explode("lacks").alias("e")).join(told.select("a").distinct(), "a", "left_semi")
     by_lack = joined(lacks, told, ["a", "e"])
     # Near the hub but not linked: nothing is known of these but their sizes.
-    by_hub = joined(rest.where("near and not linked"), rest, ["a"], F.col("b") != F.col("c"))
+    by_hub = joined(rest.where("near and not linked").select("a", "b", *facts), rest.select("a", "b", *facts), ["a"])
     return by_extra.union(by_lack).union(by_hub).distinct()
 
 
@@ -178,14 +190,16 @@ def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> Da
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
     ``members`` holds ``key``, ``id`` and ``n`` (elements of the id's set), distinct; two ids may be linked only if they
-    share a key. Two turns: each bucket's members are compared with its hub, then pairs from the differences to a hub.
+    share a key. Two turns: large buckets' members are compared with a hub, then pairs from the differences to a hub.
     Keys, hubs and elements that very many hold are only ever keys of joins and of partial aggregates.
     """
-    compared = staged(compare(hub_pairs(members), True))
-    links = compared.where("linked").select("a", "b")
+    small, large = pairs_of(members, relation)
+    close = staged(compare(small, False).where("linked").select("a", "b"))
+    compared = staged(compare(large, True))
+    links = compared.where("linked").select("a", "b").union(close)
     labels = components(links)
     more = staged(compare(rest_pairs(compared, labels, relation), False).where("linked").select("a", "b"))
     found = components(links.union(more)) if more.limit(1).count() else labels
-    for table in (compared, more, *((labels,) if found is not labels else ())):
+    for table in (close, compared, more, *((labels,) if found is not labels else ())):
         unstage(table)
     return found

@@ -47,6 +47,9 @@ class NearRules:
     def need_of(self, n: Column, m: Column) -> Column:
         return F.ceil(self.percent * (n + m) / (100 + self.percent)).cast("int")
 
+    def least_of(self, n: Column) -> Column:
+        return F.ceil(self.percent * n / 100).cast("int")
+
     def possible(self, n: Column, m: Column) -> Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
@@ -149,7 +152,8 @@ def comparer(texts: DataFrame, rules: NearRules) -> Compare:
                 hub, own = (np.array([at[x] for x in k], np.int64) for k in keys)
                 values = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 linked, more = differences(values, offsets, hub, own, rules, lambda near: np.ones(len(near), bool), whole)
-                yield pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+                yield made if whole else made.filter(made.column(2))
 
     def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
