@@ -46,8 +46,10 @@ class LineRules:
     percent: int = 80
     permutations: int = 32
     rows: int = 4  #: values in a band
-    common: float = 0.01  #: words that this share of the lines hold are left out of the keys,
-    least: int = 3  #: but of lines that have fewer other words
+    common: float = 0.01  #: keys come from words that no larger share of the lines holds,
+    few: float = 0.2  #: but from all words of lines with fewer of those (copies of a line that very many copy),
+    some: float = 0.45  #: and from both where lines have fewer than this share
+    least: int = 8  #: or this number
 
     def edits(self, n):
         return n * (100 - self.percent) // 100
@@ -200,14 +202,21 @@ def common_words(docs: DataFrame, rules: LineRules, text_col: str) -> np.ndarray
     return np.sort(np.array([r["word"] for r in got], np.int64).view(np.uint64))
 
 
-def telling(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bags without common elements, but for those that would have too few left."""
-    if not len(common):
-        return values, sizes
+def told_by(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, rules: LineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bags from which keys are made: elements, how many of each bag, and the line of each bag (one or two of a line).
+
+    Two similar lines have one kind of bag in common: their shares of rare words differ by less than ``some - few``.
+    """
     line = np.repeat(np.arange(len(sizes)), sizes)
-    rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
-    stay = rare | (np.bincount(line[rare], minlength=len(sizes)) < least)[line]
-    return values[stay], np.bincount(line[stay], minlength=len(sizes))
+    rare = np.ones(len(values), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
+    left = np.bincount(line[rare], minlength=len(sizes))
+    by_rare = (left > 0) & (left >= rules.few * sizes)
+    by_all = ~by_rare | (left < sizes) & ((left < rules.some * sizes) | (left < rules.least))
+    first, second = rare & by_rare[line], by_all[line]
+    lines = np.concatenate([np.flatnonzero(by_rare), np.flatnonzero(by_all)])
+    return np.concatenate([values[first], values[second]]), np.concatenate([left[by_rare], sizes[by_all]]), lines
 
 
 def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -217,10 +226,10 @@ def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets:
     a mark (0 words) in its own.
     """
     values, sizes = bags(lines)
-    told, counts = telling(values, sizes, common, rules.least)
+    told, counts, line = told_by(values, sizes, common, rules)
     keys = band_keys(told, np.cumsum(np.r_[0, counts[:-1]]), rules.permutations, rules.rows)
     order = np.argsort(keys.ravel())
-    key, owner = keys.ravel()[order], order // keys.shape[1]
+    key, owner = keys.ravel()[order], line[order // keys.shape[1]]
     ids = names_of(lines)[0]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     many = np.repeat(np.diff(np.r_[first, len(key)]) >= HOT_IN_PIECE, np.diff(np.r_[first, len(key)]))
