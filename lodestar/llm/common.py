@@ -18,10 +18,12 @@ PIECE_BYTES = 4 << 20
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs on one
+    machine a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not base:
         base = f"file://{tempfile.gettempdir()}/lodestar-shared"
     return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
@@ -43,10 +45,6 @@ def unstage(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shuffle_partitions, text_bytes
+from lodestar.llm.common import text_bytes
 
 #: Rows of a group, on average.
 GROUP_ROWS = 2048
@@ -61,9 +61,10 @@ def pack(
     No bin holds more than ``capacity`` bytes, two pieces from one source or two from one duplicate cluster (``cluster``;
     by default texts that are equal but for case). Longer texts are cut at multiples of the capacity; whole pieces have
     bins to themselves, the rest is packed. Null and empty texts are one piece of no bytes; null sources and clusters
-    conflict with nothing. An empty table gives no rows; other columns are not carried.
+    conflict with nothing. Repeated rows are packed as often as they come. An empty table gives no rows; other columns
+    are not carried. Groups follow from the number of rows alone, and bins from the rows, whatever the session's settings.
     """
-    groups = max(shuffle_partitions(docs.sparkSession), -(-docs.count() // GROUP_ROWS))
+    groups = max(1, -(-docs.count() // GROUP_ROWS))
     if cluster is None:
         cluster = F.when(F.octet_length(text_col) > 0, F.xxhash64(F.lower(text_col)))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -73,16 +74,19 @@ def pack(
         F.xxhash64(source_col).alias("source_key"),
         F.col(source_col).isNull().alias("no_source"),
         cluster.alias("cluster"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).alias("group"),
+        F.xxhash64(text_col).alias("print"),
     )
+    # Equal rows are numbered, so that many of them don't meet in one group.
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("times")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "print", "copy"), F.lit(groups))).drop("times")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "id"], kind="stable", ignore_index=True)
+        group = group.sort_values(["size", "id", "print", "copy"], kind="stable", ignore_index=True)
         number = int(group["group"].iloc[0])
         whole = group["size"] // capacity
         rest = group["size"] % capacity
         packed = group.assign(rest=rest, whole=whole)[(rest > 0) | (whole == 0)]
-        packed = packed.sort_values(["rest", "id"], ascending=[False, True], kind="stable")
+        packed = packed.sort_values("rest", ascending=False, kind="stable")
         placed = best_fit(
             packed["rest"].tolist(), numbered(packed["source_key"].where(~packed["no_source"])), numbered(packed["cluster"]), capacity
         )

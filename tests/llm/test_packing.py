@@ -53,5 +53,20 @@ def test_null_sources_conflict_with_nothing_and_empty_table(make_docs):
     from pyspark.sql import functions as F
 
     docs = make_docs([f"t{k}" for k in range(30)]).withColumn("source", F.lit(None).cast("string"))
-    assert len({r.bin.split("-")[0] for r in pack(docs, 8192).collect()}) == pack(docs, 8192).select("bin").distinct().count()
+    assert pack(docs, 8192).select("bin").distinct().count() == 1
     assert pack(make_docs([])).count() == 0
+
+
+def test_bins_do_not_hang_on_the_session(spark, make_docs, monkeypatch):
+    """Equal bins at any number of partitions, and as a plain version packs each group; repeated rows among them."""
+    monkeypatch.setattr("lodestar.llm.packing.GROUP_ROWS", 50)
+    draw = random.Random(5)
+    rows = [(i, "z" * draw.randint(0, 900)) for i in range(180)] + [(3, "repeated")] * 40
+    docs, found = make_docs(rows).cache(), []
+    for n in ("1", "7", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, pack(docs, 1000).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 220
+    used = sum(r[3] for r in found[0])
+    assert used / (1000 * len({r[4] for r in found[0]})) > 0.4  # three sources: at most three pieces a bin
