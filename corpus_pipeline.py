@@ -20,8 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.4
 #: A word character in the sense of the operators: anything but the six blanks.
 WORD = r"[^\x20\x09-\x0D]"
-#: As ``langid.LETTER``.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: As Unicode and ``langid`` have it.
+LETTER = r"\p{L}"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

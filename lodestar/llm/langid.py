@@ -7,7 +7,6 @@ sample of windows; prediction sees every byte of every text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, texts_of
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
@@ -126,7 +124,7 @@ class ByteNet:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and mean probability over all windows of each text; ``und`` and 0 without letters."""
-        spoken = [i for i, x in enumerate(texts) if x and LETTER.search(x)]
+        spoken = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))]  # Unicode's letters (category L)
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if spoken and self.languages:
             cut = [windows_of(texts[i].encode(), self.shape.window) for i in spoken]

@@ -3,7 +3,7 @@
 Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Lines that
 are similar share two thirds of their words or more, and so most likely a band of smallest and largest word hashes; lines
 that share a band are candidates, and the edit similarity of their words decides. Words of very many lines don't count
-in the bands: lines that share only those would be candidates.
+in the bands: lines that share only those would be candidates. Lines that may differ by one edit share a half besides.
 
 SimHashes, by whose blocks such lines are usually found, lie as far apart for lines of 80 % edit similarity as 13 of 64
 bits: blocks that find those also find most other pairs. README gives figures.
@@ -32,7 +32,7 @@ NORMAL = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 #: Bytes of lines that are hashed together.
 CHUNK_BYTES = 256 << 10
 #: Text whose keys meet in one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 12
 #: A key that so many lines of one piece hold is exchanged by Spark's own rows, where hot keys are split.
 HOT_IN_PIECE = 16
@@ -148,8 +148,18 @@ def distinct_lines(batch: pa.RecordBatch, least: int) -> list[bytes]:
     return list({x: None for text in texts_of(batch) for x in normal_lines(text) if x.count(b" ") + 1 >= least and x})
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``print`` (64-bit hash of the text), ``line`` (from 0), ``low``, ``high`` (the line's hash): lines with words."""
+def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``print`` (64-bit hash of the text), ``line`` (from 0), ``low``, ``high`` (the line's hash): lines with words.
+
+    In the same pass all lines' words are counted: rows without ``print`` have an element of bags as ``low`` (null: all
+    lines), and in ``high`` how many lines of a piece hold it, if that is a tenth of the ``common`` share or more.
+    """
+
+    def counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        some = [x for x in dict.fromkeys(lines) if x.count(b" ") + 1 >= rules.shortest]
+        words, n = np.unique(bags(some)[0], return_counts=True)
+        many = n * 10 > rules.common * len(some)
+        return np.r_[len(some), n[many]], words[many].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -163,43 +173,30 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if at:
                 ids, prints = (batch.column(k).take(pa.array(at, pa.int64())) for k in range(2))
                 low, high = names_of(found)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], ["id", "print", "line", "low", "high"]
-                )
+                yield pa.RecordBatch.from_arrays([ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], names)
+                n, words = counted(found)
+                none = [pa.nulls(len(n), k) for k in (ids.type, pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.r_[0, words], mask=np.arange(len(n)) == 0), pa.array(n)], names)
 
+    names = ["id", "print", "line", "low", "high"]
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, print long, line int, low long, high long")
 
 
-PACKED = {"bucket": pa.int64(), "keys": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
-
-
-def common_words(docs: DataFrame, rules: LineRules, text_col: str) -> np.ndarray:
-    """The elements of bags that are too common to be told by, in order.
+def common_words(counts: DataFrame, rules: LineRules) -> np.ndarray:
+    """The elements of bags (in order) that more than the ``common`` share of the lines holds.
 
-    All lines are counted. A task leaves out what a tenth of the share of its lines hold, so counts are at most so much
-    too low. There are at most as many such words as a line has on average, divided by the share.
+    What a piece left out makes a count too low by a tenth of the share at most. There are no more such words than lines
+    have on average, divided by the share.
     """
+    total = counts.where("low is null").agg(F.sum("high")).first()[0] or 0
+    sums = counts.where("low is not null").groupBy("low").agg(F.sum("high").alias("n"))
+    got = sums.where(F.col("n") > rules.common * total).select("low").collect()
+    return np.sort(np.array([r["low"] for r in got], np.int64).view(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, lines = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in pieces(batches):
-            some = distinct_lines(batch, rules.shortest)
-            lines += len(some)
-            found, n = np.unique(bags(some)[0], return_counts=True)
-            many = n * 10 > rules.common * len(some)  # a word of the share has a tenth of it in most pieces
-            words, inverse = np.unique(np.concatenate([words, found[many]]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n[many]]), len(words)).astype(np.int64)
-        made = pa.array([None, *words.view(np.int64).tolist()], pa.int64()), pa.array([lines, *counts.tolist()], pa.int64())
-        yield pa.RecordBatch.from_arrays(list(made), ["word", "n"])
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = staged(counts)
-    lines = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
-    got = counts.where(F.col("word").isNotNull() & (F.col("n") > rules.common * lines)).select("word").collect()
-    unstage(counts)
-    return np.sort(np.array([r["word"] for r in got], np.int64).view(np.uint64))
+
+PACKED = {"bucket": pa.int64(), "keys": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
 
 
 def told_by(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, rules: LineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +216,34 @@ def told_by(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, rules: Li
     return np.concatenate([values[first], values[second]]), np.concatenate([left[by_rare], sizes[by_all]]), lines
 
 
+def line_keys(values: np.ndarray, sizes: np.ndarray, rules: LineRules) -> np.ndarray:
+    """One row of band keys for each bag, from 32 bits of each element; some bags at a time, as caches are small."""
+    edges, short = np.r_[0, np.cumsum(sizes)], (values >> np.uint64(32)).astype(np.uint32)
+    out, first = [np.zeros((0, 2 * rules.permutations // rules.rows), np.uint64)], 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + 50_000, side="right")) - 1)
+        out.append(band_keys(short[edges[first] : edges[last]], edges[first:last] - edges[first], rules.permutations, rules.rows))
+        first = last
+    return np.concatenate(out)
+
+
+def half_keys(lines: list[bytes], rules: LineRules) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines so short that one edit is allowed, and the lines: their first and their last half.
+
+    One edit leaves one of the two halves as it is, so no such pair is missed; halves are those of the longer line.
+    """
+    keys, owner = [], []
+    for i, line in enumerate(lines):
+        n = line.count(b" ") + 1
+        for longer in (n, n + 1):
+            if rules.edits(longer) == 1:
+                words = line.split(b" ")
+                for which, side in (b"first", words[: longer // 2]), (b"last", words[n - longer // 2 :]):
+                    keys.append(xxhash.xxh3_64_intdigest(b" ".join([*side, which, b"%d" % longer])))
+                    owner.append(i)
+    return np.array(keys, np.uint64), np.array(owner, np.int64)
+
+
 def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows of ``PACKED``: the keys of some lines by bucket, with the lines' ids (half of their hash) and words.
 
@@ -227,9 +252,11 @@ def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets:
     """
     values, sizes = bags(lines)
     told, counts, line = told_by(values, sizes, common, rules)
-    keys = band_keys(told, np.cumsum(np.r_[0, counts[:-1]]), rules.permutations, rules.rows)
-    order = np.argsort(keys.ravel())
-    key, owner = keys.ravel()[order], line[order // keys.shape[1]]
+    keys = line_keys(told, counts, rules)
+    halves, short = half_keys(lines, rules)
+    key, owner = np.concatenate([keys.ravel(), halves]), np.concatenate([np.repeat(line, keys.shape[1]), short])
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
     ids = names_of(lines)[0]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     many = np.repeat(np.diff(np.r_[first, len(key)]) >= HOT_IN_PIECE, np.diff(np.r_[first, len(key)]))
@@ -276,20 +303,20 @@ def find_shared(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"key": pa.array(key.view(np.int64)), "id": pa.array(ids), "n": pa.array(n.astype(np.int32))})
 
 
-def bucket_members(docs: DataFrame, rules: LineRules, text_col: str) -> DataFrame:
+def bucket_members(docs: DataFrame, rules: LineRules, common: np.ndarray, text_col: str) -> DataFrame:
     """``key``, ``id``, ``n`` of lines that share a key with others."""
     buckets = bucket_count(docs, text_col, BUCKET_BYTES, LEAST_BUCKETS)
-    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, rules, text_col))  # a few thousand numbers
+    told = docs.sparkSession.sparkContext.broadcast(common)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             lines = distinct_lines(batch, rules.shortest)
             if lines:
-                rows = zip(*send_keys(lines, rules, common.value, buckets))
+                rows = zip(*send_keys(lines, rules, told.value, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, PACKED.values())], list(PACKED))
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, ids binary, sizes binary")
-    met = sent.repartition(2 * buckets, "bucket").groupBy("bucket")
+    met = sent.repartition(buckets, "bucket").groupBy("bucket")
     return met.applyInArrow(lambda table: find_shared(table, rules.percent), "key long, id long, n int").distinct()
 
 
@@ -343,23 +370,31 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     table, or one without repeated lines, gives no rows; other columns are not carried. Lines are told apart by 128-bit
     hashes; one that shares half of its hash with another line is only compared for equality.
     """
-    rows = staged(line_rows(docs, id_col, text_col))
-    place = F.struct("id", "print", "line")
-    lines = staged(rows.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("times")))
-    candidates = staged(bucket_members(docs, rules, text_col))
+    found = staged(line_rows(docs, rules, id_col, text_col))
+    common = common_words(found.where("print is null").select("low", "high"), rules)
+    rows = found.where("print is not null")
+    candidates = staged(bucket_members(docs, rules, common, text_col))
     ids = candidates.select("id").distinct()
-    texts = line_texts(docs, text_col, rules.shortest).join(ids, "id", "left_semi").groupBy("id")
+    texts = line_texts(docs, text_col, rules.shortest).join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id")
     texts = texts.agg(F.min("high").alias("high"), F.max("high").alias("other"), F.min("text").alias("text")).where("high = other")
     texts = staged(texts.drop("other"))
     labels = link_buckets(candidates, comparer(texts, rules), rules)
     labels = labels.join(texts.select("id", "high"), "id").withColumnRenamed("id", "low")
 
-    grouped = lines.join(labels, ["low", "high"], "left").where("times > 1 or component is not null")
-    grouped = grouped.select("low", "high", "first", F.struct(F.coalesce("component", "low").alias("low"), F.when(F.col("component").isNull(), F.col("high")).alias("high")).alias("component"))
-    stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
-    stays = grouped.join(stays, "component").select("low", "high", "stays")
-    gone = rows.join(stays, ["low", "high"]).where(~place.eqNullSafe(F.col("stays")))
-    return gone.groupBy("id", "print").agg(F.sort_array(F.collect_set("line")).alias("removed")).withColumnRenamed("id", id_col)
+    # Lines that come twice or have a component; of these alone the occurrences are put in order.
+    name = ["low", "high"]
+    twice = rows.groupBy(*name).agg(F.count("*").alias("times")).where("times > 1").select(*name)
+    named = twice.join(labels, name, "full").select(*name, F.coalesce("component", "low").alias("group"), F.when(F.col("component").isNull(), F.col("high")).alias("alone"))
+    place = F.struct("id", "print", "line")
+    seen = staged(rows.join(named.hint("shuffle_hash"), name).select("id", "print", "line", "group", "alone"))
+    stays = seen.groupBy("group", "alone").agg(F.min(place).alias("stays"))
+    same = F.col("group") == F.col("g")
+    stays = stays.select(F.col("group").alias("g"), F.col("alone").alias("a"), "stays")
+    gone = seen.join(stays, same & F.col("alone").eqNullSafe(F.col("a"))).where(~place.eqNullSafe(F.col("stays")))
+    out = gone.groupBy("id", "print").agg(F.sort_array(F.collect_set("line")).alias("removed")).withColumnRenamed("id", id_col)
+    for table in (found, candidates, texts):
+        unstage(table)
+    return out
 
 
 def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

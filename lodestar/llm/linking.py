@@ -177,10 +177,13 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     # How many elements that the hub lacks these two must share: more than one lets the last ones of each go.
     must = F.greatest(F.lit(1), relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c"))
     by_extra = joined(apart, others, ["a", "e"], *(F.col(f"rank{x}") <= F.col(f"extras{x}") + 1 - must for x in ("", "_c")))
-    # Elements that both lack, where one is smaller than the hub.
-    told = rest.where(F.size("told") > 0).select("a", "b", *facts, F.explode("told").alias("e"))
-    lacks = rest.where("not linked").select("a", "b", *facts, F.explode("lacks").alias("e")).join(told.select("a").distinct(), "a", "left_semi")
-    by_lack = joined(lacks, told, ["a", "e"])
+    # Elements that both lack, where one is smaller than the hub and the hub's elements may be all that they share: of those
+    # that the smaller one lacks, the other has at most so many as it shares more with the hub than with the smaller one.
+    told = rest.where(F.size("told") > 0).select("a", "b", *facts, F.posexplode("told").alias("place", "e"))
+    lacks = rest.where("not linked").select("a", "b", *facts, F.lit(0).alias("place"), F.explode("lacks").alias("e"))
+    lacks = lacks.join(told.select("a").distinct(), "a", "left_semi")
+    may_need = relation.need_of(F.col("size"), F.col("size_c"))
+    by_lack = joined(lacks, told, ["a", "e"], may_need <= F.col("shared_c"), F.col("place_c") <= F.col("shared") - may_need)
     # Near the hub but not linked: nothing is known of these but their sizes.
     by_hub = joined(rest.where("near and not linked").select("a", "b", *facts), rest.select("a", "b", *facts), ["a"])
     return by_extra.union(by_lack).union(by_hub).distinct()

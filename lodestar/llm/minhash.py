@@ -91,19 +91,20 @@ class Shingler:
         return np.unique(out)
 
 
-def permutation_factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+def permutation_factors(permutations: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20)
     factors = draw.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
-    return factors, draw.integers(0, 1 << 63, permutations, np.uint64)
+    return factors.astype(kind), draw.integers(0, 1 << 63, permutations, np.uint64).astype(kind)
 
 
 def band_keys(values: np.ndarray, starts: np.ndarray, permutations: int, rows: int) -> np.ndarray:
-    """One row of band keys for each set: ``values`` holds the sets' elements, set after set, none of them empty."""
-    factors, shifts = permutation_factors(permutations)
-    signature = np.empty((2, permutations, len(starts)), np.uint64)
+    """One row of band keys for each set: ``values`` (64 or 32 bits) holds the sets' elements, set after set, none empty."""
+    factors, shifts = permutation_factors(permutations, values.dtype)
+    half = values.dtype.type(values.dtype.itemsize * 4 - 1)
+    signature = np.empty((2, permutations, len(starts)), values.dtype)
     for k in range(permutations):
         hashed = (values ^ shifts[k]) * factors[k]
-        hashed ^= hashed >> np.uint64(31)
+        hashed ^= hashed >> half
         signature[0, k] = np.minimum.reduceat(hashed, starts)
         signature[1, k] = np.maximum.reduceat(hashed, starts)
     # Neighbouring rows of a band come from different permutations: first all minima, then all maxima.

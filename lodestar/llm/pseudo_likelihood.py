@@ -21,8 +21,10 @@ RADIUS = 2  #: bytes on either side
 SIDES = [k for k in range(2 * RADIUS + 1) if k != RADIUS]
 #: Distinct windows that a task counts, or a worker remembers, before it starts anew.
 KEPT_WINDOWS = 3_000_000
-#: Replicas of the network: what the driver averages is this many times its weights.
-REPLICAS = 8
+#: Distinct windows of a replica of the network, fewest and most replicas: the driver averages as many times the weights.
+#: Beyond the most, replicas learn from more windows each.
+REPLICA_WINDOWS = 250_000
+FEWEST, MOST = 8, 256
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class NetShape:
     hidden: int = 48
     rounds: int = 3
     batch: int = 512
-    draws: int = 40  #: batches for each 10,000 windows or part of them
+    draws: int = 40  #: batches for each 10,000 distinct windows or part of them (an Arrow batch)
     rate: float = 0.004
 
 
@@ -130,8 +132,10 @@ class WindowNet:
 
 
 def train_on(counts: DataFrame, shape: NetShape = NetShape()) -> WindowNet:
-    """A network trained on all counted windows: shares of them by replicas, whose weights are averaged."""
+    """A network trained on the counted windows: every window may be drawn, by its count; replicas, whose weights are
+    averaged after each round, have a share of the windows each and draw in proportion to its distinct windows."""
     spark = counts.sparkSession
+    replicas = min(MOST, max(FEWEST, -(-counts.count() // REPLICA_WINDOWS)))
     net = WindowNet(shape)
     for turn in range(shape.rounds):
         start = spark.sparkContext.broadcast(net.flat())  # a few ten thousand weights
@@ -162,7 +166,7 @@ def train_on(counts: DataFrame, shape: NetShape = NetShape()) -> WindowNet:
                 made = [pa.array([float(seen)]), pa.array([mine.flat().astype("<f4").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, ["seen", "weights"])
 
-        rows = counts.repartition(REPLICAS).mapInArrow(run, "seen double, weights binary").collect()
+        rows = counts.repartition(replicas, "window").mapInArrow(run, "seen double, weights binary").collect()
         if not rows:
             break
         share = np.array([r["seen"] for r in rows])

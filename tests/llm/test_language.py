@@ -71,3 +71,17 @@ def test_every_language_is_learned(make_docs):
     rows = [(k, f"text of {k}") for k in range(1600)]
     docs = make_docs(rows, langs=[f"l{k % 220:03}" for k in range(1600)])
     assert len(train_on(docs, shape=NetShape(steps=1)).languages) == 220
+
+
+def test_letters_windows_and_mean_scores(make_docs):
+    """Numbers that look like letters are none; a text's score is the plain mean over its windows."""
+    shape = NetShape(window=16)
+    net = ByteNet(shape, ["a", "b", "c"])
+    assert net.predict(["½ ² Ⅷ ① 12", "٣", "ª", "漢"])[0][:2] == ["und", "und"] and "und" not in net.predict(["ª", "漢"])[0]
+    for text in ("short", "x" * 16, "some text of more than one window, " * 3):
+        raw = text.encode()
+        cut = [raw.ljust(16, b"\0")] if len(raw) <= 16 else [raw[i : i + 16] for i in range(0, len(raw) - 15, 16)] + ([raw[-16:]] if len(raw) % 16 else [])
+        assert [w.tobytes() for w in windows_of(raw, 16)] == cut
+        mean = np.mean([net.probabilities(np.frombuffer(w, np.uint8)[None])[0] for w in cut], axis=0)
+        names, scores = net.predict([text])
+        assert names == ["abc"[mean.argmax()]] and abs(scores[0] - mean.max()) < 1e-5
