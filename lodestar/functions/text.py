@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-VERSION_WORDS = "remaster|remastered|remix|edit|version|mix|radio|extended|original|live|mono|stereo"
+# Words at the end of a title that name a version of it.
+VERSION_WORDS = "remaster|remastered|radio|edit|extended|original|version|mix|mixed|mono|stereo|deluxe"
 
 
 def _col(c: Column | str) -> Column:

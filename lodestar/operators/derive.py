@@ -1,4 +1,4 @@
-"""labels that follow from evidence (DOM-04, DOM-11 to DOM-13, DOM-17, DOM-18, DOM-25, JON-15 to JON-17, JON-22)."""
+"""labels that follow from evidence (DOM-04, DOM-11, DOM-12, DOM-13, DOM-17, DOM-18, DOM-25, JON-15 to JON-17, JON-22)."""
 
 from __future__ import annotations
 
@@ -36,6 +36,53 @@ def contained_labels(labels: DataFrame, longer: DataFrame, id_col: str, label: s
     return pairs.where(F.contains(F.col(other), F.col(label))).select(*labels.columns).distinct()
 
 
+# Fixed values of the import rules: for each family of labels the least mean and 90th percentile, the kind of a label that
+# passes (and, where the catalogue has a say, of one that it does not know), and the confidence: base, share of the mean,
+# what agreement adds, share of the coverage.
+IMPORT_RULES = {
+    "mood": (0.10, 0.18, "mood", "mood", 0.48, 1.5, 0.0, 0.12),
+    "mood_weak": (0.04, 0.0, "mood_candidate", "mood_candidate", 0.35, 1.5, 0.0, 0.0),
+    "genre": (0.12, 0.22, "genre", "genre_audio_candidate", 0.42, 0.7, 0.15, 0.0),
+    "style": (0.32, 0.45, "subgenre", "audio_style_candidate", 0.40, 1.0, 0.0, 0.0),
+    "instrument": (0.20, 0.40, "instrument", "instrument", 0.40, 0.65, 0.0, 0.15),
+}
+# Least probability of a binary mood, and the support it needs from the larger model.
+HEAD_LEAST, HEAD_SUPPORT = 0.75, {"happy": 0.08, "sad": 0.08, "relaxed": 0.08, "aggressive": 0.06, "party": 0.04}
+
+
+def agreeing(items: DataFrame, catalogue: DataFrame, id_col: str, tag: str, other: str, least: int = 5) -> DataFrame:
+    """``id_col``, ``tag`` of the items that the entity's catalogue labels equal, or that a label of ``least`` letters or
+    more contains (JON-17, DOM-12)."""
+    known = catalogue.select(id_col, F.lower(other).alias("__known")).distinct()
+    pairs = items.select(id_col, tag).distinct().join(known, id_col)
+    same = F.col("__known") == F.lower(tag)
+    within = (F.length("__known") >= least) & F.contains(F.col("__known"), F.lower(tag))
+    return pairs.where(same | within).select(id_col, tag).distinct()
+
+
+def import_rules(items: DataFrame, catalogue: DataFrame, id_col: str, other: str) -> DataFrame:
+    """Labels that a model's results give, by family (DOM-12): ``id_col``, ``tag``, ``kind``, ``confidence``.
+
+    ``items``: ``family``, ``tag``, ``mean``, ``p90``, ``coverage``. A mood that is too weak for one is a candidate.
+    """
+    agreed = agreeing(items, catalogue, id_col, "tag", other).withColumn("__agreed", F.lit(True))
+    known = items.join(agreed, [id_col, "tag"], "left").withColumn("__agreed", F.coalesce("__agreed", F.lit(False)))
+    out = F.lit(None)
+    for name, (mean, p90, kind, unknown, base, slope, bonus, covered) in reversed(IMPORT_RULES.items()):
+        confidence = base + slope * F.col("mean") + F.when(F.col("__agreed"), bonus).otherwise(0.0) + covered * F.col("coverage")
+        passes = (F.col("family") == name.split("_")[0]) & (F.col("mean") >= mean) & (F.col("p90") >= p90)
+        out = F.when(passes, F.struct(F.when(F.col("__agreed"), kind).otherwise(unknown).alias("kind"), scores.clamp(confidence).alias("confidence"))).otherwise(out)
+    return known.withColumn("__made", out).where("__made is not null").select(id_col, "tag", "__made.kind", "__made.confidence")
+
+
+def supported_heads(heads: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
+    """Binary moods that are probable and that the larger model supports (DOM-12). ``heads``: ``tag``, ``probability``."""
+    floors = F.create_map(*(F.lit(x) for pair in HEAD_SUPPORT.items() for x in pair))
+    support = items.where("family = 'mood'").select(id_col, "tag", F.col("mean").alias("__mean"))
+    joined = heads.where(F.col("probability") >= HEAD_LEAST).join(support, [id_col, "tag"])
+    return joined.where(F.col("__mean") >= F.try_element_at(floors, F.col("tag"))).select(id_col, "tag", F.lit("mood").alias("kind"), F.col("probability").alias("confidence"))
+
+
 def rhythm_pattern(steady: Column, broken: Column, near: float = 0.16, mixed: float = 0.62) -> tuple[Column, Column]:
     """Pattern and confidence from the best evidence for either; near ties are mixed (DOM-11)."""
     tie = (steady > 0) & (broken > 0) & (F.abs(steady - broken) < near)

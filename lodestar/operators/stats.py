@@ -1,4 +1,4 @@
-"""Aggregates: counts, coverage, modes, medians, scaling (AGG-01 to AGG-09, AGG-14 to AGG-36)."""
+"""Aggregates: counts, coverage, modes, medians, scaling (AGG-01 to AGG-09, AGG-14 to AGG-23, AGG-24, AGG-25 to AGG-36)."""
 
 from __future__ import annotations
 
@@ -111,3 +111,10 @@ def broad_classes(df: DataFrame, keys: Sequence[str], label: str, score: str, se
     return share_of_top(sums, keys, "score") if keys else sums.crossJoin(F.broadcast(sums.agg(F.max("score").alias("__top")))).withColumn(
         "share", F.try_divide("score", "__top")
     ).drop("__top")
+
+
+def tag_shares(windows: DataFrame, id_col: str, window: str, tag: str) -> DataFrame:
+    """Share of an entity's windows in which a tag occurs (AGG-24): ``id_col``, ``tag``, ``share``."""
+    totals = windows.groupBy(id_col).agg(F.countDistinct(window).alias("__windows"))
+    counts = windows.groupBy(id_col, tag).agg(F.countDistinct(window).alias("__with"))
+    return counts.join(totals, id_col).select(id_col, tag, (F.col("__with") / F.col("__windows")).alias("share"))

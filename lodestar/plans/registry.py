@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lodestar.plans import derive, fusion, queue, resolve, similarity, stats, streams, texts, timeline  # noqa: E402, F401  (each registers its queries)
+from lodestar.plans import claims, derive, fusion, imports, queue, resolve, similarity, stats, streams, texts, timeline  # noqa: E402, F401  (each registers its queries)

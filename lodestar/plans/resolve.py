@@ -145,7 +145,7 @@ WITH a AS (SELECT p_partkey, p_name, p_brand, p_retailprice FROM part), b AS (SE
 r AS (SELECT a.p_partkey, 1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) AS t,
              1 - levenshtein(lower(a.p_brand), lower(b.p_brand)) / greatest(length(a.p_brand), length(b.p_brand)) AS br,
              lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand AS eq, abs(a.p_retailprice - b.p_retailprice) AS delta FROM a JOIN b USING (p_partkey))
-SELECT p_partkey, CASE WHEN eq THEN 'accept' WHEN t < 0.55 AND br < 0.9 THEN 'reject' ELSE 'keep' END AS verdict,
+SELECT p_partkey, CASE WHEN eq THEN 'accept' WHEN t < 0.55 AND br < 0.55 THEN 'reject' ELSE 'keep' END AS verdict,
        round(0.5 * t + 0.3 * br + 0.2 * CASE WHEN delta <= 2 THEN 1.0 WHEN delta <= 8 THEN 0.8 WHEN delta <= 20 THEN 0.45 ELSE 0 END, 6) AS confidence FROM r""")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part against the one after it: accept, reject or keep, with a confidence (DOM-17, DOM-19, DOM-20,
@@ -155,7 +155,7 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = parts.join(following, "p_partkey")
     title, brand = text.edit_ratio("name", "name_b"), text.edit_ratio("brand", "brand_b")
     equal = (F.col("name") == F.col("name_b")) & (F.col("brand") == F.col("brand_b"))
-    verdict = F.when(equal, "accept").when((title < 0.55) & (brand < 0.9), "reject").otherwise("keep")
+    verdict = resolve.review_verdict(title, brand, equal, F.lit(False))
     confidence = resolve.identity_confidence(title, brand, F.col("price"), F.col("price_b"))
     return both.select("p_partkey", verdict.alias("verdict"), F.round(confidence, 6).alias("confidence"))
 

@@ -14,7 +14,7 @@ from lodestar.session import table
 
 @query(rf"""
 SELECT doc_id, md5({FOLD_SQL.format('text')}) AS folded, md5(replace({FOLD_SQL.format('text')}, ' ', '')) AS compact, length(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))::INT AS spaced,
-       trim(regexp_replace({FOLD_SQL.format("split_part(text, chr(10), 1)")}, '( ({text.VERSION_WORDS}|19\d\d|20\d\d))+$', '')) AS title FROM documents""")
+       trim(regexp_replace({FOLD_SQL.format("split_part(text, chr(10), 1)")}, '( (remaster|remastered|radio|edit|extended|original|version|mix|mixed|mono|stereo|deluxe|19\d\d|20\d\d))+$', '')) AS title FROM documents""")
 def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of whole texts, and of their first lines as titles (FUN-01 to FUN-03)."""
     return table(spark, sf_dir, "documents").select(
