@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to numpy at once; larger single texts form a piece of their own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,3 +76,28 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int
 
 def texts_of(batch: pa.RecordBatch, text_col: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+
+
+def release() -> None:
+    """Give back to the system what this worker has freed: Spark keeps workers, and one executor's share the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory once its partition is done."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def tidy_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same of a function of one group (or two, side by side)."""
+    if run.__code__.co_argcount == 2:
+        return lambda one, other: (run(one, other), release())[0]
+    return lambda table: (run(table), release())[0]

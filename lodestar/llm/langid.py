@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, texts_of
+from lodestar.llm.common import pieces, texts_of, tidy
 
 UNDETERMINED = "und"
 
@@ -166,7 +166,7 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
                     out.append(rows[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
-    got = sorted((r["lang"], bytes(r["window"])) for r in texts.mapInArrow(cut, "lang string, window binary").collect())
+    got = sorted((r["lang"], bytes(r["window"])) for r in texts.mapInArrow(tidy(cut), "lang string, window binary").collect())
     at = {lang: k for k, lang in enumerate(languages)}
     windows = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, shape.window)
     return languages, windows, np.array([at[lang] for lang, _ in got])
@@ -202,4 +202,4 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", carry: tuple
 
     rows = docs.select(F.col(text_col).alias("__text"), *carry)
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, f"{shape}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{shape}, lang_pred string, score double")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucket_count, pieces, staged, texts_of, unstage
+from lodestar.llm.common import bucket_count, pieces, staged, texts_of, tidy, tidy_group, unstage
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
 from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
@@ -181,7 +181,7 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
     names = ["id", "print", "line", "low", "high"]
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, print long, line int, low long, high long")
+    return rows.mapInArrow(tidy(run), f"id {kind}, print long, line int, low long, high long")
 
 
 def common_words(counts: DataFrame, rules: LineRules) -> np.ndarray:
@@ -315,9 +315,9 @@ def bucket_members(docs: DataFrame, rules: LineRules, common: np.ndarray, text_c
                 rows = zip(*send_keys(lines, rules, told.value, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, PACKED.values())], list(PACKED))
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, ids binary, sizes binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "bucket long, keys binary, ids binary, sizes binary")
     met = sent.repartition(buckets, "bucket").groupBy("bucket")
-    return met.applyInArrow(lambda table: find_shared(table, rules.percent), "key long, id long, n int").distinct()
+    return met.applyInArrow(tidy_group(lambda table: find_shared(table, rules.percent)), "key long, id long, n int").distinct()
 
 
 def line_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
@@ -330,7 +330,7 @@ def line_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
                 low, high = names_of(lines)
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array([x.decode() for x in lines], pa.string())], ["id", "high", "text"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, high long, text string")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, high long, text string")
 
 
 def comparer(texts: DataFrame, rules: LineRules) -> Compare:
@@ -356,7 +356,7 @@ def comparer(texts: DataFrame, rules: LineRules) -> Compare:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         shape = f"a long, b long, linked boolean{', ' + DIFFERENCES if whole else ''}"
-        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(lambda batches: run(batches, whole), shape)
+        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(tidy(lambda batches: run(batches, whole)), shape)
 
     return compare
 

@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, staged, texts_of
+from lodestar.llm.common import pieces, staged, texts_of, tidy
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 
 #: Distinct words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 NAMES = [part.split()[0] for part in DIFFERENCES.split(", ")]
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, print long, n long, set binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, print long, n long, set binary, bands array<long>")
 
 
 def comparer(texts: DataFrame, rules: NearRules) -> Compare:
@@ -160,7 +160,7 @@ def comparer(texts: DataFrame, rules: NearRules) -> Compare:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         shape = f"a binary, b binary, linked boolean{', ' + DIFFERENCES if whole else ''}"
-        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(lambda batches: run(batches, whole), shape)
+        return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(tidy(lambda batches: run(batches, whole)), shape)
 
     return compare
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import bucket_count
+from lodestar.llm.common import bucket_count, tidy_group
 
 MATCH = 50  #: bytes of a window
 DEPTH = 16  #: bytes of a sampled suffix
@@ -430,13 +430,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def deal_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         return send_windows(table, replies, finer)
 
-    suffixes = by_block.applyInArrow(deal_suffixes, "bucket long, block long, suffixes binary, documents binary")
-    replies = suffixes.groupBy("bucket").applyInArrow(find_repeated, "block long, hashes binary, codes binary")
-    windows = by_block.cogroup(replies.groupBy("block")).applyInArrow(deal_windows, WINDOWS)
-    spans = windows.groupBy("bucket").applyInArrow(find_spans, "block long, firsts binary, ends binary")
+    suffixes = by_block.applyInArrow(tidy_group(deal_suffixes), "bucket long, block long, suffixes binary, documents binary")
+    replies = suffixes.groupBy("bucket").applyInArrow(tidy_group(find_repeated), "block long, hashes binary, codes binary")
+    windows = by_block.cogroup(replies.groupBy("block")).applyInArrow(tidy_group(deal_windows), WINDOWS)
+    spans = windows.groupBy("bucket").applyInArrow(tidy_group(find_spans), "block long, firsts binary, ends binary")
     shape = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     shape = f"id {id_type}{shape}, n_bytes long, kept binary, removed array<bigint>"
-    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(remove_spans, shape)
+    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(tidy_group(remove_spans), shape)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"carry_{i}", c)
     return out.withColumnRenamed("id", id_col)
