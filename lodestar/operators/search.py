@@ -33,19 +33,22 @@ def page(df: DataFrame, catalogue: dict[str, Column], sort: str, default_sort: s
 def bm25(docs: DataFrame, id_col: str, text_col: str, words: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 of documents that hold any of the words (FLT-06, JON-26): ``id_col``, ``score``.
 
-    One pass counts each document's words and the hits of the asked ones; only those hits are exploded.
+    Words are runs of a-z and digits. One aggregate gives what is known of the corpus: documents, their mean length, and
+    how many hold each word; a second pass folds only texts that contain one of them. Null texts count for nothing.
     """
-    folded = F.split(F.trim(F.regexp_replace(F.lower(text_col), "[^a-z0-9]+", " ")), " +")
-
-    def times(word: str) -> Column:
-        return F.size(F.filter("words", lambda x: x == F.lit(word)))
-
-    hits = F.array(*(F.struct(F.lit(w).alias("word"), times(w).alias("tf")) for w in words))
-    counted = docs.select(id_col, folded.alias("words")).select(id_col, F.size("words").alias("len"), hits.alias("hits"))
-    corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    found = counted.select(id_col, "len", F.inline("hits")).where("tf > 0")
-    frequency = found.groupBy("word").agg(F.count("*").alias("df"))
-    joined = found.join(F.broadcast(frequency), "word").crossJoin(F.broadcast(corpus))  # a row for each asked word; one row
-    rarity = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return joined.groupBy(id_col).agg(F.sum(rarity * saturation).alias("score"))
+    lower, whole = F.lower(text_col), "(?<![a-z0-9]){}(?![a-z0-9])"
+    holds = [F.contains(lower, F.lit(w)) for w in words]
+    times = [F.when(h, F.regexp_count(lower, F.lit(whole.format(w)))).otherwise(0) for h, w in zip(holds, words)]
+    length = F.greatest(F.lit(1), F.regexp_count(lower, F.lit("[a-z0-9]+")))
+    known = docs.where(F.col(text_col).isNotNull())
+    corpus = known.agg(F.count("*").alias("n"), F.avg(length).alias("mean_len"), *(F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(times)))
+    found = known.where(reduce(lambda x, y: x | y, holds)).select(id_col, length.alias("len"), *(t.alias(f"tf{i}") for i, t in enumerate(times)))
+    joined = found.crossJoin(F.broadcast(corpus))  # one row
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        rarity = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        return rarity * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
+
+    hits = reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(words))))
+    return joined.where(hits).select(id_col, reduce(lambda x, y: x + y, map(part, range(len(words)))).alias("score"))

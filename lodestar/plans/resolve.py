@@ -100,9 +100,11 @@ def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = items.select("item_id", F.explode("y").alias("w")).where("w <> ''")
     rare = resolve.unique_keys(words, "w", "item_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("x"))
-    pairs = docs.select("doc_id", F.explode("x").alias("w")).join(rare, "w").select("doc_id", "item_id").distinct()
+    # As many candidates as items at most; a document's words are joined back once, not once for each candidate.
+    candidates = docs.select("doc_id", F.explode("x").alias("w")).join(rare, "w").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    pairs = docs.join(candidates, "doc_id").select("doc_id", "x", F.explode("items").alias("item_id"))
     shared = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", shared.alias("score"))
+    return pairs.join(items, "item_id").select("doc_id", "item_id", shared.alias("score"))
 
 
 @query(MARGIN_SQL + """
