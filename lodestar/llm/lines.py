@@ -3,7 +3,8 @@
 Two lines are linked if their normalised forms are equal, or if their words' edit similarity is high enough. Lines that
 are similar share two thirds of their words or more, and so most likely a band of smallest and largest word hashes; lines
 that share a band are candidates, and the edit similarity of their words decides. Words of very many lines don't count
-in the bands: lines that share only those would be candidates. Lines that may differ by one edit share a half besides.
+in the bands: lines that share only those would be candidates. Lines that may differ by one edit share what is left
+without one word.
 
 SimHashes, by whose blocks such lines are usually found, lie as far apart for lines of 80 % edit similarity as 13 of 64
 bits: blocks that find those also find most other pairs. README gives figures.
@@ -227,21 +228,23 @@ def line_keys(values: np.ndarray, sizes: np.ndarray, rules: LineRules) -> np.nda
     return np.concatenate(out)
 
 
-def half_keys(lines: list[bytes], rules: LineRules) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of lines so short that one edit is allowed, and the lines: their first and their last half.
+def short_keys(lines: list[bytes], rules: LineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines that may differ by one edit, which lines they are of, and which lines need other keys besides.
 
-    One edit leaves one of the two halves as it is, so no such pair is missed; halves are those of the longer line.
+    Such a line's keys are itself and itself without each of its words: no two lines with one edit are without a common
+    one, and hardly any others have one.
     """
-    keys, owner = [], []
+    keys, owner, also = [], [], np.ones(len(lines), bool)
     for i, line in enumerate(lines):
         n = line.count(b" ") + 1
-        for longer in (n, n + 1):
-            if rules.edits(longer) == 1:
-                words = line.split(b" ")
-                for which, side in (b"first", words[: longer // 2]), (b"last", words[n - longer // 2 :]):
-                    keys.append(xxhash.xxh3_64_intdigest(b" ".join([*side, which, b"%d" % longer])))
-                    owner.append(i)
-    return np.array(keys, np.uint64), np.array(owner, np.int64)
+        if rules.edits(n) > 1 or rules.edits(n + 1) != 1:
+            continue
+        words = line.split(b" ")
+        also[i] = any(rules.edits(m) > 1 and n >= m - rules.edits(m) for m in range(n + 1, 2 * n + 2))
+        for k in range(n + 1):
+            keys.append(xxhash.xxh3_64_intdigest(b" ".join(words[:k] + words[k + 1 :])))
+            owner.append(i)
+    return np.array(keys, np.uint64), np.array(owner, np.int64), also
 
 
 def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -251,10 +254,10 @@ def send_keys(lines: list[bytes], rules: LineRules, common: np.ndarray, buckets:
     a mark (0 words) in its own.
     """
     values, sizes = bags(lines)
-    told, counts, line = told_by(values, sizes, common, rules)
+    less, short, also = short_keys(lines, rules)
+    told, counts, line = told_by(values[np.repeat(also, sizes)], sizes[also], common, rules)
     keys = line_keys(told, counts, rules)
-    halves, short = half_keys(lines, rules)
-    key, owner = np.concatenate([keys.ravel(), halves]), np.concatenate([np.repeat(line, keys.shape[1]), short])
+    key, owner = np.concatenate([keys.ravel(), less]), np.concatenate([np.repeat(np.flatnonzero(also)[line], keys.shape[1]), short])
     order = np.argsort(key)
     key, owner = key[order], owner[order]
     ids = names_of(lines)[0]

@@ -179,8 +179,10 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     by_extra = joined(apart, others, ["a", "e"], *(F.col(f"rank{x}") <= F.col(f"extras{x}") + 1 - must for x in ("", "_c")))
     # Elements that both lack, where one is smaller than the hub and the hub's elements may be all that they share: of those
     # that the smaller one lacks, the other has at most so many as it shares more with the hub than with the smaller one.
-    told = rest.where(F.size("told") > 0).select("a", "b", *facts, F.posexplode("told").alias("place", "e"))
-    lacks = rest.where("not linked").select("a", "b", *facts, F.lit(0).alias("place"), F.explode("lacks").alias("e"))
+    fits = lambda n: relation.need_of(F.col("size"), n) <= F.col("shared")
+    told = rest.where((F.size("told") > 0) & fits(relation.least_of(F.col("size")))).select("a", "b", *facts, F.posexplode("told").alias("place", "e"))
+    smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
+    lacks = rest.where(~F.col("linked") & fits(smallest)).select("a", "b", *facts, F.lit(0).alias("place"), F.explode("lacks").alias("e"))
     lacks = lacks.join(told.select("a").distinct(), "a", "left_semi")
     may_need = relation.need_of(F.col("size"), F.col("size_c"))
     by_lack = joined(lacks, told, ["a", "e"], may_need <= F.col("shared_c"), F.col("place_c") <= F.col("shared") - may_need)
