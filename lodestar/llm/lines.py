@@ -48,9 +48,9 @@ class LineRules:
     permutations: int = 32
     rows: int = 4  #: values in a band
     common: float = 0.01  #: keys come from words that no larger share of the lines holds,
-    few: float = 0.2  #: but from all words of lines with fewer of those (copies of a line that very many copy),
-    some: float = 0.45  #: and from both where lines have fewer than this share
-    least: int = 8  #: or this number
+    few: float = 0.1  #: but from all words of lines with fewer of those (copies of a line that very many copy),
+    some: float = 0.35  #: and from both where lines have fewer than this share
+    least: int = 4  #: or this number
 
     def edits(self, n):
         return n * (100 - self.percent) // 100
