@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, lines, minhash, packing, suffix_dedup
-from lodestar.llm.common import staged
+from lodestar.llm.common import small_batches, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,37 +24,58 @@ WORD = r"[^\x20\x09-\x0D]"
 LETTER = r"\p{L}"
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with names for its other columns that clash with nobody's, and what gives a result its columns again."""
+    other = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    return docs.withColumnsRenamed(other), lambda df: df.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the labelled documents; those without a letter or with an uncertain language go.
 
     Where no document is labelled no language is uncertain, and all with a letter stay.
     """
+    small_batches(spark)
     net = langid.train_on(docs)
     if not net.languages:
         return docs.where(F.col("text").rlike(LETTER))
-    named = langid.identify(docs, net, carry=("text", *(c for c in docs.columns if c != "text")))
-    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, restored = plain(docs)
+    named = langid.identify(rows, net, carry=tuple(rows.columns))
+    return restored(named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which no other line has a word. ``n_chars`` follows the text."""
-    left = lines.without_lines(docs, lines.repeated_lines(docs))
-    left = left.where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    small_batches(spark)
+    rows, restored = plain(docs)
+    left = lines.without_lines(rows, lines.repeated_lines(rows))
+    return counted(restored(left.where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs, minhash.PIPELINE_RULES).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    """Of each component of near duplicates the document with the smallest id stays; of rows that are equal in id and
+    text one. Rows without an id stay."""
+    small_batches(spark)
+    kept = staged(minhash.near_duplicates(docs, minhash.PIPELINE_RULES).where("kept").groupBy("doc_id").count())
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    often = kept.where("count > 1 and doc_id is not null").select("doc_id")
+    if often.limit(1).count():
+        left = left.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds go; so do documents of which no word is left."""
-    cut = suffix_dedup.dedup_substrings(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    small_batches(spark)
+    rows, restored = plain(docs)
+    cut = suffix_dedup.dedup_substrings(rows, carry=tuple(c for c in rows.columns if c not in ("doc_id", "text")))
     cut = cut.withColumn("text", suffix_dedup.as_text("kept"))
-    cut = cut.where((F.size("removed") == 0) | F.col("text").rlike(WORD))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return counted(restored(cut.where((F.size("removed") == 0) | F.col("text").rlike(WORD))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

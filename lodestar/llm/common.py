@@ -101,3 +101,13 @@ def tidy_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     if run.__code__.co_argcount == 2:
         return lambda one, other: (run(one, other), release())[0]
     return lambda table: (run(table), release())[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts come to Python in batches of so many rows, where the session has Spark's default of 10,000.
+
+    A batch stands in memory several times, in the executor and in its workers. Stays set: Spark reads it when it plans.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lodestar.llm import queries
 
 
@@ -51,3 +52,19 @@ def test_texts_without_any_label_stay(spark, make_docs):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_odd_rows_and_an_empty_table(spark, make_docs, tmp_path):
+    """Repeated and null ids, clashing columns, and no rows at all."""
+    draw = random.Random(4)
+    text = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    docs = make_docs([(1, a), (1, a), (1, b), (None, c), (2, a + " more")], extra=True)
+    docs = docs.withColumns({"lang_pred": F.lit(1), "score": F.lit(1), "component_id": F.lit(1), "lines_removed": F.lit(1)})
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert near.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted([(1, a), (1, b), (0, c)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name
+        assert stage(spark, docs, "").count() >= 2, name
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
