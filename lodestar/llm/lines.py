@@ -37,6 +37,8 @@ BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 12
 #: A key that so many lines of one piece hold is exchanged by Spark's own rows, where hot keys are split.
 HOT_IN_PIECE = 16
+#: Distinct words that a task counts before it drops the rare ones.
+MOST_WORDS = 500_000
 WORD_BASE = 0x9E3779B97F4A7C15
 
 
@@ -153,16 +155,11 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
     """``id``, ``print`` (64-bit hash of the text), ``line`` (from 0), ``low``, ``high`` (the line's hash): lines with words.
 
     In the same pass all lines' words are counted: rows without ``print`` have an element of bags as ``low`` (null: all
-    lines), and in ``high`` how many lines of a piece hold it, if that is a tenth of the ``common`` share or more.
+    lines), and in ``high`` how many lines of a task hold it, if that is a tenth of the ``common`` share or more.
     """
 
-    def counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        some = [x for x in dict.fromkeys(lines) if x.count(b" ") + 1 >= rules.shortest]
-        words, n = np.unique(bags(some)[0], return_counts=True)
-        many = n * 10 > rules.common * len(some)
-        return np.r_[len(some), n[many]], words[many].view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, lines, kind = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, None
         for batch in pieces(batches):
             at, number, found = [], [], []
             for i, text in enumerate(texts_of(batch)):
@@ -175,9 +172,20 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
                 ids, prints = (batch.column(k).take(pa.array(at, pa.int64())) for k in range(2))
                 low, high = names_of(found)
                 yield pa.RecordBatch.from_arrays([ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], names)
-                n, words = counted(found)
-                none = [pa.nulls(len(n), k) for k in (ids.type, pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(np.r_[0, words], mask=np.arange(len(n)) == 0), pa.array(n)], names)
+                some, kind = [x for x in dict.fromkeys(found) if x.count(b" ") + 1 >= rules.shortest], ids.type
+                lines += len(some)
+                own, n = np.unique(bags(some)[0], return_counts=True)
+                words, inverse = np.unique(np.concatenate([words, own]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, n]), len(words)).astype(np.int64)
+                if len(words) > MOST_WORDS:
+                    many = counts * 10 > rules.common * lines
+                    words, counts = words[many], counts[many]
+        many = counts * 10 > rules.common * lines
+        if lines:
+            n = np.r_[lines, counts[many]]
+            none = [pa.nulls(len(n), k) for k in (kind, pa.int64(), pa.int32())]
+            told = pa.array(np.r_[0, words[many].view(np.int64)], mask=np.arange(len(n)) == 0)
+            yield pa.RecordBatch.from_arrays([*none, told, pa.array(n)], names)
 
     names = ["id", "print", "line", "low", "high"]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -188,7 +196,7 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
 def common_words(counts: DataFrame, rules: LineRules) -> np.ndarray:
     """The elements of bags (in order) that more than the ``common`` share of the lines holds.
 
-    What a piece left out makes a count too low by a tenth of the share at most. There are no more such words than lines
+    What a task left out makes a count too low by a tenth of the share at most. There are no more such words than lines
     have on average, divided by the share.
     """
     total = counts.where("low is null").agg(F.sum("high")).first()[0] or 0
