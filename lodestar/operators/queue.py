@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.session import shared_path
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """New rows replace the listed columns (by default all) of rows with their keys; others are added (SNK-01, SNK-02)."""
@@ -139,17 +141,20 @@ def swap_columns(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(*(F.col({a: b, b: a}.get(c, c)).alias(c) for c in df.columns))
 
 
-def dense_index(df: DataFrame, key: str, name: str, spans: int = 1024) -> DataFrame:
-    """Rows numbered from 0 in the order of a unique whole-number key, without a window over all rows.
+def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a unique key, without a window over all rows.
 
-    Keys fall into spans of equal width; the spans' counts are summed up (at most ``spans`` + 1 rows), and each span
-    numbers its own.
+    Spark cuts the keys into ranges of about equally many rows, whatever their values. The ranges are written down, as
+    their borders come from a sample and are used twice: their counts (a row for each shuffle partition) are summed up,
+    and each range numbers its own rows.
     """
     from pyspark.sql import Window
 
-    bounds = df.agg(F.min(key).alias("__low"), (F.expr(f"(max({key}) - min({key})) div {spans}") + 1).alias("__width"))
-    spread = df.crossJoin(F.broadcast(bounds)).withColumn("__span", F.expr(f"({key} - __low) div __width"))  # one row
-    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spread.groupBy("__span").agg(F.count("*").alias("__n")).select("__span", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__span").orderBy(key))
-    return spread.join(F.broadcast(counts), "__span").select(*df.columns, (F.col("__before") + inside - 1).alias(name))
+    path = shared_path(df.sparkSession, "ranges")
+    df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    spread = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy("__range").agg(F.count("*").alias("__n"))
+    counts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return spread.join(F.broadcast(counts), "__range").select(*df.columns, (F.col("__before") + inside - 1).alias(name))

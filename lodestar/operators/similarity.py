@@ -110,11 +110,12 @@ def sibling_evaluation(scored: DataFrame, query: str, is_sibling: Column, score:
 
     A sibling below place 2,000 counts as not found (rank a million).
     """
-    w = Window.partitionBy(query, signal).orderBy(F.desc(score), id_col)
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2000)
-    firsts = scored.select(query, signal).distinct().join(
-        ranked.where(is_sibling).groupBy(query, signal).agg(F.min("rank").alias("rank")), [query, signal], "left"
-    )
+    # The first sibling's place is one more than the rows before it: two aggregates, no sort of all rows.
+    place = F.struct(-F.col(score), F.col(id_col))
+    best = scored.groupBy(query, signal).agg(F.min(F.when(is_sibling, place)).alias("__best"))
+    before = scored.join(best, [query, signal]).groupBy(query, signal, "__best").agg(F.count_if(place < F.col("__best")).alias("__before"))
+    rank = F.when(F.col("__best").isNotNull() & (F.col("__before") < 2000), F.col("__before") + 1)
+    firsts = before.select(query, signal, rank.alias("rank"))
     rank = F.coalesce("rank", F.lit(1_000_000))
     return firsts.groupBy(signal).agg(
         F.count("*").alias("queries"),

@@ -68,14 +68,14 @@ def range_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS label FROM part WHERE length(split_part(p_name, ' ', 1)) >= 5)
+WITH l AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS label FROM part WHERE length(split_part(p_name, ' ', 2)) >= 5)
 SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM l WHERE contains(p_name, label) AND NOT starts_with(p_name, label))""")
 def substring_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose name holds, but doesn't begin with, a first word of some name (JON-17).
+    """Parts whose name holds, but doesn't begin with, a second word of some name (JON-17).
 
-    The labels are matched word by word where they can begin, so that the join is on equal keys."""
+    The labels are matched where they can begin, length by length, so that the join is on equal keys."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    labels = parts.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("label")).where(F.length("label") >= 5).distinct()
+    labels = parts.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("label")).where(F.length("label") >= 5).distinct()
     sizes = labels.select(F.length("label").alias("n")).distinct()
     starts = parts.crossJoin(F.broadcast(sizes))  # one row for each length of a label
     pieces = starts.select("p_partkey", "p_name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p_name") - F.col("n") + 1, F.lit(1))), lambda i: F.substring(F.col("p_name"), i, F.col("n")))).alias("label"))
@@ -95,9 +95,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item
 
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items that share a word which one item alone has, with their word overlap."""
-    words_of = lambda c: F.array_distinct(F.split(text.normalize(c), " "))
+    # Words as 64-bit hashes: sets of numbers are compared much faster than sets of texts.
+    words_of = lambda c: F.array_distinct(F.transform(F.split(text.normalize(c), " "), lambda w: F.xxhash64(w)))
     items = table(spark, sf_dir, "benchmark").select("item_id", words_of("text").alias("y"))
-    words = items.select("item_id", F.explode("y").alias("w")).where("w <> ''")
+    words = items.select("item_id", F.explode("y").alias("w")).where(F.col("w") != F.xxhash64(F.lit("")))
     rare = resolve.unique_keys(words, "w", "item_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("x"))
     # As many candidates as items at most; a document's words are joined back once, not once for each candidate.

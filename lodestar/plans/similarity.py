@@ -16,6 +16,10 @@ COSINE_SQL = """list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding
    sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"""
 
 
+#: Blocks of the stated query sets.
+QUERY_BLOCKS = 16
+
+
 @query(f"""
 SELECT a.vec_id, round({COSINE_SQL}, 6) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0
 ORDER BY {COSINE_SQL} DESC, a.vec_id LIMIT 20""")
@@ -145,9 +149,12 @@ def sibling_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     WIN-05). The queries are a stated set, joined as a block."""
     from lodestar.functions.vectors import cosine
 
+    # Each vector meets the queries block by block: an equi-join on the block, whatever the number of queries.
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
-    both = vectors.join(asked, F.col("vec_id") != F.col("query"))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(QUERY_BLOCKS)).cast("int")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("q_label"), F.col("embedding").alias("q"), block.alias("block"))
+    every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))))
+    both = every.join(asked, "block").where(F.col("vec_id") != F.col("query"))
     first = -F.abs(F.col("embedding")[0].cast("double") - F.col("q")[0].cast("double"))
     pair = lambda name, c: F.struct(F.lit(name).alias("signal"), F.round(c, 9).alias("score"))
     long = both.select("query", "vec_id", (F.col("label") == F.col("q_label")).alias("sib"), F.inline(F.array(pair("cosine", cosine(F.col("embedding"), F.col("q"))), pair("first", first))))

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import queue
 from lodestar.plans.registry import query
-from lodestar.session import table
+from lodestar.session import shared_path, table
 from lodestar.streaming import incremental
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestar-shared"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

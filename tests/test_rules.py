@@ -217,7 +217,7 @@ def test_fused_group_weight_is_shared(spark):
 
 def test_dense_index_and_repair_guard(spark):
     df = spark.createDataFrame([(k,) for k in (5, -3, 1000, 7, 12)], "k long")
-    assert sorted((r.k, r.n) for r in queue.dense_index(df, "k", "n", 3).collect()) == [(-3, 0), (5, 1), (7, 2), (12, 3), (1000, 4)]
+    assert sorted((r.k, r.n) for r in queue.dense_index(df, "k", "n").collect()) == [(-3, 0), (5, 1), (7, 2), (12, 3), (1000, 4)]
     rows = [("a", True, None), ("b", False, "x"), ("c", False, None)]
     got = resolve.repair_plan(spark.createDataFrame(rows, "p string, there boolean, other string"), "p", "there", "other").first()
     assert (got["keep"], got["repair"], got["delete"], got["safe"]) == (1, 1, 1, False)
