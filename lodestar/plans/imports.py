@@ -225,3 +225,26 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage.record_run(spark, path, "read", table(spark, sf_dir, "part").count(), "ok")
     storage.record_run(spark, path, "write", 25, "ok")
     return spark.read.parquet(path).select("source", "rows", "status")
+
+
+@query("""SELECT o_custkey AS id, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows archived twice as gzipped JSON lines; the last complete archive is read (SNK-10, SNK-11)."""
+    orders, path = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderstatus"), scratch(spark)
+    storage.archive(orders, path)
+    storage.archive(orders.where("o_orderstatus = 'F'"), path)
+    return storage.latest_archive(spark, path, "id long, o_orderstatus string").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT c_mktsegment AS segment, count(*) AS people, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1)
+SELECT segment, people::VARCHAR AS people, 'csv' AS form FROM s UNION ALL SELECT segment, people::VARCHAR, 'json' FROM s UNION ALL SELECT segment, people::VARCHAR, 'markdown' FROM s""")
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report in three forms, read back (SNK-12)."""
+    path = scratch(spark)
+    storage.report(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment"), ["segment"], {"people": F.count("*")}, path)
+    csv = spark.read.csv(f"{path}/csv", header=True).select("segment", "people", F.lit("csv").alias("form"))
+    json = spark.read.schema("segment string, people string").json(f"{path}/json").select("segment", "people", F.lit("json").alias("form"))
+    cells = F.split("value", r" \| |^\| | \|$")
+    lines = spark.read.text(f"{path}/markdown").select(cells[1].alias("segment"), cells[2].alias("people"), F.lit("markdown").alias("form"))
+    return csv.union(json).union(lines)

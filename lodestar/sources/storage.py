@@ -59,9 +59,21 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def archive(df: DataFrame, path: str) -> None:
-    """Rows as gzipped JSON lines; the folder appears complete or not at all under its commit protocol (SNK-10, SNK-11)."""
-    df.write.option("compression", "gzip").mode("overwrite").json(path)
+def archive(df: DataFrame, path: str) -> str:
+    """Rows as gzipped JSON lines in a new folder below ``path``, which is returned (SNK-10, SNK-11).
+
+    Nothing is overwritten: earlier ones stay, and a folder without its ``_SUCCESS`` mark is none."""
+    version = f"{path.rstrip('/')}/{time.time_ns():020d}"
+    df.write.option("compression", "gzip").json(version)
+    return version
+
+
+def latest_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the last complete archive below ``path`` (SNK-10)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in fs.listStatus(where) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.schema(schema).json(max(p.toString() for p in done))
 
 
 def playlist_csv(df: DataFrame, path: str) -> None:

@@ -111,9 +111,10 @@ def test_exports_and_lineage(spark, tmp_path):
     df = spark.createDataFrame([("T", "A", "B", "I", 3)], "title string, artist_names string, album string, isrc string, n int")
     storage.playlist_csv(df, f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == ["title", "artist", "album", "isrc"]
-    storage.archive(df, f"{tmp_path}/gz")
-    storage.append_json_lines(df, f"{tmp_path}/gz")
-    assert spark.read.json(f"{tmp_path}/gz").count() == 2
+    storage.archive(df, f"file://{tmp_path}/gz")
+    storage.append_json_lines(df, storage.archive(df, f"file://{tmp_path}/gz"))
+    (tmp_path / "gz" / "9").mkdir()  # one that never was completed
+    assert storage.latest_archive(spark, f"file://{tmp_path}/gz", "title string").count() == 2
     storage.record_run(spark, f"{tmp_path}/runs", "s", 3, "ok")
     storage.record_run(spark, f"{tmp_path}/runs", "s", 4, "ok")
     assert spark.read.parquet(f"{tmp_path}/runs").agg(F.sum("rows")).first()[0] == 7
