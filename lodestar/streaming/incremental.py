@@ -62,6 +62,22 @@ def retry_state(state: DataFrame, outcomes: DataFrame, key: str, now: Column, fi
     )
 
 
+def keep_states(table: VersionedTable, key: str, now: Column) -> Callable[[DataFrame, int], None]:
+    """A sink that carries ``retry_state`` from batch to batch in a table (STR-01, STR-06).
+
+    The number of the last batch stands beside the states: run again after a failure, a batch counts once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kind = batch.schema[key].dataType.simpleString()
+        known = table.read() if table.versions() else spark.createDataFrame([], f"{key} {kind}, status string, attempts int, next_retry_at timestamp, batch long")
+        last = known.agg(F.max("batch")).first()[0]
+        if last is None or last < number:
+            table.replace(retry_state(known.drop("batch"), batch, key, now).withColumn("batch", F.lit(number).cast("long")))
+
+    return sink
+
+
 def unfinished(manifest: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """What a resumed run still has to do (STR-08): manifest rows without a successful result."""
     return manifest.join(results.where(F.col("status") == "success").select(*keys), keys, "left_anti")
@@ -102,6 +118,6 @@ def replay(spark: SparkSession, stream: DataFrame, shared: str, keys: list[str])
 
 
 __all__ = [
-    "distinct_events", "file_stream", "merge_into", "promoted_locals", "replay", "retracted", "retry_state", "run_available", "sessions",
+    "distinct_events", "file_stream", "keep_states", "merge_into", "promoted_locals", "replay", "retracted", "retry_state", "run_available", "sessions",
     "tumbling", "unfinished", "upsert",
 ]

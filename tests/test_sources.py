@@ -153,3 +153,16 @@ def test_retraction(spark):
     derived = spark.createDataFrame([(1, "x"), (2, "y")], "id int, t string")
     kept, rest = incremental.retracted(matches, derived, "id", F.col("apart") > 10)
     assert sorted(r.id for r in kept.collect()) == [1, 3] and [r.id for r in rest.collect()] == [1]
+
+
+def test_retry_states_count_a_batch_once(spark, tmp_path):
+    from lodestar.streaming import incremental
+
+    table = storage.VersionedTable(spark, f"file://{tmp_path}/states")
+    sink = incremental.keep_states(table, "k", F.timestamp_seconds(F.lit(1000)))
+    first = spark.createDataFrame([(1, False), (1, False), (2, True)], "k long, ok boolean")
+    sink(first, 0)
+    sink(first, 0)  # the same batch after a failure
+    sink(spark.createDataFrame([(1, False), (3, True)], "k long, ok boolean"), 1)
+    got = {r.k: (r.status, r.attempts) for r in table.read().collect()}
+    assert got == {1: ("retry", 3), 2: ("done", 1), 3: ("done", 1)}
