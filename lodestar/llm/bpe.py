@@ -209,7 +209,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(vocabulary)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=4 << 20):
             found = [encoder.encode(x or "") for x in texts_of(batch)]
             counts, ids, decoded = zip(*found)
             yield pa.RecordBatch.from_arrays(

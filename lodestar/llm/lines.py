@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucket_count, pieces, staged, texts_of, tidy, tidy_group, unstage
+from lodestar.llm.common import bucket_count, pieces, small_batches, staged, texts_of, tidy, tidy_group, unstage
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
 from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
@@ -381,6 +381,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     table, or one without repeated lines, gives no rows; other columns are not carried. Lines are told apart by 128-bit
     hashes; one that shares half of its hash with another line is only compared for equality.
     """
+    small_batches(docs.sparkSession)  # pairs of very long lines come to Python with their texts
     found = staged(line_rows(docs, rules, id_col, text_col))
     common = common_words(found.where("print is null").select("low", "high"), rules)
     rows = found.where("print is not null")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, staged, texts_of, tidy
+from lodestar.llm.common import pieces, small_batches, staged, texts_of, tidy
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 
 #: Distinct words whose hashes a worker keeps.
@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     several components. Rows with a null id take no part: a null component, kept. An empty table gives no rows; other
     columns are not carried.
     """
+    small_batches(docs.sparkSession)  # pairs of documents come to Python with their texts
     found = staged(signatures(docs, rules, id_col, text_col))
     # Equal sets are one class, named by the set's hash; copies meet as partial aggregates.
     classes = staged(found.where("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "print")).alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands")))

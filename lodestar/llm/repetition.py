@@ -151,7 +151,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=4 << 20):
             found = measures(texts_of(batch), rules)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], ["id", *found])
 
