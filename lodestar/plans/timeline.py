@@ -95,8 +95,10 @@ def window_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     full = stats.mode_share(events, ["user_id"], "event_type").select("user_id", F.col("verdict").alias("full"))
     sizes = events.groupBy("user_id").agg(F.count("*").alias("all"))
-    placed = numbered(spark, sf_dir).withColumn("budget", F.explode(F.array(*map(F.lit, (3, 4, 5, 6, 8)))))
-    chosen = placed.where(F.array_contains(timeline.evenly_spaced(F.col("total"), F.col("budget")), F.col("place")))
+    # The places that a budget picks follow from a user's count: few rows a user, joined on user and place.
+    budgets = F.array(*(F.struct(F.lit(n).alias("budget"), timeline.evenly_spaced(F.col("all"), n).alias("places")) for n in (3, 4, 5, 6, 8)))
+    picks = sizes.select("user_id", F.inline(budgets)).select("user_id", "budget", F.explode("places").alias("place"))
+    chosen = numbered(spark, sf_dir).join(picks, ["user_id", "place"])
     few = stats.mode_share(chosen, ["user_id", "budget"], "event_type").select("user_id", "budget", "verdict")
     used = chosen.groupBy("user_id", "budget").agg(F.count("*").alias("used"))
     joined = few.join(used, ["user_id", "budget"]).join(full, "user_id").join(sizes, "user_id")
