@@ -33,7 +33,7 @@ class NetShape:
     hidden: int = 48
     rounds: int = 3
     batch: int = 512
-    draws: int = 40  #: batches for each 10,000 distinct windows or part of them (an Arrow batch)
+    draws: int = 40  #: batches for each 10,000 distinct windows or part of them
     rate: float = 0.004
 
 
@@ -131,6 +131,25 @@ class WindowNet:
         return self
 
 
+def counted_batches(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and their counts, so many at a time, however large Spark's batches are."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        while size >= rows:
+            table = pa.Table.from_batches(held)
+            yield numbers(table.slice(0, rows))
+            held = table.slice(rows).to_batches()
+            size -= rows
+    if size:
+        yield numbers(pa.Table.from_batches(held))
+
+
+def numbers(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy().astype(np.float64)
+
+
 def train_on(counts: DataFrame, shape: NetShape = NetShape()) -> WindowNet:
     """A network trained on the counted windows: every window may be drawn, by its count; replicas, whose weights are
     averaged after each round, have a share of the windows each and draw in proportion to its distinct windows."""
@@ -144,11 +163,7 @@ def train_on(counts: DataFrame, shape: NetShape = NetShape()) -> WindowNet:
             mine, t, seen = WindowNet(shape).from_flat(start.value), 0, 0
             first = {k: np.zeros_like(v) for k, v in mine.weights.items()}
             second = {k: np.zeros_like(v) for k, v in mine.weights.items()}
-            for batch in batches:
-                codes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(codes):
-                    continue
+            for codes, n in counted_batches(batches):
                 order = np.argsort(codes)
                 codes, n = codes[order], n[order]
                 seen += n.sum()

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestar.llm.pseudo_likelihood import RADIUS, NetShape, WindowNet, count_windows, score, score_corpus, train_on, window_bytes, window_codes
+from lodestar.llm.pseudo_likelihood import count_windows, counted_batches, NetShape, RADIUS, score, score_corpus, train_on, window_bytes, window_codes, WindowNet
 
 SMALL = NetShape(rounds=1, draws=20)
 
@@ -79,3 +80,10 @@ def test_likely_texts_score_higher(make_docs):
 
 def test_empty_table(make_docs):
     assert score_corpus(make_docs([]), SMALL).count() == 0
+
+
+def test_training_takes_as_many_windows_at_a_time_whatever_the_batches():
+    rows = [pa.record_batch([pa.array(np.arange(k, k + n)), pa.array(np.ones(n, np.int64))], ["window", "n"]) for k, n in ((0, 7), (7, 1), (8, 25), (33, 0), (33, 4))]
+    parts = [codes.tolist() for codes, _ in counted_batches(iter(rows), 10)]
+    assert [len(p) for p in parts] == [10, 10, 10, 7] and sum(parts, []) == list(range(37))
+    assert list(counted_batches(iter(rows[3:4]), 10)) == []
