@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, lines, minhash, packing, suffix_dedup
-from lodestar.llm.common import small_batches, staged
+from lodestar.llm.common import small_batches, staged, unstage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -96,6 +96,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        if i:
+            unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
