@@ -125,6 +125,13 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+@register
+def op13_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 # Bytes as hexadecimal digits, two a byte: windows of 50 bytes are 100 digits.
 ORACLE_SQL["op4_suffix_levels"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
