@@ -125,6 +125,16 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+@register
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.vectors import fixed_point, usable
+    from lodestar.llm.whitening import whiten
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding")))
+    fixed = rows.select("vec_id", fixed_point(F.col("embedding"), 64, 1_000_000).alias("x"))
+    return whiten(fixed, "x", 16, ("vec_id",), fill=1_000_000)
+
+
 @register
 def op13_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.licenses import scan_licenses
