@@ -125,6 +125,17 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+@register
+def op11_cluster_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.negatives import mine_negatives
+    from lodestar.llm.vectors import LARGEST_FACTOR, fixed_point, usable
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    fixed = rows.select("vec_id", label.alias("label"), fixed_point(F.col("embedding"), 256, largest=LARGEST_FACTOR).alias("x"))
+    return mine_negatives(fixed, F.col("vec_id") % 100 == 0)
+
+
 @register
 def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.vectors import fixed_point, usable
@@ -166,3 +177,15 @@ c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xo
 s AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
 p AS (SELECT *, least(15, ((2 * upto - size) * 16) // (2 * total))::INT AS shard FROM s)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM p"""
+
+ORACLE_SQL["op11_cluster_hard_negatives"] = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, coalesce(list_sum(list_transform(list_zip(a.x, v.x), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND (a.vec_id, a.label, a.x) IS DISTINCT FROM (v.vec_id, v.label, v.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

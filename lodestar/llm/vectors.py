@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a fixed-point vector are held at this size, so that sums of a few thousand stay within 64 bits.
 LARGEST = 1 << 50
+#: At this one so do inner products of up to 2,048 entries.
+LARGEST_FACTOR = 1 << 25
 
 
 def usable(vector: Column) -> Column:
@@ -17,9 +19,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-def fixed_point(vector: Column, scale: int, offset: int = 0) -> Column:
-    """``floor(scale * c) + offset`` of each entry, as ``array<bigint>``."""
-    held = lambda c: F.greatest(F.least(F.lit(scale) * c.cast("double"), F.lit(float(LARGEST))), F.lit(-float(LARGEST)))
+def fixed_point(vector: Column, scale: int, offset: int = 0, largest: int = LARGEST) -> Column:
+    """``floor(scale * c) + offset`` of each entry, as ``array<bigint>``; products beyond ``largest`` are held there."""
+    held = lambda c: F.greatest(F.least(F.lit(scale) * c.cast("double"), F.lit(float(largest))), F.lit(-float(largest)))
     return F.transform(vector, lambda c: F.floor(held(c)).cast("bigint") + F.lit(offset).cast("bigint"))
 
 
