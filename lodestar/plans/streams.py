@@ -2,35 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import queue
 from lodestar.plans.registry import query
 from lodestar.session import shared_path, table
-from lodestar.streaming import incremental
+from lodestar.streaming import incremental, keyed
 
 
 def scratch(spark: SparkSession) -> str:
     return shared_path(spark, "stream")
 
 
+def timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("at", F.col("ts").cast("timestamp"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
-    return stream.withColumn("at", F.col("ts").cast("timestamp"))
+    return timed(incremental.file_stream(spark, f"{sf_dir}/events.parquet*", schema))
+
+
+def delivered(spark: SparkSession, deliveries: DataFrame, cuts: list[str], increment: Callable[[DataFrame], None]) -> None:
+    """The rows land in parts by ``delivered_at``; after each part ``increment`` gets the stream of all that landed.
+
+    Each is a restart: the query reads its checkpoint and finds the part that is new."""
+    landing = f"{scratch(spark)}/in"
+    limits = [None, *cuts, None]
+    for k, (low, high) in enumerate(zip(limits, limits[1:], strict=False)):
+        part = deliveries
+        if low:
+            part = part.where(F.col("delivered_at") >= F.lit(low).cast("timestamp"))
+        if high:
+            part = part.where(F.col("delivered_at") < F.lit(high).cast("timestamp"))
+        part.drop("delivered_at").write.parquet(f"{landing}/{k}")
+        increment(incremental.file_stream(spark, f"{landing}/*", deliveries.drop("delivered_at").schema))
 
 
 @query("SELECT sha256(concat_ws(chr(0), user_id::VARCHAR, event_type, value::VARCHAR)) AS event_hash, min(event_id) AS event_id FROM events GROUP BY 1")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hash, merged into a table by an increment (STR-02 to STR-05). Of equal events the first stays."""
+    """Events by hash; of equal events the first stays (STR-02 to STR-05). The updates of each batch are a folder."""
     stream = event_stream(spark, sf_dir)
     hashed = F.sha2(F.concat_ws("\0", F.col("user_id").cast("string"), "event_type", F.col("value").cast("string")), 256)
     firsts = stream.groupBy(hashed.alias("event_hash")).agg(F.min("event_id").alias("event_id"))
     shared = scratch(spark)
-    found = incremental.VersionedTable(spark, f"{shared}/table")
-    incremental.run_available(firsts, f"{shared}/checkpoint", incremental.merge_into(found, ["event_hash"]), "update")
-    return found.read()
+    incremental.run_available(firsts, f"{shared}/checkpoint", incremental.batch_folders(f"{shared}/out"), "update")
+    return incremental.latest_rows(spark.read.parquet(f"{shared}/out"), ["event_hash"])
+
+
+#: Deliveries land before each of these moments, and after the last one.
+CUTS = ["2024-01-08", "2024-01-15", "2024-01-22"]
+
+
+@query("""
+WITH d AS (SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN ts + INTERVAL 10 DAY WHEN event_id % 7 = 0 THEN ts + INTERVAL 6 HOUR ELSE ts END AS delivered_at FROM events
+  UNION ALL SELECT event_id, ts, ts + INTERVAL 3 HOUR FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, ts, ts + INTERVAL 12 DAY FROM events WHERE event_id % 11 = 0),
+p AS (SELECT *, (delivered_at >= '2024-01-08')::INT + (delivered_at >= '2024-01-15')::INT + (delivered_at >= '2024-01-22')::INT AS part FROM d),
+seen AS (SELECT part, max(ts) AS last FROM p GROUP BY part),
+w AS (SELECT p.part, max(date_trunc('millisecond', s.last)) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT part FROM p) p LEFT JOIN seen s ON s.part < p.part GROUP BY p.part)
+SELECT DISTINCT p.event_id, ts AS at FROM p JOIN w USING (part) WHERE mark IS NULL OR ts > mark""")
+def stream_watermark_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a feed that repeats some and delays others, each once (STR-02, STR-03), into Spark's file sink.
+
+    Repeats and delays of hours lie within the watermark's day; what comes ten days late is behind it and is dropped, unless
+    it lands with the part that it belongs to."""
+    events = timed(table(spark, sf_dir, "events")).select("event_id", "at")
+    late = lambda hours: F.col("at") + F.expr(f"INTERVAL '{hours}' HOUR")
+    first = F.when(F.col("event_id") % 13 == 0, late(240)).when(F.col("event_id") % 7 == 0, late(6)).otherwise(F.col("at"))
+    again = events.where("event_id % 5 = 0").withColumn("delivered_at", late(3)), events.where("event_id % 11 = 0").withColumn("delivered_at", late(288))
+    deliveries = events.withColumn("delivered_at", first).unionByName(again[0]).unionByName(again[1])
+    shared = scratch(spark)
+    delivered(spark, deliveries, CUTS, lambda stream: incremental.append_available(incremental.distinct_events(stream, "event_id", "at", "1 day"), f"{shared}/checkpoint", f"{shared}/out"))
+    return spark.read.parquet(f"{shared}/out").select("event_id", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 @query("""
@@ -39,9 +84,9 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days by event type, from an increment (beyond the parity)."""
     windows = incremental.tumbling(event_stream(spark, sf_dir), "at", "1 day", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"))
     shared = scratch(spark)
-    found = incremental.VersionedTable(spark, f"{shared}/table")
-    incremental.run_available(windows, f"{shared}/checkpoint", incremental.merge_into(found, ["from_at", "event_type"]), "update")
-    return found.read().select(F.col("from_at").cast("timestamp_ntz").alias("from_at"), "event_type", "n", F.round("total", 4).alias("total"))
+    incremental.run_available(windows, f"{shared}/checkpoint", incremental.batch_folders(f"{shared}/out"), "update")
+    found = incremental.latest_rows(spark.read.parquet(f"{shared}/out"), ["from_at", "event_type"])
+    return found.select(F.col("from_at").cast("timestamp_ntz").alias("from_at"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""
@@ -56,33 +101,43 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, max(CAST(event_type = 'purchase' AS INT)) AS ok, count(*) AS tries FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN ok = 1 THEN 'done' ELSE 'retry' END AS status, tries::INT AS attempts,
-       CASE WHEN ok = 0 THEN least(86400, 60 * power(2, tries - 1))::BIGINT END AS wait FROM s""")
+WITH e AS (SELECT user_id, ts, event_type = 'purchase' AS ok, max(ts) OVER (PARTITION BY user_id) AS last_ts FROM events),
+s AS (SELECT user_id, count(*)::INT AS attempts, bool_or(ok) FILTER (ts = last_ts) AS ok, max(ts) AS last_ts FROM e GROUP BY 1),
+n AS (SELECT *, CASE WHEN NOT ok THEN last_ts + to_seconds(least(86400, 60 * power(2, attempts - 1))::BIGINT) END AS next_retry_at FROM s)
+SELECT user_id, CASE WHEN ok THEN 'done' WHEN epoch_us(next_retry_at) <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) THEN 'due' ELSE 'retry' END AS status,
+       attempts, next_retry_at FROM n""")
 def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retry states carried through two batches of a stream of outcomes (STR-01, STR-06). A user's are in one batch, so
-    that the order of the files doesn't matter."""
+    """Retry states carried through four batches of a stream of outcomes, each after a restart; timers make keys due
+    (STR-01, STR-06). What the stream appends are changes, and the last change of a key is its state."""
+    own = keyed.keyed_session(spark)
+    outcomes = timed(table(own, sf_dir, "events")).select("user_id", "at", (F.col("event_type") == "purchase").alias("ok"))
     shared = scratch(spark)
-    outcomes = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").alias("ok"))
-    for part in range(2):
-        outcomes.where(F.col("user_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{shared}/in")
-    stream = incremental.file_stream(spark, f"{shared}/in", outcomes.schema, files_each=1)
-    states = incremental.VersionedTable(spark, f"{shared}/table")
-    now = F.timestamp_seconds(F.lit(1_700_000_000))
-    incremental.run_available(stream, f"{shared}/checkpoint", incremental.keep_states(states, "user_id", now))
-    return states.read().select("user_id", "status", "attempts", (F.unix_timestamp("next_retry_at") - 1_700_000_000).alias("wait"))
+    delivered(
+        own, outcomes.withColumn("delivered_at", F.col("at")), CUTS,
+        lambda stream: incremental.append_available(keyed.retry_states(stream, "user_id", "at", "ok"), f"{shared}/checkpoint", f"{shared}/changes"),
+    )
+    states = incremental.latest_rows(spark.read.parquet(f"{shared}/changes"), ["user_id"], "step")
+    return states.select("user_id", "status", "attempts", F.col("next_retry_at").cast("timestamp_ntz").alias("next_retry_at"))
 
 
 @query("""
-WITH w AS (SELECT user_id, max(ts) AS last_ts, min(ts) AS first_ts, bool_or(event_type = 'signup') AS owned FROM events GROUP BY 1),
-m AS (SELECT user_id, owned, (epoch(TIMESTAMP '2024-01-31') - epoch(first_ts)) / 86400 AS age, (epoch(TIMESTAMP '2024-01-31') - epoch(last_ts)) / 86400 AS idle FROM w)
-SELECT user_id, CASE WHEN age > 240 THEN 'kill' WHEN NOT owned AND age > 15 THEN 'kill' WHEN idle <= 0.5 THEN 'working' WHEN age <= 10 THEN 'working' WHEN least(idle, age) > 2 THEN 'kill' ELSE 'working' END AS verdict FROM m""")
+WITH e AS (SELECT epoch_ms(max(ts)) * 1000 AS now FROM events),
+w AS (SELECT user_id, max(epoch_us(ts)) AS last_us, min(epoch_us(ts)) AS first_us, bool_or(event_type = 'signup') AS owned FROM events GROUP BY 1),
+m AS (SELECT user_id, owned, (now - first_us) / 86400e6 AS age, (now - last_us) / 86400e6 AS idle FROM w, e)
+SELECT user_id, CASE WHEN age > 240 THEN 'kill' WHEN NOT owned AND age > 15 THEN 'kill' WHEN idle * 4 <= 2 THEN 'working' WHEN age <= 10 THEN 'working' WHEN least(idle, age) > 2 THEN 'kill' ELSE 'working' END AS verdict FROM m""")
 def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a user is alive, in days for minutes (STR-07)."""
-    days = lambda c: (F.lit(1_706_659_200.0) - F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000) / 86400
-    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("b"), F.min("ts").alias("a"), F.bool_or(F.col("event_type") == "signup").alias("owned"))
-    verdict = queue.liveness(F.lit(True), F.col("owned"), days("a"), days("b"), days("b") * 4, 240, 10, 2, 15)
-    return seen.select("user_id", verdict.alias("verdict"))
+    """Whether a user is alive, in days for minutes (STR-07), from a stream: where no event comes a timer gives the verdict.
+
+    The last verdict equals the batch rule at the moment up to which the stream has got."""
+    own = keyed.keyed_session(spark)
+    signs = timed(table(own, sf_dir, "events")).select("user_id", "at", (F.col("event_type") == "signup").alias("owned"))
+    shared = scratch(spark)
+    spans = [int(days * keyed.DAY) for days in (240, 10, 2, 15, 0.5)]
+    delivered(
+        own, signs.withColumn("delivered_at", F.col("at")), CUTS,
+        lambda stream: incremental.append_available(keyed.live_verdicts(stream, "user_id", "at", "owned", *spans), f"{shared}/checkpoint", f"{shared}/verdicts"),
+    )
+    return incremental.latest_rows(spark.read.parquet(f"{shared}/verdicts").drop("verdict_at"), ["user_id"], "step")
 
 
 @query("""

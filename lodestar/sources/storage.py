@@ -1,52 +1,15 @@
-"""Writers: versioned tables with a pointer, lineage, manifests, exports (SNK-01 to SNK-15, SNK-20).
+"""Writers: lineage, manifests, archives, exports (SNK-01 to SNK-15, SNK-20).
 
-A table is a folder of versions, each a folder of Parquet files that never changes, and a folder of pointers, one file
-for each commit. A write makes a new version and then a pointer: a reader sees the old version or the new one. File
-systems are reached through Spark's own connectors.
+Nothing is changed in place: each write adds files or a folder, and Spark's own connectors reach every file system.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.queue import upsert
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _file_system(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def versions(self) -> list[str]:
-        """Committed versions, oldest first."""
-        fs, where = self._file_system(f"{self.path}/commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
-
-    def read(self, version: str | None = None) -> DataFrame:
-        """The latest version, or a named one; earlier ones stay readable (an undo log)."""
-        version = version or self.versions()[-1]
-        return self.spark.read.parquet(f"{self.path}/data/{version}")
-
-    def replace(self, df: DataFrame, partition_by: str | None = None) -> str:
-        """A new version with these rows."""
-        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(f"{self.path}/data/{version}")
-        fs, where = self._file_system(f"{self.path}/commits/{version}")
-        fs.create(where, False).close()
-        return version
-
-    def upsert(self, new: DataFrame, keys: list[str]) -> str:
-        """Rows with known keys replaced, others added (SNK-01, SNK-02)."""
-        return self.replace(upsert(self.read(), new, keys) if self.versions() else new)
-
 
 def record_run(spark: SparkSession, path: str, source: str, rows: int, status: str, detail: str = "") -> None:
     """One row of lineage for a run (SNK-20). Appending files needs no lock."""

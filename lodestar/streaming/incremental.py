@@ -1,18 +1,21 @@
 """Incremental processing (STR-01 to STR-10), and event-time windows beyond the parity.
 
-All are Structured Streaming queries; ``availableNow`` runs them as increments that a scheduler starts.
+All are Structured Streaming queries; ``availableNow`` runs them as increments that ``supervised`` starts again and again.
+What a stream appends goes to Spark's file sink; what it updates goes to a folder for each batch, and the reader takes
+the last row of each key. Both cost what the batch costs, and a batch that runs again leaves the same rows.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.operators.queue import upsert
-from lodestar.sources.storage import VersionedTable
+#: Folders of a batch sink: one a batch, by the number that the checkpoint gives it.
+BATCH = "batch"
 
 
 def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files_each: int | None = None) -> DataFrame:
@@ -24,7 +27,9 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", f
 
 
 def distinct_events(events: DataFrame, hash_col: str, at: str, delay: str = "1 hour") -> DataFrame:
-    """Each event once (STR-02): repeats within ``delay`` of event time are dropped; state older than that goes."""
+    """Each event once (STR-02): repeats within ``delay`` of event time are dropped; state older than that goes.
+
+    So do events that come behind the watermark, whether repeats or not: nothing is known of their time any more."""
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([hash_col])
 
 
@@ -35,49 +40,56 @@ def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int
     return query
 
 
-def merge_into(table: VersionedTable, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that merges batches by key (STR-05, STR-06, SNK-15). Run again, a batch gives the same table."""
-
-    def sink(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            table.upsert(batch, keys)
-
-    return sink
-
-
-def retry_state(state: DataFrame, outcomes: DataFrame, key: str, now: Column, first_wait: int = 60, most_wait: int = 86_400) -> DataFrame:
-    """State of each key after its latest outcome: tries, status, and when to try again, waits doubling (STR-06).
-
-    ``state``: key, ``status``, ``attempts``, ``next_retry_at``; ``outcomes``: key, ``ok``."""
-    latest = outcomes.groupBy(key).agg(F.max("ok").alias("ok"), F.count("*").alias("tries"))
-    joined = state.join(latest, key, "full")
-    attempts = F.coalesce("attempts", F.lit(0)) + F.coalesce("tries", F.lit(0))
-    wait = F.least(F.lit(most_wait).cast("double"), first_wait * F.pow(F.lit(2.0), attempts - 1))
-    tried = F.col("ok").isNotNull()
-    return joined.select(
-        key,
-        F.when(F.col("ok"), "done").when(tried, "retry").otherwise(F.col("status")).alias("status"),
-        attempts.cast("int").alias("attempts"),
-        F.when(F.col("ok"), F.lit(None).cast("timestamp")).when(tried, F.timestamp_seconds(F.unix_timestamp(now) + wait)).otherwise(F.col("next_retry_at")).alias("next_retry_at"),
-    )
-
+def append_available(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """One increment into Spark's file sink, whose log lists each batch's files once (STR-03 to STR-05)."""
+    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return query
 
-def keep_states(table: VersionedTable, key: str, now: Column) -> Callable[[DataFrame, int], None]:
-    """A sink that carries ``retry_state`` from batch to batch in a table (STR-01, STR-06).
 
-    The number of the last batch stands beside the states: run again after a failure, a batch counts once."""
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to a folder of its own (STR-05, SNK-15): a batch that runs again replaces it."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kind = batch.schema[key].dataType.simpleString()
-        known = table.read() if table.versions() else spark.createDataFrame([], f"{key} {kind}, status string, attempts int, next_retry_at timestamp, batch long")
-        last = known.agg(F.max("batch")).first()[0]
-        if last is None or last < number:
-            table.replace(retry_state(known.drop("batch"), batch, key, now).withColumn("batch", F.lit(number).cast("long")))
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}={number}")
 
     return sink
 
 
+def latest_rows(rows: DataFrame, keys: list[str], order: str = BATCH) -> DataFrame:
+    """The last row of each key by ``order``, without it: the state that updates lead to. One row a key and task is sent."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(*keys, "__last.*")
+
+
+def supervised(jobs: dict[str, tuple[Callable[[], StreamingQuery], float]], until: Callable[[dict[str, int]], bool], failure_wait: float = 30, poll: float = 0.2) -> dict[str, int]:
+    """Keeps streaming jobs running side by side until ``until`` holds (STR-01); returns the failures of each job.
+
+    ``jobs``: name to what starts the query and the seconds after which it starts anew once it ended well; after a failure
+    it starts anew ``failure_wait`` seconds later, from its checkpoint. ``until`` sees how often each job has ended well. All
+    queries are stopped at the end."""
+    running: dict[str, StreamingQuery] = {}
+    due = dict.fromkeys(jobs, 0.0)
+    ended, failures = dict.fromkeys(jobs, 0), dict.fromkeys(jobs, 0)
+    try:
+        while not until(ended):
+            for name, (start, wait) in jobs.items():
+                query = running.get(name)
+                if query is None and time.monotonic() >= due[name]:
+                    running[name] = start()
+                elif query is not None and not query.isActive:
+                    failed = query.exception() is not None
+                    failures[name] += failed
+                    ended[name] += not failed
+                    due[name] = time.monotonic() + (failure_wait if failed else wait)
+                    del running[name]
+            time.sleep(poll)
+    finally:
+        for query in running.values():
+            query.stop()
+    return failures
+
+
 def unfinished(manifest: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """What a resumed run still has to do (STR-08): manifest rows without a successful result."""
     return manifest.join(results.where(F.col("status") == "success").select(*keys), keys, "left_anti")
@@ -108,16 +120,3 @@ def sessions(events: DataFrame, at: str, gap: str, keys: list[str], *aggregates:
     late = events.withWatermark(at, delay) if delay else events
     out = late.groupBy(F.session_window(at, gap), *keys).agg(*aggregates)
     return out.select(F.col("session_window.start").alias("from_at"), F.col("session_window.end").alias("to_at"), *[c for c in out.columns if c != "session_window"])
-
-
-def replay(spark: SparkSession, stream: DataFrame, shared: str, keys: list[str]) -> DataFrame:
-    """Runs an increment into a versioned table below ``shared`` and reads it."""
-    table = VersionedTable(spark, f"{shared}/table")
-    run_available(stream, f"{shared}/checkpoint", merge_into(table, keys))
-    return table.read()
-
-
-__all__ = [
-    "distinct_events", "file_stream", "keep_states", "merge_into", "promoted_locals", "replay", "retracted", "retry_state", "run_available", "sessions",
-    "tumbling", "unfinished", "upsert",
-]

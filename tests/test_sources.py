@@ -99,14 +99,6 @@ def test_payload_attributes(spark):
     assert spark.range(1).select(payloads.without_packed(F.lit(packed)).alias("p")).first().p == '{"x": null, "y": 2}'
 
 
-def test_versioned_table_upserts_and_keeps_history(spark, tmp_path):
-    table = storage.VersionedTable(spark, f"file://{tmp_path}/t")
-    first = table.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
-    table.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    assert {r.k: r.v for r in table.read().collect()} == {1: "a", 2: "c", 3: "d"}
-    assert {r.k: r.v for r in table.read(first).collect()} == {1: "a", 2: "b"} and len(table.versions()) == 2
-
-
 def test_exports_and_lineage(spark, tmp_path):
     df = spark.createDataFrame([("T", "A", "B", "I", 3)], "title string, artist_names string, album string, isrc string, n int")
     storage.playlist_csv(df, f"{tmp_path}/csv")
@@ -122,47 +114,8 @@ def test_exports_and_lineage(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/report/markdown").first().value == "| T | 3 |"
 
 
-def test_increments_are_idempotent(spark, tmp_path):
-    schema = "k int, v string, at timestamp"
-    source = f"{tmp_path}/in"
-    table = storage.VersionedTable(spark, f"file://{tmp_path}/t")
-
-    def increment():
-        stream = incremental.distinct_events(incremental.file_stream(spark, source, spark.createDataFrame([], schema).schema), "k", "at")
-        incremental.run_available(stream.select("k", "v"), f"{tmp_path}/check", incremental.merge_into(table, ["k"]))
-
-    row = lambda k, v: (k, v, None)
-    spark.createDataFrame([row(1, "a"), row(1, "a")], schema).withColumn("at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{source}/1")
-    # the source reads files of a folder: both parts lie in it
-    source = f"{tmp_path}/in/*"
-    increment()
-    increment()
-    assert table.read().count() == 1 and len(table.versions()) == 1
-
-
-def test_retry_waits_double(spark):
-    state = spark.createDataFrame([("a", "retry", 2, None), ("b", "retry", 1, None)], "k string, status string, attempts int, next_retry_at timestamp")
-    outcomes = spark.createDataFrame([("a", False), ("b", True), ("c", False)], "k string, ok boolean")
-    now = F.timestamp_seconds(F.lit(1000))
-    got = {r.k: (r.status, r.attempts, r.w) for r in incremental.retry_state(state, outcomes, "k", now).select("*", (F.unix_timestamp("next_retry_at") - 1000).alias("w")).collect()}
-    assert got == {"a": ("retry", 3, 240), "b": ("done", 2, None), "c": ("retry", 1, 60)}
-
-
 def test_retraction(spark):
     matches = spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None)], "id int, apart double")
     derived = spark.createDataFrame([(1, "x"), (2, "y")], "id int, t string")
     kept, rest = incremental.retracted(matches, derived, "id", F.col("apart") > 10)
     assert sorted(r.id for r in kept.collect()) == [1, 3] and [r.id for r in rest.collect()] == [1]
-
-
-def test_retry_states_count_a_batch_once(spark, tmp_path):
-    from lodestar.streaming import incremental
-
-    table = storage.VersionedTable(spark, f"file://{tmp_path}/states")
-    sink = incremental.keep_states(table, "k", F.timestamp_seconds(F.lit(1000)))
-    first = spark.createDataFrame([(1, False), (1, False), (2, True)], "k long, ok boolean")
-    sink(first, 0)
-    sink(first, 0)  # the same batch after a failure
-    sink(spark.createDataFrame([(1, False), (3, True)], "k long, ok boolean"), 1)
-    got = {r.k: (r.status, r.attempts) for r in table.read().collect()}
-    assert got == {1: ("retry", 3), 2: ("done", 1), 3: ("done", 1)}
