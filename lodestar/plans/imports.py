@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
 from lodestar.plans.registry import query
 from lodestar.plans.streams import scratch
 from lodestar.session import table
-from lodestar.sources import payloads, readers, storage
+from lodestar.sources import archives, payloads, readers, storage
+
+#: Rows of one JSON array or XML document of the written files.
+EACH = 2000
+
+
+def parts_of(rows: DataFrame, *keys: str) -> Column:
+    """Deals rows into so many parts that each has about ``EACH``, by a hash of their keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows.count() // EACH)))).cast("int")
+
+
+def json_array(value: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.collect_list(value), ","), F.lit("]"))
 
 
 def written(lines: DataFrame, folder: str, by: str | None = None) -> str:
@@ -25,7 +37,7 @@ def written(lines: DataFrame, folder: str, by: str | None = None) -> str:
 SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand || ', ' || p_type AS artist_names, p_partkey::VARCHAR || ',' || p_size AS artist_ids, 'album ' || p_size AS album,
        NULL::VARCHAR AS isrc, (p_retailprice * 100)::BIGINT AS duration_ms, 'a, b' AS genres, 'x | y' AS library_sources FROM part""")
 def read_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array of parts for each size, read as entities (SRC-03, SET-07)."""
+    """JSON arrays of parts, read as entities (SRC-03, SET-07)."""
     artist = lambda name, key: F.struct(F.col(key).cast("string").alias("id"), F.col(name).alias("name"))
     sources = F.array(F.lit("x"), F.lit("y"), F.lit("x"))
     entity = F.struct(
@@ -33,41 +45,63 @@ def read_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("album "), "p_size").alias("album"), F.round(F.col("p_retailprice") * 100).cast("long").alias("duration_ms"),
         F.array(F.lit("a"), F.lit("b")).alias("genres"), sources.alias("sources"),
     )
-    # An array is one JSON document: one row for each of the fifty sizes.
-    arrays = table(spark, sf_dir, "part").groupBy("p_size").agg(F.to_json(F.collect_list(entity)).alias("value"))
-    return readers.catalogue_json(spark, written(arrays, scratch(spark), "p_size"))
+    parts = table(spark, sf_dir, "part")
+    arrays = parts.groupBy(parts_of(parts, "p_partkey").alias("array")).agg(json_array(F.to_json(entity)).alias("value"))
+    return readers.catalogue_json(spark, written(arrays, scratch(spark), "array"))
 
 
-@query("""
+HISTORY_SQL = """
 SELECT sha256(concat_ws(chr(0), t, event_type, 'user ' || user_id, (value * 1000)::BIGINT::VARCHAR, 'spotify:track:' || lpad(event_id::VARCHAR, 22, '0'))) AS event_hash,
        t AS played_at, lpad(event_id::VARCHAR, 22, '0') AS id, event_type AS title, 'user ' || user_id AS artist_names, (value * 1000)::BIGINT AS ms_played
-FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M') AS t FROM events) WHERE value > 50""")
-def read_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two dialects of a history in a tree of JSON files (SRC-04, STR-02)."""
-    events = table(spark, sf_dir, "events").where("value > 50")
+FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M') AS t FROM events)"""
+HISTORY_COLUMNS = ["event_hash", "played_at", "id", "title", "artist_names", "ms_played"]
+
+
+def history_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and texts of an export: JSON arrays of both dialects, and files that are no history."""
+    events = table(spark, sf_dir, "events")
     at, long = F.date_format("ts", "yyyy-MM-dd HH:mm"), F.round(F.col("value") * 1000).cast("long")
     link, who = F.concat(F.lit("spotify:track:"), F.lpad(F.col("event_id").cast("string"), 22, "0")), F.concat(F.lit("user "), "user_id")
     one = F.to_json(F.struct(at.alias("ts"), F.col("event_type").alias("master_metadata_track_name"), who.alias("master_metadata_album_artist_name"), long.alias("ms_played"), link.alias("spotify_track_uri")))
     other = F.to_json(F.struct(at.alias("endTime"), F.col("event_type").alias("trackName"), who.alias("artistName"), long.alias("msPlayed"), link.alias("trackUri")))
+    array, long_form = parts_of(events, "event_id"), F.col("event_id") % 2 == 0
+    name = F.concat(F.when(long_form, "Endsong_").otherwise("StreamingHistory"), array, F.lit(".json"))
+    histories = events.groupBy(name.alias("name")).agg(json_array(F.when(long_form, one).otherwise(other)).alias("text"))
+    others = events.groupBy(F.concat(F.lit("Userdata"), array, F.lit(".json")).alias("name")).agg(json_array(one).alias("text"))
+    return histories.unionByName(others)
+
+
+@query(HISTORY_SQL)
+def read_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dialects of a history in a tree of JSON files, found by the beginnings of their names (SRC-04, STR-02)."""
     shared = scratch(spark)
-    for name, half, made in (("a", "event_id % 2 = 0", one), ("b", "event_id % 2 = 1", other)):
-        written(events.where(half).select(made.alias("value")), f"{shared}/{name}")
-    raw = spark.read.schema(readers.HISTORY).option("recursiveFileLookup", "true").json(shared)
-    return readers.play_history(raw).select("event_hash", "played_at", "id", "title", "artist_names", "ms_played")
+    archives.write_archives(history_texts(spark, sf_dir), shared, packed=False)
+    trees = [readers.json_tree(spark, shared, readers.HISTORY, prefix) for prefix in ("endsong", "streaminghistory")]
+    return readers.play_history(trees[0].unionByName(trees[1])).select(*HISTORY_COLUMNS)
+
+
+@query(HISTORY_SQL)
+def zipped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from ZIP archives, a partition for each member that is a history (SRC-04)."""
+    shared = scratch(spark)
+    archives.write_archives(history_texts(spark, sf_dir), shared)
+    records = archives.archived_records(spark, shared, ("endsong", "streaminghistory"))
+    raw = records.select(F.from_json("record", readers.HISTORY).alias("r")).select("r.*")
+    return readers.play_history(raw).select(*HISTORY_COLUMNS)
 
 
 @query("""
-WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders WHERE o_custkey < 40)
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders)
 SELECT sha1('list ' || o_custkey || chr(0) || '2024-01-01') AS playlist_id, 'list ' || o_custkey AS name, position::INT AS position, lpad(o_orderkey::VARCHAR, 22, 'k') AS id, o_orderpriority AS title FROM o""")
 def read_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of an account with their members in place (SRC-05)."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey < 40")  # the lists of one account are one JSON document
+    """Lists of accounts with their members in place (SRC-05)."""
+    orders = table(spark, sf_dir, "orders")
     track = F.struct(F.concat(F.lit("spotify:track:"), F.lpad(F.col("o_orderkey").cast("string"), 22, "k")).alias("trackUri"), F.col("o_orderpriority").alias("trackName"))
     item = F.struct("o_orderkey", F.struct(F.lit("2024-01-01").alias("addedDate"), track.alias("track")).alias("item"))
     lists = orders.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("items"))
-    named = lists.select("o_custkey", F.array(F.struct(F.concat(F.lit("list "), "o_custkey").alias("name"), F.lit("2024-01-01").alias("lastModifiedDate"), "items")).alias("playlists"))
-    path = written(named.select("o_custkey", F.to_json(F.struct("playlists")).alias("value")), scratch(spark), "o_custkey")
-    return readers.account_playlists(spark, path).select("playlist_id", "name", "position", "id", "title")
+    named = F.struct(F.concat(F.lit("list "), "o_custkey").alias("name"), F.lit("2024-01-01").alias("lastModifiedDate"), "items")
+    accounts = lists.groupBy(parts_of(orders, "o_custkey").alias("account")).agg(F.to_json(F.struct(F.collect_list(named).alias("playlists"))).alias("value"))
+    return readers.account_playlists(spark, written(accounts, scratch(spark), "account")).select("playlist_id", "name", "position", "id", "title")
 
 
 @query("""
@@ -117,9 +151,10 @@ def read_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<ENTRY TITLE="%s" ARTIST="nation %d"><LOCATION DIR="/:Volume/:%d/:" FILE="%d.mp3"></LOCATION><INFO PLAYTIME="%.1f"></INFO></ENTRY>',
         "s_name", "s_nationkey", "s_nationkey", "s_suppkey", F.round("s_acctbal", 1),
     )
-    # One collection for each nation: an XML document is one row.
-    lines = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("<NML><COLLECTION>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</COLLECTION></NML>")).alias("value"))
-    return readers.collection_xml(spark, written(lines, scratch(spark), "s_nationkey")).select("title", "artist", "path", "seconds")
+    suppliers = table(spark, sf_dir, "supplier")
+    document = F.concat(F.lit("<NML><COLLECTION>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</COLLECTION></NML>"))
+    lines = suppliers.groupBy(parts_of(suppliers, "s_suppkey").alias("collection")).agg(document.alias("value"))
+    return readers.collection_xml(spark, written(lines, scratch(spark), "collection")).select("title", "artist", "path", "seconds")
 
 
 @query("""SELECT DISTINCT '/music/' || l_orderkey || '.flac' AS path FROM lineitem WHERE l_returnflag = 'R'""")
@@ -171,8 +206,8 @@ def read_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON batches, of which a later one overrides the earlier ones (SRC-18)."""
     orders = table(spark, sf_dir, "orders")
     batch = orders.groupBy(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 4).alias("batch")).agg(F.max("o_orderkey").alias("best"))
-    rows = batch.select(F.concat(F.lit("b"), "batch").alias("file"), F.to_json(F.struct("id", "best", "batch")).alias("value"))
-    arrays = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))  # four batches
+    rows = batch.select(F.concat(F.lit("b"), "batch", F.lit("-"), parts_of(orders, "id")).alias("file"), F.to_json(F.struct("id", "best", "batch")).alias("value"))
+    arrays = rows.groupBy("file").agg(json_array(F.col("value")).alias("value"))
     return readers.merged_batches(spark, written(arrays, scratch(spark), "file"), "id long, best long, batch long", "id").select("id", "best", "batch")
 
 

@@ -156,6 +156,27 @@ def greedy_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.capped(docs, ["body"], {"source": 8, "lang": 40}, order, 100).drop("body")
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT p_partkey AS id, p_brand AS prim, p_brand || ' ' || (p_size % 6) AS combo, p_brand || ' ' || (p_size % 6) || chr(0) || p_type AS rec,
+  CASE WHEN p_partkey % 3 > 0 THEN 'c' || (p_partkey % 701) END AS code, p_partkey % 97 = 0 AS exempt, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS n FROM part),
+t AS (SELECT row_number() OVER (ORDER BY cap, n) AS k, cap, r.* FROM r, (VALUES (3), (5), (8)) c(cap)),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ids, []::VARCHAR[] AS codes, []::VARCHAR[] AS recs, []::VARCHAR[] AS prims, []::VARCHAR[] AS combos
+  UNION ALL SELECT k, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(codes, code) ELSE codes END, CASE WHEN ok THEN list_append(recs, rec) ELSE recs END,
+    CASE WHEN ok THEN list_append(prims, prim) ELSE prims END, CASE WHEN ok THEN list_append(combos, combo) ELSE combos END
+  FROM (SELECT t.k, id, code, rec, prim, combo, ids, codes, recs, prims, combos,
+          NOT list_contains(ids, id) AND NOT coalesce(list_contains(codes, code), false) AND NOT list_contains(recs, rec) AND len(list_filter(prims, lambda x: x = prim)) < cap
+          AND (exempt OR len(list_filter(combos, lambda x: x = combo)) < 2) AS ok FROM g JOIN t ON t.k = g.k + 1 WHERE len(ids) < 160)),
+f AS (SELECT ids FROM g ORDER BY k DESC LIMIT 1)
+SELECT unnest(ids) AS p_partkey, generate_subscripts(ids, 1)::INT AS place FROM f""")
+def running_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """160 parts in order of size: none of a taken code, type and combination, at most 3, then 5, then 8 of a brand and two of a
+    combination (WIN-06)."""
+    parts, combo = table(spark, sf_dir, "part"), F.concat_ws(" ", "p_brand", F.col("p_size") % 6)
+    code = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("c"), F.col("p_partkey") % 701))
+    chosen = timeline.running_greedy(parts, "p_partkey", -F.col("p_size"), F.col("p_brand"), combo, F.col("p_type"), code, F.col("p_partkey") % 97 == 0, 160)
+    return chosen.select("p_partkey", "place")
+
+
 @query("""
 SELECT o_orderkey, ceil(n / 100)::BIGINT AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""")
 def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,29 +39,11 @@ def catalogue_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def zipped_texts(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """``name``, ``text`` of the members of ZIP files (SRC-04). One member is one row: archives of large members should
-    be unpacked first."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = [], []
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(archive.namelist()):
-                        if name.rpartition("/")[2].startswith(prefix) and not name.endswith("/"):
-                            names.append(name)
-                            texts.append(archive.read(name).decode("utf-8-sig"))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "text"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(unpack, "name string, text string")
-
-
 def json_tree(spark: SparkSession, path: str, schema: str, prefix: str = "") -> DataFrame:
-    """JSON files below a folder whose names begin so (SRC-04)."""
+    """JSON files below a folder whose names begin so, in whatever case (SRC-04); archives are ``archives.archived_records``."""
     reader = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", f"{prefix}*.json").json(path)
+    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in prefix)
+    return reader.option("pathGlobFilter", f"{either}*.json").json(path)
 
 
 def play_history(raw: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Readers and writers on small local files."""
 
 import gzip
+import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import payloads, readers, storage
+from lodestar.sources import archives, payloads, readers, storage
 from lodestar.streaming import incremental
 
 
@@ -16,15 +18,48 @@ def test_catalogue_json(spark, tmp_path):
     assert (got.artist_names, got.artist_ids, got.library_sources) == ("A, B", "a,b", "l | m")
 
 
-def test_zip_history_in_both_dialects(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "h.zip", "w") as z:
-        z.writestr("x/Streaming_1.json", json.dumps([{"ts": "2024-01-01", "ms_played": 5, "master_metadata_track_name": "T", "skipped": False}]))
-        z.writestr("x/Other.json", "[]")
-    texts = readers.zipped_texts(spark, str(tmp_path), "Streaming")
-    assert [r.name for r in texts.collect()] == ["x/Streaming_1.json"]
-    raw = texts.select(F.inline(F.from_json("text", f"array<struct<{readers.HISTORY.replace(' string', ': string').replace(' long', ': long').replace(' boolean', ': boolean')}>>")))
+def test_histories_in_archives_and_folders(spark, tmp_path):
+    new = {"ts": "2024-01-01", "ms_played": 5, "master_metadata_track_name": "T", "skipped": False}
+    old = [{"endTime": "2024-01-02 10:00", "msPlayed": i, "trackName": "ü"} for i in range(2500)]
+    (tmp_path / "deep").mkdir()
+    with zipfile.ZipFile(tmp_path / "deep/h.ZIP", "w") as z:
+        z.writestr("x/Streaming_1.json", "\ufeff" + json.dumps([new]))
+        z.writestr("x/Other.json", json.dumps([new]))
+        z.writestr("streaming_2.json", json.dumps(old, indent=1))
+        z.writestr("streaming_3.txt", "no JSON")
+    (tmp_path / "STREAMING_4.json").write_text(json.dumps([new, new]))
+    records = archives.archived_records(spark, str(tmp_path), ("streaming", "endsong"))
+    assert records.rdd.getNumPartitions() == 3
+    assert {(r.member, r.n, r.last) for r in records.groupBy("member").agg(F.count("*").alias("n"), F.max("position").alias("last")).collect()} == {
+        ("x/Streaming_1.json", 1, 0), ("streaming_2.json", 2500, 2499), ("STREAMING_4.json", 2, 1)
+    }
+    raw = records.select(F.from_json("record", readers.HISTORY).alias("r")).select("r.*")
     events = readers.play_history(raw).collect()
-    assert len(events) == 1 and len(events[0].event_hash) == 64 and events[0].ms_played == 5
+    assert len(events) == 2503 and all(len(e.event_hash) == 64 for e in events) and sorted(e.ms_played for e in events if e.title == "ü") == list(range(2500))
+    assert readers.json_tree(spark, str(tmp_path), readers.HISTORY, "streaming").count() == 2
+    assert archives.archived_records(spark, f"{tmp_path}/nowhere").collect() == []
+
+
+def test_written_archives_are_read_again(spark, tmp_path):
+    texts = spark.createDataFrame([(f"a{i}.json", json.dumps([{"i": i}, {"i": -i}])) for i in range(6)], "name string, text string").repartition(3)
+    for packed in (True, False):
+        path = f"{tmp_path}/{packed}"
+        archives.write_archives(texts, path, packed)
+        found = archives.archived_records(spark, path, ("a",)).select(F.from_json("record", "i long")["i"].alias("i")).collect()
+        assert sorted(r.i for r in found) == sorted([i for i in range(6)] + [-i for i in range(6)])
+    assert {p.suffix for p in (tmp_path / "True").iterdir()} == {".zip"}
+
+
+@pytest.mark.parametrize("part", (1, 2, 3, 7, 64, 4096))
+def test_elements_of_an_array_in_small_parts(part):
+    values = [1, 12345, -0.5e-7, "a,]b\\", "\"", [], {}, [1, [2, {"x": "]"}]], {"k": {"l": [None, True]}}, "漢字" * 40, None, False]
+    for text in (json.dumps(values), json.dumps(values, indent=2, ensure_ascii=False), " [ " + " , ".join(map(json.dumps, values)) + " ] \n"):
+        assert [json.loads(e) for e in archives.elements(io.StringIO(text), part)] == values
+    for text, want in (("[]", []), ("", []), (" [ ] ", []), ('{"a": 1}', [{"a": 1}]), ("17", [17])):
+        assert [json.loads(e) for e in archives.elements(io.StringIO(text), part)] == want
+    for broken in ("[1, 2", '[{"a": 1', "[1 2]", '["abc', "[1, "):
+        with pytest.raises(ValueError):
+            list(archives.elements(io.StringIO(broken), part))
 
 
 def test_account_playlists(spark, tmp_path):
