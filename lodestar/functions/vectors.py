@@ -36,6 +36,17 @@ def unit(a: Column) -> Column:
     return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
 
 
+def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two matrices; NaN with a zero row (FUN-18)."""
+    with np.errstate(invalid="ignore"):
+        return (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)))
+
+
+def first_closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minus the distances of the first components (FUN-19)."""
+    return -np.abs(a[:, :1] - b[:, 0])
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_vector(blobs: pd.Series) -> pd.Series:
     """zlib-compressed little-endian half floats to floats; Spark has neither (FUN-36, SRC-27). Null stays null."""

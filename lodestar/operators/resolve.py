@@ -4,12 +4,14 @@ JON-25, JON-27, WIN-18, DOM-15, DOM-19, DOM-20, DOM-23)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scores, text
 from lodestar.operators.timeline import accept_by_margin
+from lodestar.session import shared_path
 
 
 def unique_keys(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -20,8 +22,8 @@ def unique_keys(df: DataFrame, key: str, id_col: str) -> DataFrame:
 def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, left_text: str, right_text: str, ratio=text.token_overlap) -> DataFrame:
     """Pairs with an equal block, and ``score``: how alike their texts are (JON-11, JON-12).
 
-    A block that holds many rows of both sides multiplies them; choose blocks that are nearly keys. ``ratio`` is a
-    Column function; ``text.matching_ratio`` is the exact, slower one.
+    For a right side that has few rows a block: each left row meets all of them. Where both sides have many, use
+    ``setjoin.matched_sets``. ``ratio`` is a Column function; ``text.matching_ratio`` is the exact, slower one.
     """
     return left.join(right, block).withColumn("score", ratio(F.col(left_text), F.col(right_text)))
 
@@ -66,11 +68,34 @@ def review_verdict(title_ratio: Column, artist_ratio: Column, equal: Column, con
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, a: str, b: str, pick: Sequence[str]) -> DataFrame:
-    """For each left row the right row of equal keys with the nearest value, ties by ``pick`` (JON-20)."""
-    joined = left.join(right, list(keys))
-    order = F.struct(F.abs(F.col(a) - F.col(b)), *(F.col(c) for c in pick))
-    best = joined.groupBy(left_id).agg(F.min_by(F.struct(*pick, b), order).alias("best"), F.min(F.abs(F.col(a) - F.col(b))).alias("apart"))
-    return best.select(left_id, *(F.col(f"best.{c}").alias(c) for c in (*pick, b)), "apart")
+    """For each left row the right row of equal keys with the nearest value, ties by ``pick`` (JON-20).
+
+    An as-of merge: both sides are ranged by key and value and written down; within a range each left row sees the last right value
+    before it and the next after it, and where its range has none, those of the ranges beside it, which are carried in from
+    a few rows a range. So a hot key is many ranges, and no left row meets more than two values. Rows with a null key or value
+    have no nearest."""
+    spark, path = left.sparkSession, shared_path(left.sparkSession, "merge")
+    present = lambda df, v: df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*keys, v))))
+    firsts = present(right, b).groupBy(*keys, F.col(b).alias("__v")).agg(F.min(F.struct(*pick)).alias("__r"))
+    marks = firsts.select(*keys, "__v", F.struct("__v", "__r").alias("__r"), F.lit(None).cast(left.schema[left_id].dataType).alias("__id"))
+    asks = present(left, a).select(*keys, F.col(a).alias("__v"), F.lit(None).cast(marks.schema["__r"].dataType).alias("__r"), F.col(left_id).alias("__id"))
+    marks.unionByName(asks).repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    both = spark.read.parquet(path)
+    here = Window.partitionBy(*keys, "__range").orderBy("__v", F.col("__r").isNull())
+    before = F.last("__r", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__r", ignorenulls=True).over(here.rowsBetween(0, Window.unboundedFollowing))
+    seen = both.select(*keys, "__range", "__v", "__id", F.col("__r").isNull().alias("__asks"), before.alias("__before"), after.alias("__after")).where("__asks")
+    edges = both.groupBy(*keys, "__range").agg(F.min("__r").alias("__low"), F.max("__r").alias("__high"))
+    beside = Window.partitionBy(*keys).orderBy("__range")
+    edges = edges.select(
+        *keys, "__range", F.last("__high", ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.first("__low", ignorenulls=True).over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+    )
+    found = seen.join(edges, [*keys, "__range"])
+    near = lambda r: F.when(r.isNotNull(), F.struct(F.abs(F.col("__v") - r["__v"]).alias("apart"), r["__r"].alias("r"), r["__v"].alias("v")))
+    best = F.least(near(F.coalesce("__before", "__earlier")), near(F.coalesce("__after", "__later")))
+    taken = found.select(F.col("__id").alias(left_id), best.alias("best")).where("best is not null")
+    return taken.select(left_id, *(F.col(f"best.r.{c}").alias(c) for c in pick), F.col("best.v").alias(b), F.col("best.apart").alias("apart"))
 
 
 def absent(df: DataFrame, *others: tuple[DataFrame, str], key: str) -> DataFrame:

@@ -5,9 +5,11 @@ A reference entity is one row; joining it to all others is a broadcast of that r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,14 @@ def tag_overlap(tags: DataFrame, id_col: str, tag: str, weight: str, ref) -> Dat
     return joined.select(id_col, F.coalesce(F.try_divide(both, F.col("ref_sum") + F.col("own") - both), F.lit(0.0)).alias("overlap"))
 
 
-def pair_jaccard(weights: DataFrame, id_col: str, key: str, weight: str, refs: DataFrame) -> DataFrame:
+def pair_jaccard(weights: DataFrame, id_col: str, key: str, weight: str, refs: DataFrame, salts: int = 16) -> DataFrame:
     """Weighted Jaccard of each reference (``refs``: its ids) and every other entity with a common key (FUN-16,
-    AGG-13): sum of minima over the sum of both less the minima, by a join on the key."""
+    AGG-13): sum of minima over the sum of both less the minima, by a join on the key. Entities are dealt over ``salts``, and
+    the references' few rows are copied to each, so that a key that all have is many tasks."""
     sums = weights.groupBy(id_col).agg(F.sum(weight).alias("total"))
-    left = weights.join(refs, id_col).select(F.col(id_col).alias("ref"), key, F.col(weight).alias("__w"))
+    left = weights.join(refs, id_col).select(F.col(id_col).alias("ref"), key, F.col(weight).alias("__w"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     least = (
-        left.join(weights, key)
+        left.join(weights.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")), [key, "__salt"])
         .where(F.col(id_col) != F.col("ref"))
         .groupBy("ref", id_col)
         .agg(F.sum(F.least("__w", weight)).alias("both"))
@@ -105,17 +108,9 @@ def pair_jaccard(weights: DataFrame, id_col: str, key: str, weight: str, refs: D
     return out.select("ref", id_col, F.try_divide("both", F.col("total") + F.col("ref_total") - F.col("both")).alias("jaccard"))
 
 
-def sibling_evaluation(scored: DataFrame, query: str, is_sibling: Column, score: str, id_col: str, depth: int, signal: str) -> DataFrame:
-    """Recall at ``depth`` and mean reciprocal rank of the first sibling of each query (DOM-09, AGG-29, WIN-05).
-
-    A sibling below place 2,000 counts as not found (rank a million).
-    """
-    # The first sibling's place is one more than the rows before it: two aggregates, no sort of all rows.
-    place = F.struct(-F.col(score), F.col(id_col))
-    best = scored.groupBy(query, signal).agg(F.min(F.when(is_sibling, place)).alias("__best"))
-    before = scored.join(best, [query, signal]).groupBy(query, signal, "__best").agg(F.count_if(place < F.col("__best")).alias("__before"))
-    rank = F.when(F.col("__best").isNotNull() & (F.col("__before") < 2000), F.col("__before") + 1)
-    firsts = before.select(query, signal, rank.alias("rank"))
+def rank_summary(firsts: DataFrame, depth: int, signal: str) -> DataFrame:
+    """Recall at ``depth`` and mean reciprocal rank of the first sibling of each query (DOM-09, AGG-29, WIN-05): rows of
+    ``signal`` and ``rank``, where null is not found (rank a million)."""
     rank = F.coalesce("rank", F.lit(1_000_000))
     return firsts.groupBy(signal).agg(
         F.count("*").alias("queries"),
@@ -124,6 +119,79 @@ def sibling_evaluation(scored: DataFrame, query: str, is_sibling: Column, score:
     )
 
 
+#: Queries and rows of one block product, and the last place that counts as found.
+QUERY_BLOCK, ROW_BLOCK, LAST_PLACE = 1024, 4096, 2000
+
+Signal = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def sibling_ranks(queries: DataFrame, rows: DataFrame, id_col: str, label_col: str, vector_col: str, signals: dict[str, Signal], digits: int = 9) -> DataFrame:
+    """Rank of the first other row of its label for each query and signal (DOM-09, WIN-05): ``query``, ``signal``, ``rank``.
+
+    Higher scores come first, equal ones (to ``digits``) by smaller id; a place beyond 2,000 is null. A signal scores a matrix
+    of queries with one of rows. Queries and rows meet in blocks: a row is copied once for each block of queries and a
+    query once for each block of rows. The first pass leaves the best sibling of each block, the second counts the rows
+    before the best of all: no scores leave the tasks. Rows without vector or label take no part."""
+    usable = F.col(vector_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    vector = F.transform(vector_col, lambda x: x.cast("double"))
+    packed = lambda df: df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), vector.alias("x"))
+    asked, every, names = packed(queries), packed(rows), list(signals)
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    nq, nv = blocks(asked, QUERY_BLOCK), blocks(every, ROW_BLOCK)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("*", dealt(nq).alias("qb"), to_all(nv).alias("vb"))
+    every = every.select("*", dealt(nv).alias("rvb"), to_all(nq).alias("rqb"))
+    matrix = lambda column: np.array(column.combine_chunks().flatten()).reshape(len(column), -1)
+
+    def scored(one: pa.Table, other: pa.Table):
+        other = other.sort_by("id")
+        q, x, ids = matrix(one.column("x")), matrix(other.column("x")), other.column("id").to_numpy()
+        own = one.column("id").to_numpy()[:, None] == ids
+        same = (one.column("label").to_numpy()[:, None] == other.column("label").to_numpy()) & ~own
+        for i, name in enumerate(names):
+            scores = np.round(signals[name](q, x), digits)
+            yield i, np.where(np.isnan(scores), np.finfo(float).min, scores), ids, own, same  # no score comes last
+
+    def best(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = {"query": [], "signal": [], "score": [], "id": []}
+        for i, scores, ids, _, same in scored(one, other) if one.num_rows and other.num_rows else ():
+            held = np.where(same, scores, -np.inf)
+            at = held.argmax(axis=1)  # the first of equal ones: the smallest id
+            found = np.flatnonzero(same.any(axis=1))
+            out["query"] += one.column("id").to_numpy()[found].tolist()
+            out["signal"] += [i] * len(found)
+            out["score"] += held[found, at[found]].tolist()
+            out["id"] += ids[at[found]].tolist()
+        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("signal", pa.int32()), ("score", pa.float64()), ("id", pa.int64())]))
+
+    def before(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = {"query": [], "signal": [], "n": []}
+        for i, scores, ids, own, _ in scored(one, other) if one.num_rows and other.num_rows else ():
+            known = [b.get(i) if b else None for b in map(dict, one.column("best").to_pylist())]
+            found = np.array([k is not None for k in known], bool)
+            top = np.array([k["score"] for k in known if k is not None])[:, None]
+            first = np.array([k["id"] for k in known if k is not None])[:, None]
+            ahead = ((scores[found] > top) | ((scores[found] == top) & (ids < first))) & ~own[found]
+            out["query"] += one.column("id").to_numpy()[found].tolist()
+            out["signal"] += [i] * int(found.sum())
+            out["n"] += ahead.sum(axis=1).tolist()
+        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("signal", pa.int32()), ("n", pa.int64())]))
+
+    ours, theirs = ("qb", "vb"), ("rqb", "rvb")
+    each = asked.groupBy(*ours).cogroup(every.groupBy(*theirs)).applyInArrow(best, "query long, signal int, score double, id long")
+    order = F.struct(-F.col("score"), F.col("id"))
+    tops = each.groupBy("query", "signal").agg(F.min_by(F.struct("score", "id"), order).alias("best"))
+    known = tops.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("signal", "best"))).alias("best"))
+    told = asked.join(known.withColumnRenamed("query", "id"), "id", "left").select("id", "label", "x", "qb", "vb", F.coalesce("best", F.create_map().cast("map<int, struct<score: double, id: long>>")).alias("best"))
+    counted = told.groupBy(*ours).cogroup(every.groupBy(*theirs)).applyInArrow(before, "query long, signal int, n long")
+    places = counted.groupBy("query", "signal").agg((F.sum("n") + 1).alias("rank"))
+    labels = F.array(*map(F.lit, names))
+    whole = asked.where("vb = 0").select(F.col("id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("signal"))
+    ranked = whole.join(places, ["query", "signal"], "left")
+    return ranked.select("query", labels[F.col("signal")].alias("signal"), F.when(F.col("rank") <= LAST_PLACE, F.col("rank")).alias("rank"))
+
+
 def signal_catalogue(signals: DataFrame, id_col: str, defaults: Sequence[str], floor: int = 400, excluded: str | None = None) -> DataFrame:
     """Signals with coverage and whether they are on by default (DOM-07, FLT-18): too rare or excluded ones are off
     the list. ``signals``: id, ``signal``, ``value``."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.quantiles import with_quantiles
+
 
 def play_stats(events: DataFrame, key: str, amount: str, at: str, qualified: Column) -> DataFrame:
     """Events, qualified ones, total, first and last of each key (AGG-01)."""
@@ -74,8 +76,7 @@ def robust_unit(value: Column, low: Column, high: Column) -> Column:
 
 def energy_weights(df: DataFrame, keys: Sequence[str], energy: str) -> DataFrame:
     """Weights that sum to 1 in each key: energy, but at least 0.35 of its 20th percentile (AGG-22)."""
-    floors = df.groupBy(*keys).agg(F.percentile(energy, 0.2).alias("p20"))
-    floored = df.join(floors, list(keys)).withColumn("floored", F.greatest(energy, 0.35 * F.col("p20")))
+    floored = with_quantiles(df, keys, energy, {"p20": 0.2}).withColumn("floored", F.greatest(energy, 0.35 * F.col("p20")))
     totals = floored.groupBy(*keys).agg(F.sum("floored").alias("total"))
     return floored.join(totals, list(keys)).withColumn("weight", F.try_divide("floored", "total")).drop("p20", "floored", "total")
 

@@ -62,8 +62,10 @@ def capped(df: DataFrame, unique: Sequence[str], caps: dict[str, int], order: Se
     """First row of each value of the ``unique`` columns, then at most so many rows of each capped column's value, then
     the first ``limit`` (WIN-06, WIN-08 as ranks: each cap on what the one before left)."""
     for c in unique:
+        # Nulls are no value and are split off, so that the ranks of the others end early (window group limit).
         first = F.row_number().over(Window.partitionBy(c).orderBy(*order))
-        df = df.withColumn("__n", F.when(F.col(c).isNotNull(), first).otherwise(1)).where("__n = 1")
+        named = df.where(F.col(c).isNotNull()).withColumn("__n", first).where("__n = 1")
+        df = named.unionByName(df.where(F.col(c).isNull()).withColumn("__n", F.lit(1)))
     for c, cap in caps.items():
         df = df.withColumn("__n", F.row_number().over(Window.partitionBy(c).orderBy(*order))).where(F.col("__n") <= cap)
     return df.drop("__n").orderBy(*order).limit(limit)

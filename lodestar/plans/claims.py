@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import music, scores, text
-from lodestar.operators import derive, queue, resolve, stats
+from lodestar.operators import derive, queue, resolve, setjoin, stats
 from lodestar.plans.queue import NEW_SQL, OLD_SQL, snapshots
 from lodestar.plans.registry import query
 from lodestar.plans.resolve import overlap_sql
@@ -75,8 +75,8 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = part.select(k.alias("found"), block.alias("block"), F.col("p_name").alias("name"), code.alias("code"))
     linked = left.where("link is not null").select("id", F.col("link").alias("found"))
     coded = left.join(resolve.unique_keys(right, "code", "found"), "code").select("id", "found")
-    candidates = resolve.fuzzy_candidates(left.select("id", "block", "title"), right.select("found", "block", "name"), "block", "title", "name")
-    fuzzy = resolve.match_with_margin(candidates, "id", "found", F.col("score")).where("accepted").select("id", "found", F.col("score").alias("confidence"))
+    words, both = (text.tokens("title"), text.tokens("name")), (F.col("block"), F.col("block"))
+    fuzzy = setjoin.matched_sets(left, right, "id", "found", both, words).withColumnRenamed("score", "confidence")
     stages = [("id_in_name", linked, 1.0), ("unique_code", coded, 0.99), ("fuzzy", fuzzy, None)]
     out = resolve.cascade(left.select("id"), stages, "id", "found")
     return out.withColumn("confidence", F.round("confidence", 6))

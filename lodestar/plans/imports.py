@@ -9,7 +9,7 @@ from lodestar.functions import vectors
 from lodestar.plans.registry import query
 from lodestar.plans.streams import scratch
 from lodestar.session import table
-from lodestar.sources import archives, payloads, readers, storage
+from lodestar.sources import archives, payloads, readers, schema, storage
 
 #: Rows of one JSON array or XML document of the written files.
 EACH = 2000
@@ -222,6 +222,43 @@ def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", "value", F.lit("cache").alias("source")).union(misses.select("id", F.lit(None).cast("string"), F.lit("fetch")))
 
 
+@query("""
+SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 3 = 2 AND p_size > 25 THEN p_brand END AS album_id,
+       CASE WHEN p_partkey % 3 = 2 AND p_size % 2 = 0 THEN p_type WHEN p_partkey % 3 < 2 THEN 'none' END AS label, CASE WHEN p_partkey % 3 = 2 THEN p_size ELSE 0 END AS paused FROM part""")
+def migrated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written under three versions of a schema, read as one table: columns that a version added have their default in older
+    rows and their own nulls in newer ones (SRC-01)."""
+    shared, parts = scratch(spark), table(spark, sf_dir, "part")
+    one = parts.select("*", F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    newest = one.withColumn("album_id", F.when(F.col("p_size") > 25, F.col("p_brand"))).withColumn("label", F.when(F.col("p_size") % 2 == 0, F.col("p_type")))
+    schema.write_version(one.where("p_partkey % 3 = 0").select("id", "title"), shared, 1)
+    schema.write_version(one.where("p_partkey % 3 = 1").select("id", "title", F.lit(None).cast("string").alias("album_id")), shared, 2)
+    schema.write_version(newest.where("p_partkey % 3 = 2").select("id", "title", "album_id", "label", F.col("p_size").alias("paused")), shared, 3)
+    steps = [schema.Step(2, "album_id", "string"), schema.Step(3, "label", "string", "none"), schema.Step(3, "paused", "int", 0)]
+    return schema.migrated(spark, shared, "id long, title string", steps)
+
+
+POLICY_SQL = ", ".join(f"('{s}', '{f}', {r}::DOUBLE, {w}::DOUBLE, '{u}')" for s, f, r, w, u in schema.POLICIES)
+
+
+@query(f"""
+WITH b AS (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'freqblog' ELSE lower(n_name) END AS source, CASE WHEN n_nationkey % 5 = 0 THEN ['bpm', 'key', 'energy', 'valence', 'mood'][n_nationkey // 5 + 1] ELSE 'bpm' END AS field,
+  n_nationkey / 50.0 AS reliability, n_regionkey / 10.0 AS similarity_weight, 'own' AS usage FROM nation),
+p(source, field, reliability, similarity_weight, usage) AS (VALUES {POLICY_SQL})
+SELECT * FROM b UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source = p.source AND b.field = p.field)""")
+def seeded_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy table that has rows of its own, with the seed rows that it lacks (SRC-01, SNK-03)."""
+    key, shared = F.col("n_nationkey"), scratch(spark)
+    fields = F.array(*map(F.lit, ["bpm", "key", "energy", "valence", "mood"]))
+    own = table(spark, sf_dir, "nation").select(
+        F.when(key % 5 == 0, "freqblog").otherwise(F.lower("n_name")).alias("source"), F.when(key % 5 == 0, fields[(key / 5).cast("int")]).otherwise("bpm").alias("field"),
+        (key / 50).alias("reliability"), (F.col("n_regionkey") / 10).alias("similarity_weight"),
+    )
+    schema.write_version(own, shared, 1)
+    base = schema.migrated(spark, shared, "source string, field string, reliability double, similarity_weight double", [schema.Step(2, "usage", "string", "own")])
+    return schema.seeded(spark, base, schema.POLICIES, schema.POLICY_KEYS)
+
+
 @query("""
 WITH m AS (SELECT o_orderkey AS id, o_custkey % 7 AS artist, o_orderpriority AS playlist FROM orders WHERE NOT regexp_matches(o_orderpriority, '^(4|5)-'))
 SELECT id, list_sort([playlist]) AS sources, list_sort(list_distinct(['g' || artist, 'h' || (artist % 2)])) AS genres FROM m""")

@@ -111,4 +111,4 @@ def snapshot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(pair(F.col("o.status"), F.lit("x")) == pair(F.lit("x"), F.col("n.status"))).alias("same_set"),
     )
     finished = queue.keep_success(old, new, "k", "status", "F").agg(F.count_if(F.col("status") == "F").alias("finished"))
-    return agreed.crossJoin(finished)  # one row each
+    return agreed.crossJoin(F.broadcast(finished))  # one row each

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import scores, text
-from lodestar.operators import resolve
+from lodestar.operators import ranking, resolve
 from lodestar.plans.registry import query
 from lodestar.plans.similarity import FOLD_SQL
 from lodestar.session import table
@@ -94,18 +94,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item
 
 
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items that share a word which one item alone has, with their word overlap."""
+    """Documents and benchmark items that share a word which one item alone has, with their word overlap.
+
+    Texts are folded and split once. Each word of a document that items have meets those items; sums for the pair are all
+    that is left of it in the same task."""
     # Words as 64-bit hashes: sets of numbers are compared much faster than sets of texts.
     words_of = lambda c: F.array_distinct(F.transform(F.split(text.normalize(c), " "), lambda w: F.xxhash64(w)))
     items = table(spark, sf_dir, "benchmark").select("item_id", words_of("text").alias("y"))
-    words = items.select("item_id", F.explode("y").alias("w")).where(F.col("w") != F.xxhash64(F.lit("")))
-    rare = resolve.unique_keys(words, "w", "item_id")
+    words = items.select("item_id", F.size("y").alias("m"), F.explode("y").alias("w"))
+    rare = resolve.unique_keys(words.where(F.col("w") != F.xxhash64(F.lit(""))), "w", "item_id").select("w", F.lit(1).alias("rare"))
+    known = words.join(rare, "w", "left")
     docs = table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("x"))
-    # As many candidates as items at most; a document's words are joined back once, not once for each candidate.
-    candidates = docs.select("doc_id", F.explode("x").alias("w")).join(rare, "w").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    pairs = docs.join(candidates, "doc_id").select("doc_id", "x", F.explode("items").alias("item_id"))
-    shared = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return pairs.join(items, "item_id").select("doc_id", "item_id", shared.alias("score"))
+    met = docs.select("doc_id", F.size("x").alias("n"), F.explode("x").alias("w")).join(known, "w")
+    pairs = met.groupBy("doc_id", "n", "item_id", "m").agg(F.count("*").alias("shared"), F.max("rare").alias("rare")).where("rare = 1")
+    return pairs.select("doc_id", "item_id", (F.col("shared") / F.least("n", "m")).alias("score"))
 
 
 @query(MARGIN_SQL + """
@@ -163,6 +165,30 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("p_partkey", verdict.alias("verdict"), F.round(confidence, 6).alias("confidence"))
 
 
+@query("""
+WITH a AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, CASE WHEN p_partkey % 4 > 0 THEN 'US-' || lpad((p_partkey // 3)::VARCHAR, 9, '0') END AS code FROM part),
+b AS (SELECT p_partkey - 64 AS p_partkey, name, brand, CASE WHEN p_partkey % 5 > 0 THEN 'us' || lpad(((p_partkey - 64) // 3 + CASE WHEN p_partkey % 7 > 3 THEN 1 ELSE 0 END)::VARCHAR, 9, '0') END AS code FROM a),
+r AS (SELECT a.p_partkey, upper(regexp_replace(a.code, '[^A-Za-z0-9]', '', 'g')) AS x, upper(b.code) AS y, a.name = b.name AND a.brand = b.brand AS eq,
+  1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS t, 1 - levenshtein(a.brand, b.brand) / greatest(length(a.brand), length(b.brand)) AS s FROM a JOIN b USING (p_partkey))
+SELECT p_partkey, CASE WHEN x = y THEN 'code_exact' WHEN x IS NOT NULL AND y IS NOT NULL THEN CASE WHEN t >= 0.94 AND s >= 0.7 THEN 'name_exact_code_variant' ELSE 'code_conflict' END ELSE 'name_artist' END AS method,
+  round(CASE WHEN x = y THEN 1.0 WHEN x IS NOT NULL AND y IS NOT NULL THEN CASE WHEN t >= 0.94 AND s >= 0.7 THEN 0.78 ELSE 0 END ELSE 0.72 * t + 0.28 * s END, 6)::DOUBLE AS confidence,
+  CASE WHEN eq AND NOT coalesce(x <> y, false) THEN 'accept' WHEN t < 0.55 AND s < 0.55 THEN 'reject' ELSE 'keep' END AS verdict FROM r""")
+def identity_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part against the one 64 places on, with codes that agree, differ or are missing: how sure they are one and by what, and the
+    verdict that heeds conflicts of codes (DOM-19, DOM-20, FUN-07). Edit ratios stand in for the matching ratio."""
+    key, nine = F.col("p_partkey"), lambda c: F.lpad(c.cast("long").cast("string"), 9, "0")
+    parts = table(spark, sf_dir, "part").select(key, F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"))
+    one = parts.withColumn("code", F.when(key % 4 > 0, F.concat(F.lit("US-"), nine(F.floor(key / 3)))))
+    later = F.floor((key - 64) / 3) + F.when(key % 7 > 3, 1).otherwise(0)
+    other = parts.select((key - 64).alias("p_partkey"), F.col("name").alias("name_b"), F.col("brand").alias("brand_b"), F.when(key % 5 > 0, F.concat(F.lit("us"), nine(later))).alias("code_b"))
+    both = one.join(other, "p_partkey")
+    title, brand = text.edit_ratio("name", "name_b"), text.edit_ratio("brand", "brand_b")
+    score = ranking.identity_score(title, brand, F.col("code"), F.col("code_b"))
+    equal = (F.col("name") == F.col("name_b")) & (F.col("brand") == F.col("brand_b"))
+    verdict = resolve.review_verdict(title, brand, equal, ranking.code_conflict(F.col("code"), F.col("code_b")))
+    return both.select("p_partkey", score["method"].alias("method"), F.round(score["confidence"], 6).alias("confidence"), verdict.alias("verdict"))
+
+
 @query("""
 WITH e AS (SELECT o_orderkey, o_orderstatus = 'F' AS there, CASE WHEN o_totalprice > 200000 THEN o_custkey END AS other FROM orders)
 SELECT count(*) FILTER (WHERE there) AS keep, count(*) FILTER (WHERE NOT there AND other IS NOT NULL) AS repair, count(*) FILTER (WHERE NOT there AND other IS NULL) AS "delete",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import scores, text
-from lodestar.operators import search, similarity
+from lodestar.functions import music, scores, text, vectors
+from lodestar.operators import ranking, search, similarity
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -16,10 +16,6 @@ COSINE_SQL = """list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding
    sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"""
 
 
-#: Blocks of the stated query sets.
-QUERY_BLOCKS = 16
-
-
 @query(f"""
 SELECT a.vec_id, round({COSINE_SQL}, 6) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0
 ORDER BY {COSINE_SQL} DESC, a.vec_id LIMIT 20""")
@@ -75,7 +71,7 @@ q AS (SELECT id, (SELECT count(*) FROM (SELECT unnest(d) AS x) WHERE x IS NOT NU
 SELECT id, common::INT AS common, round(100 * (1 - least(1, dist)), 4) AS similarity FROM q WHERE common >= 3 ORDER BY 100 * (1 - least(1, dist)) DESC, id LIMIT 50""")
 def policy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers near customer 1: weighted distance over balance, spend (half- and double-aware), nation and segment;
-    a missing segment is penalised (DOM-05, FUN-11, FUN-14, FLT-11)."""
+    a missing segment is penalised (DOM-05). The whole ranking is ``similar_parts``."""
     spend = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.avg("o_totalprice") / 300000).alias("spend"))
     segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
     people = table(spark, sf_dir, "customer").join(spend, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -126,13 +122,14 @@ def weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT user_id, event_type, sum(value) AS w FROM events WHERE value > 60 GROUP BY ALL),
+WITH w AS (SELECT user_id, event_type || ' ' || hour(ts) AS event_type, sum(value) AS w FROM events GROUP BY ALL),
 m AS (SELECT event_type FROM w WHERE user_id = 1), t AS (SELECT sum(w) AS r FROM w WHERE user_id = 1),
 s AS (SELECT user_id, sum(w) AS own, coalesce(sum(w) FILTER (WHERE event_type IN (SELECT event_type FROM m)), 0) AS shared FROM w GROUP BY 1)
 SELECT user_id, round(coalesce(shared / nullif(r + own - shared, 0), 0), 6) AS overlap FROM s, t""")
 def inverted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of each user's weights with those of user 1, by the candidate's weights (FUN-17, AGG-15)."""
-    weights = table(spark, sf_dir, "events").where("value > 60").groupBy("user_id", "event_type").agg(F.sum("value").alias("w"))
+    kind = F.concat_ws(" ", "event_type", F.hour("ts")).alias("event_type")
+    weights = table(spark, sf_dir, "events").groupBy("user_id", kind).agg(F.sum("value").alias("w"))
     return similarity.tag_overlap(weights, "user_id", "event_type", "w", 1).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -146,19 +143,71 @@ f AS (SELECT query, signal, coalesce(min(k) FILTER (WHERE sib AND k <= 2000), 10
 SELECT signal, count(*) AS queries, round(avg(CAST(k <= 3 AS INT)), 6) AS recall, round(avg(1.0 / k), 6) AS mrr FROM f GROUP BY signal""")
 def sibling_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well two signals find vectors of the same label, for every twentieth vector against all (DOM-09, AGG-29,
-    WIN-05). The queries are a stated set, joined as a block."""
-    from lodestar.functions.vectors import cosine
+    WIN-05). The queries are a stated set; they meet all vectors in blocks."""
+    every = table(spark, sf_dir, "embeddings")
+    signals = {"cosine": vectors.cosine_matrix, "first": vectors.first_closeness}
+    ranks = similarity.sibling_ranks(every.where("vec_id % 20 = 0"), every, "vec_id", "label", "embedding", signals)
+    return similarity.rank_summary(ranks, 3, "signal")
 
-    # Each vector meets the queries block by block: an equi-join on the block, whatever the number of queries.
-    vectors = table(spark, sf_dir, "embeddings")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(QUERY_BLOCKS)).cast("int")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("q_label"), F.col("embedding").alias("q"), block.alias("block"))
-    every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))))
-    both = every.join(asked, "block").where(F.col("vec_id") != F.col("query"))
-    first = -F.abs(F.col("embedding")[0].cast("double") - F.col("q")[0].cast("double"))
-    pair = lambda name, c: F.struct(F.lit(name).alias("signal"), F.round(c, 9).alias("score"))
-    long = both.select("query", "vec_id", (F.col("label") == F.col("q_label")).alias("sib"), F.inline(F.array(pair("cosine", cosine(F.col("embedding"), F.col("q"))), pair("first", first))))
-    return similarity.sibling_evaluation(long, "query", F.col("sib"), "score", "vec_id", 3, "signal")
+
+# Keys of the catalogue below: names that the wheel knows, and two that it doesn't.
+KEYS = ["C major", "A minor", "G", "E-minor", "F# minor", "Bb", "D major", "H dur", "B minor", "Ab", "C#m", "F", "none"]
+KEYS_SQL = "[" + ", ".join(f"'{k}'" for k in KEYS) + "]"
+#: Weight of a source for a field.
+WEIGHTS = [("first", "bpm", 0.98), ("first", "key", 0.96), ("first", "energy", 0.95), ("second", "bpm", 1.0), ("second", "danceability", 0.28), ("second", "energy", 0.38)]
+WEIGHTS_SQL = ", ".join(f"('{s}', '{f}', {w})" for s, f, w in WEIGHTS)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_type, p_size, p_retailprice AS price FROM part),
+c AS (SELECT id, wheel FROM (SELECT id, {KEYS_SQL}[id % 13 + 1] AS k FROM p) JOIN (VALUES ('C major', '8B'), ('A minor', '8A'), ('G', '9B'), ('E-minor', '9A'), ('F# minor', '11A'), ('Bb', '6B'), ('D major', '10B'),
+  ('B minor', '10A'), ('Ab', '4B'), ('C#m', '12A'), ('F', '7B')) w(name, wheel) ON name = k),
+f AS (SELECT id, 'first' AS source, 'bpm' AS field, (60 + 2 * p_size)::DOUBLE AS x FROM p WHERE id % 4 > 0 UNION ALL SELECT id, 'second', 'bpm', (61 + p_size)::DOUBLE FROM p WHERE id % 5 > 0
+  UNION ALL SELECT id, 'first', 'energy', price / 2000 FROM p WHERE id % 3 > 0 UNION ALL SELECT id, 'second', 'energy', price / 1900 FROM p
+  UNION ALL SELECT id, 'second', 'danceability', p_size / 50.0 FROM p WHERE id % 7 > 0 UNION ALL SELECT id, 'other', 'liveness', (id % 10) / 10.0 FROM p WHERE id % 6 = 1),
+q AS (SELECT f.*, coalesce(w, 0.4) AS quality FROM f LEFT JOIN (VALUES {WEIGHTS_SQL}) w(source, field, w) ON w.source = f.source AND w.field = f.field),
+b AS (SELECT id, field, x, quality FROM q QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY quality DESC, source) = 1),
+t AS (SELECT id, 'genre' AS kind, lower(p_type) AS tag, 0.9 AS w FROM p WHERE id % 8 <> 2 UNION ALL SELECT id, 'genre', 'g' || (p_size % 5), 0.35 FROM p WHERE id % 8 <> 2
+  UNION ALL SELECT id, 'mood', split_part(title, ' ', 1), 0.5 + (id % 5) / 10.0 FROM p UNION ALL SELECT id, 'mood', split_part(title, ' ', 2), 0.8 FROM p),
+i AS (SELECT kind, tag, 1 + ln(((SELECT count(*) FROM p) + 1.0) / (count(DISTINCT id) + 1.0)) AS idf FROM t GROUP BY ALL),
+m AS (SELECT t.id, t.kind, sum(t.w * idf) AS own, coalesce(sum(least(t.w, s.w) * idf) FILTER (s.w IS NOT NULL), 0) AS shared FROM t JOIN i USING (kind, tag) LEFT JOIN (SELECT * FROM t WHERE id = 1) s ON s.kind = t.kind AND s.tag = t.tag GROUP BY ALL),
+j AS (SELECT m.id, m.kind, 1 - m.shared / (m.own + s.own - m.shared) AS d FROM m JOIN (SELECT * FROM m WHERE id = 1) s USING (kind)),
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT b.id, CASE b.field WHEN 'bpm' THEN 1.65 WHEN 'energy' THEN 1.3 WHEN 'danceability' THEN 1.05 ELSE 0.2 END * sqrt(b.quality * s.quality) AS w,
+    CASE WHEN b.field = 'bpm' THEN least(1, least(abs(b.x - s.x), abs(2 * b.x - s.x), abs(b.x - 2 * s.x)) / 25) ELSE abs(b.x - s.x) END AS d FROM b JOIN b s ON s.id = 1 AND s.field = b.field
+  UNION ALL SELECT p.id, 0.55 * 0.96, CASE WHEN a.wheel IS NULL THEN 1 WHEN a.wheel = s.wheel THEN 0 WHEN left(a.wheel, -1) = left(s.wheel, -1) THEN 0.18
+    WHEN right(a.wheel, 1) = right(s.wheel, 1) AND abs(left(a.wheel, -1)::INT - left(s.wheel, -1)::INT) IN (1, 11) THEN 0.25 ELSE 1 END FROM p LEFT JOIN c a USING (id) JOIN c s ON s.id = 1
+  UNION ALL SELECT id, CASE kind WHEN 'genre' THEN 1.8 ELSE 1.2 END, d FROM j
+  UNION ALL SELECT p.id, 1.35 * sqrt((0.5 + (p.id % 4) / 10.0) * 0.6), CASE WHEN p.p_size % 3 = s.p_size % 3 THEN 0 ELSE 1 END FROM p JOIN p s ON s.id = 1 WHERE p.id % 9 > 0
+  UNION ALL SELECT v.id, 2.6, (1 - greatest(-1, least(1, list_dot_product(v.e, s.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(s.e, s.e))))) / 2 FROM v JOIN v s ON s.id = 1 WHERE v.id IN (SELECT id FROM p)),
+a AS (SELECT id, count(*) AS common, sum(w * d * d) AS num, sum(w) AS den FROM d GROUP BY 1),
+g AS (SELECT a.id, common, CASE WHEN a.id % 8 = 2 THEN num + 1.26 * 0.5625 ELSE num END AS num, CASE WHEN a.id % 8 = 2 THEN den + 1.26 ELSE den END AS den FROM a)
+SELECT g.id, common::INT AS common, round(100 * (1 - least(1, sqrt(num / den))), 6) AS similarity FROM g JOIN p USING (id) JOIN p s ON s.id = 1
+WHERE g.id <> 1 AND common >= 3 AND NOT (p.title = s.title AND p.artist = s.artist)""")
+def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts by their distance from part 1 over fields of several sources, tempo, key, tags, an attribute and vectors, in one ranking
+    (DOM-05, FUN-11, FUN-14, FUN-16, AGG-13, AGG-14, FLT-11)."""
+    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    feature = lambda source, field, number, words=no_text: F.struct(F.lit(source).alias("source"), F.lit(field).alias("field"), number.cast("double").alias("number"), words.alias("text"))
+    names = F.array(*map(F.lit, KEYS))
+    fields = F.array(
+        feature("first", "bpm", F.when(k % 4 > 0, 60 + 2 * F.col("p_size"))), feature("second", "bpm", F.when(k % 5 > 0, 61 + F.col("p_size"))),
+        feature("first", "energy", F.when(k % 3 > 0, F.col("p_retailprice") / 2000)), feature("second", "energy", F.col("p_retailprice") / 1900),
+        feature("second", "danceability", F.when(k % 7 > 0, F.col("p_size") / 50)), feature("other", "liveness", F.when(k % 6 == 1, (k % 10) / 10)),
+        feature("first", "key", nothing, names[(k % 13).cast("int")]),
+    )
+    tag = lambda kind, name, confidence: F.struct(F.lit(kind).alias("tag_type"), name.alias("tag"), confidence.cast("double").alias("confidence"))
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    genres = F.array(tag("genre", F.lower("p_type"), F.lit(0.9)), tag("genre", F.concat(F.lit("g"), F.col("p_size") % 5), F.lit(None)))
+    moods = F.array(tag("mood", word(1), 0.5 + (k % 5) / 10), tag("mood", word(2), F.lit(0.8)))
+    tags = parts.select(k.alias("id"), F.inline(F.concat(F.when(k % 8 != 2, genres).otherwise(F.slice(genres, 1, 0)), moods)))
+    rhythm = parts.select(k.alias("id"), F.lit("rhythm_pattern").alias("attribute"), F.when(k % 9 > 0, (F.col("p_size") % 3).cast("string")).otherwise("unknown").alias("value"), (0.5 + (k % 4) / 10).alias("confidence"))
+    embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("clap").alias("family"), vectors.as_doubles(F.col("embedding")).alias("vector"))
+    named = parts.select(k.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist_names"), no_text.alias("isrc"))
+    policies = spark.createDataFrame(WEIGHTS, "source string, field string, similarity_weight double")
+    found = ranking.similar_entities(named, parts.select(k.alias("id"), F.inline(fields)), policies, tags, rhythm, embedded, 1)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import scores
-from lodestar.operators import stats
+from lodestar.operators import quantiles, stats
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -98,16 +98,12 @@ FROM events JOIN p USING (event_type) GROUP BY ALL""")
 def percentile_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each event type, share above 50, and values scaled between two of them (AGG-20, AGG-21)."""
     events = table(spark, sf_dir, "events")
-    marks = events.groupBy("event_type").agg(
-        F.percentile("value", F.array(F.lit(0.2), F.lit(0.9), F.lit(0.97))).alias("p"),
-        F.avg("value").alias("mean"),
-        F.avg((F.col("value") >= 50).cast("int")).alias("coverage"),
-    )
-    scaled = events.join(marks, "event_type").withColumn("scaled", stats.robust_unit(F.col("value"), F.col("p")[0], F.col("p")[2]))
+    marks = quantiles.with_quantiles(events, ["event_type"], "value", {"p20": 0.2, "p90": 0.9, "p97": 0.97})
+    scaled = marks.withColumn("scaled", stats.robust_unit(F.col("value"), F.col("p20"), F.col("p97")))
     rounded = lambda c, name: F.round(c, 6).alias(name)
     return scaled.groupBy("event_type").agg(
-        *(rounded(F.first(F.col("p")[i]), n) for i, n in enumerate(("p20", "p90", "p97"))),
-        rounded(F.first("mean"), "mean"), rounded(F.first("coverage"), "coverage"), rounded(F.avg("scaled"), "mean_scaled"),
+        *(rounded(F.first(n), n) for n in ("p20", "p90", "p97")), rounded(F.avg("value"), "mean"),
+        rounded(F.avg((F.col("value") >= 50).cast("int")), "coverage"), rounded(F.avg("scaled"), "mean_scaled"),
     )
 
 
@@ -164,7 +160,7 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "event_type", "n")))
     top = kinds.agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["event_type"], x["n"])), ",").alias("top_kinds"))
-    return customers.crossJoin(totals).crossJoin(top)  # one row each
+    return customers.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(top))  # one row each
 
 
 @query("""

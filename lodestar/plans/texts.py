@@ -17,11 +17,14 @@ SELECT doc_id, md5({FOLD_SQL.format('text')}) AS folded, md5(replace({FOLD_SQL.f
        trim(regexp_replace({FOLD_SQL.format("split_part(text, chr(10), 1)")}, '( (remaster|remastered|radio|edit|extended|original|version|mix|mixed|mono|stereo|deluxe|19\d\d|20\d\d))+$', '')) AS title FROM documents""")
 def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of whole texts, and of their first lines as titles (FUN-01 to FUN-03)."""
-    return table(spark, sf_dir, "documents").select(
+    # Folded once, in a projection of its own: other forms derive from it.
+    lowered = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("lower"))
+    folded = lowered.select("doc_id", "text", "lower", text.normalize("lower").alias("folded"))
+    return folded.select(
         "doc_id",
-        F.md5(text.normalize("text")).alias("folded"),
-        F.md5(text.normalize("text", "compact")).alias("compact"),
-        F.length(text.normalize("text", "spaces")).alias("spaced"),
+        F.md5("folded").alias("folded"),
+        F.md5(F.translate("folded", " ", "")).alias("compact"),
+        F.length(text.normalize("lower", "spaces")).alias("spaced"),
         text.canonical_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
     )
 

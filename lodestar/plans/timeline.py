@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import queue, stats, timeline
+from lodestar.operators import quantiles, queue, stats, timeline
 from lodestar.plans.registry import query
 from lodestar.session import table
 
@@ -31,7 +31,7 @@ SELECT user_id, round(median(gap), 4) AS median_gap, count(gap) AS gaps FROM g W
 def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median gap over a minute between a user's events (WIN-10, AGG-19)."""
     found = timeline.gaps(events_of(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("seconds")).where("gap > 60")
-    return found.groupBy("user_id").agg(F.round(F.median("gap"), 4).alias("median_gap"), F.count("gap").alias("gaps"))
+    return quantiles.exact_quantiles(found, ["user_id"], "gap", [0.5]).select("user_id", F.round(F.col("quantiles")[0], 4).alias("median_gap"), F.col("n").alias("gaps"))
 
 
 @query("""
@@ -124,9 +124,9 @@ def probe_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.countDistinct("event_type").alias("kinds"), (F.max("value") - F.min("value")).alias("spread"))
     )
     events = table(spark, sf_dir, "events")
-    marks = events.groupBy("event_type").agg(F.median("value").alias("m"), F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0)).alias("s"))
+    marks = events.groupBy("event_type").agg(F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0)).alias("s"))
     z = (F.col("value") - F.col("m")) / F.col("s")
-    best = events.join(marks, "event_type").groupBy("user_id").agg(F.max(1 / (1 + F.exp(-(z - 0.45) * 1.15))).alias("c"))
+    best = quantiles.with_quantiles(events, ["event_type"], "value", {"m": 0.5}).join(marks, "event_type").groupBy("user_id").agg(F.max(1 / (1 + F.exp(-(z - 0.45) * 1.15))).alias("c"))
     return probes.join(best, "user_id").select(
         "user_id", "kinds", F.round("spread", 4).alias("spread"), ((F.col("kinds") == 1) & (F.col("spread") <= 1)).alias("agree"),
         F.round("c", 6).alias("top_confidence"),
