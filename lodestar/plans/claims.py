@@ -202,7 +202,8 @@ def window_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'USAB1' || lpad(p_partkey::VARCHAR, 7, '0') ELSE {FOLD_SQL.format('p_name')} || '|' || {FOLD_SQL.format('p_brand')} END AS recording,
   round({overlap_sql(FOLD_SQL.format('p_name'), FOLD_SQL.format("p_type || ' ' || p_name"))}, 6)::DOUBLE AS overlap,
   round(least(1, least(abs(p_size * 4 - 120), abs(p_size * 8 - 120), abs(p_size * 4 - 240)) / 25), 6)::DOUBLE AS tempo,
-  round((least(p_size, 20) * 2.0 + 0) / (greatest(p_size, 20) * 2.0 + 3), 6)::DOUBLE AS jaccard,
+  round((least(p_size, p_partkey % 40) * 2.0 + CASE WHEN p_partkey % 3 = 0 THEN least(4, p_size % 9) * 1.5 ELSE 0 END) /
+        nullif(greatest(p_size, p_partkey % 40) * 2.0 + CASE WHEN p_partkey % 3 = 0 THEN greatest(4, p_size % 9) * 1.5 ELSE 4 * 1.5 + p_size % 9 END, 0), 6)::DOUBLE AS jaccard,
   CASE WHEN lower(p_type) IN ('promo', 'economy') THEN 'price' WHEN lower(p_type) = 'standard' THEN 'plain' ELSE 'other' END AS kind,
   CASE WHEN p_partkey % 3 = 0 THEN 'minor' WHEN p_partkey % 3 = 1 THEN 'major' ELSE '2' END AS mode,
   round(least(1, CASE WHEN p_size > 1 THEN p_size / 100 ELSE p_size END), 6)::DOUBLE AS share FROM part""")
@@ -211,9 +212,10 @@ def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FUN-16, FUN-27 to FUN-29)."""
     k, size = F.col("p_partkey"), F.col("p_size")
     code = F.when(k % 2 == 0, F.concat(F.lit("us-ab1-"), F.lpad(k.cast("string"), 7, "0")))
-    a = F.create_map(F.lit("x"), size.cast("double"))
-    b = F.create_map(F.lit("x"), F.lit(20.0), F.lit("y"), F.lit(3.0))
-    idf = F.create_map(F.lit("x"), F.lit(2.0))
+    # Maps that differ from part to part: a shared key, one that a third share, and else one that each alone has.
+    a = F.create_map(F.lit("x"), size.cast("double"), F.lit("y"), F.lit(4.0))
+    b = F.create_map(F.lit("x"), (k % 40).cast("double"), F.when(k % 3 == 0, "y").otherwise("z"), (size % 9).cast("double"))
+    idf = F.create_map(F.lit("x"), F.lit(2.0), F.lit("y"), F.lit(1.5))
     return table(spark, sf_dir, "part").select(
         "p_partkey", text.recording_key(code, "p_name", "p_brand").alias("recording"),
         F.round(text.token_overlap("p_name", F.concat("p_type", F.lit(" "), "p_name")), 6).alias("overlap"),

@@ -283,20 +283,31 @@ def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("a").alias("size"), F.forall(apart, lambda x: x).alias("close"), held.alias("held"), vectors.encoded_key(coded).alias("key"))
 
 
-@query("""SELECT doc_id, '{"a": 1, "v": null, "z": 2}' AS payload FROM documents""")
+@query("""
+SELECT doc_id, '{"id": ' || doc_id || ', "v": null, "parts": [null, {"n": ' || n_chars || ', "w": null}], "source": "' || source || '"' ||
+  CASE WHEN doc_id % 2 = 0 THEN ', "kept": {"encoding": "utf-8", "data": "' || lang || '"}' ELSE '' END || '}' AS payload FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def strip_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON without its packed arrays (PRJ-06)."""
-    payload = F.concat(F.lit('{"a": 1, "v": {"encoding": "float16+zlib+base64", "data": "'), F.base64(F.col("doc_id").cast("string").cast("binary")), F.lit('"}, "z": 2}'))
-    return table(spark, sf_dir, "documents").select("doc_id", payloads.without_packed(payload).alias("payload"))
+    """JSON of each document without its packed arrays, wherever they stand; other objects stay (PRJ-06)."""
+    packed = F.concat(F.lit('{"encoding": "float16+zlib+base64", "data": "'), F.base64(F.encode("source", "UTF-8")), F.lit('", "shape": ['), F.col("n_chars"), F.lit("]}"))
+    kept = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(', "kept": {"encoding": "utf-8", "data": "'), "lang", F.lit('"}'))).otherwise("")
+    payload = F.concat(F.lit('{"id": '), "doc_id", F.lit(', "v": '), packed, F.lit(', "parts": ['), packed, F.lit(', {"n": '), "n_chars", F.lit(', "w": '), packed, F.lit('}], "source": "'), "source", F.lit('"'), kept, F.lit("}"))
+    docs = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return docs.select("doc_id", payloads.without_packed(payload).alias("payload"))
 
 
-@query("""SELECT 'read' AS source, (SELECT count(*) FROM part)::BIGINT AS rows, 'ok' AS status UNION ALL SELECT 'write', 25, 'ok'""")
+@query("""
+SELECT 'orders' AS source, count(*)::BIGINT AS rows, 'ok' AS status, 'from ' || min(o_orderkey) || ' to ' || max(o_orderkey) AS detail FROM orders
+UNION ALL SELECT 'part', count(*), 'ok', 'from ' || min(p_partkey) || ' to ' || max(p_partkey) FROM part
+UNION ALL SELECT 'errors', count(*), CASE WHEN count(*) > 0 THEN 'failed' ELSE 'ok' END, 'of ' || count(DISTINCT user_id) || ' users' FROM events WHERE event_type = 'error'""")
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each run (SNK-20)."""
+    """One row for each run over a table: what it counted, and how it went (SNK-20)."""
     path = f"{scratch(spark)}/runs"
-    storage.record_run(spark, path, "read", table(spark, sf_dir, "part").count(), "ok")
-    storage.record_run(spark, path, "write", 25, "ok")
-    return spark.read.parquet(path).select("source", "rows", "status")
+    for name, key in (("orders", "o_orderkey"), ("part", "p_partkey")):
+        seen = table(spark, sf_dir, name).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).first()
+        storage.record_run(spark, path, name, seen["n"], "ok", f"from {seen['a']} to {seen['b']}")
+    failed = table(spark, sf_dir, "events").where("event_type = 'error'").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).first()
+    storage.record_run(spark, path, "errors", failed["n"], "failed" if failed["n"] else "ok", f"of {failed['users']} users")
+    return spark.read.parquet(path).select("source", "rows", "status", "detail")
 
 
 @query("""SELECT o_custkey AS id, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
@@ -310,13 +321,15 @@ def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT c_mktsegment AS segment, count(*) AS people, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1)
-SELECT segment, people::VARCHAR AS people, 'csv' AS form FROM s UNION ALL SELECT segment, people::VARCHAR, 'json' FROM s UNION ALL SELECT segment, people::VARCHAR, 'markdown' FROM s""")
+SELECT segment, people, balance, unnest(['csv', 'json', 'markdown']) AS form FROM s""")
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report in three forms, read back (SNK-12)."""
     path = scratch(spark)
-    storage.report(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment"), ["segment"], {"people": F.count("*")}, path)
-    csv = spark.read.csv(f"{path}/csv", header=True).select("segment", "people", F.lit("csv").alias("form"))
-    json = spark.read.schema("segment string, people string").json(f"{path}/json").select("segment", "people", F.lit("json").alias("form"))
+    measures = {"people": F.count("*"), "balance": F.round(F.sum("c_acctbal"), 2)}
+    storage.report(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment"), ["segment"], measures, path)
+    shape = "segment string, people long, balance double"
+    csv = spark.read.schema(shape).csv(f"{path}/csv", header=True).withColumn("form", F.lit("csv"))
+    json = spark.read.schema(shape).json(f"{path}/json").withColumn("form", F.lit("json"))
     cells = F.split("value", r" \| |^\| | \|$")
-    lines = spark.read.text(f"{path}/markdown").select(cells[1].alias("segment"), cells[2].alias("people"), F.lit("markdown").alias("form"))
-    return csv.union(json).union(lines)
+    lines = spark.read.text(f"{path}/markdown").select(cells[1].alias("segment"), cells[2].cast("long").alias("people"), cells[3].cast("double").alias("balance"), F.lit("markdown").alias("form"))
+    return csv.unionByName(json).unionByName(lines)
