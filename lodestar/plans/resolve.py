@@ -105,7 +105,7 @@ def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rare = resolve.unique_keys(words.where(F.col("w") != F.xxhash64(F.lit(""))), "w", "item_id").select("w", F.lit(1).alias("rare"))
     known = words.join(rare, "w", "left")
     docs = table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("x"))
-    met = docs.select("doc_id", F.size("x").alias("n"), F.explode("x").alias("w")).join(known, "w")
+    met = docs.select("doc_id", F.size("x").alias("n"), F.explode_outer("x").alias("w")).join(known, "w")
     pairs = met.groupBy("doc_id", "n", "item_id", "m").agg(F.count("*").alias("shared"), F.max("rare").alias("rare")).where("rare = 1")
     return pairs.select("doc_id", "item_id", (F.col("shared") / F.least("n", "m")).alias("score"))
 

@@ -72,7 +72,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " +"))
     # distinct within a document already: counting suffices
-    terms = docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    terms = docs.select(F.explode_outer(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     return terms.crossJoin(F.broadcast(total)).select(  # one row
         "term", "df", F.round(1 + F.log((F.col("total") + 1) / (F.col("df") + 1)), 6).alias("idf")

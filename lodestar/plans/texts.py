@@ -68,7 +68,7 @@ SELECT lang, term, count(*) AS n FROM w WHERE length(term) >= 4 AND NOT regexp_m
 def ascii_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent plain-letter words of each language, without excluded beginnings (FLT-15, FLT-17 to FLT-19)."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    terms = table(spark, sf_dir, "documents").select("lang", F.explode(words).alias("term"))
+    terms = table(spark, sf_dir, "documents").select("lang", F.explode_outer(words).alias("term"))
     plain = terms.where((F.length("term") >= 4) & text.english_letters("term") & ~F.col("term").rlike("^(the|and|der|die)"))
     return plain.groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 20")
 
