@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -32,22 +33,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 
+#: What ``staged`` wrote and nobody has removed: results that are read later need it until the driver ends.
+_left: dict[str, SparkSession] = {}
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Removed by ``unstage``, or else when the driver ends."""
     path = shared_folder(df.sparkSession)
+    if not _left:
+        atexit.register(_remove_left)
+    _left[path] = df.sparkSession
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Remove what ``staged`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df.staged_path
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _remove_left() -> None:
+    while _left:
+        path, spark = _left.popitem()
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _remove(spark, path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove what ``staged`` wrote, once nothing reads it any more."""
+    _left.pop(df.staged_path, None)
+    _remove(df.sparkSession, df.staged_path)
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bucket_count, pieces, small_batches, staged, texts_of, tidy, tidy_group, unstage
-from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
-from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
+from lodestar.llm.linking import DIFFERENCES, ORDERS, Compare, differences, link_buckets
+from lodestar.llm.minhash import FACTORS, band_keys, mixed
+from lodestar.llm.minhash import NAMES as SET_NAMES
 from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
 
 #: Bytes of normalised text: punctuation and blanks part words, line feeds stay.
@@ -40,6 +41,10 @@ HOT_IN_PIECE = 16
 #: Distinct words that a task counts before it drops the rare ones.
 MOST_WORDS = 500_000
 WORD_BASE = 0x9E3779B97F4A7C15
+#: Fields of ``linking.ORDERS``, and the columns of a comparison.
+RUN = {"q": pa.int32(), "run": pa.int64(), "low": pa.int32(), "high": pa.int32(), "many": pa.int32(), "take": pa.int32(), "reach": pa.int32()}
+RUNS = pa.list_(pa.struct(list(RUN.items())))
+NAMES = [*SET_NAMES, "orders"]
 
 
 @dataclass(frozen=True)
@@ -54,6 +59,9 @@ class LineRules:
     some: float = 0.35  #: and from both where lines have fewer than this share
     least: int = 4  #: or this number
 
+    #: Lines with the same words in another order are near, and not linked.
+    ordered = True
+
     def edits(self, n):
         return n * (100 - self.percent) // 100
 
@@ -61,13 +69,14 @@ class LineRules:
         longer = np.maximum(n, m)
         return longer - self.edits(longer)
 
-    def gap(self, hub, n):
-        return self.need(hub, hub) - self.need(n, n)
-
     def need_of(self, n: Column, m: Column) -> Column:
         longer = F.greatest(n, m)
         return longer - F.floor(longer * (100 - self.percent) / 100).cast("int")
 
+    def run_of(self, longer: Column) -> Column:
+        longest = F.floor(longer / (F.floor(longer * (100 - self.percent) / 100) + 1)).cast("int")
+        return F.when(longest > 2, longest - 1).otherwise(longest)
+
     def least_of(self, n: Column) -> Column:
         return self.need_of(n, n)
 
@@ -80,6 +89,35 @@ class LineRules:
         return next((n for n in range(1, 101) if self.edits(n + 1)), 101)
 
 
+def run_length(longer: int, edits: int) -> int:
+    """Words of the runs that two linked lines have in common: some of these are untouched by so many edits, and most often
+    several, so that a run which very many lines have isn't looked up."""
+    longest = longer // (edits + 1)
+    return longest - 1 if longest > 2 else longest
+
+
+def runs_of(words: list[bytes], rules: LineRules) -> list[tuple[int, int, int, int, int, int, int]]:
+    """The fields of ``linking.ORDERS`` of a line: its runs of as many words as those of lines to which it may be linked need.
+
+    Each edit touches ``q`` runs at most, so two lines of which the longer has n words share n - q + 1 - q * edits runs or
+    more, each at most ``edits`` places apart. That many the line looks for less one may be left out."""
+    n, out = len(words), []
+    least: dict[int, int] = {}
+    longer = n
+    while longer - rules.edits(longer) <= n:
+        edits = rules.edits(longer)
+        q = run_length(longer, edits)
+        shared = max(1, longer - q + 1 - q * edits)
+        least[q] = min(least.get(q, shared), shared)
+        longer += 1
+    for q, shared in least.items():
+        places: dict[int, list[int]] = {}
+        for i in range(n - q + 1):
+            places.setdefault(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + q])) - (1 << 63), []).append(i)
+        out += [(q, run, at[0], at[-1], len(places), n - q + 2 - shared, rules.edits(longer - 1)) for run, at in places.items()]
+    return out
+
+
 def normal_lines(text: str | None) -> list[bytes]:
     """Each line's words, in lower case, with one blank between."""
     return [b" ".join(line.split()) for line in (text or "").lower().encode().translate(NORMAL).split(b"\n")]
@@ -360,13 +398,17 @@ def comparer(texts: DataFrame, rules: LineRules) -> Compare:
 
                 hub, own = (np.array([at[line] for line in side], np.int64) for side in (x, y))
                 linked, more = differences(values, np.r_[0, np.cumsum(sizes)], hub, own, rules, accept, whole)
-                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
+                if whole:
+                    near = more[0].to_pylist()
+                    runs = {line: runs_of(line.encode().split(b" "), rules) for line in {line for line, is_near in zip(y, near) if is_near}}
+                    more.append(pa.array([[dict(zip(RUN, r)) for r in runs[line]] if is_near else [] for line, is_near in zip(y, near)], RUNS))
+                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *(NAMES if whole else [])])
                 yield made if whole else made.filter(made.column(2))
 
     def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        shape = f"a long, b long, linked boolean{', ' + DIFFERENCES if whole else ''}"
+        shape = f"a long, b long, linked boolean{f', {DIFFERENCES}, {ORDERS}' if whole else ''}"
         return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(tidy(lambda batches: run(batches, whole)), shape)
 
     return compare

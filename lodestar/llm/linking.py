@@ -4,13 +4,17 @@ Things are sets (shingles of a document, words of a line with their occurrence n
 elements two sets of given sizes must share before they may be linked. Small buckets are compared in full; a large one has
 a hub that all its members are compared with. What is not near the hub is then found by what it does not share with the hub:
 
-* If x and y share only elements of the hub h, x is not near h, and y is at least as large as h, then x and y share less
-  than they must: x would be near h. So they share an element that h lacks. If they must share s, and one of them shares
-  r with h, they share at least s - r that h lacks; so all but the last s - r - 1 of each, rarest first, are looked up.
-* If y is smaller than h, and x and y still share only elements of h, then h has elements that both lack, and all but a
-  few of those that y lacks.
+* What x lacks of the hub h and what it has besides are its differences. x and y share |h| less what x lacks, less what y
+  lacks, plus the differences that both have. So if they must share s, they have s - |h| + |x lacks| + |y lacks| differences in
+  common; call that t. It is 1 at least wherever one of them is not near h, as sharing t - 1 or fewer leaves x no more like y
+  than it is like h.
+* All but the last t - k differences of each, rarest first, are looked up: two that have t in common meet there k times or
+  more. What all members of a bucket have and the hub lacks, or the other way round, is frequent and comes last; near copies
+  that differ at random meet once or twice, and go.
+* Of members that are near the hub but not linked with it (lines with the same words in another order) that says nothing. A
+  relation on sequences gives runs of q elements, of which two linked sequences have some in common; those are looked up in
+  the same way.
 
-So pairs come from an inverted index of the differences to the hub, which near copies that differ at random hardly share.
 No pair of a bucket that may be linked is left out.
 """
 
@@ -29,14 +33,20 @@ from lodestar.llm.common import staged, unstage
 
 #: Buckets of at most this many members are compared in full: at most half as many pairs as members times this number.
 SMALL_BUCKET = 6
+#: Differences in which two members of a bucket must meet, if they must have so many in common. A changed word is a difference
+#: of each shingle that holds it, so one change that two members share is not enough.
+MEETINGS = 6
 
 
 class Relation(Protocol):
     def need(self, n, m):
-        """Least number of shared elements of sets with ``n`` and ``m`` elements; grows with both."""
+        """Least number of shared elements of sets with ``n`` and ``m`` elements; grows with both, and by no more than they do."""
 
-    def gap(self, hub, n):
-        """Most that ``need(x, hub) - need(x, n)`` can be for any x, where ``n < hub``; at most ``hub - n``."""
+    #: Whether comparisons give runs (``orders``) of what is near: then near pairs are looked up by these.
+    ordered: bool
+
+    def run_of(self, longer: Column) -> Column:
+        """Elements of the runs that two linked sequences have in common, by the longer one's size; of ordered relations."""
 
     def need_of(self, n: Column, m: Column) -> Column:
         """The same of columns."""
@@ -51,7 +61,12 @@ class Relation(Protocol):
 #: Given pairs (``a``, ``b``) and whether their differences are asked for, returns ``a``, ``b``, ``linked`` and, if so, the
 #: columns of ``DIFFERENCES`` of each; if not, linked pairs will do.
 Compare = Callable[[DataFrame, bool], DataFrame]
-DIFFERENCES = "near boolean, hub_size int, size int, shared int, extras int, extra array<bigint>, lacks array<bigint>, told array<bigint>"
+DIFFERENCES = "near boolean, hub_size int, size int, shared int, apart array<bigint>"
+#: And this one of ordered relations: runs of ``q`` elements, where each first and last begins, how many differ from each other, how
+#: many of them are looked up, and how far two that belong together lie apart.
+ORDERS = "orders array<struct<q int, run bigint, low int, high int, many int, take int, reach int>>"
+#: Tells what the hub has and a member lacks from what the member has besides.
+LACKED = np.uint64(0xD1B54A32D192ED03)
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +101,12 @@ def differences(
     linked[at] = accept(at)
     if not whole:
         return linked, []
-    fewer = m < n
-    lists = []
-    # elements of its own; what the hub has and it lacks, if it isn't linked; enough of that, if it is smaller
-    told = np.where(fewer, relation.gap(n, m), 0)
-    lacked, row_l = a[~in_b], row_a[~in_b]
-    order = np.lexsort((lacked, row_l))
-    lacked, row_l = lacked[order], row_l[order]
-    place = np.arange(len(row_l)) - np.searchsorted(row_l, row_l)
-    for x, row in ((b[~in_a], row_b[~in_a]), (lacked[~linked[row_l]], row_l[~linked[row_l]]), (lacked[place < told[row_l]], row_l[place < told[row_l]])):
-        edges = np.r_[0, np.cumsum(np.bincount(row, minlength=len(own)))]
-        lists.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.view(np.int64))))
-    numbers = [pa.array(c.astype(np.int32)) for c in (n, m, shared, m - shared)]
-    return linked, [pa.array(near), *numbers, *lists]
+    element = np.concatenate([b[~in_a], a[~in_b] ^ LACKED])
+    row = np.concatenate([row_b[~in_a], row_a[~in_b]])
+    order = np.argsort(row, kind="stable")
+    edges = np.r_[0, np.cumsum(np.bincount(row, minlength=len(own)))]
+    apart = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(element[order].view(np.int64)))
+    return linked, [pa.array(near), *(pa.array(c.astype(np.int32)) for c in (n, m, shared)), apart]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,47 +156,61 @@ def pairs_of(members: DataFrame, relation: Relation) -> tuple[DataFrame, DataFra
     return small, large.join(hub, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def looked_up(own: DataFrame, facts: list[str], element: list[str], payload: tuple[str, ...] = ()) -> DataFrame:
+    """Elements of members of a hub that other members have too, with their ``rank`` (from 1) among the member's own, rarest
+    first, as far as its ``take`` says. An element that a member has alone takes a rank (of ``many``) and goes."""
+    known = own.groupBy("a", *element).agg(F.count("*").alias("holders"), F.max(~F.col("linked")).alias("parted"))
+    kept = own.join(known.where("holders > 1 and parted").select("a", *element, "holders"), ["a", *element])
+    inner = [c for c in (*element, *payload) if c not in facts]
+    some = kept.groupBy(*facts).agg(F.sort_array(F.collect_list(F.struct("holders", *inner))).alias("some"))  # of one member
+    lone = F.col("many") - F.size("some")
+    first = F.slice("some", F.lit(1), F.greatest(F.lit(0), F.col("take") - lone).cast("int"))
+    placed = some.select(*facts, lone.alias("lone"), F.posexplode(first).alias("place", "s"))
+    return staged(placed.select(*facts, (F.col("place") + 1 + F.col("lone")).alias("rank"), *(F.col(f"s.{c}").alias(c) for c in inner)))
+
+
 def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
     """Pairs of members of one hub, not yet connected, that may be linked by their differences to the hub."""
-    named = compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
+    named = compared.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("lacked", F.col("hub_size") - F.col("shared"))
     named = named.withColumn("component", F.coalesce("component", "b"))
-    state = named.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(~F.col("linked")).alias("parted"), F.min("size").alias("smallest"))
-    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest"), "a"))
-    facts = ["component", "size", "shared", "extras"]
-
-    def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column) -> DataFrame:
+    state = named.groupBy("a").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.max(~F.col("linked")).alias("parted"),
+        F.min("size").alias("smallest"), F.min("lacked").alias("fewest"),
+    )
+    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest", "fewest"), "a"))
+    facts = ["component", "size", "lacked", "hub_size", "near"]
+
+    def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column, meetings: Column = F.lit(1)) -> DataFrame:
         others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in others.columns if x not in (*on, "b")))
         may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c"))
         both = some.join(others, on).where(reduce(lambda x, y: x & y, also, may))
-        return both.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
-
-    # Elements that the hub lacks: those of one member alone go; of the others each unlinked member keeps its rarest.
-    fewest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
-    fewest = F.greatest(F.lit(1), relation.need_of(F.col("size"), fewest) - F.col("shared"))
-    own = rest.select("a", "b", *facts, "linked", (F.col("extras") + 1 - fewest).alias("take"), F.explode("extra").alias("e"))
-    known = own.groupBy("a", "e").agg(F.count("*").alias("holders"), F.max(~F.col("linked")).alias("parted"))
-    kept = own.join(known.where("holders > 1 and parted").select("a", "e", "holders"), ["a", "e"])
-    apart = kept.where("not linked").groupBy("a", "b", *facts, "take").agg(F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("some"))
-    lone = F.col("extras") - F.size("some")
-    first = F.slice("some", F.lit(1), F.greatest(F.lit(0), F.col("take") - lone).cast("int"))
-    apart = apart.select("a", "b", *facts, lone.alias("lone"), F.posexplode(first).alias("place", "some"))
-    apart = staged(apart.select("a", "b", *facts, (F.col("place") + 1 + F.col("lone")).alias("rank"), F.col("some.e").alias("e")))
-    others = kept.where("linked").select("a", "b", *facts, F.lit(0).alias("rank"), "e").union(apart.select("a", "b", *facts, "rank", "e"))
-    # How many elements that the hub lacks these two must share: more than one lets the last ones of each go.
-    must = F.greatest(F.lit(1), relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c"))
-    by_extra = joined(apart, others, ["a", "e"], *(F.col(f"rank{x}") <= F.col(f"extras{x}") + 1 - must for x in ("", "_c")))
-    # Elements that both lack, where one is smaller than the hub and the hub's elements may be all that they share: of those
-    # that the smaller one lacks, the other has at most so many as it shares more with the hub than with the smaller one.
-    fits = lambda n: relation.need_of(F.col("size"), n) <= F.col("shared")
-    told = rest.where((F.size("told") > 0) & fits(relation.least_of(F.col("size")))).select("a", "b", *facts, F.posexplode("told").alias("place", "e"))
+        met = both.select("a", F.col("b").alias("x"), F.col("c").alias("y"), meetings.alias("meetings"))
+        met = met.groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first("meetings").alias("meetings")).where("n >= meetings")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    common = lambda need, lacked: F.greatest(F.lit(1), need - F.col("hub_size") + F.col("lacked") + lacked)
     smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
-    lacks = rest.where(~F.col("linked") & fits(smallest)).select("a", "b", *facts, F.lit(0).alias("place"), F.explode("lacks").alias("e"))
-    lacks = lacks.join(told.select("a").distinct(), "a", "left_semi")
-    may_need = relation.need_of(F.col("size"), F.col("size_c"))
-    by_lack = joined(lacks, told, ["a", "e"], may_need <= F.col("shared_c"), F.col("place_c") <= F.col("shared") - may_need)
-    # Near the hub but not linked: nothing is known of these but their sizes.
-    by_hub = joined(rest.where("near and not linked").select("a", "b", *facts), rest.select("a", "b", *facts), ["a"])
-    return by_extra.union(by_lack).union(by_hub).distinct()
+    many, most = F.size("apart"), F.lit(MEETINGS)
+    least = common(relation.need_of(F.col("size"), smallest), F.col("fewest"))
+    take = many - least + F.least(most, least)
+    own = rest.select("a", "b", *facts, "linked", many.alias("many"), take.alias("take"), F.explode("apart").alias("e"))
+    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"])
+    both = common(relation.need_of(F.col("size"), F.col("size_c")), F.col("lacked_c"))
+    inside = [F.col(f"rank{x}") <= F.col(f"many{x}") - both + F.least(most, both) for x in ("", "_c")]
+    # Two unlinked members meet in both directions: they are counted in one.
+    once = F.col("linked_c") | (F.col("b") < F.col("c"))
+    found = joined(held.where("not linked"), held, ["a", "e"], once, ~(F.col("near") & F.col("near_c")), *inside, meetings=F.least(most, both))
+    close = rest.where("near")
+    if relation.ordered:
+        member = ["a", "b", "component", "size", "linked"]
+        runs = looked_up(close.select(*member, F.inline("orders")), [*member, "q", "many", "take", "reach"], ["q", "run"], ("low", "high"))
+        reach = F.greatest("reach", "reach_c")
+        beside = (F.col("low") <= F.col("high_c") + reach) & (F.col("low_c") <= F.col("high") + reach)
+        fits = F.col("q") == relation.run_of(F.greatest("size", "size_c"))
+        found = found.union(joined(runs.where("not linked"), runs, ["a", "q", "run"], once, fits, beside))
+    else:
+        found = found.union(joined(close.where("not linked").select("a", "b", *facts), close.select("a", "b", *facts, "linked"), ["a"], once))
+    return found.distinct()
 
 
 def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> DataFrame:

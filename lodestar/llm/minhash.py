@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, small_batches, staged, texts_of, tidy
+from lodestar.llm.common import pieces, small_batches, staged, texts_of, tidy, unstage
 from lodestar.llm.linking import DIFFERENCES, Compare, differences, link_buckets
 
 #: Distinct words whose hashes a worker keeps.
@@ -34,6 +34,9 @@ class NearRules:
     permutations: int = 60
     rows: int = 5  #: values in a band; 2 * permutations / rows bands
 
+    #: What is near is linked.
+    ordered = False
+
     @property
     def bands(self) -> int:
         return 2 * self.permutations // self.rows
@@ -41,9 +44,6 @@ class NearRules:
     def need(self, n, m):
         return -(-self.percent * (n + m) // (100 + self.percent))
 
-    def gap(self, hub, n):
-        return -(-self.percent * (hub - n) // (100 + self.percent))
-
     def need_of(self, n: Column, m: Column) -> Column:
         return F.ceil(self.percent * (n + m) / (100 + self.percent)).cast("int")
 
@@ -165,8 +165,9 @@ def comparer(texts: DataFrame, rules: NearRules) -> Compare:
     return compare
 
 
-def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included) and ``kept``.
+def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text", with_print: bool = False) -> DataFrame:
+    """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included) and ``kept``; if asked,
+    ``print``, a 64-bit hash of the text that tells rows of one id apart.
 
     Documents without words, and null texts, have empty sets and link with nothing. Documents with equal sets are linked.
     Rows with equal ids are documents of their own, each with its text: links join texts, so the same id may come with
@@ -185,6 +186,8 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     texts = staged(texts.join(wanted, ["id", "print"]).select(F.col("set").alias("id"), "text").dropDuplicates(["id"]))
     labels = link_buckets(candidates, comparer(texts, rules), rules).withColumnRenamed("id", "set")
+    for table in (candidates, texts):
+        unstage(table)
     named = classes.select("set", "least.id").withColumnRenamed("id", "least").join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("set", "component_id")
@@ -194,4 +197,5 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
         F.col("n").alias("n_shingles"),
         F.when(has_id, F.coalesce("component_id", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
+        *(["print"] if with_print else []),
     )

@@ -51,7 +51,7 @@ def test_texts_without_any_label_stay(spark, make_docs):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_odd_rows_and_an_empty_table(spark, make_docs, tmp_path):
