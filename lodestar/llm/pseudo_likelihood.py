@@ -181,7 +181,9 @@ def train_on(counts: DataFrame, shape: NetShape = NetShape()) -> WindowNet:
                 made = [pa.array([float(seen)]), pa.array([mine.flat().astype("<f4").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, ["seen", "weights"])
 
-        rows = counts.repartition(replicas, "window").mapInArrow(run, "seen double, weights binary").collect()
+        # In an order that is the windows' own and mixes them: shuffled blocks arrive in any order.
+        mine = counts.repartition(replicas, "window").sortWithinPartitions(F.xxhash64("window"), "window")
+        rows = mine.mapInArrow(run, "seen double, weights binary").collect()
         if not rows:
             break
         share = np.array([r["seen"] for r in rows])
