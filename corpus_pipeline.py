@@ -61,12 +61,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays; of rows that are equal in id and
     text one. Rows without an id stay."""
     small_batches(spark)
-    kept = staged(minhash.near_duplicates(docs, minhash.PIPELINE_RULES).where("kept").groupBy("doc_id").count())
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
-    often = kept.where("count > 1 and doc_id is not null").select("doc_id")
+    found = minhash.near_duplicates(docs, minhash.PIPELINE_RULES, with_print=True).where("kept")
+    kept = staged(found.groupBy(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).count())
+    # A row is told by its id and its text: rows of one id may have several.
+    own = docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__print"))
+    left = docs.join(kept, own, "left_semi").select(*docs.columns)
+    often = kept.where("count > 1 and __id is not null").select("__id").distinct()
     if often.limit(1).count():
-        left = left.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return left.select(*docs.columns)
+        repeated = docs["doc_id"] == F.col("__id")
+        once = left.join(often, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(often, repeated, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return left
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
