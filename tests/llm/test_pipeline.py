@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 from lodestar.llm import queries
+from lodestar.llm.lines import LineRules, normal_lines, word_edits
+from lodestar.llm.minhash import PIPELINE_RULES, Shingler
 
 
 def planted():
@@ -40,9 +42,76 @@ def test_stages(spark, make_docs, tmp_path):
     assert sum(r.n_bytes for r in packed) == sum(len(t.encode()) for t in kept["passage_dedup"].values())
 
 
-def test_run_equals_the_stages(spark, make_docs, tmp_path):
-    make_docs(planted()[0]).write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
+def plain_pipeline(spark, rows, sf_dir):
+    """Lines, near duplicates, passages and packing by comparing all with all; which documents have a certain language is the
+    first stage's own verdict (its accuracy has tests of its own)."""
+    first = corpus_pipeline.language_id(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    texts = {r.doc_id: r.text for r in first.collect()}
+    words = lambda line: normal_lines(line)[0].split()
+    # Line dedup: links between all lines, and the first occurrence of each connected group stays.
+    lines = [(i, k, line, words(line)) for i in sorted(texts) for k, line in enumerate(texts[i].split("\n")) if words(line)]
+    group = list(range(len(lines)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            n = max(len(lines[a][3]), len(lines[b][3]))
+            if word_edits(lines[a][3], lines[b][3]) <= LineRules().edits(n):
+                x, y = root(a), root(b)
+                group[max(x, y)] = min(x, y)
+    gone = {(i, k) for at, (i, k, *_) in enumerate(lines) if root(at) != at}
+    for i in list(texts):
+        left = [line for k, line in enumerate(texts[i].split("\n")) if (i, k) not in gone]
+        if len(left) < len(texts[i].split("\n")):
+            texts[i] = "\n".join(left)
+            if not texts[i].strip(" \t\n\r\v\f"):
+                del texts[i]
+    # Near duplicates: one of each component of documents with enough common shingles.
+    shingler, rules = Shingler(5), PIPELINE_RULES
+    sets = {i: set(shingler.set_of(t).tolist()) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            both = len(sets[i] & sets[j])
+            if j < i and both and 100 * both >= rules.percent * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    texts = {i: t for i, t in texts.items() if least[i] == i}
+    # Passages: bytes covered by 50 bytes that an earlier document holds.
+    seen, kept = set(), {}
+    for i in sorted(texts):
+        data = texts[i].encode()
+        covered = set()
+        for p in range(len(data) - 49):
+            if data[p : p + 50] in seen:
+                covered |= set(range(p, p + 50))
+        seen |= {data[p : p + 50] for p in range(len(data) - 49)}
+        left = bytes(c for p, c in enumerate(data) if p not in covered).decode()
+        if not covered or left.strip(" \t\n\r\v\f"):
+            kept[i] = left
+    return kept
+
+
+def test_run_equals_plain_stages(spark, make_docs, tmp_path):
+    """The packed pieces of every document are, in order, the text that comparing all with all leaves of it."""
+    rows = planted()[0]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_pipeline(spark, rows, str(tmp_path))
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_bytes
+    assert got == {i: len(t.encode()) for i, t in want.items()} and len(got) >= 20
+
+
+def test_one_id_with_several_texts_is_told_by_its_text(spark, make_docs):
+    draw = random.Random(9)
+    a, b = (" ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(50)) for _ in range(2))
+    docs = make_docs([(0, b), (1, a), (1, b), (1, a)])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted([(0, b), (1, a)])
 
 
 def test_texts_without_any_label_stay(spark, make_docs):
