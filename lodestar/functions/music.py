@@ -35,7 +35,8 @@ def canonical_key(c: Column | str) -> Column:
 
 
 def camelot(c: Column | str) -> Column:
-    """Wheel code of a key text, null if unknown (FUN-13)."""
+    """Wheel code of a key text, null if unknown (FUN-13). The wheel follows from the fifths, so it also knows spellings that
+    tables leave out (``cb``, ``e#``)."""
     pairs = [F.lit(x) for item in WHEEL.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), canonical_key(c))
 
@@ -127,12 +128,14 @@ def clamp(c: Column) -> Column:
 
 def pulse_presence(activation: Column, peak: Column, percussive: Column, regularity: Column, density: Column) -> Column:
     """Audible beat from measures: a blend, gated by the share of percussive energy (FUN-40)."""
+    # The blend and the gate.
     pulse = clamp(0.48 * activation + 0.17 * peak + 0.15 * percussive + 0.12 * regularity + 0.08 * density)
     return clamp(pulse * (0.25 + 0.75 * clamp((percussive - 0.08) / 0.26)))
 
 
 def rhythm_scores(presence: Column, on_quarter: Column, offbeat: Column, regularity: Column, stability: Column) -> dict[str, Column]:
     """Syncopation, four-on-the-floor and broken-beat scores (FUN-40)."""
+    # The blends.
     syncopation = clamp(0.58 * offbeat + 0.42 * (1 - on_quarter))
     four = clamp(presence * (0.62 * on_quarter + 0.28 * regularity + 0.10 * stability) * (1 - 0.25 * offbeat))
     broken = clamp(presence * (0.72 * syncopation + 0.18 * (1 - on_quarter) + 0.10 * regularity))
@@ -141,6 +144,7 @@ def rhythm_scores(presence: Column, on_quarter: Column, offbeat: Column, regular
 
 def rhythm_class(presence: Column, beats: Column, on_quarter: Column, offbeat: Column, syncopation: Column, four: Column, broken: Column) -> Column:
     """Class of a window's rhythm from its scores (FUN-40)."""
+    # The thresholds.
     steady = (on_quarter >= 0.42) & (on_quarter - offbeat >= 0.07) & (four >= 0.45) & (four - broken >= 0.04)
     breaks = (on_quarter < 0.40) & (syncopation >= 0.35) & (broken >= 0.38) & (broken - four >= 0.04)
     return (

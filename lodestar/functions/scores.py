@@ -58,7 +58,7 @@ def field_confidence(base: Column, reported: Column) -> Column:
 
 
 def band(value: Column, bounds: tuple[float, ...] = (0.33, 0.66), names: tuple[str, ...] = ("Low", "Medium", "High")) -> Column:
-    """Band of a share; values above 1 are percentages; null is the empty band (FUN-22)."""
+    """Band of a share, by fixed bounds; values above 1 are percentages; null is the empty band (FUN-22)."""
     share = F.when(value > 1, value / 100).otherwise(value)
     out = F.when(value.isNull(), "")
     for bound, name in zip(bounds, names):
@@ -68,6 +68,7 @@ def band(value: Column, bounds: tuple[float, ...] = (0.33, 0.66), names: tuple[s
 
 def tempo_band(c: Column) -> Column:
     """(FUN-23)"""
+    # The bands.
     return F.when(c < 100, "slow").when(c < 118, "midtempo").when(c < 130, "club tempo").when(c.isNotNull(), "fast")
 
 

@@ -53,7 +53,7 @@ def match_with_margin(candidates: DataFrame, id_col: str, other: str, score: Col
 
 
 def title_score(artist: Column, duration: Column) -> Column:
-    """0.72 of the artists' likeness and 0.28 of the durations' (JON-11)."""
+    """0.72 of the artists' likeness and 0.28 of the durations', both fixed values (JON-11)."""
     return 0.72 * artist + 0.28 * duration
 
 
