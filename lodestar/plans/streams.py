@@ -100,6 +100,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("from_at").cast("timestamp_ntz").alias("from_at"), "n", "top")
 
 
+@query("""
+WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS from_at, count(*) AS n, round(max(value), 4) AS top FROM s GROUP BY user_id, session
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that are over, from a stream of four parts into Spark's file sink: one that is open when a part ends goes on in the
+    next, and comes once, when the watermark has passed its pause (beyond the parity)."""
+    events = timed(table(spark, sf_dir, "events")).select("user_id", "at", "value")
+    shared = scratch(spark)
+
+    def increment(stream: DataFrame) -> None:
+        closed = incremental.sessions(stream, "at", "6 hours", ["user_id"], F.count("*").alias("n"), F.round(F.max("value"), 4).alias("top"), delay="0 seconds")
+        incremental.append_available(closed, f"{shared}/checkpoint", f"{shared}/out")
+
+    delivered(spark, events.withColumn("delivered_at", F.col("at")), CUTS, increment)
+    return spark.read.parquet(f"{shared}/out").select("user_id", F.col("from_at").cast("timestamp_ntz").alias("from_at"), "n", "top")
+
+
 @query("""
 WITH e AS (SELECT user_id, ts, event_type = 'purchase' AS ok, max(ts) OVER (PARTITION BY user_id) AS last_ts FROM events),
 s AS (SELECT user_id, count(*)::INT AS attempts, bool_or(ok) FILTER (ts = last_ts) AS ok, max(ts) AS last_ts FROM e GROUP BY 1),
