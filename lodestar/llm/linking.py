@@ -157,16 +157,15 @@ def pairs_of(members: DataFrame, relation: Relation) -> tuple[DataFrame, DataFra
 
 
 def looked_up(own: DataFrame, facts: list[str], element: list[str], payload: tuple[str, ...] = ()) -> DataFrame:
-    """Elements of members of a hub that other members have too, with their ``rank`` (from 1) among the member's own, rarest
-    first, as far as its ``take`` says. An element that a member has alone takes a rank (of ``many``) and goes."""
+    """One row a member (``facts``): ``some``, its elements that other members of the hub have too, rarest first, as far as its
+    ``take`` says. Elements that it has alone come before all others: ``lone`` of its ``many`` elements."""
     known = own.groupBy("a", *element).agg(F.count("*").alias("holders"), F.max(~F.col("linked")).alias("parted"))
     kept = own.join(known.where("holders > 1 and parted").select("a", *element, "holders"), ["a", *element])
     inner = [c for c in (*element, *payload) if c not in facts]
     some = kept.groupBy(*facts).agg(F.sort_array(F.collect_list(F.struct("holders", *inner))).alias("some"))  # of one member
     lone = F.col("many") - F.size("some")
     first = F.slice("some", F.lit(1), F.greatest(F.lit(0), F.col("take") - lone).cast("int"))
-    placed = some.select(*facts, lone.alias("lone"), F.posexplode(first).alias("place", "s"))
-    return staged(placed.select(*facts, (F.col("place") + 1 + F.col("lone")).alias("rank"), *(F.col(f"s.{c}").alias(c) for c in inner)))
+    return staged(some.select(*facts, lone.alias("lone"), first.alias("some")).where("size(some) > 0"))
 
 
 def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
@@ -180,13 +179,13 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     rest = staged(named.join(state.where("parted and least < most").select("a", "smallest", "fewest"), "a"))
     facts = ["component", "size", "lacked", "hub_size", "near"]
 
-    def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column, meetings: Column = F.lit(1)) -> DataFrame:
+    def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column) -> DataFrame:
         others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in others.columns if x not in (*on, "b")))
-        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c"))
+        # Two unlinked members meet in both directions: one of them is enough.
+        once = F.col("linked_c") | (F.col("b") < F.col("c"))
+        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c")) & once
         both = some.join(others, on).where(reduce(lambda x, y: x & y, also, may))
-        met = both.select("a", F.col("b").alias("x"), F.col("c").alias("y"), meetings.alias("meetings"))
-        met = met.groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first("meetings").alias("meetings")).where("n >= meetings")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return both.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
 
     common = lambda need, lacked: F.greatest(F.lit(1), need - F.col("hub_size") + F.col("lacked") + lacked)
     smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
@@ -194,22 +193,25 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     least = common(relation.need_of(F.col("size"), smallest), F.col("fewest"))
     take = many - least + F.least(most, least)
     own = rest.select("a", "b", *facts, "linked", many.alias("many"), take.alias("take"), F.explode("apart").alias("e"))
-    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"])
+    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"]).withColumn("some", F.col("some.e"))
+    held = held.select("*", F.explode("some").alias("e"))
     both = common(relation.need_of(F.col("size"), F.col("size_c")), F.col("lacked_c"))
-    inside = [F.col(f"rank{x}") <= F.col(f"many{x}") - both + F.least(most, both) for x in ("", "_c")]
-    # Two unlinked members meet in both directions: they are counted in one.
-    once = F.col("linked_c") | (F.col("b") < F.col("c"))
-    found = joined(held.where("not linked"), held, ["a", "e"], once, ~(F.col("near") & F.col("near_c")), *inside, meetings=F.least(most, both))
+    meetings = F.least(most, both)
+    # The elements that the pair's own numbers leave of each; the pair stays at the first that both have, if there are enough.
+    left = lambda x: F.slice(f"some{x}", F.lit(1), F.greatest(F.lit(0), F.col(f"many{x}") - both + meetings - F.col(f"lone{x}")).cast("int"))
+    shared = F.array_intersect(left(""), left("_c"))
+    found = joined(held.where("not linked"), held, ["a", "e"], ~(F.col("near") & F.col("near_c")), (F.size(shared) >= meetings) & (F.get(shared, F.lit(0)) == F.col("e")))
     close = rest.where("near")
     if relation.ordered:
         member = ["a", "b", "component", "size", "linked"]
         runs = looked_up(close.select(*member, F.inline("orders")), [*member, "q", "many", "take", "reach"], ["q", "run"], ("low", "high"))
+        runs = runs.select(*member, "q", "reach", F.inline("some")).drop("holders")
         reach = F.greatest("reach", "reach_c")
         beside = (F.col("low") <= F.col("high_c") + reach) & (F.col("low_c") <= F.col("high") + reach)
         fits = F.col("q") == relation.run_of(F.greatest("size", "size_c"))
-        found = found.union(joined(runs.where("not linked"), runs, ["a", "q", "run"], once, fits, beside))
+        found = found.union(joined(runs.where("not linked"), runs, ["a", "q", "run"], fits, beside))
     else:
-        found = found.union(joined(close.where("not linked").select("a", "b", *facts), close.select("a", "b", *facts, "linked"), ["a"], once))
+        found = found.union(joined(close.where("not linked").select("a", "b", *facts), close.select("a", "b", *facts, "linked"), ["a"]))
     return found.distinct()
 
 
