@@ -39,7 +39,7 @@ LEAST_BUCKETS = 12
 #: A key that so many lines of one piece hold is exchanged by Spark's own rows, where hot keys are split.
 HOT_IN_PIECE = 16
 #: Distinct words that a task counts before it drops the rare ones.
-MOST_WORDS = 500_000
+MOST_WORDS = 50_000
 WORD_BASE = 0x9E3779B97F4A7C15
 #: Fields of ``linking.ORDERS``, and the columns of a comparison.
 RUN = {"q": pa.int32(), "run": pa.int64(), "low": pa.int32(), "high": pa.int32(), "many": pa.int32(), "take": pa.int32(), "reach": pa.int32()}
@@ -189,6 +189,28 @@ def distinct_lines(batch: pa.RecordBatch, least: int) -> list[bytes]:
     return list({x: None for text in texts_of(batch) for x in normal_lines(text) if x.count(b" ") + 1 >= least and x})
 
 
+class WordCounts:
+    """In how many lines each word was seen, by lossy counting: a word that is dropped, as it was seen in less than the share
+    ``slack`` of the lines, comes back as one that may have been seen that often. So no count is too low by more."""
+
+    def __init__(self, slack: float):
+        self.slack, self.lines = slack, 0
+        self.words, self.counts, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, values: np.ndarray, lines: int) -> None:
+        own, n = np.unique(values, return_counts=True)
+        at = np.minimum(np.searchsorted(self.words, own), max(0, len(self.words) - 1))
+        known = self.words[at] == own if len(self.words) else np.zeros(len(own), bool)
+        self.counts[at[known]] += n[known]
+        words, counts = np.concatenate([self.words, own[~known]]), np.concatenate([self.counts, n[~known]])
+        missed = np.concatenate([self.missed, np.full(len(words) - len(self.words), self.slack * self.lines)])
+        self.lines += lines
+        keep = counts + missed > self.slack * self.lines if len(words) > MOST_WORDS else np.ones(len(words), bool)
+        words, counts, missed = words[keep], counts[keep], missed[keep]
+        order = np.argsort(words)
+        self.words, self.counts, self.missed = words[order], counts[order], missed[order]
+
+
 def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``print`` (64-bit hash of the text), ``line`` (from 0), ``low``, ``high`` (the line's hash): lines with words.
 
@@ -197,7 +219,7 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, lines, kind = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, None
+        seen, kind = WordCounts(rules.common / 10), None
         for batch in pieces(batches):
             at, number, found = [], [], []
             for i, text in enumerate(texts_of(batch)):
@@ -211,18 +233,12 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
                 low, high = names_of(found)
                 yield pa.RecordBatch.from_arrays([ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], names)
                 some, kind = [x for x in dict.fromkeys(found) if x.count(b" ") + 1 >= rules.shortest], ids.type
-                lines += len(some)
-                own, n = np.unique(bags(some)[0], return_counts=True)
-                words, inverse = np.unique(np.concatenate([words, own]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, n]), len(words)).astype(np.int64)
-                if len(words) > MOST_WORDS:
-                    many = counts * 10 > rules.common * lines
-                    words, counts = words[many], counts[many]
-        many = counts * 10 > rules.common * lines
-        if lines:
-            n = np.r_[lines, counts[many]]
+                seen.add(bags(some)[0], len(some))
+        if seen.lines:
+            many = seen.counts > seen.slack * seen.lines
+            n = np.r_[seen.lines, seen.counts[many]]
             none = [pa.nulls(len(n), k) for k in (kind, pa.int64(), pa.int32())]
-            told = pa.array(np.r_[0, words[many].view(np.int64)], mask=np.arange(len(n)) == 0)
+            told = pa.array(np.r_[0, seen.words[many].view(np.int64)], mask=np.arange(len(n)) == 0)
             yield pa.RecordBatch.from_arrays([*none, told, pa.array(n)], names)
 
     names = ["id", "print", "line", "low", "high"]
@@ -234,7 +250,7 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
 def common_words(counts: DataFrame, rules: LineRules) -> np.ndarray:
     """The elements of bags (in order) that more than the ``common`` share of the lines holds.
 
-    What a task left out makes a count too low by a tenth of the share at most. There are no more such words than lines
+    What a task left out makes a count too low by a fifth of the share at most. There are no more such words than lines
     have on average, divided by the share.
     """
     total = counts.where("low is null").agg(F.sum("high")).first()[0] or 0
@@ -254,7 +270,12 @@ def told_by(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, rules: Li
     line = np.repeat(np.arange(len(sizes)), sizes)
     rare = np.ones(len(values), bool)
     if len(common):
-        rare = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
+        # Few words have the first 16 bits of a common one; those alone are looked up.
+        first = np.zeros(1 << 16, bool)
+        first[common >> np.uint64(48)] = True
+        maybe = np.flatnonzero(first[values >> np.uint64(48)])
+        some = values[maybe]
+        rare[maybe] = common[np.minimum(np.searchsorted(common, some), len(common) - 1)] != some
     left = np.bincount(line[rare], minlength=len(sizes))
     by_rare = (left > 0) & (left >= rules.few * sizes)
     by_all = ~by_rare | (left < sizes) & ((left < rules.some * sizes) | (left < rules.least))
