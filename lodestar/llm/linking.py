@@ -140,6 +140,20 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def more_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``id``, ``component``) once more links (``a``, ``b``) join some components: only the links between those go
+    through the rounds."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(named.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b")))
+    fresh = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(labels, "id", "left_anti")
+    every = labels.select("id", "component").union(fresh.select("id", F.col("id").alias("component")))
+    least = over.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    found = staged(every.join(least, "component", "left").select("id", F.coalesce("least", "component").alias("component")))
+    unstage(over)
+    return found
+
+
 def pairs_of(members: DataFrame, relation: Relation) -> tuple[DataFrame, DataFrame]:
     """Pairs (``a``, ``b``) of small buckets, and pairs of a large bucket's hub with its other members; each pair once.
 
@@ -228,7 +242,7 @@ def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> Da
     links = compared.where("linked").select("a", "b").union(close)
     labels = components(links)
     more = staged(compare(rest_pairs(compared, labels, relation), False).where("linked").select("a", "b"))
-    found = components(links.union(more)) if more.limit(1).count() else labels
+    found = more_components(labels, more) if more.limit(1).count() else labels
     for table in (close, compared, more, *((labels,) if found is not labels else ())):
         unstage(table)
     return found

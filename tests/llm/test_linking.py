@@ -32,6 +32,17 @@ def test_components_of_chains_stars_and_pairs(spark):
     assert {r.id: r.component for r in got} == union_find(edges) and len(got) == len({x for e in edges for x in e})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_more_links_join_components(spark, seed):
+    draw = random.Random(seed)
+    first = [(draw.randint(0, 200), draw.randint(0, 200)) for _ in range(60)]
+    more = [(draw.randint(0, 260), draw.randint(0, 260)) for _ in range(40)]
+    first, more = ([(a, b) for a, b in edges if a != b] for edges in (first, more))
+    labels = linking.components(spark.createDataFrame(first, "a long, b long"))
+    got = linking.more_components(labels, spark.createDataFrame(more, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == union_find(first + more) and len(got) == len({x for e in first + more for x in e})
+
+
 @pytest.mark.parametrize(
     "chain",
     [
