@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import quantiles, resolve, setjoin
+from lodestar.operators import quantiles, resolve, setjoin, similarity, timeline
 
 
 def plain_matches(left, right, least, margin, sure):
@@ -132,3 +132,32 @@ def test_no_task_sorts_a_hot_group(spark):
     marks = quantiles._enclosed(df, ["k"], "v", [0.5], quantiles.ACCURACY)
     m = marks.first()["__marks"][0]
     assert m.low <= 29_999.5 <= m.high and m.high - m.low < 60_000 * 6 / quantiles.ACCURACY
+
+
+def test_weighted_jaccard_with_a_key_that_all_have(spark):
+    draw = random.Random(5)
+    weights = {i: {k: draw.randint(1, 9) / 2 for k in ["hot", *draw.sample("abcdefgh", draw.randint(0, 3))]} for i in range(200)}
+    df = spark.createDataFrame([(i, k, w) for i, own in weights.items() for k, w in own.items()], "id int, k string, w double")
+    refs = spark.createDataFrame([(i,) for i in range(0, 200, 20)], "id int")
+    want = {}
+    for a in range(0, 200, 20):
+        for b in weights:
+            if a != b:
+                keys = weights[a].keys() | weights[b].keys()
+                least, most = (sum(pick(weights[a].get(k, 0), weights[b].get(k, 0)) for k in keys) for pick in (min, max))
+                want[a, b] = pytest.approx(least / most)
+    for salts in (1, 7):
+        assert {(r.ref, r.id): r.jaccard for r in similarity.pair_jaccard(df, "id", "k", "w", refs, salts).collect()} == want
+
+
+def test_caps_with_missing_values(spark):
+    rows = [(i, None if i % 4 == 0 else f"body{i % 9}", f"s{i % 3}" if i % 7 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, body string, source string").repartition(4)
+    seen, count, want = set(), {}, []
+    for i, body, source in rows:
+        if body is None or body not in seen:
+            seen.add(body)
+            count[source] = count.get(source, 0) + 1
+            if count[source] <= 5:
+                want.append(i)
+    assert [r.id for r in timeline.capped(df, ["body"], {"source": 5}, [F.col("id")], 12).collect()] == want[:12]
