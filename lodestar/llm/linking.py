@@ -33,9 +33,10 @@ from lodestar.llm.common import staged, unstage
 
 #: Buckets of at most this many members are compared in full: at most half as many pairs as members times this number.
 SMALL_BUCKET = 6
-#: Differences in which two members of a bucket must meet, if they must have so many in common. A changed word is a difference
-#: of each shingle that holds it, so one change that two members share is not enough.
-MEETINGS = 6
+#: Differences in which two members of a bucket must meet, at most, and for how many that they must have in common they must meet
+#: in one more. A changed word is a difference of each shingle that holds it, so in long texts one change that two members
+#: share is not enough; short ones have few differences, and looking up more of them would find the frequent ones.
+MEETINGS, FOR_EACH = 6, 10
 
 
 class Relation(Protocol):
@@ -203,18 +204,19 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
 
     common = lambda need, lacked: F.greatest(F.lit(1), need - F.col("hub_size") + F.col("lacked") + lacked)
     smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
-    many, most = F.size("apart"), F.lit(MEETINGS)
-    least = common(relation.need_of(F.col("size"), smallest), F.col("fewest"))
-    take = many - least + F.least(most, least)
+    times = lambda t: F.least(F.lit(MEETINGS), 1 + F.floor(t / FOR_EACH).cast("int"))
+    many, least = F.size("apart"), common(relation.need_of(F.col("size"), smallest), F.col("fewest"))
+    take = many - least + times(least)
     own = rest.select("a", "b", *facts, "linked", many.alias("many"), take.alias("take"), F.explode("apart").alias("e"))
     held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"]).withColumn("some", F.col("some.e"))
-    held = held.select("*", F.explode("some").alias("e"))
+    held = held.select("*", F.posexplode("some").alias("place", "e"))
     both = common(relation.need_of(F.col("size"), F.col("size_c")), F.col("lacked_c"))
-    meetings = F.least(most, both)
     # The elements that the pair's own numbers leave of each; the pair stays at the first that both have, if there are enough.
-    left = lambda x: F.slice(f"some{x}", F.lit(1), F.greatest(F.lit(0), F.col(f"many{x}") - both + meetings - F.col(f"lone{x}")).cast("int"))
-    shared = F.array_intersect(left(""), left("_c"))
-    found = joined(held.where("not linked"), held, ["a", "e"], ~(F.col("near") & F.col("near_c")), (F.size(shared) >= meetings) & (F.get(shared, F.lit(0)) == F.col("e")))
+    length = lambda x: (F.col(f"many{x}") - both + times(both) - F.col(f"lone{x}")).cast("int")
+    inside = [F.col(f"place{x}") < length(x) for x in ("", "_c")]
+    shared = F.array_intersect(*(F.slice(f"some{x}", F.lit(1), F.greatest(F.lit(0), length(x))) for x in ("", "_c")))
+    enough = (F.size(shared) >= times(both)) & (F.get(shared, F.lit(0)) == F.col("e"))
+    found = joined(held.where("not linked"), held, ["a", "e"], ~(F.col("near") & F.col("near_c")), *inside, enough)
     close = rest.where("near")
     if relation.ordered:
         member = ["a", "b", "component", "size", "linked"]
