@@ -11,6 +11,8 @@ a hub that all its members are compared with. What is not near the hub is then f
 * All but the last t - k differences of each, rarest first, are looked up: two that have t in common meet there k times or
   more. What all members of a bucket have and the hub lacks, or the other way round, is frequent and comes last; near copies
   that differ at random meet once or twice, and go.
+* Short sequences of frequent elements (lines) lack what many others lack, so looking those up costs more than it leaves out:
+  of these the elements that the hub lacks are looked up alone (``pairs_by_extras``).
 * Of members that are near the hub but not linked with it (lines with the same words in another order) that says nothing. A
   relation on sequences gives runs of q elements, of which two linked sequences have some in common; those are looked up in
   the same way.
@@ -183,41 +185,78 @@ def looked_up(own: DataFrame, facts: list[str], element: list[str], payload: tup
     return staged(some.select(*facts, lone.alias("lone"), first.alias("some")).where("size(some) > 0"))
 
 
+def pairs_by_differences(rest: DataFrame, relation: Relation, joined: Callable[..., DataFrame]) -> DataFrame:
+    """Pairs of which one is not near the hub, by the differences that they must have in common."""
+    facts = ["component", "size", "lacked", "hub_size", "near", "smallest", "fewest_far"]
+    common = lambda need, lacked: F.greatest(F.lit(1), need - F.col("hub_size") + F.col("lacked") + lacked)
+    smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
+    times = lambda t: F.least(F.lit(MEETINGS), 1 + F.floor(t / FOR_EACH).cast("int"))
+    # By what its partners lack at least: of far ones (not near the hub) that is more.
+    taken = lambda many, fewest: many - common(relation.need_of(F.col("size"), smallest), fewest) + times(common(relation.need_of(F.col("size"), smallest), fewest))
+    many = F.size("apart")
+    take = taken(many, F.col("fewest"))
+    own = rest.select("a", "b", *facts, "linked", many.alias("many"), take.alias("take"), F.explode("apart").alias("e"))
+    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"]).withColumn("some", F.col("some.e"))
+    for_far = F.slice("some", F.lit(1), F.greatest(F.lit(0), taken(F.col("many"), F.col("fewest_far")) - F.col("lone")).cast("int"))
+    each = lambda some, elements: some.select("*", F.posexplode(elements).alias("place", "e"))
+    far, to_far = held.where("not near"), each(held, for_far)
+    both = common(relation.need_of(F.col("size"), F.col("size_c")), F.col("lacked_c"))
+    # The elements that the pair's own numbers leave of each; the pair stays at the first that both have, if there are enough.
+    length = lambda x: (F.col(f"many{x}") - both + times(both) - F.col(f"lone{x}")).cast("int")
+    inside = [F.col(f"place{x}") < length(x) for x in ("", "_c")]
+    shared = F.array_intersect(*(F.slice(f"some{x}", F.lit(1), F.greatest(F.lit(0), length(x))) for x in ("", "_c")))
+    enough = (F.size(shared) >= times(both)) & (F.get(shared, F.lit(0)) == F.col("e"))
+    # No far member is linked. Two of them meet in both directions: one is enough.
+    once = F.col("b") < F.col("c")
+    found = joined(to_far.where("not near"), to_far.where("not near"), ["a", "e"], once, *inside, enough)
+    found = found.union(joined(each(far, F.col("some")), to_far.where("near"), ["a", "e"], *inside, enough))
+    return found
+
+
+def pairs_by_extras(rest: DataFrame, relation: Relation, joined: Callable[..., DataFrame]) -> DataFrame:
+    """The same for short sequences, of which each lacks what many others lack: by what they have besides the hub.
+
+    Two that share only elements of the hub, of which one isn't near it and the other is no smaller than the hub, share less than they
+    must; so they share an element that the hub lacks, and if one shares r with the hub, all but r of those that they must share. If one is
+    smaller than the hub, the hub has elements that both lack: all but a few of those that the smaller one lacks."""
+    facts = ["component", "size", "shared", "extras"]
+    lacks = F.array_sort(F.slice("apart", F.col("extras") + 1, F.greatest(F.col("lacked"), F.lit(0))))
+    gap = relation.need_of(F.col("hub_size"), F.col("hub_size")) - relation.need_of(F.col("size"), F.col("size"))
+    rest = rest.withColumn("extras", F.col("size") - F.col("shared"))
+    rest = rest.withColumns({"extra": F.slice("apart", F.lit(1), F.col("extras")), "lacks": lacks, "gap": F.when(F.col("size") < F.col("hub_size"), gap).otherwise(0)})
+    smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
+    least = F.greatest(F.lit(1), relation.need_of(F.col("size"), smallest) - F.col("shared"))
+    own = rest.select("a", "b", *facts, "linked", F.col("extras").alias("many"), F.when(F.col("linked"), F.col("extras")).otherwise(F.col("extras") + 1 - least).alias("take"), F.explode("extra").alias("e"))
+    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"])
+    held = held.select("a", "b", *facts, "linked", "lone", F.posexplode("some.e").alias("place", "e")).withColumn("rank", F.when(F.col("linked"), 0).otherwise(F.col("place") + 1 + F.col("lone")))
+    must = F.greatest(F.lit(1), relation.need_of(F.col("size"), F.col("size_c")) - F.least("shared", "shared_c"))
+    found = joined(held.where("not linked"), held, ["a", "e"], *(F.col(f"rank{x}") <= F.col(f"extras{x}") + 1 - must for x in ("", "_c")))
+    fits = lambda n: relation.need_of(F.col("size"), n) <= F.col("shared")
+    told = rest.where((F.col("gap") > 0) & fits(relation.least_of(F.col("size")))).select("a", "b", *facts, F.posexplode(F.slice("lacks", F.lit(1), F.col("gap").cast("int"))).alias("place", "e"))
+    lacking = rest.where(~F.col("linked") & fits(smallest)).select("a", "b", *facts, F.lit(0).alias("place"), F.explode("lacks").alias("e"))
+    lacking = lacking.join(told.select("a").distinct(), "a", "left_semi")
+    need = relation.need_of(F.col("size"), F.col("size_c"))
+    return found.union(joined(lacking, told, ["a", "e"], need <= F.col("shared_c"), F.col("place_c") <= F.col("shared") - need))
+
+
 def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
     """Pairs of members of one hub, not yet connected, that may be linked by their differences to the hub."""
     named = compared.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("lacked", F.col("hub_size") - F.col("shared"))
     named = named.withColumn("component", F.coalesce("component", "b"))
     state = named.groupBy("a").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.max(~F.col("linked")).alias("parted"),
-        F.min("size").alias("smallest"), F.min("lacked").alias("fewest"),
+        F.min("size").alias("smallest"), F.min("lacked").alias("fewest"), F.min(F.when(~F.col("near"), F.col("lacked"))).alias("fewest_far"),
     )
-    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest", "fewest"), "a"))
-    facts = ["component", "size", "lacked", "hub_size", "near"]
+    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest", "fewest", "fewest_far"), "a"))
 
     def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column) -> DataFrame:
         others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in others.columns if x not in (*on, "b")))
-        # Two unlinked members meet in both directions: one of them is enough.
-        once = F.col("linked_c") | (F.col("b") < F.col("c"))
-        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c")) & once
+        may = (F.col("component") != F.col("component_c")) & relation.possible(F.col("size"), F.col("size_c"))
         both = some.join(others, on).where(reduce(lambda x, y: x & y, also, may))
         return both.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
 
-    common = lambda need, lacked: F.greatest(F.lit(1), need - F.col("hub_size") + F.col("lacked") + lacked)
-    smallest = F.greatest(F.col("smallest"), relation.least_of(F.col("size")))
-    times = lambda t: F.least(F.lit(MEETINGS), 1 + F.floor(t / FOR_EACH).cast("int"))
-    many, least = F.size("apart"), common(relation.need_of(F.col("size"), smallest), F.col("fewest"))
-    take = many - least + times(least)
-    own = rest.select("a", "b", *facts, "linked", many.alias("many"), take.alias("take"), F.explode("apart").alias("e"))
-    held = looked_up(own, ["a", "b", *facts, "linked", "many", "take"], ["e"]).withColumn("some", F.col("some.e"))
-    held = held.select("*", F.posexplode("some").alias("place", "e"))
-    both = common(relation.need_of(F.col("size"), F.col("size_c")), F.col("lacked_c"))
-    # The elements that the pair's own numbers leave of each; the pair stays at the first that both have, if there are enough.
-    length = lambda x: (F.col(f"many{x}") - both + times(both) - F.col(f"lone{x}")).cast("int")
-    inside = [F.col(f"place{x}") < length(x) for x in ("", "_c")]
-    shared = F.array_intersect(*(F.slice(f"some{x}", F.lit(1), F.greatest(F.lit(0), length(x))) for x in ("", "_c")))
-    enough = (F.size(shared) >= times(both)) & (F.get(shared, F.lit(0)) == F.col("e"))
-    found = joined(held.where("not linked"), held, ["a", "e"], ~(F.col("near") & F.col("near_c")), *inside, enough)
-    close = rest.where("near")
+    found = (pairs_by_extras if relation.ordered else pairs_by_differences)(rest, relation, joined)
+    close, once = rest.where("near"), F.col("linked_c") | (F.col("b") < F.col("c"))
     if relation.ordered:
         member = ["a", "b", "component", "size", "linked"]
         runs = looked_up(close.select(*member, F.inline("orders")), [*member, "q", "many", "take", "reach"], ["q", "run"], ("low", "high"))
@@ -225,9 +264,9 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
         reach = F.greatest("reach", "reach_c")
         beside = (F.col("low") <= F.col("high_c") + reach) & (F.col("low_c") <= F.col("high") + reach)
         fits = F.col("q") == relation.run_of(F.greatest("size", "size_c"))
-        found = found.union(joined(runs.where("not linked"), runs, ["a", "q", "run"], fits, beside))
+        found = found.union(joined(runs.where("not linked"), runs, ["a", "q", "run"], once, fits, beside))
     else:
-        found = found.union(joined(close.where("not linked").select("a", "b", *facts), close.select("a", "b", *facts, "linked"), ["a"]))
+        found = found.union(joined(close.where("not linked").select("a", "b", "component", "size"), close.select("a", "b", "component", "size", "linked"), ["a"], once))
     return found.distinct()
 
 
