@@ -87,3 +87,10 @@ def test_training_takes_as_many_windows_at_a_time_whatever_the_batches():
     parts = [codes.tolist() for codes, _ in counted_batches(iter(rows), 10)]
     assert [len(p) for p in parts] == [10, 10, 10, 7] and sum(parts, []) == list(range(37))
     assert list(counted_batches(iter(rows[3:4]), 10)) == []
+
+
+def test_scores_hang_on_the_documents_alone(make_docs):
+    """The same documents in other partitions and another order give the same network."""
+    docs = make_docs([f"text {i % 7} of some kind, number {i}" for i in range(80)])
+    weights = [train_on(count_windows(d)).flat() for d in (docs.repartition(5), docs.repartition(12, "text"), docs.coalesce(1))]
+    assert np.array_equal(weights[0], weights[1]) and np.array_equal(weights[0], weights[2])
