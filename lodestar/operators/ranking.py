@@ -1,7 +1,8 @@
 """One ranking of entities by their distance from a seed over all signals (DOM-05, FUN-11, FUN-14, FUN-16, FLT-11).
 
 Every signal is reduced to one row an entity before the seed's row is set beside it: best value of each field by source,
-sums of tag weights, attributes, cosines. The seed's rows are the only ones that are broadcast.
+sums of tag weights, attributes, cosines. Broadcast are the seed's one row and its sums of the tag types, five at most; whether the
+seed's tags or the policies are, Spark decides by their size.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def best_fields(features: DataFrame, policies: DataFrame, id_col: str) -> DataFr
 
     ``features``: id, source, field, ``number``, ``text``; ``policies``: source, field, ``similarity_weight``. Of equally good
     sources the first by name."""
-    rated = features.join(F.broadcast(policies.select("source", "field", "similarity_weight")), ["source", "field"], "left")  # a row for each pair that the code names
+    rated = features.join(policies.select("source", "field", "similarity_weight"), ["source", "field"], "left")
     rated = rated.withColumn("quality", F.coalesce("similarity_weight", F.lit(DEFAULT_QUALITY)))
     best = preferred(rated.where("number is not null or text is not null"), [id_col, "field"], [descending("quality"), F.col("source")], ("number", "text", "quality"))
     return best.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("number", "text", "quality")))).alias("fields"))  # as many as fields
@@ -47,7 +48,7 @@ def tag_terms(tags: DataFrame, entities: Column | int, id_col: str, seed) -> Dat
     inverse = idf(weights.select(id_col, F.struct("tag_type", "tag").alias("term")), "term", id_col, entities)
     weighed = weights.join(inverse.select("term.*", "idf"), ["tag_type", "tag"])
     mine = weighed.where(F.col(id_col) == seed).select("tag_type", "tag", F.col("w").alias("mine"))
-    sums = weighed.join(F.broadcast(mine), ["tag_type", "tag"], "left").groupBy(id_col, "tag_type").agg(  # the tags of one entity
+    sums = weighed.join(mine, ["tag_type", "tag"], "left").groupBy(id_col, "tag_type").agg(
         F.sum(F.col("w") * F.col("idf")).alias("own"), F.sum(F.when(F.col("mine").isNull(), 0.0).otherwise(F.least("w", "mine") * F.col("idf"))).alias("shared")
     )
     total = sums.where(F.col(id_col) == seed).select("tag_type", F.col("own").alias("total"))
