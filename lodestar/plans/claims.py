@@ -186,7 +186,7 @@ def import_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = events.where("event_type = 'purchase'").groupBy("user_id").agg((F.max("value") / 200).alias("probability")).withColumn("tag", F.lit("happy"))
     support = items.withColumn("tag", F.when(F.col("tag") == "click", "happy").otherwise(F.col("tag")))
     made = derive.import_rules(items, known, "user_id", "known").unionByName(derive.supported_heads(heads, support, "user_id"))
-    return made.withColumn("confidence", F.round("confidence", 6))
+    return made.withColumn("confidence", scores.rounded(F.col("confidence"), 6))
 
 
 @query("""

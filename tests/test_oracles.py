@@ -38,3 +38,16 @@ def test_query_without_sql(spark):
     got = registry.QUERIES["exact_ratios"](spark, SF).collect()
     assert {r.p_partkey: (r.folded, r.score) for r in got} == want
     assert all(abs(r.title - (0.72 * r.score + 0.28)) < 2e-6 for r in got)
+
+
+def test_import_tags_at_a_half(spark, tmp_path):
+    """A confidence that is a hair below half of the last digit, compared with SQL to that digit."""
+    import duckdb
+
+    values = [16.52, 9.42, 11.0, 2.49, 116.81, 46.17, 23.21, 45.22]
+    rows = [(i, 7, "click", v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = db.execute(registry.ORACLE_SQL["import_tags"]).fetchall()
+    assert [tuple(r) for r in registry.QUERIES["import_tags"](spark, str(tmp_path)).collect()] == want == [(7, "click", "mood", 0.829913)]
