@@ -150,6 +150,18 @@ def test_weighted_jaccard_with_a_key_that_all_have(spark):
         assert {(r.ref, r.id): r.jaccard for r in similarity.pair_jaccard(df, "id", "k", "w", refs, salts).collect()} == want
 
 
+def test_weighted_jaccard_exchanges_no_pairs(spark):
+    """Missing weights and keys as a join on the key has them; and no exchange holds a row for each pair."""
+    rows = [(1, "a", 2.0), (1, "b", None), (2, "a", 1.0), (2, None, 4.0), (3, "b", 3.0), (4, "b", None), (5, "c", 0.0), (6, "c", 0.0), (None, "a", 1.0), (7, "b", None)]
+    df = spark.createDataFrame(rows, "id int, k string, w double")
+    refs = spark.createDataFrame([(1,), (4,), (5,)], "id int")
+    got = {(r.ref, r.id): r.jaccard for r in similarity.pair_jaccard(df, "id", "k", "w", refs).collect()}
+    assert got == {(1, 2): 1 / 6, (1, 3): 3 / (3 + 2 - 3), (1, 4): None, (1, 7): None, (4, 1): None, (4, 3): None, (4, 7): None, (5, 6): None}
+    plan = similarity.pair_jaccard(df, "id", "k", "w", refs)._jdf.queryExecution().optimizedPlan().toString()
+    after = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert not any(step in after for step in ("Join", "Aggregate", "Repartition"))
+
+
 def test_caps_with_missing_values(spark):
     rows = [(i, None if i % 4 == 0 else f"body{i % 9}", f"s{i % 3}" if i % 7 else None) for i in range(80)]
     df = spark.createDataFrame(rows, "id int, body string, source string").repartition(4)
