@@ -162,6 +162,18 @@ def test_weighted_jaccard_exchanges_no_pairs(spark):
     assert not any(step in after for step in ("Join", "Aggregate", "Repartition"))
 
 
+def test_benchmark_candidates_of_equal_ids(spark, tmp_path):
+    """Texts of one id are compared one by one, and words that several items have find no pairs."""
+    from lodestar.plans import registry
+
+    candidates = registry.QUERIES["fuzzy_anti"].__globals__["benchmark_candidates"]
+    docs = [(1, "Alpha beta"), (1, "gamma DELTA"), (2, "common words alone"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(10, "alpha beta gamma delta"), (11, "common words"), (12, "words common"), (13, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, candidates(spark, str(tmp_path)).collect())) == [(1, 10, 1.0), (1, 10, 1.0)]
+
+
 def test_caps_with_missing_values(spark):
     rows = [(i, None if i % 4 == 0 else f"body{i % 9}", f"s{i % 3}" if i % 7 else None) for i in range(80)]
     df = spark.createDataFrame(rows, "id int, body string, source string").repartition(4)
