@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestar.operators import queue
@@ -81,6 +82,23 @@ def test_retry_states_equal_a_loop(spark, feed, tmp_path):
     assert {r.k: (r.status, r.attempts, r.next_retry_at and (r.next_retry_at - START).total_seconds()) for r in last} == want
 
 
+def test_a_key_costs_four_calls(spark):
+    """A state that has a timer, and gets rows: read, written, one timer gone and one set; no list of timers, no frame a key."""
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *given: calls.append((name, *given)) or (self if name == "getValueState" else held[0] if name == "get" else None)
+
+    held = [(3, 2, False, 5_000_000, 125_000_000, 125_000)]
+    states = keyed.Retries(60, 600)
+    states.init(Handle())
+    calls.clear()
+    rows = iter([Row(at_us=9_000_000, ok=False), Row(at_us=7_000_000, ok=True)])
+    assert list(states.handleInputRows(("k",), rows, None)) == [("k", "retry", 4, 489_000_000, 4)]
+    assert calls == [("get",), ("update", (4, 4, False, 9_000_000, 489_000_000, 489_000)), ("deleteTimer", 125_000), ("registerTimer", 489_000)]
+
+
 def test_a_silent_worker_gets_its_verdict_by_timer(spark, feed, tmp_path):
     minutes = 60_000_000
     spans = dict(hard=240 * minutes, grace=45 * minutes, quiet=25 * minutes, unmanaged=15 * minutes, status_quiet=25 * minutes)
