@@ -6,8 +6,10 @@ have codes of one symbol (grey images) are decoded side by side: a step reads on
 back-reference, and numpy does it for all files at once. Everything else goes symbol by symbol.
 
 The encoder stores payloads as grey images of 576 pixels a row, a byte a pixel and a few rows a file. Green has prefix
-codes made from counts, repeated bytes become back-references, and red and blue vanish by the subtract-green transform.
-Predictors, cross-colour factors, palettes and the colour cache would make texts longer; the encoder doesn't use them.
+codes made from counts, repeated bytes become back-references, and red and blue vanish by the subtract-green transform. For
+each file the entropies of the bytes and of what two predictors leave decide whether it has a predictor transform.
+Cross-colour factors have nothing to predict where red and blue are zero, and a colour cache or an unpacked palette only
+rename bytes that one code stands for already; the encoder doesn't use them.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FILE_ROWS = 8
 GREEN_BITS, DISTANCE_BITS = 11, 8
 #: Shortest repeated string that becomes a back-reference, and the longest.
 LEAST_MATCH, MOST_MATCH = 6, 4096
+#: Modes of the predictors that the encoder tries, the blocks (as a power of two) for which it says so, and the bits by which one must be better.
+LEFT, TOP, MODE_BLOCK, LEAST_GAIN = 1, 2, 9, 64
 #: Files that are encoded together: few enough for the arrays to stay in the processor's caches.
 FILES_AT_ONCE = 128
 #: Where the first 120 distance codes point (columns back, rows up), by rising distance: a rule of the format.
@@ -340,22 +344,42 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     return pixels.reshape(height, width), size + (size & 1)
 
 
+def undo_grey(rows: np.ndarray, mode: int) -> None:
+    """The pixels of a grey file in place of what the left or top predictor left: the first row is predicted from the left, the first
+    column from above."""
+    edge, inner = (rows[:, 0], 1) if mode == LEFT else (rows[0], 0)
+    np.cumsum(edge, dtype=np.uint8, out=edge)
+    np.cumsum(rows, axis=inner, dtype=np.uint8, out=rows)
+
+
 class GreyFiles:
     """Grey files that are decoded side by side."""
 
     def __init__(self) -> None:
-        self.data, self.starts, self.greens, self.distances, self.sizes = bytearray(), [], [], [], []
+        self.data, self.starts, self.greens, self.distances, self.sizes, self.modes = bytearray(), [], [], [], [], []
 
     def add(self, data: bytes, start: int, size: int) -> bool:
-        """Whether the file at ``start`` is one of these: no cache, no meta codes, nothing but green and distances coded."""
+        """Whether the file at ``start`` is one of these: no cache, no meta codes, nothing but green and distances coded, and
+        one of the encoder's predictors everywhere or none."""
         if data[start + 20] != 0x2F:
             return False
         bits = BitReader(data[start + 21 : start + size])
         width, height, head = bits.read(14) + 1, bits.read(14) + 1, bits.read(4) >> 1
-        if head or width != ROW_BYTES or bits.read(3) != (1 | SUBTRACT_GREEN << 1) or bits.read(3):
+        if head or width != ROW_BYTES or bits.read(3) != (1 | SUBTRACT_GREEN << 1):
+            return False
+        mode = 0
+        if bits.read(1):
+            if bits.read(2) != PREDICTOR:
+                return False
+            block = bits.read(3) + 2
+            told = np.unique(read_pixels(bits, subsampled(width, block), subsampled(height, block), False) >> 8 & 15)
+            mode = int(told[0])
+            if len(told) > 1 or mode not in (LEFT, TOP) or bits.read(1):
+                return False
+        if bits.read(2):
             return False
         lengths = [read_lengths(bits, n) for n in (LITERALS + LENGTH_CODES, 256, 256, 256, DISTANCE_CODES)]
-        one = all(sum(map(bool, lengths[k])) == 1 and lengths[k][v] for k, v in ((1, 0), (2, 0), (3, 255)))
+        one = all(sum(map(bool, lengths[k])) == 1 and lengths[k][v] for k, v in ((1, 0), (2, 0), (3, 0 if mode else 255)))
         if not one or max(lengths[0]) > GREEN_BITS or max(lengths[4]) > DISTANCE_BITS:
             return False
         self.starts.append(8 * (len(self.data) + 21) + bits.at)
@@ -363,6 +387,7 @@ class GreyFiles:
         self.greens.append(lengths[0])
         self.distances.append(lengths[4])
         self.sizes.append(width * height)
+        self.modes.append(mode)
         return True
 
     @staticmethod
@@ -418,6 +443,8 @@ class GreyFiles:
             left = at < end[file]
             if not left.all():
                 file, bit, at = file[left], bit[left], at[left]
+        for k in np.flatnonzero(self.modes).tolist():
+            undo_grey(out[edges[k] : edges[k + 1]].reshape(-1, ROW_BYTES), self.modes[k])
         return out, edges
 
     @staticmethod
@@ -583,10 +610,50 @@ def reversed_codes(lengths: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def predicted_files(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all files, or what the left or the top predictor leaves of them, and which mode each file has (0: none).
+
+    That with the least entropy is taken, if it is better by more than the transform's own bits. Pixels that equal their left or
+    upper neighbour don't count: back-references have those."""
+    rows, count = data.reshape(-1, ROW_BYTES), len(edges) - 1
+    heads = edges[:-1] // ROW_BYTES
+    across, down = rows.copy(), rows.copy()
+    across[:, 1:] -= rows[:, :-1]
+    down[1:] -= rows[:-1]
+    down[heads] = across[heads]
+    first = np.ones(len(rows), bool)
+    first[heads] = False
+    across[first, 0] = down[first, 0]
+    file = np.repeat(np.arange(count) << 8, np.diff(edges) // ROW_BYTES)[:, None]
+    apart = (across != 0) & (down != 0)
+    where = np.broadcast_to(file, rows.shape)[apart]
+    kinds = (rows, across, down)
+    bits = []
+    for values in kinds:
+        n = np.bincount(where | values[apart], minlength=count << 8).reshape(count, 256)
+        every = n.sum(axis=1)
+        bits.append(every * np.log2(np.maximum(every, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=1))
+    bits[0] -= LEAST_GAIN
+    mode = np.argmin(bits, axis=0)
+    if not mode.any():
+        return data, mode
+    return np.choose(mode[file >> 8], kinds).ravel(), mode
+
+
+def head_items(height: int, mode: int) -> list[tuple[int, int]]:
+    """What a file begins with, up to the prefix codes: size and transforms, and neither colour cache nor meta codes."""
+    items = [(0x2F, 8), (ROW_BYTES - 1, 14), (height - 1, 14), (0, 4), (1 | SUBTRACT_GREEN << 1, 3)]
+    if mode:  # an image of one colour: codes of one symbol each, no bits a pixel
+        green = (1 | mode << 3, 4) if mode < 2 else (1 | 1 << 2 | mode << 3, 11)
+        items += [(1 | PREDICTOR << 1, 3), (MODE_BLOCK - 2, 3), (0, 1), green, (1, 4), (1, 4), (1 | 1 << 2 | 255 << 3, 11), (1, 4)]
+    return [*items, (0, 3)]
+
+
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
     """A file for each payload (bytes, whole rows, no more than a file's)."""
     edges = np.r_[0, np.cumsum([len(p) for p in payloads])]
-    data, count = np.concatenate(payloads), len(payloads)
+    count = len(payloads)
+    data, mode = predicted_files(np.concatenate(payloads), edges)
     start, length, far = matches(data, edges)
     covered = np.zeros(len(data) + 1, np.int8)
     covered[start] += 1
@@ -620,8 +687,8 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     heads = []
     for k in range(count):
         height = int(edges[k + 1] - edges[k]) // ROW_BYTES
-        heads.append([(0x2F, 8), (ROW_BYTES - 1, 14), (height - 1, 14), (0, 4), (1 | SUBTRACT_GREEN << 1, 3), (0, 3), *code_items(green_codes[k], every),
-                      (1, 4), (1, 4), (1 | 1 << 2 | 255 << 3, 11), *code_items(away_codes[k], DISTANCE_CODES)])
+        alpha = (1, 4) if mode[k] else (1 | 1 << 2 | 255 << 3, 11)  # opaque, or nothing left by the predictor
+        heads.append([*head_items(height, int(mode[k])), *code_items(green_codes[k], every), (1, 4), (1, 4), alpha, *code_items(away_codes[k], DISTANCE_CODES)])
     head_n = np.array([b for h in heads for _, b in h])
     head_edges = np.r_[0, np.cumsum([len(h) for h in heads])]
     total = n.copy()

@@ -392,3 +392,23 @@ def test_media_of_odd_rows(spark, make_docs, odd_texts):
 
 def test_empty_and_null_texts_are_one_row_of_padding():
     assert payload_of(None) == payload_of("") == (0, b"\xff" * 576)
+
+
+def test_encoder_chooses_predictors():
+    """Ramps along and down the rows are stored as what the left and the top predictor leave, texts without a transform; both
+    decoders read all of them."""
+    draw = np.random.default_rng(1)
+    along = np.cumsum(draw.integers(1, 4, 8 * webp.ROW_BYTES)).astype(np.uint8).tobytes()
+    down = (draw.integers(0, 256, webp.ROW_BYTES) + np.cumsum(draw.integers(1, 3, (8, webp.ROW_BYTES)), axis=0)).astype(np.uint8).tobytes()
+    text = webp.payload_of("one file may have a predictor, the next one none " * 20)[1]
+    payloads = [along, text, down, along[: webp.ROW_BYTES], webp.payload_of("")[1], along + down]
+    media = webp.stored_many(payloads)
+    assert [len(m) < 0.65 * len(p) for p, m in zip(payloads, media)] == [True] * 6
+    kinds = [[webp.BitReader(x[21:]) for x in (m[at : at + size] for at, size in webp.files_of(m))] for m in media]
+    for bits in sum(kinds, []):
+        bits.at = 14 + 14 + 4 + 3
+    assert [[bits.read(1) for bits in own] for own in kinds] == [[1], [0], [1], [1], [0], [1, 1]]
+    for payload, data, (_, channels, pixels) in zip(payloads, media, webp.decode_many(media)):
+        slow = np.concatenate([webp.bytes_of(x).reshape(-1, 4) for x in webp.decode_all(data)])
+        assert channels == 1 and pixels.tobytes() == payload == slow[:, 1].tobytes()
+        assert (slow[:, 0] == slow[:, 1]).all() and (slow[:, 2] == slow[:, 1]).all() and (slow[:, 3] == 255).all()
