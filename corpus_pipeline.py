@@ -78,8 +78,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Passages that an earlier document holds go; so do documents of which no word is left."""
     small_batches(spark)
     rows, restored = plain(docs)
-    cut = suffix_dedup.dedup_substrings(rows, carry=tuple(c for c in rows.columns if c not in ("doc_id", "text")))
-    cut = cut.withColumn("text", suffix_dedup.as_text("kept"))
+    cut = suffix_dedup.dedup_substrings(rows, carry=tuple(c for c in rows.columns if c not in ("doc_id", "text")), decoded=True)
+    cut = cut.withColumnRenamed("kept", "text")
     return counted(restored(cut.where((F.size("removed") == 0) | F.col("text").rlike(WORD))))
 
 

@@ -482,8 +482,9 @@ def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", te
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines, in the same columns, plus ``lines_removed`` (how many)."""
     joined = with_removed(docs, removed, id_col, text_col)
-    lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(left, lambda k: F.get(lines, k))))
+    # The text is split outside of the function: what stands inside is computed again for each line.
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), F.col("__removed"))
+    stay = F.transform(F.array(F.split(text_col, "\n")), lambda lines: F.concat_ws("\n", F.transform(left(lines), lambda k: F.get(lines, k))))
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.get(stay, F.lit(0)))
     counted = F.coalesce(F.array_size("__removed"), F.lit(0)).alias("lines_removed")
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), counted)

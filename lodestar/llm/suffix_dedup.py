@@ -372,8 +372,8 @@ def find_spans(table: pa.Table) -> pa.Table:
     return as_table(out, ("block", "firsts", "ends"), (pa.int64(), pa.binary(), pa.binary()))
 
 
-def remove_spans(table: pa.Table, spans: pa.Table) -> pa.Table:
-    """The block's rows, with kept bytes and removed spans."""
+def remove_spans(table: pa.Table, spans: pa.Table, decoded: bool = False) -> pa.Table:
+    """The block's rows, with kept bytes (``decoded``: as strings) and removed spans."""
     held = Block(table)
     first, end = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "i8") for x in spans.column(c).to_pylist())]) for c in ("firsts", "ends"))
     # Spans of one text that touch or overlap become one; none crosses from one text to the next.
@@ -398,15 +398,16 @@ def remove_spans(table: pa.Table, spans: pa.Table) -> pa.Table:
     sizes[held.order] = np.diff(held.edges)
     table = table.drop_columns(["block", "text"])
     table = table.append_column("n_bytes", pa.array(sizes))
-    table = table.append_column("kept", pa.array(kept, pa.binary()))
+    table = table.append_column("kept", pa.array([as_string(b) for b in kept], pa.string()) if decoded else pa.array(kept, pa.binary()))
     return table.append_column("removed", pa.array(removed, pa.list_(pa.int64())))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """Remove from every text the bytes of 50-byte strings that start in a document with a smaller id.
 
     Returns the id, the ``carry`` columns, ``n_bytes`` (of the whole text), ``kept`` (the remaining bytes) and
-    ``removed`` (maximal removed spans: begin and end in turn). Null texts count as empty. Rows with equal ids don't
+    ``removed`` (maximal removed spans: begin and end in turn); ``decoded`` gives ``kept`` as ``as_text`` does, without
+    another pass through Python workers. Null texts count as empty. Rows with equal ids don't
     remove from each other; null ids count as smaller than all others. An empty table gives no rows. Ids are integers:
     their order decides.
     """
@@ -430,23 +431,30 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def deal_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         return send_windows(table, replies, finer)
 
+    def remaining(table: pa.Table, spans: pa.Table) -> pa.Table:
+        return remove_spans(table, spans, decoded)
+
     suffixes = by_block.applyInArrow(tidy_group(deal_suffixes), "bucket long, block long, suffixes binary, documents binary")
     replies = suffixes.groupBy("bucket").applyInArrow(tidy_group(find_repeated), "block long, hashes binary, codes binary")
     windows = by_block.cogroup(replies.groupBy("block")).applyInArrow(tidy_group(deal_windows), WINDOWS)
     spans = windows.groupBy("bucket").applyInArrow(tidy_group(find_spans), "block long, firsts binary, ends binary")
     shape = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    shape = f"id {id_type}{shape}, n_bytes long, kept binary, removed array<bigint>"
-    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(tidy_group(remove_spans), shape)
+    shape = f"id {id_type}{shape}, n_bytes long, kept {'string' if decoded else 'binary'}, removed array<bigint>"
+    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(tidy_group(remaining), shape)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"carry_{i}", c)
     return out.withColumnRenamed("id", id_col)
 
 
+def as_string(kept: bytes) -> str:
+    return bytes(kept).decode("utf-8", "ignore")
+
+
 def as_text(kept: str) -> Column:
     """Kept bytes as a string; bytes of characters that were cut in two are left out."""
 
     @F.pandas_udf("string")
     def decoded(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+        return x.map(as_string, na_action="ignore")
 
     return decoded(F.col(kept))

@@ -158,3 +158,11 @@ def test_one_word_in_ten_replaced(make_docs):
 def test_lines_that_differ_in_digits_stay(make_docs):
     docs = make_docs(["Q1 2019: 431 units\nQ3 2021: 977 units", "Q1 2020: 12 units\nq1 2019, 431 units"])
     assert [(r.doc_id, r.removed) for r in repeated_lines(docs).collect()] == [(1, [1])]
+
+
+def test_removal_splits_a_text_once(make_docs):
+    """Not again for each of its lines, as an expression inside of a function of elements would."""
+    docs = make_docs(["a b\na b\nc", "c", None])
+    left = without_lines(docs, repeated_lines(docs))
+    assert left._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert {r.doc_id: (r.text, r.lines_removed) for r in left.collect()} == {0: ("a b\nc", 1), 1: ("", 1), 2: (None, 0)}

@@ -137,3 +137,12 @@ def test_odd_rows_and_an_empty_table(spark, make_docs, tmp_path):
         assert stage(spark, docs, "").count() >= 2, name
     make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_need_one_worker_a_task(spark, make_docs):
+    """What is left of a text is decoded where it is cut, not by a further pass through Python."""
+    passage = "\u00e9" * 40
+    docs = make_docs([passage + "x", "y" + passage, "z " + passage[:30], None])
+    left = corpus_pipeline.passage_dedup(spark, docs, "")
+    assert "ArrowEvalPython" not in left._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {0: (passage + "x", 41), 1: ("y", 1), 2: ("z ", 2), 3: ("", 0)}
