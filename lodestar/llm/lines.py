@@ -13,9 +13,10 @@ bits: blocks that find those also find most other pairs. README gives figures.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import bucket_count, pieces, small_batches, staged, texts_of, tidy, tidy_group, unstage
 from lodestar.llm.linking import DIFFERENCES, ORDERS, Compare, differences, link_buckets
-from lodestar.llm.minhash import FACTORS, band_keys, mixed
-from lodestar.llm.minhash import NAMES as SET_NAMES
+from lodestar.llm.minhash import FACTORS, NAMES, band_keys, mixed
 from lodestar.llm.suffix_dedup import cut, packed, squeezed, unpacked, unsqueezed
 
 #: Bytes of normalised text: punctuation and blanks part words, line feeds stay.
-NORMAL = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
+NORMAL = bytes(32 if chr(b) in f"{string.punctuation}\t\r\x0b\x0c" else b for b in range(256))
 #: Bytes of lines that are hashed together.
 CHUNK_BYTES = 256 << 10
 #: Text whose keys meet in one bucket.
@@ -44,7 +44,6 @@ WORD_BASE = 0x9E3779B97F4A7C15
 #: Fields of ``linking.ORDERS``, and the columns of a comparison.
 RUN = {"q": pa.int32(), "run": pa.int64(), "low": pa.int32(), "high": pa.int32(), "many": pa.int32(), "take": pa.int32(), "reach": pa.int32()}
 RUNS = pa.list_(pa.struct(list(RUN.items())))
-NAMES = [*SET_NAMES, "orders"]
 
 
 @dataclass(frozen=True)
@@ -118,9 +117,18 @@ def runs_of(words: list[bytes], rules: LineRules) -> list[tuple[int, int, int, i
     return out
 
 
+def all_lines(texts: list[str | None]) -> tuple[list[bytes], list[int]]:
+    """The lines of some texts, one text's after another's, and how many each text has: a line's words, in lower case, with one
+    blank between."""
+    bodies = [(text or "").lower().encode() for text in texts]
+    data = np.frombuffer(b"\n".join(bodies).translate(NORMAL), np.uint8)
+    blank = data == 32
+    data = data[~(blank & np.r_[False, blank[:-1]][: len(data)])]  # one of neighbouring blanks stays
+    return [line.strip(b" ") for line in data.tobytes().split(b"\n")], [body.count(b"\n") + 1 for body in bodies]
+
+
 def normal_lines(text: str | None) -> list[bytes]:
-    """Each line's words, in lower case, with one blank between."""
-    return [b" ".join(line.split()) for line in (text or "").lower().encode().translate(NORMAL).split(b"\n")]
+    return all_lines([text])[0]
 
 
 @lru_cache(maxsize=4)
@@ -160,6 +168,12 @@ def bags(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_edits(a: list, b: list) -> int:
     """Least insertions, deletions and replacements of words, all of a row of the table at once in one integer's bits."""
+    first, last, least = 0, 0, min(len(a), len(b))
+    while first < least and a[first] == b[first]:
+        first += 1
+    while last < least - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]  # what begins and ends both costs nothing
     if not a or not b:
         return len(a) + len(b)
     places: dict = {}
@@ -178,6 +192,11 @@ def word_edits(a: list, b: list) -> int:
     return edits
 
 
+def similar(a: list, b: list, most: int) -> bool:
+    """Whether so many edits of words are enough; most often replacements at the same places are."""
+    return len(a) == len(b) and sum(map(ne, a, b)) <= most or word_edits(a, b) <= most
+
+
 def names_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit halves of the lines' 128-bit hashes."""
     halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
@@ -186,7 +205,7 @@ def names_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_lines(batch: pa.RecordBatch, least: int) -> list[bytes]:
     """The distinct normalised lines of at least so many words."""
-    return list({x: None for text in texts_of(batch) for x in normal_lines(text) if x.count(b" ") + 1 >= least and x})
+    return [x for x in dict.fromkeys(all_lines(texts_of(batch))[0]) if x.count(b" ") + 1 >= least and x]
 
 
 class WordCounts:
@@ -221,15 +240,13 @@ def line_rows(docs: DataFrame, rules: LineRules, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kind = WordCounts(rules.common / 10), None
         for batch in pieces(batches):
-            at, number, found = [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                for k, line in enumerate(normal_lines(text)):
-                    if line:
-                        at.append(i)
-                        number.append(k)
-                        found.append(line)
-            if at:
-                ids, prints = (batch.column(k).take(pa.array(at, pa.int64())) for k in range(2))
+            every, counts = all_lines(texts_of(batch))
+            held = np.flatnonzero(np.fromiter(map(len, every), np.int64, len(every)))
+            if len(held):
+                found = [every[k] for k in held.tolist()]
+                at = np.repeat(np.arange(len(counts)), counts)[held]
+                number = held - (np.cumsum(counts) - counts)[at]
+                ids, prints = (batch.column(k).take(pa.array(at)) for k in range(2))
                 low, high = names_of(found)
                 yield pa.RecordBatch.from_arrays([ids, prints, pa.array(number, pa.int32()), pa.array(low), pa.array(high)], names)
                 some, kind = [x for x in dict.fromkeys(found) if x.count(b" ") + 1 >= rules.shortest], ids.type
@@ -415,26 +432,35 @@ def comparer(texts: DataFrame, rules: LineRules) -> Compare:
 
                 def accept(near: np.ndarray) -> np.ndarray:
                     words = ((x[i].split(" "), y[i].split(" ")) for i in near.tolist())
-                    return np.array([word_edits(a, b) <= rules.edits(max(len(a), len(b))) for a, b in words], bool)
+                    return np.array([similar(a, b, rules.edits(max(len(a), len(b)))) for a, b in words], bool)
 
                 hub, own = (np.array([at[line] for line in side], np.int64) for side in (x, y))
                 linked, more = differences(values, np.r_[0, np.cumsum(sizes)], hub, own, rules, accept, whole)
-                if whole:
-                    near = more[0].to_pylist()
-                    runs = {line: runs_of(line.encode().split(b" "), rules) for line in {line for line, is_near in zip(y, near) if is_near}}
-                    more.append(pa.array([[dict(zip(RUN, r)) for r in runs[line]] if is_near else [] for line, is_near in zip(y, near)], RUNS))
-                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *(NAMES if whole else [])])
+                made = pa.RecordBatch.from_arrays([*pair.columns[:2], pa.array(linked), *more], ["a", "b", "linked", *NAMES[: len(more)]])
                 yield made if whole else made.filter(made.column(2))
 
     def compare(pairs: DataFrame, whole: bool) -> DataFrame:
         first = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         second = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        shape = f"a long, b long, linked boolean{f', {DIFFERENCES}, {ORDERS}' if whole else ''}"
+        shape = f"a long, b long, linked boolean{', ' + DIFFERENCES if whole else ''}"
         return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(tidy(lambda batches: run(batches, whole)), shape)
 
     return compare
 
 
+def orders_of(texts: DataFrame, rules: LineRules) -> Callable[[DataFrame], DataFrame]:
+    """Given ``b``, distinct ids of ``texts``, returns them with ``linking.ORDERS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in pieces([batch]):
+                runs = [[dict(zip(RUN, r)) for r in runs_of(line.encode().split(b" "), rules)] for line in texts_of(some)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(runs, RUNS)], ["b", "orders"])
+
+    named = texts.select(F.col("id").alias("b"), "text")
+    return lambda ids: named.join(ids, "b", "left_semi").select("b", "text").mapInArrow(tidy(run), f"b long, {ORDERS}")
+
+
 def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``print`` (64-bit hash of the text) and ``removed``: the numbers of the lines that go, for each document
     that loses any.
@@ -453,7 +479,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     texts = line_texts(docs, text_col, rules.shortest).join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id")
     texts = texts.agg(F.min("high").alias("high"), F.max("high").alias("other"), F.min("text").alias("text")).where("high = other")
     texts = staged(texts.drop("other"))
-    labels = link_buckets(candidates, comparer(texts, rules), rules)
+    labels = link_buckets(candidates, comparer(texts, rules), rules, orders_of(texts, rules))
     labels = labels.join(texts.select("id", "high"), "id").withColumnRenamed("id", "low")
 
     # Lines that come twice or have a component; of these alone the occurrences are put in order.
@@ -472,10 +498,12 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     return out
 
 
-def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` and ``__removed``, the numbers of their repeated lines (null: none)."""
+def with_removed(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", print_col: str | None = None) -> DataFrame:
+    """``docs`` and ``__removed``, the numbers of their repeated lines (null: none).
+
+    Where ``docs`` has the texts' 64-bit hashes as ``print_col`` it needs no texts, which would be exchanged."""
     found = removed.select(F.col(id_col).alias("__id"), F.col("print").alias("__print"), F.col("removed").alias("__removed"))
-    own = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print"))
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & ((F.col(print_col) if print_col else F.xxhash64(text_col)) == F.col("__print"))
     return docs.join(found, own, "left").drop("__id", "__print")
 
 

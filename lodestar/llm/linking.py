@@ -45,7 +45,7 @@ class Relation(Protocol):
     def need(self, n, m):
         """Least number of shared elements of sets with ``n`` and ``m`` elements; grows with both, and by no more than they do."""
 
-    #: Whether comparisons give runs (``orders``) of what is near: then near pairs are looked up by these.
+    #: Whether sequences have runs (``orders``): then near pairs are looked up by these.
     ordered: bool
 
     def run_of(self, longer: Column) -> Column:
@@ -68,6 +68,8 @@ DIFFERENCES = "near boolean, hub_size int, size int, shared int, apart array<big
 #: And this one of ordered relations: runs of ``q`` elements, where each first and last begins, how many differ from each other, how
 #: many of them are looked up, and how far two that belong together lie apart.
 ORDERS = "orders array<struct<q int, run bigint, low int, high int, many int, take int, reach int>>"
+#: Given distinct ids ``b``, returns them with ``ORDERS``.
+Orders = Callable[[DataFrame], DataFrame]
 #: Tells what the hub has and a member lacks from what the member has besides.
 LACKED = np.uint64(0xD1B54A32D192ED03)
 
@@ -239,15 +241,15 @@ def pairs_by_extras(rest: DataFrame, relation: Relation, joined: Callable[..., D
     return found.union(joined(lacking, told, ["a", "e"], need <= F.col("shared_c"), F.col("place_c") <= F.col("shared") - need))
 
 
-def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> DataFrame:
+def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation, orders: Orders | None = None) -> DataFrame:
     """Pairs of members of one hub, not yet connected, that may be linked by their differences to the hub."""
     named = compared.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("lacked", F.col("hub_size") - F.col("shared"))
     named = named.withColumn("component", F.coalesce("component", "b"))
     state = named.groupBy("a").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.max(~F.col("linked")).alias("parted"),
-        F.min("size").alias("smallest"), F.min("lacked").alias("fewest"), F.min(F.when(~F.col("near"), F.col("lacked"))).alias("fewest_far"),
+        F.max(F.col("near") & ~F.col("linked")).alias("unsure"), F.min("size").alias("smallest"), F.min("lacked").alias("fewest"), F.min(F.when(~F.col("near"), F.col("lacked"))).alias("fewest_far"),
     )
-    rest = staged(named.join(state.where("parted and least < most").select("a", "smallest", "fewest", "fewest_far"), "a"))
+    rest = staged(named.join(state.where("parted and least < most").select("a", "unsure", "smallest", "fewest", "fewest_far"), "a"))
 
     def joined(some: DataFrame, others: DataFrame, on: list[str], *also: Column) -> DataFrame:
         others = others.select(*on, F.col("b").alias("c"), *(F.col(x).alias(f"{x}_c") for x in others.columns if x not in (*on, "b")))
@@ -259,6 +261,9 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     close, once = rest.where("near"), F.col("linked_c") | (F.col("b") < F.col("c"))
     if relation.ordered:
         member = ["a", "b", "component", "size", "linked"]
+        # Pairs have a member that is near and not linked: most hubs have none.
+        close = close.where("unsure")
+        close = close.join(orders(close.select("b").distinct()), "b")
         runs = looked_up(close.select(*member, F.inline("orders")), [*member, "q", "many", "take", "reach"], ["q", "run"], ("low", "high"))
         runs = runs.select(*member, "q", "reach", F.inline("some")).drop("holders")
         reach = F.greatest("reach", "reach_c")
@@ -270,11 +275,11 @@ def rest_pairs(compared: DataFrame, labels: DataFrame, relation: Relation) -> Da
     return found.distinct()
 
 
-def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> DataFrame:
+def link_buckets(members: DataFrame, compare: Compare, relation: Relation, orders: Orders | None = None) -> DataFrame:
     """Links enough to connect all that are connected: ``id``, ``component`` of every id that has a link.
 
     ``members`` holds ``key``, ``id`` and ``n`` (elements of the id's set), distinct; two ids may be linked only if they
-    share a key. Two turns: large buckets' members are compared with a hub, then pairs from the differences to a hub.
+    share a key; of ordered relations ``orders`` gives the runs. Two turns: large buckets' members are compared with a hub, then pairs from the differences to a hub.
     Keys, hubs and elements that very many hold are only ever keys of joins and of partial aggregates.
     """
     small, large = pairs_of(members, relation)
@@ -282,7 +287,7 @@ def link_buckets(members: DataFrame, compare: Compare, relation: Relation) -> Da
     compared = staged(compare(large, True))
     links = compared.where("linked").select("a", "b").union(close)
     labels = components(links)
-    more = staged(compare(rest_pairs(compared, labels, relation), False).where("linked").select("a", "b"))
+    more = staged(compare(rest_pairs(compared, labels, relation, orders), False).where("linked").select("a", "b"))
     found = more_components(labels, more) if more.limit(1).count() else labels
     for table in (close, compared, more, *((labels,) if found is not labels else ())):
         unstage(table)

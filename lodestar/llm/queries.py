@@ -102,9 +102,11 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    return with_removed(docs, repeated_lines(docs)).select(
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    counted = docs.select("doc_id", n_lines, F.xxhash64("text").alias("print"))
+    return with_removed(counted, repeated_lines(docs), print_col="print").select(
         "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        "n_lines",
         F.size(removed).cast("long").alias("n_removed"),
         removed.alias("removed_lines"),
     )

@@ -1,11 +1,13 @@
 """Fuzzy lines against comparing all pairs of lines."""
 
 import random
+import string
 
 import numpy as np
 
-from lodestar.llm.lines import LineRules, bags, normal_lines, repeated_lines, with_removed, without_lines, word_edits
+from lodestar.llm.lines import LineRules, all_lines, bags, normal_lines, orders_of, repeated_lines, with_removed, without_lines, word_edits
 from lodestar.llm.minhash import band_keys
+from lodestar.llm.queries import QUERIES
 
 RULES = LineRules()
 
@@ -166,3 +168,35 @@ def test_removal_splits_a_text_once(make_docs):
     left = without_lines(docs, repeated_lines(docs))
     assert left._jdf.queryExecution().analyzed().toString().count("split(") == 1
     assert {r.doc_id: (r.text, r.lines_removed) for r in left.collect()} == {0: ("a b\nc", 1), 1: ("", 1), 2: (None, 0)}
+
+
+def test_lines_of_several_texts_at_once():
+    odd = [None, "", " a \n  b--c \t d\n\n . \n\x0b\x0cx\r\ny \x1c z\x85  q", "\n \n", "\u03a3 \u0391\u03a3\n\u0391\u03a3,", "  ", "a\n"]
+    want = [[b" ".join(x.split()) for x in (t or "").lower().encode().translate(bytes(32 if chr(b) in string.punctuation else b for b in range(256))).split(b"\n")] for t in odd]
+    lines, counts = all_lines(odd)
+    assert lines == sum(want, []) and counts == [len(x) for x in want] and [normal_lines(t) for t in odd] == want
+
+
+def test_query_exchanges_no_texts_with_the_removed_lines(spark, make_docs, tmp_path):
+    make_docs(["one two three\nfour", "one two three\nfive\nsix", None, ""]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_fuzzy_lines"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(0, 2, 0, []), (1, 3, 1, [0]), (2, 1, 0, []), (3, 1, 0, [])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert "AS n_lines" not in plan[0] and "AS n_lines" in plan[1]
+
+
+def test_runs_are_made_of_hubs_with_other_orders_only(make_docs, monkeypatch):
+    asked = []
+
+    def counting(texts, rules):
+        given = orders_of(texts, rules)
+        return lambda ids: (asked.append(ids.count()), given(ids))[1]
+
+    monkeypatch.setattr("lodestar.llm.lines.orders_of", counting)
+    draw, words = random.Random(4), [f"word{k}" for k in range(20)]
+    copies = [" ".join(w if draw.random() > 0.1 else f"x{draw.randrange(10**6)}" for w in words) for _ in range(12)]
+    repeated_lines(make_docs(copies)).count()
+    turned = [" ".join(draw.sample(words, 20)) for _ in range(12)]
+    docs = make_docs([*turned, *(" ".join([*x.split()[:19], "last"]) for x in turned)])
+    assert {r.doc_id: r.removed for r in repeated_lines(docs).collect()} == {k: [0] for k in range(12, 24)}
+    assert sum(asked[:-1]) == 0 and asked[-1] > 12
