@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import scores
 from lodestar.operators import quantiles, resolve, setjoin, similarity, timeline
 
 
@@ -162,6 +164,32 @@ def test_weighted_jaccard_exchanges_no_pairs(spark):
     assert not any(step in after for step in ("Join", "Aggregate", "Repartition"))
 
 
+def test_weighted_jaccard_writes_few_bytes_a_pair(spark, tmp_path):
+    """Rows of a task stand by score, so that a column file holds equal scores once and ids in the bits of their block."""
+    weights = spark.range(3000).select("id", F.explode(F.array(*map(F.lit, "abcd"))).alias("k"))
+    weights = weights.select("id", "k", (F.pmod(F.xxhash64("id", "k"), F.lit(50_000)) / 100).alias("w"))
+    pairs = similarity.pair_jaccard(weights, "id", "k", "w", spark.range(1500), 1)
+    pairs.withColumn("jaccard", scores.rounded(F.col("jaccard"), 6)).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1500 * 2999
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5.5 * 1500 * 2999
+
+
+def test_weighted_jaccard_runs_each_block_in_its_own_task(spark):
+    weights = spark.range(400).select("id", F.lit("hot").alias("k"), (F.col("id") % 7 + 1).cast("double").alias("w"))
+    pairs = similarity.pair_jaccard(weights, "id", "k", "w", spark.range(5), 16)
+    assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() == 16
+
+
+def test_weighted_jaccard_rounds_as_columns_do(spark):
+    x = [0.4999995, 0.49999949999999994, 2.5e-6, -2.5e-6, 4.9999999999999994e-7, -1e-9, 1 / 3, 16.520001499999998, 0.0, 1.0, 123456.7890125]
+    want = [r.x for r in spark.createDataFrame([(v,) for v in x], "x double").select(scores.rounded(F.col("x"), 6).alias("x")).collect()]
+    got = similarity._rounded(np.array(x), 6).tolist()
+    assert list(map(str, got)) == list(map(str, want))
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "a", None)], "id int, k string, w double")
+    found = similarity.pair_jaccard(df, "id", "k", "w", spark.createDataFrame([(1,)], "id int"), digits=6).collect()
+    assert {(r.ref, r.id): r.jaccard for r in found} == {(1, 2): 0.333333, (1, 3): None}
+
+
 def test_benchmark_candidates_of_equal_ids(spark, tmp_path):
     """Texts of one id are compared one by one, and words that several items have find no pairs."""
     from lodestar.plans import registry
